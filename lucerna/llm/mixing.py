@@ -67,14 +67,14 @@ def fit_classifier(documents: DataFrame, labelled: DataFrame, rows: int = TRAINI
 
 
 def posteriors(documents: DataFrame, model: tuple[list[str], list[float], list[list[float]]], keep: list[str]) -> DataFrame:
-    """``keep``, n_tokens and p (one posterior for each domain) of every document."""
+    """row (a struct of the columns ``keep``), n_tokens and p (one posterior for each domain) of every document."""
     domains, prior, weights = model
-    d = documents.select(*keep, F.transform(words(F.col("text")), slot).alias("__slots"))
-    score = lambda k: F.aggregate("__slots", F.lit(prior[k]), lambda a, s: a + F.get(F.lit(weights[k]), s))
-    d = d.select(*keep, F.size("__slots").cast("long").alias("n_tokens"), F.array(*(score(k) for k in range(len(domains)))).alias("__l"))
-    d = d.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
-    total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    return d.select(*keep, "n_tokens", F.transform("__e", lambda x: x / total).alias("p"))
+    d = documents.select(F.struct(*keep).alias("row"), F.transform(words(F.col("text")), slot).alias("slots"))
+    score = lambda k: F.aggregate("slots", F.lit(prior[k]), lambda a, s: a + F.get(F.lit(weights[k]), s))
+    d = d.select("row", F.size("slots").cast("long").alias("n_tokens"), F.array(*(score(k) for k in range(len(domains)))).alias("l"))
+    d = d.withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return d.select("row", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
 def _totals(table: DataFrame, n: int, rate: Column) -> list[float]:
@@ -107,16 +107,28 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -
     return steps, goal, reached
 
 
-def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], *, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default doc_id), n_tokens, domain (likeliest), p, rate and copies of every document.
+def rated(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str]) -> DataFrame:
+    """row (struct of ``keep``), n_tokens, domain (likeliest), p, rate and copies of every document.
 
     copies is the rate rounded up or down by a hash of the id, so that its expectation is the rate.
     """
-    keep = ["doc_id"] if keep is None else keep
     model = fit_classifier(documents, labelled)
-    table, _ = write_shared(posteriors(documents, model, keep), "posteriors")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    table = posteriors(documents.withColumn("__draw", drawn), model, [*keep, "__draw"])
+    table, _ = write_shared(table, "posteriors")
     steps, _, _ = fit_rates(table, model[0], targets)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    r = rate(steps)
     likeliest = F.get(F.lit(model[0]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return table.select(*keep, "n_tokens", likeliest.alias("domain"), "p", r.alias("rate")).withColumn("copies", F.floor(F.col("rate") + F.coalesce(draw, F.lit(0.0))).cast("int"))
+    table = table.select(F.col("row").dropFields("__draw").alias("row"), F.col("row.__draw").alias("draw"), "n_tokens", likeliest.alias("domain"), "p", rate(steps).alias("rate"))
+    return table.select("row", "n_tokens", "domain", "p", "rate", F.floor(F.col("rate") + F.coalesce("draw", F.lit(0.0))).cast("int").alias("copies"))
+
+
+def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """doc_id, n_tokens, domain (likeliest), p, rate and copies of every document."""
+    r = rated(documents.select("doc_id", "text"), labelled, targets, ["doc_id"])
+    return r.select("row.doc_id", "n_tokens", "domain", "p", "rate", "copies")
+
+
+def resample(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """The rows of ``documents``, each as often as its copies say, with its own columns only."""
+    r = rated(documents, labelled, targets, documents.columns)
+    return r.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

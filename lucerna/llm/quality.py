@@ -8,11 +8,11 @@ usable label the score is the constant 0.5.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import bounded_batches, id_remainder
@@ -115,22 +115,19 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, he
     return fit(x, y) if len(x) else Forest(np.zeros((1, 1), np.int32), np.full((1, 1), np.inf), np.zeros((1, 2)), 0.0, 1)
 
 
-def score_quality(documents: DataFrame, forest: Forest, *, keep: list[str] | None = None) -> DataFrame:
-    """``documents`` columns ``keep`` (default: doc_id) and ``score`` for every row, in batches."""
-    bounded_batches(documents.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
+def quality_score(forest: Forest) -> Callable[[Column], Column]:
+    """A column function from a text to its score; other columns of a row stay in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = forest.probability(_matrix(b.column("__text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(score, pa.float64())], [*keep, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(forest.probability(_matrix(texts.to_pylist())), pa.float64())
 
-    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return lambda text: score(text.cast("string"))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    scored = score_quality(documents, fit_quality(documents, labels))
+    score = quality_score(fit_quality(documents, labels))
+    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
     held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

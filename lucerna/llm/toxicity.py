@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import bounded_batches, id_remainder
@@ -179,22 +179,19 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, h
     return ToxicityModel(lexicon, fit(x, y, trees=40), isotonic(unseen, y))
 
 
-def score_toxicity(documents: DataFrame, model: ToxicityModel, *, keep: list[str] | None = None) -> DataFrame:
-    """``documents`` columns ``keep`` (default: doc_id) and ``score`` for every row, in batches."""
-    bounded_batches(documents.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
+def toxicity_score(model: ToxicityModel) -> Callable[[Column], Column]:
+    """A column function from a text to its calibrated score; other columns of a row stay in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = model.score(b.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(score, pa.float64())], [*keep, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts.to_pylist()), pa.float64())
 
-    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return lambda text: score(text.cast("string"))
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    scored = score_toxicity(documents, fit_toxicity(documents, labels))
+    score = toxicity_score(fit_toxicity(documents, labels))
+    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
     held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
