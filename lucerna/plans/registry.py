@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lucerna.plans import package_queries, package_sql, table_queries, table_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = table_queries.QUERIES | package_queries.QUERIES
+ORACLE: dict[str, str] = table_sql.ORACLE | package_sql.ORACLE
