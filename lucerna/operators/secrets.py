@@ -1,7 +1,6 @@
 """Exposed credentials in texts: rules as data, hits by line, masked examples, signals and redaction.
 
-The rule table is this project's own.  A text is first tested once against all patterns together, so
-only texts with a hit are cut into lines; a hit is masked as soon as it is found and the credential
+The rule table is this project's own.  Only texts in which some pattern matches are cut into lines; a hit is masked as soon as it is found and the credential
 itself never leaves that expression.
 """
 
@@ -68,21 +67,22 @@ def lines(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def secret_hits(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, line_no, rule, nth (within line and rule) and the masked hit."""
+    """doc_id, line_no, rule, nth (within line and rule), the masked hit and whether it counts.
+
+    A heuristic's hit does not count on a line that a provider's rule has hit.  All hits of a line
+    are one array, so this needs no join.
+    """
     some = documents.filter(suspect(F.col("text"), rules))
-    of = lambda r: F.transform(F.regexp_extract_all("line", F.lit(r.pattern), F.lit(0)), lambda x, i: F.struct(F.lit(r.rule).alias("rule"), (i + 1).alias("nth"), mask(x).alias("masked")))
-    hits = lines(some).select("doc_id", "line_no", F.explode(F.concat(*(of(r) for r in rules))).alias("h"))
-    return hits.select("doc_id", "line_no", "h.rule", "h.nth", "h.masked")
+    of = lambda r: F.transform(F.regexp_extract_all("line", F.lit(r.pattern), F.lit(0)), lambda x, i: F.struct(F.lit(r.rule).alias("rule"), (i + 1).alias("nth"), mask(x).alias("masked"), F.lit(r.rule in HEURISTIC).alias("weak")))
+    hits = lines(some).select("doc_id", "line_no", F.concat(*(of(r) for r in rules)).alias("hits"))
+    hits = hits.select("doc_id", "line_no", "hits", F.exists("hits", lambda x: ~x["weak"]).alias("provider")).select("doc_id", "line_no", "provider", F.explode("hits").alias("h"))
+    return hits.select("doc_id", "line_no", "h.rule", "h.nth", "h.masked", (~(F.col("h.weak") & F.col("provider"))).alias("counted"))
 
 
 def secret_signals(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One signal for each document and rule: how many hits, the first one's line, its masked example."""
-    # Whether a line has a provider's hit is one flag for each line, found with a map-side aggregate.
-    provider = hits.filter(~F.col("rule").isin(*HEURISTIC)).select("doc_id", "line_no").distinct()
-    weak = hits.filter(F.col("rule").isin(*HEURISTIC)).join(provider, ["doc_id", "line_no"], "left_anti")
-    counted = hits.filter(~F.col("rule").isin(*HEURISTIC)).unionByName(weak)
+    """One signal for each document and rule: how many hits count, the first one's line, its masked example."""
     first = F.min(F.struct("line_no", "nth", "masked"))
-    per = counted.groupBy("doc_id", "rule").agg(F.count("*").alias("n"), first.alias("f"))
+    per = hits.filter("counted").groupBy("doc_id", "rule").agg(F.count("*").alias("n"), first.alias("f"))
     known = hits.sparkSession.createDataFrame([(r.rule, r.titulo, r.nivel) for r in rules], "rule string, titulo string, nivel string")
     plural = F.when(F.col("n") == 1, " coincidencia (línea ").otherwise(" coincidencias (línea ")
     detail = F.concat(F.col("n").cast("string"), plural, F.col("f.line_no").cast("string"), F.lit("). Ejemplo: "), F.col("f.masked"))

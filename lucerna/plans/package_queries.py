@@ -1 +1,92 @@
-QUERIES = {}
+"""Queries over files made from the documents table: packages, images and PDF files, inspected, cleaned and verified."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lucerna.functions import sniff
+from lucerna.operators import office, verdict
+from lucerna.operators.relations import shared_table
+from lucerna.sources import fixtures, packages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.office_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parts = shared_table(packages.read_packages(_office(spark, sf_dir)), "parts")
+    return parts, shared_table(packages.xml_nodes(parts), "nodes")
+
+
+@query
+def office_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind by first bytes, format by the first known folder, and the label of both."""
+    files = _office(spark, sf_dir)
+    parts = packages.read_packages(files)
+    listed = parts.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
+    fmt = sniff.package_format(F.col("names"))
+    return files.select("doc_id", sniff.file_kind(F.col("content")).alias("kind")).join(listed, "doc_id").select("doc_id", "kind", fmt.alias("format"), sniff.kind_label(F.col("kind"), fmt).alias("label"))
+
+
+@query
+def office_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of every package: its place, name and digest, with the checksum verified."""
+    p = packages.read_packages(_office(spark, sf_dir))
+    return p.select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "crc_ok", F.when(F.col("name").endswith(".bin"), F.sha2("data", 256)).alias("sha256"))
+
+
+@query
+def office_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office.office_findings(*_read(spark, sf_dir))
+
+
+@query
+def office_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = office.office_findings(*_read(spark, sf_dir)).withColumn("kind", F.lit("office"))
+    return verdict.signals_of_findings(found).select("doc_id", "nivel", "titulo")
+
+
+@query
+def office_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = office.office_findings(*_read(spark, sf_dir)).withColumn("kind", F.lit("office"))
+    return verdict.verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), verdict.signals_of_findings(found))
+
+
+@query
+def office_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of cleaned packages, written and read again, with the visible text they carry."""
+    parts, _ = _read(spark, sf_dir)
+    again = packages.read_packages(packages.write_packages(office.clean_parts(parts, macros=True)))
+    text = office.visible_text(F.col("data"))
+    return again.select("doc_id", "name", F.when(F.col("name").rlike("^(word/document|word/comments)"), F.sha2(text.cast("binary"), 256)).alias("text_sha256"))
+
+
+@query
+def office_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of Word bodies when changes are accepted, and when they are rejected."""
+    parts = office_word(spark, sf_dir)
+    side = lambda mode: office.clean_parts(parts, changes=mode).filter("name = 'word/document.xml'").select("doc_id", F.sha2(office.visible_text(F.col("data")).cast("binary"), 256).alias(mode))
+    return side("accept").join(side("reject"), "doc_id")
+
+
+def office_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages.read_packages(_office(spark, sf_dir)).filter("name LIKE 'word/%'")
+
+
+@query
+def office_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What independent checks find wrong with cleaned packages: nothing."""
+    parts, _ = _read(spark, sf_dir)
+    cleaned = shared_table(office.clean_parts(parts, comments="delete"), "cleaned")
+    return office.violations(parts, cleaned, comments="delete")

@@ -1 +1,78 @@
-ORACLE = {}
+"""DuckDB SQL that tells from the documents table what the package queries must find."""
+
+from __future__ import annotations
+
+# Which packages carry which parts, as the fixtures are made.
+FORMAT = "CASE doc_id % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'excel' ELSE 'powerpoint' END"
+PARTS = """parts AS (
+  SELECT doc_id, 0 AS k, '[Content_Types].xml' AS name FROM documents UNION ALL SELECT doc_id, 1, '_rels/.rels' FROM documents
+  UNION ALL SELECT doc_id, k, name FROM documents, (VALUES (2, 'word/document.xml'), (3, 'word/comments.xml'), (4, 'word/people.xml'), (5, 'word/settings.xml'), (16, 'docProps/thumbnail.jpeg')) v(k, name) WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 6, 'word/vbaProject.bin' FROM documents WHERE doc_id % 21 = 0
+  UNION ALL SELECT doc_id, 7, 'xl/workbook.xml' FROM documents WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, 8, 'xl/connections.xml' FROM documents WHERE doc_id % 12 = 1
+  UNION ALL SELECT doc_id, k, name FROM documents, (VALUES (9, 'xl/externalLinks/_rels/externalLink1.xml.rels'), (10, 'xl/printerSettings/printerSettings1.bin')) v(k, name) WHERE doc_id % 6 = 1
+  UNION ALL SELECT doc_id, k, name FROM documents, (VALUES (11, 'ppt/presentation.xml'), (12, 'ppt/commentAuthors.xml'), (13, 'ppt/notesSlides/notesSlide1.xml')) v(k, name) WHERE doc_id % 3 = 2
+  UNION ALL SELECT doc_id, k, name FROM documents, (VALUES (14, 'docProps/core.xml'), (15, 'docProps/app.xml')) v(k, name)
+), listed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, name FROM parts)"""
+
+_PEOPLE = "'Personas con cuenta vinculada'"
+_DATA = "'Excel · datos externos'"
+_CHANGES = "'Control de cambios'"
+_TRACES = "'Rastros técnicos de edición'"
+_ROWS = [
+    ("true", "'Archivo'", "'Tipo detectado'", "CASE doc_id % 3 WHEN 0 THEN 'Word' WHEN 1 THEN 'Excel' ELSE 'PowerPoint' END || ' · ' || (SELECT count(*) FROM parts p WHERE p.doc_id = d.doc_id) || ' partes'", "baja", "false"),
+    ("true", "'Propiedades del documento'", "'Título'", "'Documento ' || doc_id", "media", "false"),
+    ("true", "'Propiedades del documento'", "'Autor'", "source", "personal", "false"),
+    ("true", "'Propiedades del documento'", "'Última persona que guardó'", "lang", "personal", "false"),
+    ("true", "'Propiedades de la aplicación'", "'Empresa'", "'Empresa ' || lang", "personal", "false"),
+    ("true", "'Propiedades de la aplicación'", "'Tiempo de edición'", "(doc_id % 100) || ' minutos'", "media", "false"),
+    ("true", "'Paquete ZIP'", "'Fechas internas de cada archivo'", "'1980-01-01 00:00:00'", "baja", "false"),
+    ("doc_id % 3 = 0", _PEOPLE, "source", "'(sin identificador)'", "personal", "false"),
+    ("doc_id % 3 = 0", _PEOPLE, "'(sin nombre)'", "'AD ' || doc_id", "personal", "false"),
+    ("doc_id % 3 = 0", "'Comentarios'", "'Comentarios en el documento'", "'1'", "media", "false"),
+    ("doc_id % 3 IN (0, 2)", "'Comentarios'", "'Autores de los comentarios'", "source", "personal", "false"),
+    ("doc_id % 3 = 0", _CHANGES, "'Inserciones'", "'1'", "edicion", "false"),
+    ("doc_id % 3 = 0", _CHANGES, "'Borrados'", "'1'", "edicion", "false"),
+    ("doc_id % 3 = 0", _CHANGES, "'Autores registrados'", "source || ', ' || lang", "personal", "false"),
+    ("doc_id % 3 = 0", _CHANGES, "'Fechas registradas'", "'3 marcas entre 2024-01-01T00:00:00Z y 2024-01-03T00:00:00Z'", "edicion", "false"),
+    ("doc_id % 3 = 0", "'Miniatura y adjuntos'", "'Miniatura incrustada (vista previa guardada)'", "'puede mostrar una versión anterior del contenido'", "media", "false"),
+    ("doc_id % 21 = 0", "'Contenido incrustado'", "'Macros (vbaProject.bin)'", "'presentes'", "personal", "false"),
+    ("doc_id % 3 = 0", _TRACES, "'Identificadores rsid (sesiones de edición)'", "'1'", "baja", "false"),
+    ("doc_id % 3 = 0", _TRACES, "'Identificadores de párrafo/texto'", "'1'", "baja", "false"),
+    ("doc_id % 12 = 1", _DATA, "'Conexiones a bases de datos'", "'1 (cadena de conexión)'", "personal", "false"),
+    ("doc_id % 12 = 1", _DATA, "'Cadena de conexión'", "'Server=' || source || ';Password=secreto'", "personal", "false"),
+    ("doc_id % 12 = 1", _DATA, "'Cadena de conexión'", "'SELECT 1'", "personal", "false"),
+    ("doc_id % 6 = 1", _DATA, "'Enlace a otro libro'", r"'C:\datos\' || doc_id || '.xlsx'", "personal", "true"),
+    ("doc_id % 6 = 1", _DATA, "'Configuración de impresora guardada'", "'1 parte(s)'", "media", "false"),
+    ("doc_id % 6 = 4", "'Excel · hojas ocultas'", "'Hojas ocultas'", "'1 oculta(s), 0 muy oculta(s)'", "media", "true"),
+    ("doc_id % 15 = 10", _DATA, "'Nombres definidos apuntando a otros archivos'", "'Fuera'", "media", "true"),
+    ("doc_id % 3 = 2", "'PowerPoint · notas'", "'Diapositivas con notas del orador'", "'1'", "media", "true"),
+]
+FINDINGS = f"{PARTS}, findings AS (" + " UNION ALL ".join(f"SELECT doc_id, {g} AS grp, {lab} AS label, {v} AS value, '{s}' AS sev, {k} AS keep FROM documents d WHERE {c}" for c, g, lab, v, s, k in _ROWS) + ")"
+SIGNALS = (
+    "signals AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{n}' AS nivel, '{t}' AS titulo FROM documents WHERE {c}"
+        for c, n, t in [
+            ("doc_id % 21 = 0", "alto", "Macros incrustadas (VBA)"),
+            ("doc_id % 12 = 1", "alto", "Conexión a una base de datos externa"),
+            ("doc_id % 6 = 1", "medio", "Enlaces a otros archivos"),
+            ("doc_id % 15 = 10", "medio", "Nombres definidos que apuntan fuera del archivo"),
+            ("doc_id % 6 = 4", "bajo", "Hojas ocultas"),
+        ]
+    )
+    + ")"
+)
+_ESCAPED = "regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+_DROPPED = "name NOT IN ('docProps/thumbnail.jpeg', 'word/vbaProject.bin', 'xl/connections.xml', 'xl/printerSettings/printerSettings1.bin')"
+
+ORACLE = {
+    "office_kinds": f"SELECT doc_id, 'office' AS kind, {FORMAT} AS format, CASE doc_id % 3 WHEN 0 THEN 'Word' WHEN 1 THEN 'Excel' ELSE 'PowerPoint' END AS label FROM documents",
+    "office_parts": f"WITH {PARTS} SELECT doc_id, ord, name, true AS crc_ok, CASE WHEN name LIKE '%.bin' THEN sha256('\\xFF\\xD8\\xFF\\xD9'::BLOB) END AS sha256 FROM listed",
+    "office_findings": f"WITH {FINDINGS} SELECT * FROM findings",
+    "office_signals": f"WITH {SIGNALS} SELECT * FROM signals",
+    "office_verdict": f"WITH {SIGNALS}, s AS (SELECT doc_id, least(100, sum(CASE nivel WHEN 'alto' THEN 40 WHEN 'medio' THEN 15 ELSE 5 END)) AS s, count(*) AS n FROM signals GROUP BY doc_id) SELECT doc_id, CASE WHEN coalesce(s, 0) >= 40 THEN 'alto' WHEN coalesce(s, 0) >= 15 THEN 'medio' ELSE 'bajo' END AS riesgo, CAST(coalesce(s, 0) AS INTEGER) AS puntuacion, coalesce(n, 0) AS n_signals FROM documents LEFT JOIN s USING (doc_id)",
+    "office_clean": f"WITH {PARTS} SELECT doc_id, name, CASE name WHEN 'word/document.xml' THEN sha256({_ESCAPED} || 'nuevo') WHEN 'word/comments.xml' THEN sha256('nota') END AS text_sha256 FROM listed JOIN documents USING (doc_id) WHERE {_DROPPED}",
+    "office_accept": f"SELECT doc_id, sha256({_ESCAPED} || 'nuevo') AS accept, sha256({_ESCAPED} || 'viejo') AS reject FROM documents WHERE doc_id % 3 = 0",
+    "office_violations": "SELECT 0 AS doc_id, '' AS part, '' AS problem WHERE false",
+}
