@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Documents reach megabytes, so the default of 10,000 is too many.
 BATCH_ROWS = 500
+#: Spark's switch for deleting a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
+
+    Nothing reads the write's shuffle files again, so Spark may delete them as soon as it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lucerna/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
