@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import sniff
-from lucerna.operators import office, verdict
+from lucerna.operators import images, office, verdict
 from lucerna.operators.relations import shared_table
 from lucerna.sources import fixtures, packages
+from lucerna.sources.images import read_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,3 +91,33 @@ def office_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, _ = _read(spark, sf_dir)
     cleaned = shared_table(office.clean_parts(parts, comments="delete"), "cleaned")
     return office.violations(parts, cleaned, comments="delete")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixtures.image_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shared_table(read_segments(files.withColumn("format", sniff.sniff_image(F.col("content")))), "segments")
+
+
+@query
+def image_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = images.role(_images(spark, sf_dir))
+    return s.select("doc_id", "format", F.col("ord").cast("long").alias("ord"), "kind", "role")
+
+
+@query
+def image_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_findings(_images(spark, sf_dir))
+
+
+@query
+def image_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in cleaned images after writing and reading them again: only the orientation."""
+    cleaned = images.assemble(images.clean_segments(_images(spark, sf_dir)))
+    return images.image_findings(shared_table(read_segments(cleaned), "cleaned"))
+
+
+@query
+def image_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _images(spark, sf_dir)
+    after = shared_table(read_segments(images.assemble(images.clean_segments(before))), "cleaned")
+    return images.image_violations(before, after)

@@ -76,3 +76,20 @@ ORACLE = {
     "office_accept": f"SELECT doc_id, sha256({_ESCAPED} || 'nuevo') AS accept, sha256({_ESCAPED} || 'viejo') AS reject FROM documents WHERE doc_id % 3 = 0",
     "office_violations": "SELECT 0 AS doc_id, '' AS part, '' AS problem WHERE false",
 }
+
+_SEGMENTS = [
+    ("jpeg", ["SOI:", "E0:", "E1:EXIF", "E1:XMP", "FE:COM", "SCAN:"]),
+    ("png", ["SIGNATURE:", "IHDR:", "tEXt:TEXT", "eXIf:EXIF", "IDAT:", "IEND:"]),
+    ("webp", ["RIFF:", "VP8X:", "VP8 :", "EXIF:EXIF", "XMP :XMP"]),
+]
+ORACLE["image_segments"] = " UNION ALL ".join(
+    f"SELECT doc_id, '{fmt}' AS format, {i} AS ord, '{x.split(':')[0]}' AS kind, nullif('{x.split(':')[1]}', '') AS role FROM documents WHERE doc_id % 3 = {k}" for k, (fmt, kinds) in enumerate(_SEGMENTS) for i, x in enumerate(kinds)
+)
+_TURNED = "SELECT doc_id, 'EXIF' AS grp, 'Orientación' AS label, '6 (se conserva)' AS value, 'baja' AS sev, false AS keep FROM documents"
+ORACLE["image_findings"] = f"""{_TURNED} UNION ALL SELECT doc_id, 'EXIF', 'Fabricante de la cámara', source, 'personal', false FROM documents
+UNION ALL SELECT doc_id, 'EXIF · ubicación', 'Coordenadas GPS', 'presentes: latitud', 'personal', false FROM documents
+UNION ALL SELECT doc_id, 'XMP', 'Herramienta que creó el archivo', lang, 'media', false FROM documents WHERE doc_id % 3 <> 1
+UNION ALL SELECT doc_id, 'Comentario JPEG', 'Comentario guardado en el archivo', lang, 'media', false FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'Texto incrustado en el PNG', 'Chunk tEXt', 'Author ' || lang, 'media', false FROM documents WHERE doc_id % 3 = 1"""
+ORACLE["image_clean"] = _TURNED
+ORACLE["image_violations"] = "SELECT 0 AS doc_id, '' AS problem WHERE false"
