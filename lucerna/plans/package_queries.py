@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import sniff
-from lucerna.operators import images, office, verdict
+from lucerna.operators import images, office, pdf, verdict
 from lucerna.operators.relations import shared_table
 from lucerna.sources import fixtures, packages
 from lucerna.sources.images import read_segments
@@ -121,3 +121,36 @@ def image_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _images(spark, sf_dir)
     after = shared_table(read_segments(images.assemble(images.clean_segments(before))), "cleaned")
     return images.image_violations(before, after)
+
+
+def _pdf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = shared_table(fixtures.pdf_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pdf")
+    objects = shared_table(pdf.read_objects(files), "objects")
+    return files, objects, shared_table(pdf.trailers(files, objects), "trailers")
+
+
+@query
+def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, objects, _ = _pdf(spark, sf_dir)
+    return objects.select("doc_id", "num", F.coalesce(F.octet_length("stream"), F.lit(-1)).cast("long").alias("stream_bytes"))
+
+
+@query
+def pdf_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.pdf_findings(*_pdf(spark, sf_dir)).filter("label <> 'Tipo detectado'")
+
+
+@query
+def pdf_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, objects, trailer = _pdf(spark, sf_dir)
+    found = pdf.pdf_findings(files, objects, trailer).withColumn("kind", F.lit("pdf"))
+    return verdict.verdicts(trailer, verdict.signals_of_findings(found), supported=pdf.supported(F.col("trailer")))
+
+
+@query
+def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned files read again: why a file was refused, how many objects are left, the digest of the page's content."""
+    cleaned = shared_table(pdf.clean_pdf(_pdf(spark, sf_dir)[0]), "cleaned")
+    objects = pdf.read_objects(cleaned.filter("content IS NOT NULL"))
+    per = objects.groupBy("doc_id").agg(F.count("*").alias("objects"), F.max(F.when(F.col("num") == 4, F.sha2("stream", 256))).alias("content_sha256"))
+    return cleaned.select("doc_id", F.coalesce("error", F.lit("")).alias("error")).join(per, "doc_id", "left").select("doc_id", "error", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("content_sha256", F.lit("")).alias("content_sha256"))

@@ -93,3 +93,26 @@ UNION ALL SELECT doc_id, 'Comentario JPEG', 'Comentario guardado en el archivo',
 UNION ALL SELECT doc_id, 'Texto incrustado en el PNG', 'Chunk tEXt', 'Author ' || lang, 'media', false FROM documents WHERE doc_id % 3 = 1"""
 ORACLE["image_clean"] = _TURNED
 ORACLE["image_violations"] = "SELECT 0 AS doc_id, '' AS problem WHERE false"
+
+_OPEN = "doc_id % 11 <> 0"
+_PDF_ROWS = [
+    ("true", "'Estructura'", "'Objetos en el archivo'", "'7'", "baja", "false"),
+    ("doc_id % 5 = 0", "'Estructura'", "'Versiones anteriores dentro del archivo'", "'2 actualizaciones incrementales en el mismo archivo'", "personal", "true"),
+    ("doc_id % 11 = 0", "'Archivo'", "'PDF cifrado'", "'no se puede limpiar sin la contraseña'", "media", "true"),
+    (_OPEN, "'Propiedades del documento'", "'Diccionario /Info'", "'presente'", "baja", "false"),
+    (_OPEN, "'Propiedades del documento'", "'Autor'", "CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END", "personal", "false"),
+    (f"{_OPEN} AND doc_id % 5 <> 0", "'Propiedades del documento'", "'Título'", "'A'", "media", "false"),
+    (_OPEN, "'Estructura'", "'Identificador del archivo (/ID)'", "'huellas que identifican este archivo concreto'", "media", "false"),
+    (_OPEN, "'XMP incrustado'", "'Paquete XMP'", "'presente'", "personal", "false"),
+    (_OPEN, "'XMP incrustado'", "'Herramienta'", "source", "media", "false"),
+    (_OPEN, "'Adjuntos'", "'Archivo incrustado dentro del PDF'", "'hay documentos dentro del archivo'", "personal", "true"),
+    (_OPEN, "'Estructura'", "'Páginas'", "'1'", "baja", "false"),
+    (f"{_OPEN} AND doc_id % 3 = 0", "'JavaScript'", "'Código que puede ejecutarse al abrir el PDF'", "'presente'", "personal", "false"),
+    (f"{_OPEN} AND doc_id % 4 = 0", "'Adjuntos'", "'Archivos incrustados (/EmbeddedFiles)'", "'documentos dentro del PDF'", "personal", "true"),
+]
+ORACLE |= {
+    "pdf_objects": "SELECT doc_id, n AS num, CAST(CASE n WHEN 4 THEN strlen(text) WHEN 6 THEN strlen(source) + 58 ELSE -1 END AS BIGINT) AS stream_bytes FROM documents, range(1, 8) r(n)",
+    "pdf_findings": " UNION ALL ".join(f"SELECT doc_id, {g} AS grp, {lab} AS label, {v} AS value, '{s}' AS sev, {k} AS keep FROM documents WHERE {c}" for c, g, lab, v, s, k in _PDF_ROWS),
+    "pdf_verdict": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + 15 END AS p FROM documents) SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'desconocido' WHEN p >= 40 THEN 'alto' ELSE 'medio' END AS riesgo, p AS puntuacion, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN p > 15 THEN 2 ELSE 1 END AS BIGINT) AS n_signals FROM s",
+    "pdf_clean": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 4 = 0 THEN 5 ELSE 4 END AS BIGINT) AS objects, CASE WHEN doc_id % 11 = 0 THEN '' ELSE sha256(text) END AS content_sha256 FROM documents",
+}

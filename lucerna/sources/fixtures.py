@@ -115,3 +115,20 @@ def image_files(documents: DataFrame) -> DataFrame:
     body = F.concat(F.lit(b"WEBP"), riff(b"VP8X", _hex("0C000000 000000 000000")), riff(b"VP8 ", data), riff(b"EXIF", tiff), riff(b"XMP ", xmp))
     webp = F.concat(F.lit(b"RIFF"), _number(F.octet_length(body), 8, little=True), body)
     return documents.select("doc_id", F.when(i % 3 == 0, jpeg).when(i % 3 == 1, png).otherwise(webp).alias("content"))
+
+
+def pdf_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of a PDF whose page holds the text; by id with actions, attachments, an update or encryption."""
+    i, size = F.col("doc_id"), F.octet_length("text").cast("string")
+    when = lambda c, text: F.when(c, F.lit(text)).otherwise("")
+    catalog = F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R /Metadata 6 0 R"), when(i % 3 == 0, " /OpenAction << /S /JavaScript /JS (app.alert\\(1\\)) >>"), when(i % 4 == 0, " /Names << /EmbeddedFiles << /Names [(a) 7 0 R] >> >>"), F.lit(" >>"))
+    xmp = F.concat(F.lit("<x:xmpmeta><xmp:CreatorTool>"), F.col("source"), F.lit("</xmp:CreatorTool></x:xmpmeta>"))
+    objects = [
+        catalog, F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"),
+        F.concat(F.lit("<< /Length "), size, F.lit(" >>\nstream\n"), F.col("text"), F.lit("\nendstream")), F.concat(F.lit("<< /Author ("), F.col("source"), F.lit(") /Title <FEFF0041> >>")),
+        F.concat(F.lit("<< /Type /Metadata /Length "), F.length(xmp).cast("string"), F.lit(" >>\nstream\n"), xmp, F.lit("\nendstream")), F.lit("<< /Type /Filespec /F (a.txt) >>"),
+    ]
+    numbered = [F.concat(F.lit(f"{n + 1} 0 obj\n"), o, F.lit("\nendobj\n")) for n, o in enumerate(objects)]
+    end = F.concat(F.lit("trailer\n<< /Size 8 /Root 1 0 R /Info 5 0 R /ID [<00> <00>]"), when(i % 11 == 0, " /Encrypt 9 0 R"), F.lit(" >>\nstartxref\n0\n%%EOF\n"))
+    update = F.when(i % 5 == 0, F.concat(F.lit("5 0 obj\n<< /Author ("), F.col("lang"), F.lit(") >>\nendobj\n"), end)).otherwise("")
+    return documents.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *numbered, end, update).cast("binary").alias("content"))
