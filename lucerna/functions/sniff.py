@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A PDF mark may start anywhere below this offset.
-PDF_MARK, PDF_WITHIN = "255044462D", 1024
+PDF_MARK, PDF_WITHIN = "%PDF-", 1024
 #: Fixed value: mark of a legacy compound file, and stream names that tell its kind (UTF-16LE).
 OLE_MARK = "D0CF11E0A1B11AE1"
 OLE_STREAMS = {"doc": "WordDocument", "xls": "Workbook", "ppt": "PowerPoint Document"}
@@ -17,9 +17,14 @@ def _bytes(content: Column, start: int, length: int) -> Column:
     return F.hex(F.substring(content, start, length))
 
 
+def _latin(content: Column) -> Column:
+    """Bytes as text of one character each: substring search then never stumbles over invalid UTF-8."""
+    return F.decode(content, "ISO-8859-1")
+
+
 def sniff_pdf(content: Column) -> Column:
     """Whether the mark starts in the first bytes."""
-    at = F.position(F.unhex(F.lit(PDF_MARK)), F.substring(content, 1, PDF_WITHIN + 4))
+    at = F.instr(_latin(F.substring(content, 1, PDF_WITHIN + 4)), PDF_MARK)
     return F.coalesce(at.between(1, PDF_WITHIN), F.lit(False))
 
 
@@ -41,8 +46,7 @@ def sniff_ole(content: Column) -> Column:
     """doc, xls, ppt or ole for a legacy compound file, else null."""
     out = F.lit("ole")
     for kind, name in OLE_STREAMS.items():
-        wide = name.encode("utf-16-le").hex().upper()
-        out = F.when(F.position(F.unhex(F.lit(wide)), content) > 0, F.lit(kind)).otherwise(out)
+        out = F.when(F.contains(_latin(content), F.lit(name.encode("utf-16-le").decode("latin-1"))), F.lit(kind)).otherwise(out)
     return F.when(_bytes(content, 1, 8) == OLE_MARK, out)
 
 
