@@ -43,6 +43,11 @@ def latin(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _inflate(data: pa.Array) -> pa.Array:
     out = []
     for x in data.to_pylist():
@@ -105,7 +110,7 @@ def read_objects(files: DataFrame) -> DataFrame:
     at = F.instr("body", "stream")
     has = (at > 0) & F.col("body").rlike(r"(?s)>>\s*stream\r?\n")
     split = scanned.select("doc_id", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("int").alias("gen"), body.alias("body"))
-    split = split.select("doc_id", "ord", "num", "gen", F.trim(F.when(has, F.regexp_extract("body", r"(?s)^(.*?>>)\s*stream\r?\n", 1)).otherwise(F.col("body"))).alias("dict"), F.when(has, F.encode(F.regexp_extract("body", r"(?s)>>\s*stream\r?\n(.*?)\r?\n?endstream", 1), "ISO-8859-1")).alias("stream"))
+    split = split.select("doc_id", "ord", "num", "gen", stripped(F.when(has, F.regexp_extract("body", r"(?s)^(.*?>>)\s*stream\r?\n", 1)).otherwise(F.col("body"))).alias("dict"), F.when(has, F.encode(F.regexp_extract("body", r"(?s)>>\s*stream\r?\n(.*?)\r?\n?endstream", 1), "ISO-8859-1")).alias("stream"))
     direct = shared_table(latest(split, ["doc_id", "num"], ["ord"]).drop("ord"), "objects")
     return gap_fill(direct, _compressed(direct), ["doc_id", "num"])
 
@@ -124,7 +129,7 @@ def _compressed(objects: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), lambda i: F.struct(F.get(numbers, (2 * i).cast("int")).alias("num"), F.get(numbers, (2 * i + 1).cast("int")).alias("at")))
     rows = text.select("doc_id", "holder", "t", "first", F.explode(pairs).alias("p")).select("doc_id", "holder", "t", "first", "p.num", "p.at").filter("num IS NOT NULL AND at IS NOT NULL")
     end = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id", "holder").orderBy("at", "num")), F.length("t") - F.col("first"))
-    cut = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), F.trim(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("binary").alias("stream"), "holder")
+    cut = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("binary").alias("stream"), "holder")
     return latest(cut, ["doc_id", "num"], ["holder"]).drop("holder")
 
 

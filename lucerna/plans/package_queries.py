@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import sniff
 from lucerna.operators import images, office, pdf, verdict
 from lucerna.operators.relations import shared_table
+from lucerna.plans import products
 from lucerna.sources import fixtures, packages
 from lucerna.sources.images import read_segments
 
@@ -154,3 +155,24 @@ def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = pdf.read_objects(cleaned.filter("content IS NOT NULL"))
     per = objects.groupBy("doc_id").agg(F.count("*").alias("objects"), F.max(F.when(F.col("num") == 4, F.sha2("stream", 256))).alias("content_sha256"))
     return cleaned.select("doc_id", F.coalesce("error", F.lit("")).alias("error")).join(per, "doc_id", "left").select("doc_id", "error", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("content_sha256", F.lit("")).alias("content_sha256"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all kinds in one table: packages, images, PDF files, and texts that are none of them."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = lambda k: d.filter(F.col("doc_id") % 4 == k)
+    text = own(3).select("doc_id", F.concat(F.lit("text: "), F.col("text")).cast("binary").alias("content"))
+    return fixtures.office_files(own(0)).unionByName(fixtures.image_files(own(1))).unionByName(fixtures.pdf_files(own(2))).unionByName(text)
+
+
+@query
+def scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = products.scan(_mixed(spark, sf_dir))
+    return s.select("doc_id", "riesgo", "puntuacion", F.array_join(F.transform("hallazgos", lambda h: h["titulo"]), "; ").alias("titles"), "recomendacion")
+
+
+@query
+def clean_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cleaning did to each file; cleaned files are scanned by their first bytes again."""
+    c = products.clean(_mixed(spark, sf_dir), macros=True)
+    return c.select("doc_id", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce(sniff.file_kind(F.col("content")), F.lit("none")).alias("kind_out"), F.coalesce(F.col("sha256_in") != F.col("sha256_out"), F.lit(False)).alias("changed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lucerna.operators.verdict import RECOMMENDATIONS
+
 # Which packages carry which parts, as the fixtures are made.
 FORMAT = "CASE doc_id % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'excel' ELSE 'powerpoint' END"
 PARTS = """parts AS (
@@ -116,3 +118,21 @@ ORACLE |= {
     "pdf_verdict": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + 15 END AS p FROM documents) SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'desconocido' WHEN p >= 40 THEN 'alto' ELSE 'medio' END AS riesgo, p AS puntuacion, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN p > 15 THEN 2 ELSE 1 END AS BIGINT) AS n_signals FROM s",
     "pdf_clean": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 4 = 0 THEN 5 ELSE 4 END AS BIGINT) AS objects, CASE WHEN doc_id % 11 = 0 THEN '' ELSE sha256(text) END AS content_sha256 FROM documents",
 }
+
+_ADVICE = "CASE riesgo " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RECOMMENDATIONS.items()) + " END AS recomendacion"
+_MIXED_SIGNALS = (
+    SIGNALS.replace("signals AS (", "office_signals AS (", 1)
+    + """, signals AS (
+  SELECT * FROM office_signals WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 'alto', 'Código que se ejecuta al abrir el PDF' FROM documents WHERE doc_id % 4 = 2 AND doc_id % 3 = 0 AND doc_id % 11 <> 0
+  UNION ALL SELECT doc_id, 'medio', 'Archivos incrustados dentro del PDF' FROM documents WHERE doc_id % 4 = 2 AND doc_id % 11 <> 0
+)"""
+)
+ORACLE |= {
+    "scan_mixed": f"""WITH {_MIXED_SIGNALS}, s AS (SELECT doc_id, least(100, sum(CASE nivel WHEN 'alto' THEN 40 WHEN 'medio' THEN 15 ELSE 5 END)) AS s, string_agg(titulo, '; ' ORDER BY CASE nivel WHEN 'alto' THEN 0 WHEN 'medio' THEN 1 ELSE 2 END, titulo) AS titles FROM signals GROUP BY doc_id),
+v AS (SELECT doc_id, doc_id % 4 = 3 OR (doc_id % 4 = 2 AND doc_id % 11 = 0) AS bad, coalesce(s, 0) AS s, coalesce(titles, '') AS titles FROM documents LEFT JOIN s USING (doc_id)),
+r AS (SELECT doc_id, CASE WHEN bad THEN 'desconocido' WHEN s >= 40 THEN 'alto' WHEN s >= 15 THEN 'medio' ELSE 'bajo' END AS riesgo, CAST(CASE WHEN bad THEN 0 ELSE s END AS INTEGER) AS puntuacion, titles FROM v)
+SELECT doc_id, riesgo, puntuacion, titles, {_ADVICE} FROM r""",
+    "clean_mixed": """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'office' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' ELSE 'none' END AS kind, CASE WHEN doc_id % 4 = 3 THEN 'unsupported format' WHEN doc_id % 4 = 2 AND doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error FROM documents)
+SELECT doc_id, kind, error, CASE WHEN error = '' THEN kind ELSE 'none' END AS kind_out, error = '' AS changed FROM k""",
+}
