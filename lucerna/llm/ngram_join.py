@@ -11,7 +11,7 @@ node pairs by the largest overlap that they allow.  What survives is intersected
 links between representatives' components and link counts leave a unit, never all pairs.
 
 The order counts a shingle's frequency only where the filter can need it: sets of at most ``SMALL``
-shingles use all of them, larger ones those whose hash lies in the lowest quarter (others come after,
+shingles use all of them, larger ones those whose hash lies in the lowest part (others come after,
 by hash).  Sizes where a set could link with one of the other kind use both orders.
 
 Rows and edge cases: null and empty texts have the empty set and no link; a null id is linked with
@@ -35,8 +35,9 @@ from lucerna.llm.graph import components
 SHINGLE_WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sets up to SMALL order all their shingles; sets from LARGE on only those below a quarter of the hash range.
-SMALL, LARGE, QUARTER = 300, 255, 1 << 62
+#: Sets up to SMALL order all their shingles; sets from LARGE on only those in the lowest part of the hash range.
+#: LARGE <= PERCENT / 100 * (SMALL + 1), so that two linking sets always share an order.
+SMALL, LARGE, LOW = 120, 102, int(0.22 * 2**64)
 #: A unit holds at most about so much weight; a set weighs its shingles plus SET_WEIGHT.
 UNIT_WEIGHT, SET_WEIGHT = 1_500_000, 400
 FANOUT = 8
@@ -83,7 +84,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed = s.view(np.int64)
             small.append(signed if 0 < len(s) <= SMALL else signed[:0])
             if len(s) >= LARGE:
-                below = int(np.searchsorted(s, np.uint64(QUARTER)))
+                below = int(np.searchsorted(s, np.uint64(LOW)))
                 large.append(signed[: max(below, prefix_length(len(s)))])
             else:
                 large.append(signed[:0])
@@ -94,10 +95,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def families(sets: DataFrame) -> DataFrame:
     """(rep, family) of every set that shares a filter key with another; ``sets`` has rep, n, small, large."""
     tokens = sets.select("rep", F.explode("small").alias("token"), F.lit(0).cast("byte").alias("kind")).union(sets.select("rep", F.explode("large").alias("token"), F.lit(1).cast("byte").alias("kind")))
-    counted = tokens.groupBy("kind", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written first, so that the counts' shuffle is gone before the tokens' begins.
+    counted, counted_path = write_shared(tokens.groupBy("kind", "token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     shared = tokens.join(counted, ["kind", "token"])
-    # Shingles of large sets beyond the quarter come last, by hash alone: how many sets list them says nothing.
-    beyond = (F.col("kind") == 1) & ((F.col("token") < 0) | (F.col("token") >= QUARTER))
+    # Shingles of large sets beyond the lowest part come last, by hash alone: how many sets list them says nothing.
+    beyond = (F.col("kind") == 1) & ((F.col("token") < 0) | (F.col("token") >= LOW))
     place = F.struct(beyond.alias("beyond"), F.when(beyond, F.lit(0)).otherwise(F.col("df")).alias("df"), F.when(F.col("token") < 0, F.lit(1)).otherwise(F.lit(0)).alias("high"), "token")
     per = shared.groupBy("rep", "kind").agg(F.sort_array(F.collect_list(place)).alias("places"))
     sizes = sets.select("rep", "n", F.size("small").alias("s"), F.size("large").alias("l"))
@@ -106,6 +108,7 @@ def families(sets: DataFrame) -> DataFrame:
     open_places = (prefix - own).cast("int")
     keys = per.join(sizes, "rep").filter(open_places > 0).select("rep", "kind", F.explode(F.slice("places", F.lit(1), open_places)).alias("p")).select("rep", "kind", F.col("p.token").alias("token"))
     keys, path = write_shared(keys, "keys")
+    drop_shared(sets.sparkSession, counted_path)
     first = keys.groupBy("kind", "token").agg(F.min("rep").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     edges = keys.join(first, ["kind", "token"]).filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     found = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("family"))
