@@ -39,12 +39,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select noembed noframes xmp title head".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Parts of class names and ids that mark furniture; those of headers do so only outside an article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
-    r"footer|header|masthead|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|space|block|container|wrapper)|adverts?|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
+    r"footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|search)(?=$|[\s_-]|\d)",
     re.I,
 )
+HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-]|\d)", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentary|respond|responses|reply|replies|disqus|guestbook)(?=$|[\s_-]|\d)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?P<key>class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>]|$)", re.I)
 _CLOSED_BY = {
@@ -52,21 +56,30 @@ _CLOSED_BY = {
 }
 
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
+#: How firmly an element is furniture: not at all, by a mark that an article inside it outweighs, or surely.
+NO, MARK, SURE = 0, 1, 2
+
+
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
     """Whether an element is page furniture by its name, role, class or id, or hidden."""
     if name in FURNITURE:
-        return not (name == "header" and in_article)
-    if name in ("html", "body", "article", "main") or not attrs:
-        return False
+        return NO if name == "header" and in_article else SURE
+    if name in ("html", "body", "main") or not attrs:
+        return NO
+    found = NO
     for m in _ATTR.finditer(attrs):
         key, value = m["key"].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if key == "role" and value.strip().lower() in ROLES:
-            return True
-        if key in ("class", "id") and MARKED.search(value):
-            return True
+            return SURE
+        if key in ("class", "id"):
+            value = _CAMEL.sub("-", value)
+            if READERS.search(value):
+                return SURE
+            if MARKED.search(value) or not in_article and HEADERS.search(value):
+                found = MARK
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return SURE
+    return found
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -74,7 +87,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links = 0
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     furniture = articles = anchors = 0
 
     def flush() -> None:
@@ -88,7 +101,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     def pop() -> None:
         nonlocal furniture, articles, anchors
         name, is_furniture = stack.pop()
-        furniture -= is_furniture
+        furniture -= is_furniture > NO
         articles -= name in ("article", "main")
         anchors -= name == "a"
         if is_furniture and not furniture:
@@ -144,12 +157,16 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m["attrs"].rstrip().endswith("/"):
             continue
         is_furniture = _furniture(name, m["attrs"], articles > 0)
+        if name in ("article", "main") and not is_furniture and not any(x == SURE for _, x in stack):
+            # A wrapper that only looks like furniture, such as one named after its sidebar, holds the article.
+            stack = [(x, NO) for x, _ in stack]
+            furniture = 0
         if is_furniture and not furniture:
             flush()
         if name in ("article", "main"):
             out.extend([("", 0, False)] * GAP)
         stack.append((name, is_furniture))
-        furniture += is_furniture
+        furniture += is_furniture > NO
         articles += name in ("article", "main")
         anchors += name == "a"
     flush() if not furniture else parts.clear()
