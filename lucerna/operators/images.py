@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions.text import printable
-from lucerna.operators.office import found
+from lucerna.operators.office import findings_of, rule
 from lucerna.sources.images import exif, tiff_block
 
 # Labels and severities of EXIF fields, labels of GPS fields, headers of segments.
@@ -54,37 +54,46 @@ def exif_blocks(segments: DataFrame) -> DataFrame:
 
 
 def image_findings(segments: DataFrame) -> DataFrame:
-    """All findings of images: doc_id, grp, label, value, sev, keep."""
+    """All findings of images: doc_id, grp, label, value, sev, keep.
+
+    One pass over the segments with metadata, one over EXIF blocks, one aggregate by file.
+    """
     s = role(segments.filter(F.col("kind").isNotNull()))
+    c, is_role = F.col, lambda name: F.col("role") == name
+    utf8, latin = F.decode(F.col("payload"), "UTF-8"), F.decode("payload", "ISO-8859-1")
+    # One data set of an IPTC block: mark, number, two bytes of length, text.
+    data_set = lambda n: F.trim(F.regexp_replace(F.regexp_extract(latin, f"\x1c\x02{chr(n)}[\\s\\S]{{2}}([^\x1c]{{0,140}})", 1), "[^\x20-\x7eÀ-ÿ]", " "))
+    animated = lambda fmt: is_role("ANIMATION") & (c("format") == fmt)
+    from_segments = [
+        *(rule(is_role("XMP"), "XMP", label, F.regexp_extract(utf8, pattern, 1), sev) for pattern, label, sev in XMP),
+        rule(is_role("XMP") & utf8.rlike("<(?:exif:)?GPS(?:Latitude|Longitude)>"), "XMP", "Coordenadas GPS en XMP", F.lit("presentes"), "personal"),
+        *(rule(is_role("IPTC"), "IPTC (Photoshop)", label, data_set(n), sev) for n, label, sev in ((0x50, "Autor (byline)", "personal"), (0x6E, "Crédito", "personal"), (0x74, "Copyright", "media"), (0x78, "Pie de foto", "media"))),
+        rule(is_role("COM"), "Comentario JPEG", "Comentario guardado en el archivo", printable(c("payload"), 140), "media"),
+        rule(is_role("DUCKY"), "Datos de cámara antiguos", "Segmento APP12 (Ducky)", F.lit("presente"), "personal"),
+        rule(is_role("TEXT") & (c("kind") != "tIME"), "Texto incrustado en el PNG", F.concat(F.lit("Chunk "), c("kind")), printable(c("payload"), 160), "media"),
+        rule(c("kind") == "tIME", "Texto incrustado en el PNG", "Fecha de modificación (tIME)", F.lit("presente"), "media"),
+        rule(animated("png"), "PNG animado", "Animación (APNG)", F.lit("se conserva"), "baja"),
+        rule(animated("webp"), "WebP animado", "Animación", F.lit("se conserva"), "baja"),
+    ]
     blocks = exif_blocks(segments)
-    labels = segments.sparkSession.createDataFrame(EXIF_FIELDS, "tag int, label string, sev string")
-    fields = blocks.select("doc_id", F.explode("x.fields").alias("f")).select("doc_id", "f.tag", "f.value").join(F.broadcast(labels), "tag")
+    label_of = lambda t: F.coalesce(*(F.when(t == k, F.lit(label)) for k, label, _ in EXIF_FIELDS))
+    level = lambda sev: c("tag").isin(*(k for k, _, x in EXIF_FIELDS if x == sev))
+    fields = blocks.select("doc_id", F.explode("x.fields").alias("f")).select("doc_id", "f.tag", "f.value")
     gps_label = lambda t: reduce(lambda o, kv: F.when(t == kv[0], F.lit(kv[1])).otherwise(o), GPS_FIELDS.items(), t.cast("string"))
-    gps = blocks.filter(F.size("x.gps") > 0).select("doc_id", F.array_join(F.array_distinct(F.transform("x.gps", gps_label)), ", ").alias("g"))
-    text = F.decode(F.col("payload"), "UTF-8")
-    xmp = s.filter("role = 'XMP'").select("doc_id", text.alias("t"))
-    iptc = s.filter("role = 'IPTC'").select("doc_id", F.decode("payload", "ISO-8859-1").alias("t"))
-    # One data set of a block: mark, number, two bytes of length, text.
-    data_set = lambda n: F.trim(F.regexp_replace(F.regexp_extract("t", f"\x1c\x02{chr(n)}[\\s\\S]{{2}}([^\x1c]{{0,140}})", 1), "[^\x20-\x7eÀ-ÿ]", " "))
-    icc = s.filter("role = 'ICC'").groupBy("doc_id").agg(F.sum(F.when(F.col("format") == "png", F.octet_length("segment")).otherwise(F.octet_length("payload"))).alias("n"))
-    bare = s.groupBy("doc_id", "format").agg(F.count("role").alias("n")).filter((F.col("n") == 0) & (F.col("format") != "png"))
-    every = [
-        found(fields, "EXIF", F.col("label"), F.col("value"), F.col("sev")),
-        found(gps, "EXIF · ubicación", "Coordenadas GPS", F.concat(F.lit("presentes: "), F.col("g")), "personal"),
-        found(blocks.filter("x.thumbnail"), "EXIF", "Miniatura incrustada en el EXIF", F.lit("puede mostrar una versión distinta de la foto"), "media"),
-        found(blocks.filter("x.orientation > 0"), "EXIF", "Orientación", F.concat(F.col("x.orientation").cast("string"), F.lit(" (se conserva)")), "baja"),
-        *(found(xmp, "XMP", label, F.regexp_extract("t", pattern, 1), sev) for pattern, label, sev in XMP),
-        found(xmp.filter(F.col("t").rlike("<(?:exif:)?GPS(?:Latitude|Longitude)>")), "XMP", "Coordenadas GPS en XMP", F.lit("presentes"), "personal"),
-        *(found(iptc, "IPTC (Photoshop)", label, data_set(n), sev) for n, label, sev in ((0x50, "Autor (byline)", "personal"), (0x6E, "Crédito", "personal"), (0x74, "Copyright", "media"), (0x78, "Pie de foto", "media"))),
-        found(s.filter("role = 'COM'"), "Comentario JPEG", "Comentario guardado en el archivo", printable(F.col("payload"), 140), "media"),
-        found(s.filter("role = 'DUCKY'"), "Datos de cámara antiguos", "Segmento APP12 (Ducky)", F.lit("presente"), "personal"),
-        found(s.filter("role = 'TEXT' AND kind <> 'tIME'"), "Texto incrustado en el PNG", F.concat(F.lit("Chunk "), F.col("kind")), printable(F.col("payload"), 160), "media"),
-        found(s.filter("kind = 'tIME'"), "Texto incrustado en el PNG", "Fecha de modificación (tIME)", F.lit("presente"), "media"),
-        found(icc, "Perfil de color", "Perfil ICC incrustado", F.concat(F.col("n").cast("string"), F.lit(" bytes (se conserva)")), "baja"),
-        found(s.filter("role = 'ANIMATION' AND format = 'png'"), "PNG animado", "Animación (APNG)", F.lit("se conserva"), "baja"),
-        found(s.filter("role = 'ANIMATION' AND format = 'webp'"), "WebP animado", "Animación", F.lit("se conserva"), "baja"),
-        found(bare, "Metadatos de imagen", F.when(F.col("format") == "webp", F.lit("Bloques EXIF/XMP")).otherwise(F.lit("Segmentos con metadatos")), F.lit("ninguno"), "baja"),
+    from_blocks = [
+        rule(F.size("x.gps") > 0, "EXIF · ubicación", "Coordenadas GPS", F.concat(F.lit("presentes: "), F.array_join(F.array_distinct(F.transform("x.gps", gps_label)), ", ")), "personal"),
+        rule(c("x.thumbnail"), "EXIF", "Miniatura incrustada en el EXIF", F.lit("puede mostrar una versión distinta de la foto"), "media"),
+        rule(c("x.orientation") > 0, "EXIF", "Orientación", F.concat(c("x.orientation").cast("string"), F.lit(" (se conserva)")), "baja"),
+    ]
+    profile = F.when(is_role("ICC"), F.when(c("format") == "png", F.octet_length("segment")).otherwise(F.octet_length("payload")))
+    files = s.groupBy("doc_id", "format").agg(F.sum(profile).alias("icc"), F.count("role").alias("n"))
+    bare = (c("n") == 0) & (c("format") != "png")
+    from_files = [
+        rule(c("icc") > 0, "Perfil de color", "Perfil ICC incrustado", F.concat(c("icc").cast("string"), F.lit(" bytes (se conserva)")), "baja"),
+        rule(bare, "Metadatos de imagen", F.when(c("format") == "webp", F.lit("Bloques EXIF/XMP")).otherwise(F.lit("Segmentos con metadatos")), F.lit("ninguno"), "baja"),
     ]
+    by_field = [rule(level(sev), "EXIF", label_of(c("tag")), c("value"), sev) for sev in ("personal", "media", "baja")]
+    every = [findings_of(s.filter("role IS NOT NULL"), from_segments), findings_of(fields, by_field), findings_of(blocks, from_blocks), findings_of(files, from_files)]
     return reduce(DataFrame.unionByName, every)
 
 

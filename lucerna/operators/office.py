@@ -47,148 +47,167 @@ XML_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
 EMPTY_CORE = f"{XML_HEAD}<cp:coreProperties {NS_CORE}/>"
 MINIMAL_APP = f'{XML_HEAD}<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties" xmlns:vt="http://schemas.openxmlformats.org/officeDocument/2006/docPropsVTypes"><Application>Microsoft Office Word</Application></Properties>'
 
-FINDING = ["doc_id", "grp", "label", "value", "sev", "keep"]
 
+def rule(condition: Column, grp: str, label: Column | str, value: Column, sev: str, *, keep: bool = False) -> Column:
+    """One finding as a struct, or null where the condition does not hold or the value is empty."""
+    text = F.trim(value.cast("string"))
+    shown = F.struct(F.lit(grp).alias("grp"), (F.lit(label) if isinstance(label, str) else label).alias("label"), text.alias("value"), F.lit(sev).alias("sev"), F.lit(keep).alias("keep"))
+    return F.when(condition & (F.coalesce(text, F.lit("")) != ""), shown)
 
-def found(rows: DataFrame, grp: str, label: Column | str, value: Column, sev: Column | str, *, keep: bool = False) -> DataFrame:
-    """Finding rows: trimmed values, empty ones dropped."""
-    col = lambda x: F.lit(x) if isinstance(x, str) else x
-    out = rows.select("doc_id", F.lit(grp).alias("grp"), col(label).alias("label"), F.trim(value.cast("string")).alias("value"), col(sev).alias("sev"), F.lit(keep).alias("keep"))
-    return out.filter(F.coalesce(F.col("value"), F.lit("")) != "")
+
+def findings_of(rows: DataFrame, rules: list[Column]) -> DataFrame:
+    """The findings of all rules in one pass over ``rows``: doc_id, grp, label, value, sev, keep."""
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("doc_id", "f.*")
+
+
+def folder_format(folder: Column) -> Column:
+    label = F.lit(None).cast("string")
+    for f, text in FOLDERS.items():
+        label = F.when(folder == f, F.lit(text)).otherwise(label)
+    return label
 
 
 def formats(parts: DataFrame) -> DataFrame:
     """doc_id, format and parts: the format of the first entry, in package order, below a known folder."""
     folder = F.regexp_extract("name", "^(word|xl|ppt)/", 1)
     first = F.min(F.when(folder != "", F.struct("ord", folder.alias("f"))))["f"]
-    label = F.lit(None).cast("string")
-    for f, text in FOLDERS.items():
-        label = F.when(F.col("f") == f, F.lit(text)).otherwise(label)
-    return parts.filter(F.col("name").isNotNull()).groupBy("doc_id").agg(first.alias("f"), F.count("*").alias("n")).select("doc_id", label.alias("format"), F.col("n").alias("parts"))
-
+    return parts.filter(F.col("name").isNotNull()).groupBy("doc_id").agg(first.alias("f"), F.count("*").alias("n")).select("doc_id", folder_format(F.col("f")).alias("format"), F.col("n").alias("parts"))
+
+
+def _part_findings(parts: DataFrame) -> DataFrame:
+    """What part names and stamps tell: one aggregate over the parts, one row for each package."""
+    name, folder = F.col("name"), F.regexp_extract("name", "^(word|xl|ppt)/", 1)
+    count = lambda pattern: F.count_if(name.rlike(pattern))
+    per = parts.groupBy("doc_id").agg(
+        F.min(F.when(folder != "", F.struct("ord", folder.alias("f"))))["f"].alias("folder"),
+        F.count("*").alias("parts"),
+        count("^xl/connections[.]xml$").alias("connections"),
+        count(PRINTERS).alias("printers"),
+        count(REVISION_LOG).alias("log"),
+        count(r"^ppt/notesSlides/notesSlide\d*\.xml$").alias("notes"),
+        count(THUMBNAIL).alias("thumbnails"),
+        count(MACROS).alias("macros"),
+        F.array_sort(F.collect_set(names.packed_stamp(F.col("time"), F.col("date")))).alias("stamps"),
+        F.array_sort(F.collect_set(F.when(F.contains("name", F.lit("_xmlsignatures/")), name))).alias("signatures"),
+    )
+    c, external, inside = F.col, "Excel · datos externos", "Contenido incrustado"
+    several = lambda n, what: F.concat(c(n).cast("string"), F.lit(what))
+    rules = [
+        rule(F.lit(True), "Archivo", "Tipo detectado", F.concat(folder_format(c("folder")), F.lit(" · "), c("parts").cast("string"), F.lit(" partes")), "baja"),
+        rule(c("connections") > 0, external, "Conexiones a bases de datos", several("connections", " (cadena de conexión)"), "personal"),
+        rule(c("printers") > 0, external, "Configuración de impresora guardada", several("printers", " parte(s)"), "media"),
+        rule(c("log") > 0, external, "Registro de revisiones (libro compartido)", several("log", " parte(s) con usuarios y valores anteriores"), "personal", keep=True),
+        rule(c("notes") > 0, "PowerPoint · notas", "Diapositivas con notas del orador", c("notes"), "media", keep=True),
+        rule(c("thumbnails") > 0, "Miniatura y adjuntos", "Miniatura incrustada (vista previa guardada)", F.lit("puede mostrar una versión anterior del contenido"), "media"),
+        rule(c("macros") > 0, inside, "Macros (vbaProject.bin)", F.lit("presentes"), "personal"),
+        rule(F.lit(True), "Paquete ZIP", "Fechas internas de cada archivo", first_few(c("stamps")), "baja"),
+    ]
+    signed = per.select("doc_id", F.explode("signatures").alias("name"))
+    return findings_of(per, rules).unionByName(findings_of(signed, [rule(F.lit(True), inside, "Firma digital (se conserva: retirarla invalida el archivo)", name, "media", keep=True)]))
 
-def _properties(nodes: DataFrame, part: str, fields: list[tuple[str, str, str]], grp: str) -> DataFrame:
-    known = nodes.sparkSession.createDataFrame(fields, "tag string, label string, sev string")
-    firsts = nodes.filter(F.col("part") == part).join(F.broadcast(known), "tag").groupBy("doc_id", "tag", "label", "sev").agg(F.min_by("text", "node").alias("text"))
-    text = F.trim("text")
-    return found(firsts, grp, F.col("label"), F.when((F.col("tag") == "ep:TotalTime") & (text != ""), F.concat(text, F.lit(" minutos"))).otherwise(text), F.col("sev"))
 
+def marks(nodes: DataFrame) -> DataFrame:
+    """Nodes that some rule needs, found in one pass: doc_id, at, rule, key, label, value, w.
 
-def _custom(nodes: DataFrame) -> DataFrame:
-    own = nodes.filter(F.col("part") == "docProps/custom.xml")
-    values = own.groupBy("doc_id", "parent").agg(F.min_by("text", "node").alias("value")).withColumnRenamed("parent", "node")
-    named = own.filter(F.col("tag") == "op:property").join(values, ["doc_id", "node"])
-    return found(named, "Propiedades personalizadas", F.coalesce(F.col("attrs")["name"], F.lit("(sin nombre)")), F.col("value"), "personal")
+    ``key`` tells rows of a rule apart that are findings of their own; ``w`` is what a row counts.
+    """
+    tag, part, text, attrs = F.col("tag"), F.col("part"), F.trim("text"), F.col("attrs")
+    node = F.concat(part, F.lit("#"), F.col("node").cast("string"))
+    none = F.lit(None).cast("string")
+    local = lambda k: F.regexp_extract(k, "([^:]*)$", 1)
 
+    def mark(when: Column, name: str, *, key: Column | None = None, label: Column | None = None, value: Column | None = None, w: Column | None = None) -> Column:
+        fields = (F.lit(name).alias("rule"), (F.lit("") if key is None else key).alias("key"), (none if label is None else label).alias("label"), (none if value is None else value).alias("value"), (F.lit(1) if w is None else w).cast("long").alias("w"))
+        return F.when(when, F.struct(*fields))
 
-def _persons(nodes: DataFrame) -> DataFrame:
-    a = lambda k: F.coalesce(F.col("attrs")[f"w15:{k}"], F.col("attrs")[k], F.lit(""))
-    own = nodes.filter(F.col("part").rlike(PERSONS))
-    author = F.coalesce(F.col("attrs")["w15:author"], F.lit(""))
-    person = own.filter((author != "") | F.col("tag").endswith(":person") | (F.col("tag") == "person") | (a("userId") != "") | (a("providerId") != ""))
-    label = F.when(author != "", author).when(a("displayName") != "", a("displayName")).otherwise("(sin nombre)")
+    a = lambda k: F.coalesce(attrs[f"w15:{k}"], attrs[k], F.lit(""))
+    author = F.coalesce(attrs["w15:author"], F.lit(""))
+    person = (author != "") | tag.endswith(":person") | (tag == "person") | (a("userId") != "") | (a("providerId") != "")
     account = F.array_join(F.filter(F.array(a("providerId"), a("userId")), lambda x: x != ""), " ")
-    return found(person, "Personas con cuenta vinculada", label, F.when(account == "", "(sin identificador)").otherwise(account), "personal")
-
-
-def _names(rows: DataFrame, name: Column) -> DataFrame:
-    """Distinct names of each document in the order in which they first occur."""
-    firsts = rows.select("doc_id", name.alias("name"), F.struct("part", "node").alias("at")).filter(F.coalesce(F.trim("name"), F.lit("")) != "").groupBy("doc_id", "name").agg(F.min("at").alias("at"))
-    listed = firsts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("l"))
-    return listed.select("doc_id", F.array_join(F.transform("l", lambda x: x["name"]), ", ").alias("names"))
-
-
-def _comments(nodes: DataFrame) -> list[DataFrame]:
-    own = nodes.filter(F.col("part").rlike(COMMENTS))
-    counted = own.filter(F.col("tag").isin("w:comment", "tc:threadedComment")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    name = F.when(F.col("tag") == "w:comment", F.col("attrs")["w:author"]).when(F.col("tag") == "ss:author", F.trim("text")).when(F.col("tag") == "p:cmAuthor", F.col("attrs")["name"])
-    return [found(counted, "Comentarios", "Comentarios en el documento", F.col("n"), "media"), found(_names(own, name), "Comentarios", "Autores de los comentarios", F.col("names"), "personal")]
-
-
-def _excel(parts: DataFrame, nodes: DataFrame) -> list[DataFrame]:
-    data, hidden_group = "Excel · datos externos", "Excel · hojas ocultas"
-    connections = parts.filter(F.col("name") == "xl/connections.xml").groupBy("doc_id").agg(F.count("*").alias("n"))
-    attribute = nodes.filter(F.col("part") == "xl/connections.xml").select("doc_id", "node", F.explode("attrs").alias("key", "value"))
-    secret = attribute.filter(F.lower(F.regexp_extract("key", "([^:]*)$", 1)).isin(*SECRET_ATTRIBUTES) & (F.char_length("value") > 1))
-    strings = secret.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("node", "key", F.left("value", F.lit(SHOWN_CHARACTERS)).alias("value")))), 1, SHOWN_STRINGS).alias("l")).select("doc_id", F.explode("l").alias("x"))
-    links = nodes.filter(F.col("part").startswith("xl/externalLinks/_rels/") & F.col("attrs")["Target"].rlike(EXTERNAL))
-    count = lambda pattern: parts.filter(F.col("name").rlike(pattern)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    book = nodes.filter(F.col("part") == "xl/workbook.xml")
-    state = F.col("attrs")["state"]
-    sheets = book.filter(F.col("tag") == "ss:sheet").groupBy("doc_id").agg(F.count_if(state == "hidden").alias("h"), F.count_if(state == "veryHidden").alias("v")).filter("h + v > 0")
-    defined = book.filter((F.col("tag") == "ss:definedName") & F.contains("text", F.lit("["))).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", F.col("attrs")["name"].alias("name")))), lambda x: x["name"]), ", ").alias("names"))
-    cache = nodes.filter(F.col("part").rlike(r"^xl/pivotCache/pivotCacheDefinition\d*\.xml$"))
-    source = cache.filter(F.col("tag") == "ss:worksheetSource").groupBy("doc_id", "part").agg(F.min_by(F.coalesce(F.col("attrs")["name"], F.col("attrs")["ref"]), "node").alias("ref"))
-    pivots = cache.filter((F.col("tag") == "ss:cacheSource") & (F.col("attrs")["type"] == "external")).select("doc_id", "part").distinct().join(source, ["doc_id", "part"], "left")
-    return [
-        found(connections, data, "Conexiones a bases de datos", F.concat(F.col("n").cast("string"), F.lit(" (cadena de conexión)")), "personal"),
-        found(strings, data, "Cadena de conexión", F.col("x.value"), "personal"),
-        found(links, data, "Enlace a otro libro", F.col("attrs")["Target"], "personal", keep=True),
-        found(count(PRINTERS), data, "Configuración de impresora guardada", F.concat(F.col("n").cast("string"), F.lit(" parte(s)")), "media"),
-        found(count(REVISION_LOG), data, "Registro de revisiones (libro compartido)", F.concat(F.col("n").cast("string"), F.lit(" parte(s) con usuarios y valores anteriores")), "personal", keep=True),
-        found(sheets, hidden_group, "Hojas ocultas", F.concat(F.col("h").cast("string"), F.lit(" oculta(s), "), F.col("v").cast("string"), F.lit(" muy oculta(s)")), "media", keep=True),
-        found(defined, data, "Nombres definidos apuntando a otros archivos", F.col("names"), "media", keep=True),
-        found(pivots, data, "Tabla dinámica con origen externo", F.coalesce("ref", F.lit("(sin nombre)")), "media", keep=True),
-    ]
+    commenter = F.when(tag == "w:comment", attrs["w:author"]).when(tag == "ss:author", text).when(tag == "p:cmAuthor", attrs["name"])
+    in_comments, in_revised, in_book = part.rlike(COMMENTS), part.rlike(REVISION_PARTS), part == "xl/workbook.xml"
+    cache, custom = part.rlike(r"^xl/pivotCache/pivotCacheDefinition\d*\.xml$"), part == "docProps/custom.xml"
+    is_property = tag == "op:property"
+    revision = F.regexp_extract("tag", "^w:(.*)$", 1)
+    keys = F.map_keys(attrs)
+    having = lambda f: F.size(F.filter(keys, f))
+    rsid, para = having(lambda k: local(k).rlike("(?i)^rsid")), having(lambda k: local(k).isin("paraId", "paraIdParent", "textId"))
+    docid = having(lambda k: local(k) == "docId") + tag.isin("w14:docId", "w15:docId").cast("int")
+    xml = part.endswith(".xml")
+    secret = F.filter(F.map_entries(attrs), lambda e: F.lower(local(e["key"])).isin(*SECRET_ATTRIBUTES) & (F.char_length(e["value"]) > 1))
+    singles = F.array(
+        mark((part == "docProps/core.xml") & tag.isin(*(t for t, _, _ in CORE)), "core", key=tag, value=text),
+        mark((part == "docProps/app.xml") & tag.isin(*(t for t, _, _ in APP)), "app", key=tag, value=text),
+        mark(custom & is_property, "custom", key=F.col("node").cast("string"), label=F.coalesce(attrs["name"], F.lit("(sin nombre)"))),
+        mark(custom & ~is_property & (F.col("parent") > 0), "custom", key=F.col("parent").cast("string"), value=text),
+        mark(part.rlike(PERSONS) & person, "person", key=node, label=F.when(author != "", author).when(a("displayName") != "", a("displayName")).otherwise("(sin nombre)"), value=F.when(account == "", "(sin identificador)").otherwise(account)),
+        mark(in_comments & tag.isin("w:comment", "tc:threadedComment"), "comments"),
+        mark(in_comments & (F.coalesce(F.trim(commenter), F.lit("")) != ""), "commenters", key=commenter, value=commenter),
+        mark(part.startswith("xl/externalLinks/_rels/") & attrs["Target"].rlike(EXTERNAL), "link", key=node, value=attrs["Target"]),
+        mark(in_book & (tag == "ss:sheet") & attrs["state"].isin("hidden", "veryHidden"), "sheets", key=attrs["state"], value=attrs["state"]),
+        mark(in_book & (tag == "ss:definedName") & F.contains("text", F.lit("[")), "defined", key=node, value=attrs["name"]),
+        mark(cache & (tag == "ss:cacheSource") & (attrs["type"] == "external"), "pivot", key=part, label=F.lit("external")),
+        mark(cache & (tag == "ss:worksheetSource"), "pivot", key=part, value=F.coalesce(attrs["name"], attrs["ref"])),
+        mark(in_revised & revision.isin(*REVISIONS, *OTHER_REVISIONS), "revision", key=revision),
+        mark(in_revised & (attrs["w:author"] != ""), "authors", key=attrs["w:author"], value=attrs["w:author"]),
+        mark(in_revised & (attrs["w:date"] != ""), "dates", value=attrs["w:date"]),
+        mark(xml & (rsid > 0), "rsid", w=rsid),
+        mark(xml & (para > 0), "para", w=para),
+        mark(xml & (docid > 0), "docid", w=docid),
+    )
+    strings = F.when(part == "xl/connections.xml", F.transform(secret, lambda e: F.struct(F.lit("strings").alias("rule"), F.concat(node, F.lit("@"), e["key"]).alias("key"), none.alias("label"), F.left(e["value"], F.lit(SHOWN_CHARACTERS)).alias("value"), F.lit(1).cast("long").alias("w"))))
+    every = F.concat(F.array_compact(singles), F.coalesce(strings, F.filter(singles, lambda x: F.lit(False))))
+    return nodes.select("doc_id", F.struct("part", "node").alias("at"), F.explode(every).alias("m")).select("doc_id", "at", "m.*")
 
 
-def _revisions(nodes: DataFrame) -> list[DataFrame]:
-    grp = "Control de cambios"
-    own = nodes.filter(F.col("part").rlike(REVISION_PARTS))
-    local = F.regexp_extract("tag", "^w:(.*)$", 1)
-    tags = own.select("doc_id", local.alias("tag")).filter(F.col("tag").isin(*REVISIONS, *OTHER_REVISIONS)).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
-    labels = nodes.sparkSession.createDataFrame(list(REVISIONS.items()), "tag string, label string")
-    tags = tags.join(F.broadcast(labels), "tag", "left")
-    stamp = F.col("attrs")["w:date"]
-    dates = own.filter(stamp != "").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(stamp).alias("a"), F.max(stamp).alias("b"))
-    return [
-        found(tags, grp, F.coalesce("label", "tag"), F.col("n"), "edicion"),
-        found(_names(own, F.col("attrs")["w:author"]), grp, "Autores registrados", F.col("names"), "personal"),
-        found(dates, grp, "Fechas registradas", F.concat(F.col("n").cast("string"), F.lit(" marcas entre "), F.col("a"), F.lit(" y "), F.col("b")), "edicion"),
-    ]
+#: Rules whose rows become one finding with a list of values.
+LISTED = ("commenters", "authors", "defined", "strings", "sheets")
 
 
-def _technical(nodes: DataFrame) -> list[DataFrame]:
-    grp = "Rastros técnicos de edición"
-    local = lambda k: F.regexp_extract(k, "([^:]*)$", 1)
-    keys = F.map_keys("attrs")
-    per = nodes.filter(F.col("part").endswith(".xml")).groupBy("doc_id").agg(
-        F.sum(F.size(F.filter(keys, lambda k: local(k).rlike("(?i)^rsid")))).alias("rsid"),
-        F.sum(F.size(F.filter(keys, lambda k: local(k).isin("paraId", "paraIdParent", "textId")))).alias("para"),
-        F.sum(F.size(F.filter(keys, lambda k: local(k) == "docId")) + F.col("tag").isin("w14:docId", "w15:docId").cast("int")).alias("docid"),
+def _node_findings(nodes: DataFrame) -> DataFrame:
+    """Findings from marks: one aggregate by rule and key, and a small second one for lists."""
+    per = marks(nodes).groupBy("doc_id", "rule", "key").agg(
+        F.sum("w").alias("n"), F.min("at").alias("at"), F.max("label").alias("label"), F.min_by("value", F.when(F.col("value").isNotNull(), F.col("at"))).alias("value"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    some = lambda c: per.filter(F.col(c) > 0)
-    return [
-        found(some("rsid"), grp, "Identificadores rsid (sesiones de edición)", F.col("rsid"), "baja"),
-        found(some("para"), grp, "Identificadores de párrafo/texto", F.col("para"), "baja"),
-        found(some("docid"), grp, "Identificador persistente del documento (docId)", F.col("docid"), "media"),
+    c, is_rule = F.col, lambda name: F.col("rule") == name
+    one_of = lambda fields: lambda col: [F.when(c("key") == t, F.lit(x[col])) for t, *x in fields]
+    core, app = one_of(CORE), one_of(APP)
+    minutes = F.when((c("key") == "ep:TotalTime") & (c("value") != ""), F.concat(c("value"), F.lit(" minutos"))).otherwise(c("value"))
+    sev = lambda fields, level: c("key").isin(*(t for t, _, s in fields if s == level))
+    label = lambda fields: F.coalesce(*fields(0))
+    tag = F.coalesce(*(F.when(c("key") == t, F.lit(x)) for t, x in REVISIONS.items()), c("key"))
+    changes, traces, external = "Control de cambios", "Rastros técnicos de edición", "Excel · datos externos"
+    rules = [
+        *(rule(is_rule("core") & sev(CORE, s), "Propiedades del documento", label(core), c("value"), s) for s in ("personal", "media", "baja")),
+        *(rule(is_rule("app") & sev(APP, s), "Propiedades de la aplicación", label(app), minutes, s) for s in ("personal", "media", "baja")),
+        rule(is_rule("custom") & c("label").isNotNull(), "Propiedades personalizadas", c("label"), c("value"), "personal"),
+        rule(is_rule("person"), "Personas con cuenta vinculada", c("label"), c("value"), "personal"),
+        rule(is_rule("comments"), "Comentarios", "Comentarios en el documento", c("n"), "media"),
+        rule(is_rule("link"), external, "Enlace a otro libro", c("value"), "personal", keep=True),
+        rule(is_rule("pivot") & (c("label") == "external"), external, "Tabla dinámica con origen externo", F.coalesce("value", F.lit("(sin nombre)")), "media", keep=True),
+        rule(is_rule("revision"), changes, tag, c("n"), "edicion"),
+        rule(is_rule("dates"), changes, "Fechas registradas", F.concat(c("n").cast("string"), F.lit(" marcas entre "), c("lo"), F.lit(" y "), c("hi")), "edicion"),
+        rule(is_rule("rsid"), traces, "Identificadores rsid (sesiones de edición)", c("n"), "baja"),
+        rule(is_rule("para"), traces, "Identificadores de párrafo/texto", c("n"), "baja"),
+        rule(is_rule("docid"), traces, "Identificador persistente del documento (docId)", c("n"), "media"),
     ]
+    lists = per.filter(c("rule").isin(*LISTED)).groupBy("doc_id", "rule").agg(F.sort_array(F.collect_list(F.struct("at", "key", "value", "n"))).alias("l"))
+    values = F.transform("l", lambda x: x["value"])
+    joined = F.array_join(values, ", ")
+    hidden = lambda state: F.aggregate(F.filter("l", lambda x: x["key"] == state), F.lit(0).cast("long"), lambda t, x: t + x["n"]).cast("string")
+    list_rules = [
+        rule(is_rule("commenters"), "Comentarios", "Autores de los comentarios", joined, "personal"),
+        rule(is_rule("authors"), changes, "Autores registrados", joined, "personal"),
+        rule(is_rule("defined"), external, "Nombres definidos apuntando a otros archivos", joined, "media", keep=True),
+        rule(is_rule("sheets"), "Excel · hojas ocultas", "Hojas ocultas", F.concat(hidden("hidden"), F.lit(" oculta(s), "), hidden("veryHidden"), F.lit(" muy oculta(s)")), "media", keep=True),
+        *(rule(is_rule("strings"), external, "Cadena de conexión", F.get(values, F.lit(k)), "personal") for k in range(SHOWN_STRINGS)),
+    ]
+    return findings_of(per, rules).unionByName(findings_of(lists, list_rules))
 
 
 def office_findings(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """All findings of packages: doc_id, grp, label, value, sev, keep."""
-    parts, nodes = parts.filter(F.col("name").isNotNull()), nodes.filter(F.col("tag").isNotNull())
-    kinds = formats(parts)
-    once = lambda pattern: parts.filter(F.col("name").rlike(pattern)).select("doc_id").distinct()
-    stamps = parts.select("doc_id", names.packed_stamp(F.col("time"), F.col("date")).alias("stamp")).distinct().groupBy("doc_id").agg(first_few(F.array_sort(F.collect_list("stamp"))).alias("shown"))
-    notes = parts.filter(F.col("name").rlike(r"^ppt/notesSlides/notesSlide\d*\.xml$")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    every = [
-        found(kinds, "Archivo", "Tipo detectado", F.concat("format", F.lit(" · "), F.col("parts").cast("string"), F.lit(" partes")), "baja"),
-        _properties(nodes, "docProps/core.xml", CORE, "Propiedades del documento"),
-        _properties(nodes, "docProps/app.xml", APP, "Propiedades de la aplicación"),
-        _custom(nodes),
-        _persons(nodes),
-        *_comments(nodes),
-        *_excel(parts, nodes),
-        found(notes, "PowerPoint · notas", "Diapositivas con notas del orador", F.col("n"), "media", keep=True),
-        *_revisions(nodes),
-        found(once(THUMBNAIL), "Miniatura y adjuntos", "Miniatura incrustada (vista previa guardada)", F.lit("puede mostrar una versión anterior del contenido"), "media"),
-        found(once(MACROS), "Contenido incrustado", "Macros (vbaProject.bin)", F.lit("presentes"), "personal"),
-        found(parts.filter(F.contains("name", F.lit("_xmlsignatures/"))), "Contenido incrustado", "Firma digital (se conserva: retirarla invalida el archivo)", F.col("name"), "media", keep=True),
-        *_technical(nodes),
-        found(stamps, "Paquete ZIP", "Fechas internas de cada archivo", F.col("shown"), "baja"),
-    ]
-    return reduce(DataFrame.unionByName, every)
+    return _part_findings(parts.filter(F.col("name").isNotNull())).unionByName(_node_findings(nodes.filter(F.col("tag").isNotNull())))
 
 
 # Cleaning ------------------------------------------------------------------

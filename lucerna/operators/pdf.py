@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.operators.office import found
+from lucerna.operators.office import findings_of, rule
 from lucerna.operators.relations import dangling, gap_fill, latest, reachable, shared_table
 from lucerna.sources.packages import MOST_PART, small_batches
 
@@ -150,39 +150,47 @@ def supported(trailer: Column) -> Column:
 
 
 def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> DataFrame:
-    """All findings of PDF files: doc_id, grp, label, value, sev, keep.  Encrypted files show little more than that."""
-    text = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("content").alias("size"), latin(F.col("content")).alias("t"))
-    readable = trailer.filter(supported(F.col("trailer"))).select("doc_id", "trailer")
-    open_text, own = text.join(readable.select("doc_id"), "doc_id", "left_semi"), objects.join(readable.select("doc_id"), "doc_id", "left_semi")
-    kind = lambda k: own.filter(F.col("dict").rlike(rf"/Type\s*/{k}(?![A-Za-z])"))
-    eofs = text.select("doc_id", F.regexp_count("t", F.lit("%%EOF")).alias("n")).filter("n > 1")
-    counted = objects.groupBy("doc_id").agg(F.count("*").alias("n"))
-    info_ref = readable.select("doc_id", F.regexp_extract("trailer", r"/Info\s+(\d+)\s+\d+\s+R", 1).try_cast("long").alias("num")).filter("num IS NOT NULL")
-    info = own.join(info_ref, ["doc_id", "num"]).select("doc_id", "dict")
-    values = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(sev).alias("sev"), F.regexp_extract("dict", rf"(?s)/{key}\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", 1).alias("raw")) for key, label, sev in INFO))
-    fields = info.select("doc_id", F.explode(values).alias("v")).filter("v.raw <> ''").select("doc_id", "v.label", "v.sev", F.left(strings(F.col("v.raw")), F.lit(120)).alias("value"))
-    meta = kind("Metadata")
+    """All findings of PDF files: doc_id, grp, label, value, sev, keep.  Encrypted files show little more than that.
+
+    One pass over the files, one over the objects with one aggregate by file.
+    """
+    c = F.col
+    text = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("content").alias("size"), latin(F.col("content")).alias("t")).join(trailer, "doc_id", "left")
+    readable = supported(c("trailer"))
+    known = objects.join(trailer, "doc_id", "left")
+    is_type = lambda k: c("dict").rlike(rf"/Type\s*/{k}(?![A-Za-z])")
+    eofs, notes = F.regexp_count("t", F.lit("%%EOF")), F.regexp_count("t", F.lit(ANNOTATIONS))
+    from_files = [
+        rule(F.lit(True), "Archivo", "Tipo detectado", F.concat(F.lit("PDF · "), F.round(c("size") / 1024, 0).cast("long").cast("string"), F.lit(" KB")), "baja"),
+        rule(eofs > 1, "Estructura", "Versiones anteriores dentro del archivo", F.concat(eofs.cast("string"), F.lit(" actualizaciones incrementales en el mismo archivo")), "personal", keep=True),
+        rule(c("trailer").rlike(r"/Encrypt\b"), "Archivo", "PDF cifrado", F.lit("no se puede limpiar sin la contraseña"), "media", keep=True),
+        rule(readable & c("trailer").rlike(r"/ID\s*\["), "Estructura", "Identificador del archivo (/ID)", F.lit("huellas que identifican este archivo concreto"), "media"),
+        rule(readable & (notes > 0), "Anotaciones", "Comentarios y anotaciones", notes, "media", keep=True),
+        rule(readable & F.contains("t", F.lit("/AcroForm")), "Formularios", "Formulario con campos", F.lit("los valores escritos siguen dentro del archivo"), "media", keep=True),
+        rule(readable & c("t").rlike(r"/JavaScript|/OpenAction|/AA\b"), "JavaScript", "Código que puede ejecutarse al abrir el PDF", F.lit("presente"), "personal"),
+        rule(readable & F.contains("t", F.lit("/EmbeddedFiles")), "Adjuntos", "Archivos incrustados (/EmbeddedFiles)", F.lit("documentos dentro del PDF"), "personal", keep=True),
+    ]
+    is_info = readable & (c("num") == F.regexp_extract("trailer", r"/Info\s+(\d+)\s+\d+\s+R", 1).try_cast("long"))
+    raw = lambda key: F.regexp_extract("dict", rf"(?s)/{key}\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", 1)
+    infos = known.filter(is_info).select("doc_id", F.explode(F.array(*(F.struct(F.lit(key).alias("key"), raw(key).alias("raw")) for key, _, _ in INFO))).alias("v")).filter("v.raw <> ''").select("doc_id", "v.key", F.left(strings(c("v.raw")), F.lit(120)).alias("value"))
+    label_of = F.coalesce(*(F.when(c("key") == k, F.lit(label)) for k, label, _ in INFO))
+    level = lambda sev: c("key").isin(*(k for k, _, x in INFO if x == sev))
+    from_infos = [rule(level(sev), "Propiedades del documento", label_of, c("value"), sev) for sev in ("personal", "media", "baja")]
+    from_objects = [
+        rule(is_info, "Propiedades del documento", "Diccionario /Info", F.lit("presente"), "baja"),
+        rule(readable & is_type("Metadata"), "XMP incrustado", "Paquete XMP", F.lit("presente"), "personal"),
+        rule(readable & is_type("Sig"), "Firmas", "Firma digital", F.lit("se invalidará al reescribir el archivo"), "media", keep=True),
+        rule(readable & is_type("Filespec"), "Adjuntos", "Archivo incrustado dentro del PDF", F.lit("hay documentos dentro del archivo"), "personal", keep=True),
+    ]
+    meta = known.filter(readable & is_type("Metadata"))
     xmp = meta.select("doc_id", F.left(F.decode(data(meta), "UTF-8"), F.lit(8000)).alias("x"))
-    pages = kind("Page").groupBy("doc_id").agg(F.count("*").alias("n"))
-    notes = open_text.select("doc_id", F.regexp_count("t", F.lit(ANNOTATIONS)).alias("n")).filter("n > 0")
-    says = lambda pattern: open_text.filter(F.col("t").rlike(pattern))
+    counts = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(readable & is_type("Page")).alias("pages"))
     every = [
-        found(text, "Archivo", "Tipo detectado", F.concat(F.lit("PDF · "), F.round(F.col("size") / 1024, 0).cast("long").cast("string"), F.lit(" KB")), "baja"),
-        found(counted, "Estructura", "Objetos en el archivo", F.col("n"), "baja"),
-        found(eofs, "Estructura", "Versiones anteriores dentro del archivo", F.concat(F.col("n").cast("string"), F.lit(" actualizaciones incrementales en el mismo archivo")), "personal", keep=True),
-        found(trailer.filter(F.col("trailer").rlike(r"/Encrypt\b")), "Archivo", "PDF cifrado", F.lit("no se puede limpiar sin la contraseña"), "media", keep=True),
-        found(info, "Propiedades del documento", "Diccionario /Info", F.lit("presente"), "baja"),
-        found(fields, "Propiedades del documento", F.col("label"), F.col("value"), F.col("sev")),
-        found(readable.filter(F.col("trailer").rlike(r"/ID\s*\[")), "Estructura", "Identificador del archivo (/ID)", F.lit("huellas que identifican este archivo concreto"), "media"),
-        found(meta, "XMP incrustado", "Paquete XMP", F.lit("presente"), "personal"),
-        *(found(xmp, "XMP incrustado", label, F.regexp_extract("x", pattern, 1), sev) for pattern, label, sev in XMP),
-        found(kind("Sig"), "Firmas", "Firma digital", F.lit("se invalidará al reescribir el archivo"), "media", keep=True),
-        found(kind("Filespec"), "Adjuntos", "Archivo incrustado dentro del PDF", F.lit("hay documentos dentro del archivo"), "personal", keep=True),
-        found(pages, "Estructura", "Páginas", F.col("n"), "baja"),
-        found(notes, "Anotaciones", "Comentarios y anotaciones", F.col("n"), "media", keep=True),
-        found(says("/AcroForm"), "Formularios", "Formulario con campos", F.lit("los valores escritos siguen dentro del archivo"), "media", keep=True),
-        found(says(r"/JavaScript|/OpenAction|/AA\b"), "JavaScript", "Código que puede ejecutarse al abrir el PDF", F.lit("presente"), "personal"),
-        found(says("/EmbeddedFiles"), "Adjuntos", "Archivos incrustados (/EmbeddedFiles)", F.lit("documentos dentro del PDF"), "personal", keep=True),
+        findings_of(text, from_files),
+        findings_of(known, from_objects),
+        findings_of(infos, from_infos),
+        findings_of(xmp, [rule(F.lit(True), "XMP incrustado", label, F.regexp_extract("x", pattern, 1), sev) for pattern, label, sev in XMP]),
+        findings_of(counts, [rule(F.lit(True), "Estructura", "Objetos en el archivo", c("n"), "baja"), rule(c("pages") > 0, "Estructura", "Páginas", c("pages"), "baja")]),
     ]
     return reduce(DataFrame.unionByName, every)
 
