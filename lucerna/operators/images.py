@@ -47,6 +47,13 @@ def role(segments: DataFrame) -> DataFrame:
     return segments.withColumn("role", F.when(F.col("format") == "png", png).when(F.col("format") == "webp", webp).otherwise(out))
 
 
+def metadata_only(segments: DataFrame) -> DataFrame:
+    """Segments without the bytes of the picture: what inspection needs."""
+    s = role(segments)
+    size = F.octet_length("segment").cast("long")
+    return s.select("doc_id", "format", "ord", "kind", F.when(F.col("role").isNotNull(), F.col("payload")).alias("payload"), size.alias("size"), "error")
+
+
 def exif_blocks(segments: DataFrame) -> DataFrame:
     """doc_id and ``x`` (fields, gps, thumbnail, orientation, size) of the first readable EXIF block."""
     blocks = role(segments).filter("role = 'EXIF'").select("doc_id", "ord", exif(F.col("payload")).alias("x")).filter("x IS NOT NULL")
@@ -58,6 +65,7 @@ def image_findings(segments: DataFrame) -> DataFrame:
 
     One pass over the segments with metadata, one over EXIF blocks, one aggregate by file.
     """
+    segments = segments if "size" in segments.columns else metadata_only(segments)
     s = role(segments.filter(F.col("kind").isNotNull()))
     c, is_role = F.col, lambda name: F.col("role") == name
     utf8, latin = F.decode(F.col("payload"), "UTF-8"), F.decode("payload", "ISO-8859-1")
@@ -85,7 +93,7 @@ def image_findings(segments: DataFrame) -> DataFrame:
         rule(c("x.thumbnail"), "EXIF", "Miniatura incrustada en el EXIF", F.lit("puede mostrar una versión distinta de la foto"), "media"),
         rule(c("x.orientation") > 0, "EXIF", "Orientación", F.concat(c("x.orientation").cast("string"), F.lit(" (se conserva)")), "baja"),
     ]
-    profile = F.when(is_role("ICC"), F.when(c("format") == "png", F.octet_length("segment")).otherwise(F.octet_length("payload")))
+    profile = F.when(is_role("ICC"), F.when(c("format") == "png", F.col("size")).otherwise(F.octet_length("payload")))
     files = s.groupBy("doc_id", "format").agg(F.sum(profile).alias("icc"), F.count("role").alias("n"))
     bare = (c("n") == 0) & (c("format") != "png")
     from_files = [

@@ -100,18 +100,31 @@ def strings(raw: Column) -> Column:
     return F.arrow_udf("string")(lambda a: pa.array([decode_string(x) for x in a.to_pylist()], pa.string()))(raw)
 
 
-def read_objects(files: DataFrame) -> DataFrame:
-    """doc_id, num, gen, dict (what precedes a stream), stream (null without one): one row for each object number."""
+def scan_objects(files: DataFrame) -> DataFrame:
+    """doc_id, num, gen, dict (what precedes a stream), stream (null without one): the last object of each number."""
     small_batches(files)
     texts = files.select(F.col("doc_id").cast("long").alias("doc_id"), latin(F.col("content")).alias("t"))
     scanned = texts.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(?<![0-9])(\d{1,10}\s+\d{1,5}\s+obj\b.*?)\bendobj\b"), F.lit(1))).alias("ord", "o"))
     head = r"(?s)^(\d+)\s+(\d+)\s+obj\s*(.*)$"
-    body = F.regexp_extract("o", head, 3)
-    at = F.instr("body", "stream")
-    has = (at > 0) & F.col("body").rlike(r"(?s)>>\s*stream\r?\n")
-    split = scanned.select("doc_id", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("int").alias("gen"), body.alias("body"))
-    split = split.select("doc_id", "ord", "num", "gen", stripped(F.when(has, F.regexp_extract("body", r"(?s)^(.*?>>)\s*stream\r?\n", 1)).otherwise(F.col("body"))).alias("dict"), F.when(has, F.encode(F.regexp_extract("body", r"(?s)>>\s*stream\r?\n(.*?)\r?\n?endstream", 1), "ISO-8859-1")).alias("stream"))
-    direct = shared_table(latest(split, ["doc_id", "num"], ["ord"]).drop("ord"), "objects")
+    split = scanned.select("doc_id", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("int").alias("gen"), F.regexp_extract("o", head, 3).alias("body"))
+    has = F.col("body").rlike(r"(?s)>>\s*stream\r?\n")
+    content = F.encode(F.regexp_extract("body", r"(?s)>>\s*stream\r?\n(.*?)\r?\n?endstream", 1), "ISO-8859-1")
+    split = split.select("doc_id", "ord", "num", "gen", stripped(F.when(has, F.regexp_extract("body", r"(?s)^(.*?>>)\s*stream\r?\n", 1)).otherwise(F.col("body"))).alias("dict"), F.when(has, content).alias("stream"))
+    return latest(split, ["doc_id", "num"], ["ord"]).drop("ord")
+
+
+#: Objects whose streams are read; those of all others are only copied.
+READ_STREAMS = r"/Type\s*/(ObjStm|Metadata)\b"
+
+
+def read_objects(files: DataFrame) -> DataFrame:
+    """doc_id, num, gen, dict, stream_bytes (null without a stream) and, where it is read, stream.
+
+    Objects inside compressed object streams fill numbers that the scan has not found.  Streams of pages
+    and pictures are left out, so the table is small beside the files.
+    """
+    scanned = scan_objects(files).select("doc_id", "num", "gen", "dict", F.octet_length("stream").cast("long").alias("stream_bytes"), F.when(F.col("dict").rlike(READ_STREAMS), F.col("stream")).alias("stream"))
+    direct = shared_table(scanned, "objects")
     return gap_fill(direct, _compressed(direct), ["doc_id", "num"])
 
 
@@ -129,7 +142,7 @@ def _compressed(objects: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), lambda i: F.struct(F.get(numbers, (2 * i).cast("int")).alias("num"), F.get(numbers, (2 * i + 1).cast("int")).alias("at")))
     rows = text.select("doc_id", "holder", "t", "first", F.explode(pairs).alias("p")).select("doc_id", "holder", "t", "first", "p.num", "p.at").filter("num IS NOT NULL AND at IS NOT NULL")
     end = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id", "holder").orderBy("at", "num")), F.length("t") - F.col("first"))
-    cut = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("binary").alias("stream"), "holder")
+    cut = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("long").alias("stream_bytes"), F.lit(None).cast("binary").alias("stream"), "holder")
     return latest(cut, ["doc_id", "num"], ["holder"]).drop("holder")
 
 
@@ -212,13 +225,15 @@ def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
     edited = own.withColumn("dict", F.when(is_root & short, F.regexp_replace(F.regexp_replace("dict", drop, ""), code, "")).otherwise(F.col("dict"))).withColumn("long_root", is_root & ~short)
     edited = shared_table(edited, "edited")
     refs = references(edited)
+    # Up to here only dictionaries were handled; streams are read from the files again for what is kept.
     reached = reachable(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
-    kept = shared_table(edited.join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
+    kept = shared_table(edited.drop("stream").join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
+    streams = scan_objects(files.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")).filter("stream IS NOT NULL").select("doc_id", "num", "stream")
     broken = dangling(references(kept), kept, {"doc_id": "doc_id", "dst": "num"}).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 6).alias("missing"))
     piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
     head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
     before = F.coalesce(F.sum(F.octet_length("piece")).over(Window.partitionBy("doc_id").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(head)
-    placed = kept.select("doc_id", "num", "gen", "root", "long_root", piece.alias("piece")).withColumn("at", before)
+    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", "long_root", piece.alias("piece")).withColumn("at", before)
     whole = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("num", "gen", "at", "piece"))).alias("l"), F.first("root").alias("root"), F.bool_or("long_root").alias("long_root"))
     body = F.aggregate("l", F.lit(head), lambda a, x: F.concat(a, x["piece"]))
     spots = F.map_from_entries(F.transform("l", lambda x: F.struct(x["num"], F.format_string("%010d %05d n \n", x["at"], x["gen"]))))

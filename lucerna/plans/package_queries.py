@@ -27,8 +27,9 @@ def _office(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parts = shared_table(packages.read_packages(_office(spark, sf_dir)), "parts")
-    return parts, shared_table(packages.xml_nodes(parts), "nodes")
+    """Parts and nodes for inspection; the parts' bytes are not kept."""
+    parts = shared_table(packages.inspect_packages(_office(spark, sf_dir)), "parts")
+    return parts, packages.nodes_of(parts)
 
 
 @query
@@ -68,7 +69,7 @@ def office_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def office_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of cleaned packages, written and read again, with the visible text they carry."""
-    parts, _ = _read(spark, sf_dir)
+    parts = packages.read_packages(_office(spark, sf_dir))
     again = packages.read_packages(packages.write_packages(office.clean_parts(parts, macros=True)))
     text = office.visible_text(F.col("data"))
     return again.select("doc_id", "name", F.when(F.col("name").rlike("^(word/document|word/comments)"), F.sha2(text.cast("binary"), 256)).alias("text_sha256"))
@@ -89,7 +90,7 @@ def office_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def office_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What independent checks find wrong with cleaned packages: nothing."""
-    parts, _ = _read(spark, sf_dir)
+    parts = packages.read_packages(_office(spark, sf_dir))
     cleaned = shared_table(office.clean_parts(parts, comments="delete"), "cleaned")
     return office.violations(parts, cleaned, comments="delete")
 
@@ -133,7 +134,7 @@ def _pdf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 @query
 def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, objects, _ = _pdf(spark, sf_dir)
-    return objects.select("doc_id", "num", F.coalesce(F.octet_length("stream"), F.lit(-1)).cast("long").alias("stream_bytes"))
+    return objects.select("doc_id", "num", F.coalesce("stream_bytes", F.lit(-1).cast("long")).alias("stream_bytes"))
 
 
 @query
@@ -152,7 +153,7 @@ def pdf_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned files read again: why a file was refused, how many objects are left, the digest of the page's content."""
     cleaned = shared_table(pdf.clean_pdf(_pdf(spark, sf_dir)[0]), "cleaned")
-    objects = pdf.read_objects(cleaned.filter("content IS NOT NULL"))
+    objects = pdf.scan_objects(cleaned.filter("content IS NOT NULL"))
     per = objects.groupBy("doc_id").agg(F.count("*").alias("objects"), F.max(F.when(F.col("num") == 4, F.sha2("stream", 256))).alias("content_sha256"))
     return cleaned.select("doc_id", F.coalesce("error", F.lit("")).alias("error")).join(per, "doc_id", "left").select("doc_id", "error", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("content_sha256", F.lit("")).alias("content_sha256"))
 
@@ -162,7 +163,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = lambda k: d.filter(F.col("doc_id") % 4 == k)
     text = own(3).select("doc_id", F.concat(F.lit("text: "), F.col("text")).cast("binary").alias("content"))
-    return fixtures.office_files(own(0)).unionByName(fixtures.image_files(own(1))).unionByName(fixtures.pdf_files(own(2))).unionByName(text)
+    return shared_table(fixtures.office_files(own(0)).unionByName(fixtures.image_files(own(1))).unionByName(fixtures.pdf_files(own(2))).unionByName(text), "mixed")
 
 
 @query

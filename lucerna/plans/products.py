@@ -20,23 +20,28 @@ FINDINGS = ["doc_id", "kind", "grp", "label", "value", "sev", "keep"]
 
 
 class Inspected:
-    """Findings of a table of files, and the tables by kind that they were read from, each materialised once."""
+    """What inspection needs of a table of files, by kind: each small table is written once, file contents never.
+
+    ``parts``, ``segments`` and ``objects`` hold names, nodes, metadata and dictionaries; cleaning reads
+    the contents from ``files`` again.
+    """
 
     def __init__(self, files: DataFrame):
-        self.files = shared_table(files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").withColumn("kind", sniff.file_kind(F.col("content"))).withColumn("format", sniff.sniff_image(F.col("content"))), "files")
-        of = lambda kind: self.files.filter(F.col("kind") == kind)
-        self.parts = shared_table(packages.read_packages(of("office")), "parts")
-        self.nodes = shared_table(packages.xml_nodes(self.parts), "nodes")
-        self.segments = shared_table(read_segments(of("image")), "segments")
-        self.pdf = of("pdf")
-        self.objects = shared_table(pdf.read_objects(self.pdf), "objects")
-        self.trailers = shared_table(pdf.trailers(self.pdf, self.objects), "trailers")
+        self.files = files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").withColumn("kind", sniff.file_kind(F.col("content"))).withColumn("format", sniff.sniff_image(F.col("content")))
+        self.parts = shared_table(packages.inspect_packages(self.of("office")), "parts")
+        self.nodes = packages.nodes_of(self.parts)
+        self.segments = shared_table(images.metadata_only(read_segments(self.of("image"))), "segments")
+        self.objects = shared_table(pdf.read_objects(self.of("pdf")), "objects")
+        self.trailers = shared_table(pdf.trailers(self.of("pdf"), self.objects), "trailers")
+
+    def of(self, kind: str) -> DataFrame:
+        return self.files.filter(F.col("kind") == kind)
 
     def findings(self) -> DataFrame:
         kinds = {
             "office": office.office_findings(self.parts, self.nodes),
             "image": images.image_findings(self.segments),
-            "pdf": pdf.pdf_findings(self.pdf, self.objects, self.trailers),
+            "pdf": pdf.pdf_findings(self.of("pdf"), self.objects, self.trailers),
         }
         out = None
         for kind, found in kinds.items():
@@ -48,7 +53,6 @@ class Inspected:
         """doc_id, kind, error: why a file can be neither scored nor cleaned, else null."""
         broken = (
             self.parts.filter("error IS NOT NULL").select("doc_id", "error")
-            .unionByName(self.nodes.filter("error IS NOT NULL").select("doc_id", "error"))
             .unionByName(self.segments.filter("error IS NOT NULL").select("doc_id", "error"))
             .unionByName(office.formats(self.parts).filter("format IS NULL").select("doc_id", F.lit("not an office document").alias("error")))
             .unionByName(self.trailers.filter(~pdf.supported(F.col("trailer"))).select("doc_id", F.when(F.col("trailer").isNull(), "no trailer").otherwise("encrypted").alias("error")))
@@ -74,10 +78,11 @@ def clean(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", att
     seen = Inspected(files)
     status = seen.status()
     good = status.filter("error IS NULL").select("doc_id")
-    parts = seen.parts.join(good, "doc_id", "left_semi")
+    parts = packages.read_packages(seen.of("office").join(good, "doc_id", "left_semi"))
     made = packages.write_packages(office.clean_parts(parts, **options)).select("doc_id", "content", F.lit(None).cast("string").alias("refused"))
-    pictures = images.assemble(images.clean_segments(seen.segments.join(good, "doc_id", "left_semi"), icc=icc, orientation=orientation)).select("doc_id", "content", F.lit(None).cast("string").alias("refused"))
-    papers = pdf.clean_pdf(seen.pdf.select("doc_id", "content"), attachments=attachments).select("doc_id", "content", F.col("error").alias("refused"))
+    segments = read_segments(seen.of("image").join(good, "doc_id", "left_semi"))
+    pictures = images.assemble(images.clean_segments(segments, icc=icc, orientation=orientation)).select("doc_id", "content", F.lit(None).cast("string").alias("refused"))
+    papers = pdf.clean_pdf(seen.of("pdf").select("doc_id", "content"), attachments=attachments).select("doc_id", "content", F.col("error").alias("refused"))
     cleaned = made.unionByName(pictures).unionByName(papers).withColumnRenamed("content", "cleaned")
     joined = seen.files.select("doc_id", F.octet_length("content").cast("long").alias("bytes_in"), F.sha2("content", 256).alias("sha256_in")).join(status, "doc_id").join(cleaned, "doc_id", "left")
     return joined.select("doc_id", "kind", F.col("cleaned").alias("content"), "bytes_in", F.octet_length("cleaned").cast("long").alias("bytes_out"), "sha256_in", F.sha2("cleaned", 256).alias("sha256_out"), F.coalesce("error", "refused").alias("error"))

@@ -95,7 +95,8 @@ def read_packages(files: DataFrame) -> DataFrame:
                     rows = [(doc, i, *e[:5], e[5], None) for i, e in enumerate(found)]
                 except (ValueError, zipfile.BadZipFile, zlib.error, OSError, NotImplementedError, UnicodeDecodeError) as x:
                     rows = [(doc, None, None, None, None, None, None, None, f"{type(x).__name__}: {x}")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)] if rows else [pa.array([], t) for t in _PART_TYPES], _PART_NAMES)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)], _PART_NAMES)
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, PARTS)
 
@@ -161,24 +162,51 @@ def parse_nodes(data: bytes) -> list[tuple[int, int, str, str, dict[str, str]]]:
     return [tuple(n) for n in nodes]
 
 
-def xml_nodes(parts: DataFrame) -> DataFrame:
-    """Elements of XML parts that have attributes or text: doc_id, part, node, parent, tag, text, attrs; or an ``error`` row.
+NODE = "struct<node:int,parent:int,tag:string,text:string,attrs:map<string,string>>"
+_NODE = pa.list_(pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
+INSPECTED = f"doc_id long, ord int, name string, size long, time int, date int, is_dir boolean, crc_ok boolean, nodes array<{NODE}>, error string"
+#: An element's text is kept up to so many characters, enough for a property; long texts stay in their part.
+SHOWN_TEXT = 8000
 
-    Long texts stay in the parts: an element's text is kept up to 8,000 characters, enough for a property.
+
+def kept_nodes(data: bytes) -> list[dict]:
+    """Elements with attributes or text, and those next to the root."""
+    return [{"node": n, "parent": up, "tag": tag, "text": text[:SHOWN_TEXT], "attrs": list(attrs.items())} for n, up, tag, text, attrs in parse_nodes(data) if attrs or text.strip() or up < 1]
+
+
+def inspect_packages(files: DataFrame) -> DataFrame:
+    """Parts of every package with the nodes of XML parts in place of their bytes, for inspection in one pass.
+
+    A part that is no well-formed XML has an ``error`` and no nodes; a package that cannot be read is
+    a row with ``error`` alone.
     """
-    small_batches(parts)
-    schema = "doc_id long, part string, node int, parent int, tag string, text string, attrs map<string,string>, error string"
-    names = [x.split()[0] for x in schema.replace("map<string,string>", "m").split(", ")]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+    small_batches(files)
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), _NODE, pa.string()]
+    columns = ["doc_id", "ord", "name", "size", "time", "date", "is_dir", "crc_ok", "nodes", "error"]
+
+    def one(doc: int, i: int, e: tuple[str, bytes, int, int, bool, bool]) -> tuple:
+        name, data, time, date, is_dir, crc_ok = e
+        nodes, error = None, None
+        if name.endswith((".xml", ".rels")):
+            try:
+                nodes = kept_nodes(data)
+            except (ValueError, expat.ExpatError) as x:
+                error = f"{type(x).__name__}: {x}"
+        return doc, i, name, len(data), time, date, is_dir, crc_ok, nodes, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    rows = [(doc, name, n, up, tag, text[:8000], list(attrs.items()), None) for n, up, tag, text, attrs in parse_nodes(data.as_py() or b"") if attrs or text.strip() or up < 1]
-                except (ValueError, expat.ExpatError) as x:
-                    rows = [(doc, name, None, None, None, None, None, f"{type(x).__name__}: {x}")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = [one(doc, i, e) for i, e in enumerate(entries(content.as_py() or b""))]
+                except (ValueError, zipfile.BadZipFile, zlib.error, OSError, NotImplementedError, UnicodeDecodeError) as x:
+                    rows = [(doc, *[None] * 8, f"{type(x).__name__}: {x}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
+
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, INSPECTED)
+
 
-    xml = parts.filter(F.col("name").endswith(".xml") | F.col("name").endswith(".rels"))
-    return xml.select("doc_id", "name", "data").mapInArrow(run, schema)
+def nodes_of(inspected: DataFrame) -> DataFrame:
+    """doc_id, part and the columns of a node, from :func:`inspect_packages`."""
+    return inspected.select("doc_id", F.col("name").alias("part"), F.explode("nodes").alias("n")).select("doc_id", "part", "n.*")

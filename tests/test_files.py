@@ -60,8 +60,8 @@ def test_workbook_scores_75(spark):
         z.writestr("xl/workbook.xml", book)
         z.writestr("xl/connections.xml", f'<connections xmlns="{ss}"><connection><dbPr connection="a;Password=b"/></connection></connections>')
         z.writestr("xl/externalLinks/_rels/externalLink1.xml.rels", link)
-    parts = packages.read_packages(frame(spark, held.getvalue()))
-    found = office.office_findings(parts, packages.xml_nodes(parts)).withColumn("kind", F.lit("office"))
+    parts = packages.inspect_packages(frame(spark, held.getvalue()))
+    found = office.office_findings(parts, packages.nodes_of(parts)).withColumn("kind", F.lit("office"))
     row = verdict.verdicts(spark.range(1).withColumnRenamed("id", "doc_id"), verdict.signals_of_findings(found)).first()
     assert (row["riesgo"], row["puntuacion"]) == ("alto", 75)
 
