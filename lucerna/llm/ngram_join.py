@@ -74,45 +74,47 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, key of the set, and the shingles that each order of the filter may need."""
+    """doc_id, n, key of the set, and the shingles that each order of the filter may need.
+
+    ``tokens`` holds both orders' shingles; the lowest bit tells which order a token belongs to.
+    """
     for b in batches:
-        n, keys, small, large = [], [], [], []
+        n, keys, tokens, small, large = [], [], [], [], []
         for text in b.column("text").to_pylist():
             s = shingles(text)
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            signed = s.view(np.int64)
-            small.append(signed if 0 < len(s) <= SMALL else signed[:0])
-            if len(s) >= LARGE:
-                below = int(np.searchsorted(s, np.uint64(LOW)))
-                large.append(signed[: max(below, prefix_length(len(s)))])
-            else:
-                large.append(signed[:0])
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (small, large)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "n", "key", "small", "large"])
+            every = s if len(s) <= SMALL else s[:0]
+            lowest = s[: max(int(np.searchsorted(s, np.uint64(LOW))), prefix_length(len(s)))] if len(s) >= LARGE else s[:0]
+            small.append(len(every))
+            large.append(len(lowest))
+            tokens.append(np.concatenate([every & ~np.uint64(1), lowest | np.uint64(1)]).view(np.int64))
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), listed, pa.array(small, pa.int32()), pa.array(large, pa.int32())], ["doc_id", "n", "key", "tokens", "small", "large"])
 
 
 def families(sets: DataFrame) -> DataFrame:
-    """(rep, family) of every set that shares a filter key with another; ``sets`` has rep, n, small, large."""
-    tokens = sets.select("rep", F.explode("small").alias("token"), F.lit(0).cast("byte").alias("kind")).union(sets.select("rep", F.explode("large").alias("token"), F.lit(1).cast("byte").alias("kind")))
-    # Written first, so that the counts' shuffle is gone before the tokens' begins.
-    counted, counted_path = write_shared(tokens.groupBy("kind", "token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    shared = tokens.join(counted, ["kind", "token"])
+    """(rep, family) of every set that shares a filter key with another; ``sets`` has rep, n, tokens, small, large."""
+    spark = sets.sparkSession
+    tokens = sets.select("rep", F.explode("tokens").alias("token"))
+    # Each step is written, so that its shuffle is gone before the next one begins.
+    counted, counted_path = write_shared(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    shared, shared_path = write_shared(tokens.join(counted, "token"), "shared")
+    drop_shared(spark, counted_path)
     # Shingles of large sets beyond the lowest part come last, by hash alone: how many sets list them says nothing.
-    beyond = (F.col("kind") == 1) & ((F.col("token") < 0) | (F.col("token") >= LOW))
+    is_large = F.col("token").bitwiseAND(F.lit(1)) == 1
+    beyond = is_large & ((F.col("token") < 0) | (F.col("token") >= LOW))
     place = F.struct(beyond.alias("beyond"), F.when(beyond, F.lit(0)).otherwise(F.col("df")).alias("df"), F.when(F.col("token") < 0, F.lit(1)).otherwise(F.lit(0)).alias("high"), "token")
-    per = shared.groupBy("rep", "kind").agg(F.sort_array(F.collect_list(place)).alias("places"))
-    sizes = sets.select("rep", "n", F.size("small").alias("s"), F.size("large").alias("l"))
+    per = shared.groupBy("rep", is_large.alias("large_order")).agg(F.sort_array(F.collect_list(place)).alias("places"))
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1
-    own = F.when(F.col("kind") == 0, F.col("s")).otherwise(F.col("l")) - F.size("places")
+    own = F.when(F.col("large_order"), F.col("large")).otherwise(F.col("small")) - F.size("places")
     open_places = (prefix - own).cast("int")
-    keys = per.join(sizes, "rep").filter(open_places > 0).select("rep", "kind", F.explode(F.slice("places", F.lit(1), open_places)).alias("p")).select("rep", "kind", F.col("p.token").alias("token"))
+    keys = per.join(sets.select("rep", "n", "small", "large"), "rep").filter(open_places > 0).select("rep", F.explode(F.slice("places", F.lit(1), open_places)).alias("p")).select("rep", F.col("p.token").alias("token"))
     keys, path = write_shared(keys, "keys")
-    drop_shared(sets.sparkSession, counted_path)
-    first = keys.groupBy("kind", "token").agg(F.min("rep").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    edges = keys.join(first, ["kind", "token"]).filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    first = keys.groupBy("token").agg(F.min("rep").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    edges = keys.join(first, "token").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     found = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    drop_shared(sets.sparkSession, path)
+    drop_shared(spark, shared_path, path)
     return found
 
 
@@ -267,12 +269,12 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches, sketch_path = write_shared(texts.mapInArrow(_sketch, "doc_id long, n long, key binary, small array<long>, large array<long>"), "sketches")
+    sketches, sketch_path = write_shared(texts.mapInArrow(_sketch, "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
     ids, _ = write_shared(sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), "ids")
     classes = ids.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes, class_path = write_shared(classes, "classes")
     first = classes.select(F.col("key").alias("k"), "rep")
-    sets = sketches.join(first, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["key", "doc_id"]).select("rep", "n", "small", "large")
+    sets = sketches.join(first, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["key", "doc_id"]).select("rep", "n", "tokens", "small", "large")
     sizes, size_path = write_shared(sets, "sets")
     drop_shared(spark, sketch_path)
     family = families(sizes)
