@@ -65,3 +65,15 @@ def package_format(names: Column) -> Column:
 def kind_label(kind: Column, fmt: Column) -> Column:
     labels = F.when(fmt == "word", "Word").when(fmt == "excel", "Excel").when(fmt == "powerpoint", "PowerPoint")
     return F.when(kind == "pdf", "PDF").when(kind == "image", F.upper(fmt)).when(kind == "office", labels)
+
+
+#: Extensions by kind, for dispatch by name where no bytes are at hand.
+EXTENSIONS = {"office": "docx docm dotx dotm xlsx xlsm xltx xltm pptx pptm potx potm", "pdf": "pdf", "image": "jpg jpeg png webp tif tiff", "ole": "doc xls ppt"}
+
+
+def kind_by_name(name: Column) -> Column:
+    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    out = F.lit(None).cast("string")
+    for kind, known in EXTENSIONS.items():
+        out = F.when(extension.isin(*known.split()), F.lit(kind)).otherwise(out)
+    return out

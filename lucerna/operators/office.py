@@ -340,4 +340,6 @@ def violations(before: DataFrame, after: DataFrame, **options: object) -> DataFr
     relation = after.filter(F.col("name").endswith(".rels")).select("doc_id", F.col("name").alias("part"), F.explode(F.regexp_extract_all(text, F.lit(r"<Relationship\s[^>]*/>"), F.lit(0))).alias("r"))
     relation = relation.filter(~F.contains("r", F.lit('TargetMode="External"'))).select("doc_id", "part", names.resolve_path(names.relations_owner(F.col("part")), F.regexp_extract("r", "Target=\"([^\"]*)\"", 1)).alias("ref"))
     dead = typed.unionByName(relation).join(have, ["doc_id", "ref"], "left_anti").select("doc_id", "part", F.concat(F.lit("points at missing "), F.col("ref")).alias("problem"))
-    return parts.unionByName(left).unionByName(dead)
+    whole = F.when((F.col("name") == "docProps/core.xml") & (text != EMPTY_CORE), "core properties are left").when((F.col("name") == "docProps/app.xml") & (text != MINIMAL_APP), "application properties are left")
+    properties = after.filter(F.col("name").startswith("docProps/")).select("doc_id", F.col("name").alias("part"), whole.alias("problem")).filter(F.col("problem").isNotNull())
+    return parts.unionByName(left).unionByName(dead).unionByName(properties)

@@ -48,21 +48,40 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _inflate(data: pa.Array) -> pa.Array:
+def undo_predictor(data: bytes, columns: int) -> bytes:
+    """Rows of PNG-predicted bytes (one byte a sample) as they were; ValueError on a broken row."""
+    width, above, out = columns + 1, bytearray(columns), bytearray()
+    for at in range(0, len(data) - len(data) % width, width):
+        kind, row = data[at], bytearray(data[at + 1 : at + width])
+        if kind > 4:
+            raise ValueError("unknown predictor")
+        for i in range(columns):
+            left, up, corner = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
+            guess = left + up - corner
+            near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            row[i] = (row[i] + (0, left, up, (left + up) // 2, near)[kind]) & 0xFF
+        out += row
+        above = row
+    return bytes(out)
+
+
+def _inflate(data: pa.Array, columns: pa.Array) -> pa.Array:
+    """Inflated bytes, with the predictor undone where ``columns`` is above 0; null where damaged or beyond the limit."""
     out = []
-    for x in data.to_pylist():
+    for x, n in zip(data.to_pylist(), columns.to_pylist(), strict=True):
         try:
             d = zlib.decompressobj()
             got = d.decompress(x, MOST_PART) if x is not None else None
+            if got is not None and n:
+                got = undo_predictor(got, n)
             out.append(got if got is not None and not d.unconsumed_tail else None)
-        except zlib.error:
+        except (zlib.error, ValueError):
             out.append(None)
     return pa.array(out, pa.binary())
 
 
-def inflated(data: Column) -> Column:
-    """Inflated bytes, or null where they are damaged or beyond the limit."""
-    return F.arrow_udf("binary")(_inflate)(data)
+def inflated(data: Column, columns: Column) -> Column:
+    return F.arrow_udf("binary")(_inflate)(data, columns)
 
 
 def decode_string(raw: str | None) -> str | None:
@@ -130,8 +149,10 @@ def read_objects(files: DataFrame) -> DataFrame:
 
 def data(objects: DataFrame) -> Column:
     """The data of a stream: inflated where its only filter is Flate, else as it stands."""
-    flate = F.col("dict").rlike(r"/Filter\s*\[?\s*/FlateDecode\s*\]?") & ~F.col("dict").rlike("/(DecodeParms|Predictor)")
-    return F.when(flate, inflated(F.when(flate, F.col("stream")))).otherwise(F.col("stream"))
+    flate = F.col("dict").rlike(r"/Filter\s*\[?\s*/FlateDecode\s*\]?")
+    predicted = F.regexp_extract("dict", r"/Predictor\s+(1[0-5])", 1) != ""
+    columns = F.when(predicted, F.coalesce(F.regexp_extract("dict", r"/Columns\s+(\d{1,6})", 1).try_cast("int"), F.lit(1))).otherwise(F.lit(0))
+    return F.when(flate, inflated(F.when(flate, F.col("stream")), columns)).otherwise(F.col("stream"))
 
 
 def _compressed(objects: DataFrame) -> DataFrame:

@@ -177,3 +177,12 @@ def clean_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning did to each file; cleaned files are scanned by their first bytes again."""
     c = products.clean(_mixed(spark, sf_dir), macros=True)
     return c.select("doc_id", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce(sniff.file_kind(F.col("content")), F.lit("none")).alias("kind_out"), F.coalesce(F.col("sha256_in") != F.col("sha256_out"), F.lit(False)).alias("changed"))
+
+
+@query
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of twenty documents each in one package, named by language: repeated names are numbered."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = d.select(F.floor(F.col("doc_id") / 20).cast("long").alias("request"), F.col("doc_id").alias("ord"), F.concat(F.col("lang"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    made = products.bundle(files).withColumnRenamed("request", "doc_id")
+    return packages.read_packages(made).select(F.col("doc_id").alias("request"), F.col("ord").cast("long").alias("ord"), "name", F.sha2("data", 256).alias("sha256"))

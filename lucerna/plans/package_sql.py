@@ -136,3 +136,7 @@ SELECT doc_id, riesgo, puntuacion, titles, {_ADVICE} FROM r""",
     "clean_mixed": """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'office' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' ELSE 'none' END AS kind, CASE WHEN doc_id % 4 = 3 THEN 'unsupported format' WHEN doc_id % 4 = 2 AND doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error FROM documents)
 SELECT doc_id, kind, error, CASE WHEN error = '' THEN kind ELSE 'none' END AS kind_out, error = '' AS changed FROM k""",
 }
+
+ORACLE["bundles"] = """WITH d AS (SELECT doc_id // 20 AS request, doc_id, lang, text FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY doc_id) - 1 AS ord, row_number() OVER (PARTITION BY request, lang ORDER BY doc_id) AS k FROM d)
+SELECT request, ord, lang || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.txt' AS name, sha256(text) AS sha256 FROM n"""

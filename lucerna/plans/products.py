@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import sniff
 from lucerna.functions.text import strict_text
 from lucerna.operators import images, office, pdf, secrets, verdict
-from lucerna.operators.relations import shared_table
+from lucerna.operators.relations import number_names, shared_table
 from lucerna.sources import packages
 from lucerna.sources.images import WALKS, read_segments
 
@@ -94,3 +94,10 @@ def scan_text(texts: DataFrame) -> DataFrame:
     signals = secrets.secret_signals(secrets.secret_hits(read.filter("text IS NOT NULL")))
     out = verdict.verdicts(read, signals, supported=F.col("text").isNotNull())
     return verdict.with_signals(verdict.with_recommendation(out), signals).select("doc_id", "riesgo", "puntuacion", "hallazgos", "recomendacion")
+
+
+def bundle(files: DataFrame) -> DataFrame:
+    """One package for each request of (request, ord, name, content): names are numbered where they repeat."""
+    named = number_names(files.withColumn("key", F.concat_ws("/", F.col("request").cast("string"), "name")), "key", "ord")
+    inside = F.expr("substring(unique_name, length(cast(request AS string)) + 2)")
+    return packages.write_packages(named.select(F.col("request").alias("doc_id"), "ord", inside.alias("name"), F.col("content").alias("data"))).withColumnRenamed("doc_id", "request")

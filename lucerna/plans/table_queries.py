@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.functions import money, names, text
+from lucerna.functions import config, money, names, sniff, text
 from lucerna.operators import relations, secrets, summaries, verdict
 from lucerna.streaming import ledger
 
@@ -314,3 +314,19 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = region.unionByName(nation).unionByName(customer).unionByName(parent).withColumn("doc_id", F.lit(0))
     roots = spark.createDataFrame([(0, "root")], "doc_id int, node string")
     return relations.reachable(edges, roots, ["doc_id"]).select("node")
+
+
+@query
+def product_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product lists made of market segments: known names in canonical order, unknown ones told."""
+    c = table(spark, sf_dir, "customer")
+    listed = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("secrets, ")).otherwise(""), F.when(F.col("c_custkey") % 3 == 0, F.lit("Clean,")).otherwise(""), F.when(F.col("c_custkey") % 5 == 0, F.lit("other")).otherwise(""))
+    return c.select("c_custkey", F.array_join(config.routes(listed), " ").alias("routes"), F.array_join(config.unknown(listed), " ").alias("unknown"))
+
+
+@query
+def kinds_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds told by extensions alone."""
+    p = table(spark, sf_dir, "part")
+    ext = F.element_at(F.array(*map(F.lit, ("docx", "PDF", "jpeg", "xls", "bin"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select("p_partkey", F.coalesce(sniff.kind_by_name(F.concat(F.lit("a.b."), ext)), F.lit("none")).alias("kind"))

@@ -107,5 +107,8 @@ SELECT doc_id, scripts, frames, links, CAST(p AS BIGINT) AS puntuacion, CASE WHE
     "document_notes": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {quote(p)}) THEN '{w}' END" for w, p in (("correos", PERSONAL[0][1]), ("direcciones", PERSONAL[1][1]), ("credenciales", ANY))) + "], lambda x: x IS NOT NULL), '; ') AS notes FROM documents",
     "reachability": "SELECT 'root' AS node UNION SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 0 UNION SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey <> 0 UNION SELECT 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0",
 }
+ORACLE["product_order"] = """WITH f AS (SELECT c_custkey, c_custkey % 2 = 0 AS s, c_custkey % 3 = 0 AS c, c_custkey % 5 = 0 AS o FROM customer)
+SELECT c_custkey, CASE WHEN NOT s AND NOT c AND NOT o THEN '/v1/clean /v1/scan /v1/secrets' ELSE concat_ws(' ', CASE WHEN c THEN '/v1/clean' END, CASE WHEN s THEN '/v1/secrets' END) END AS routes, CASE WHEN o THEN 'other' ELSE '' END AS unknown FROM f"""
+ORACLE["kinds_by_name"] = "SELECT p_partkey, ['office', 'pdf', 'image', 'ole', 'none'][p_partkey % 5 + 1] AS kind FROM part"
 _SAFE = ORACLE["safe_names"]
 ORACLE["output_names"] = f"WITH s AS ({_SAFE}), m AS (SELECT page_id, name || '.html' AS name FROM s) SELECT page_id, regexp_replace(name, '\\.[^.]+$', '') || '{SUFFIX}' || regexp_extract(name, '\\.[^.]*$') AS output_name FROM m"

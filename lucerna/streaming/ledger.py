@@ -23,6 +23,11 @@ def append(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").json(path)
 
 
+def check_writable(spark: SparkSession, path: str) -> None:
+    """Fail early where the ledger cannot be written: an append without lines."""
+    append(spark.createDataFrame([], FIELDS), path)
+
+
 def stream(spark: SparkSession, path: str, *, late: str = "1 hour") -> DataFrame:
     """New files of the ledger folder; a line with the same transaction and time within the watermark counts once."""
     lines = spark.readStream.schema(FIELDS).json(path).withWatermark("fecha", late)

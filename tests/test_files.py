@@ -145,3 +145,19 @@ def test_reachable_ends_on_cycles(spark):
     edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 1), (0, 8, 9)], "doc_id int, src int, dst int")
     roots = spark.createDataFrame([(0, 1)], "doc_id int, node int")
     assert {r["node"] for r in relations.reachable(edges, roots, ["doc_id"]).collect()} == {1, 2, 3}
+
+
+def test_predictors_are_undone():
+    rows = [bytes([10, 20, 30, 40]), bytes([12, 19, 33, 41]), bytes([9, 9, 250, 3]), bytes([1, 2, 3, 4]), bytes([200, 1, 7, 7])]
+    coded, above = b"", bytes(4)
+    for kind, row in enumerate(rows):
+        coded += bytes([kind])
+        for i, x in enumerate(row):
+            a, b, c = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            coded += bytes([(x - (0, a, b, (a + b) // 2, paeth)[kind]) & 0xFF])
+        above = row
+    assert pdf.undo_predictor(coded, 4) == b"".join(rows)
+    with pytest.raises(ValueError, match="predictor"):
+        pdf.undo_predictor(b"\x09abcd", 4)
