@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Documents reach megabytes, so the default of 10,000 is too many.
 BATCH_ROWS = 500
+#: Bytes that a writer of a shared table holds before it writes a row group; several write at once in an executor.
+ROW_GROUP = 16 << 20
 #: Spark's switch for deleting a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -37,7 +39,7 @@ def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path

@@ -15,8 +15,8 @@ shingles use all of them, larger ones those whose hash lies in the lowest part (
 by hash).  Sizes where a set could link with one of the other kind use both orders.
 
 Rows and edge cases: null and empty texts have the empty set and no link; a null id is linked with
-nothing and has no component; repeated rows are copies of each other; other columns are ignored;
-an empty table gives nothing.
+nothing and has no component; repeated rows are copies of each other, and an id names one text; other
+columns are ignored; an empty table gives nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SMALL, LARGE, LOW = 120, 102, int(0.22 * 2**64)
 #: A unit holds at most about so much weight; a set weighs its shingles plus SET_WEIGHT.
 UNIT_WEIGHT, SET_WEIGHT = 1_500_000, 400
 FANOUT = 8
+#: Pairs of nodes or sets that a traversal looks at together.
+SLICE = 100_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,7 +175,7 @@ def _possible(level: tuple, i: np.ndarray, j: np.ndarray, leaf: bool) -> np.ndar
     m, lo, hi, spare = level
     fits = (100 * hi[i] >= PERCENT * lo[j]) & (100 * hi[j] >= PERCENT * lo[i])
     keep = np.flatnonzero(fits)
-    step = max(1, 4_000_000 // m.shape[1])
+    step = max(1, 1_000_000 // m.shape[1])
     for at in range(0, len(keep), step):
         part = keep[at : at + step]
         a, b = i[part], j[part]
@@ -186,18 +188,17 @@ def _possible(level: tuple, i: np.ndarray, j: np.ndarray, leaf: bool) -> np.ndar
     return fits
 
 
-def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of all sets that link, by dual traversal and exact intersection."""
+def linked_pairs(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of all sets that link, in bounded slices, by dual traversal and exact intersection."""
     if len(sets) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     tree = SignatureTree(sets)
     top = len(tree.levels[-1][0])
-    i, j = (x.astype(np.int64) for x in np.triu_indices(top))
-    leaves: list[tuple[np.ndarray, np.ndarray]] = []
+    i, j = (x.astype(np.int32) for x in np.triu_indices(top))
     stack = [(len(tree.levels) - 1, i, j)]
     while stack:  # depth first in slices, so that the frontier stays small
         depth, i, j = stack.pop()
-        if len(i) > 200_000:
+        if len(i) > SLICE:
             cut = len(i) // 2
             stack += [(depth, i[:cut], j[:cut]), (depth, i[cut:], j[cut:])]
             continue
@@ -209,16 +210,19 @@ def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(i):
             continue
         if depth == 0:
-            leaves.append((i, j))
+            good = _overlapping(tree, i, j)
+            yield tree.order[good[0]], tree.order[good[1]]
             continue
         below = len(tree.levels[depth - 1][0])
-        ci = (FANOUT * i[:, None, None] + np.arange(FANOUT)[None, :, None] + np.zeros((1, 1, FANOUT), np.int64)).ravel()
-        cj = (FANOUT * j[:, None, None] + np.arange(FANOUT)[None, None, :] + np.zeros((1, FANOUT, 1), np.int64)).ravel()
+        fan = np.arange(FANOUT, dtype=np.int32)
+        ci = np.broadcast_to(FANOUT * i[:, None, None] + fan[None, :, None], (len(i), FANOUT, FANOUT)).ravel()
+        cj = np.broadcast_to(FANOUT * j[:, None, None] + fan[None, None, :], (len(i), FANOUT, FANOUT)).ravel()
         real = (ci < below) & (cj < below) & (ci <= cj)
         stack.append((depth - 1, ci[real], cj[real]))
-    if not leaves:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate([x[0] for x in leaves]), np.concatenate([x[1] for x in leaves])
+
+
+def _overlapping(tree: SignatureTree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose intersection is large enough, counted exactly."""
     by = np.argsort(i, kind="stable")
     i, j = i[by], j[by]
     good = np.zeros(len(i), bool)
@@ -232,36 +236,47 @@ def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             sizes = tree.size[js]
             common = np.add.reduceat(mine[at] == flat, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
             good[a : a + len(js)] = (100 + PERCENT) * common >= PERCENT * (len(mine) + sizes)
-    return tree.order[i[good]], tree.order[j[good]]
+    return i[good], j[good]
 
 
-def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each index."""
-    parent = list(range(n))
+class Reach:
+    """The smallest index reachable from each index over the pairs added so far."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return np.array([root(x) for x in range(n)], np.int64)
+    def labels(self) -> np.ndarray:
+        """The root of each index; every path becomes one step long."""
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.labels()
+        new = np.unique(np.stack([label[i], label[j]], 1)[label[i] != label[j]], axis=0)
+        for a, b in new.tolist():
+            a, b = self.root(a), self.root(b)
+            self.parent[max(a, b)] = min(a, b)
 
 
 def _join_unit(t: pa.Table) -> pa.Table:
     """Links inside one unit: for each set the smallest set that it reaches here, and its linked documents."""
     t = t.sort_by([("rep", "ascending"), ("side", "ascending")])
     rep, side, copies = (t.column(c).to_numpy() for c in ("rep", "side", "copies"))
-    i, j = linked_pairs([shingles(x) for x in t.column("text").to_pylist()])
-    apart = (side[i] != side[j]) | (side[i] == 0)
-    i, j = i[apart], j[apart]
-    links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-    reach = rep[_least_reachable(len(rep), i, j)]
+    links, reach = np.zeros(len(rep)), Reach(len(rep))
+    for i, j in linked_pairs([shingles(x.as_py()) for x in t.column("text")]):
+        apart = (side[i] != side[j]) | (side[i] == 0)
+        i, j = i[apart], j[apart]
+        links += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+        reach.add(i, j)
     some = links > 0
-    return pa.table({"a": rep[some], "b": reach[some], "links": links[some].astype(np.int64)})
+    return pa.table({"a": rep[some], "b": rep[reach.labels()][some], "links": links[some].astype(np.int64)})
 
 
 def ngram_components(documents: DataFrame) -> DataFrame:
@@ -278,11 +293,11 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     sizes, size_path = write_shared(sets, "sets")
     drop_shared(spark, sketch_path)
     family = families(sizes)
-    family, family_path = write_shared(family, "families")
-    members = family.join(sizes.select("rep", "n"), "rep")
-    dealt = units(members)
-    held = texts.join(classes.select("rep", "copies"), texts["doc_id"] == F.col("rep"))
-    held = held.join(family.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "copies", "text")
+    members = family.join(sizes.select("rep", "n"), "rep").join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"])
+    members, member_path = write_shared(members, "members")
+    drop_shared(spark, size_path)  # the largest table; only members' texts are needed from here on
+    dealt = units(members.select("rep", "family", "n"))
+    held = texts.join(members.select("rep", "copies"), texts["doc_id"] == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "text")
     joined = dealt.join(held, "rep").groupBy("unit").applyInArrow(_join_unit, "a long, b long, links long")
     joined, joined_path = write_shared(joined, "links")
     label = components(joined.select("a", "b"))
@@ -290,5 +305,5 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     found = links.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
     of = classes.join(found, "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of, _ = write_shared(of, "of")
-    drop_shared(spark, class_path, size_path, family_path, joined_path)
+    drop_shared(spark, class_path, member_path, joined_path)
     return ids.join(of, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
