@@ -37,5 +37,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op4_exact_topk": OP4, "op7_chat": OP7}
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), t AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, min(a.n) AS na, min(b.n) AS nb, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 85 * (na + nb - common)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), lowest AS (
+  SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a
+), counted AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN lowest USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+ORACLE = {"op2_ngram_join": OP2, "op4_exact_topk": OP4, "op7_chat": OP7}
 """Queries whose rows SQL gives."""

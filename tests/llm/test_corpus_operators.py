@@ -99,8 +99,7 @@ def test_signature_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(30)]
     sets = [np.unique(np.concatenate([rng.permutation(b)[: rng.integers(50, 60)], rng.integers(0, 2**63, rng.integers(0, 8), dtype=np.uint64)])) for b in base for _ in range(8)]
-    i, j = ngram_join.linked_pairs(sets)
-    got = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    got = {tuple(sorted(x)) for i, j in ngram_join.linked_pairs(sets) for x in zip(i.tolist(), j.tolist(), strict=True)}
     want = set()
     for a in range(len(sets)):
         for b in range(a):
@@ -277,6 +276,19 @@ def test_pipeline_runs_whole(spark):
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
 
 
+@supplied
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, copies int, piece string"
+    rows = [(None, None, None, None, None, "a", "b", 1, "c"), (1, "", "en", "s", 0, "a", "b", 1, "c"), (2, "word " * 60_000, None, "s", 1, None, None, None, None), (3, "a fine text of some words", "xx", None, 1, "a", "b", 1, "c"), (3, "a fine text of some words", "xx", None, 1, "a", "b", 1, "c")]
+    docs = spark.createDataFrame(rows, schema)
+    got = stage(spark, docs, SF)
+    assert {r["doc_id"] for r in got.collect()} <= {None, 1, 2, 3}
+    assert name == "packing" or got.columns == docs.columns
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_duplicate_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (2, text, "en"), (None, text, "en"), (5, None, "en")], "doc_id long, text string, lang string")
