@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: quality, toxicity, near duplicates, mixture, packing."""
+"""From raw documents to packed training sequences: quality, toxicity, near duplicates, mixture, packing.
+
+Rows and edge cases, for every stage: a null text is an empty one; a null id is kept as a document of
+its own; rows that repeat whole are judged each, and one of them is left after the near duplicates; an
+id names one text; columns of any name pass through; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
