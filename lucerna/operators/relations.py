@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark's switch for deleting a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def dangling(refs: DataFrame, targets: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows of ``refs`` whose key (ref column -> target column) no row of ``targets`` has."""
@@ -83,7 +86,10 @@ def package_diff(before: DataFrame, after: DataFrame, on: list[str], compare: st
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the folder that the cluster shares, and read it back."""
+    """Cut the lineage: write to the folder that the cluster shares, and read it back.
+
+    Nothing reads the write's shuffle files again, so Spark may delete them as soon as it ends.
+    """
     spark: SparkSession = df.sparkSession
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -92,7 +98,12 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
         configured = "file://" + tempfile.mkdtemp(prefix="lucerna-")
         spark.conf.set("spark.checkpoint.dir", configured)
     path = f"{configured.rstrip('/')}/lucerna/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
