@@ -268,7 +268,7 @@ def config_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked numbers and network families from keys written as text."""
     c = table(spark, sf_dir, "customer").withColumn("raw", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise((F.col("c_custkey") * 97).cast("string")))
     network = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("eip155:"), F.col("raw"))).otherwise(F.concat(F.lit("solana:"), F.col("raw")))
-    return c.select("c_custkey", money.positive_int(F.col("raw")).alias("n"), money.port(F.col("raw")).cast("long").alias("port"), money.network_family(network).alias("family"))
+    return c.select("c_custkey", F.coalesce(money.positive_int(F.col("raw")), F.lit(-1)).cast("long").alias("n"), F.coalesce(money.port(F.col("raw")), F.lit(-1)).cast("long").alias("port"), F.coalesce(money.network_family(network), F.lit("none")).alias("family"))
 
 
 @query

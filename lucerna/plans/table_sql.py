@@ -99,7 +99,7 @@ SELECT doc_id, scripts, frames, links, CAST(p AS BIGINT) AS puntuacion, CASE WHE
     "running_limit": f"WITH d AS (SELECT doc_id, doc_id // 12 AS request, {BYTES} AS bytes FROM documents), r AS (SELECT *, count(*) OVER w AS k, sum(bytes) OVER w AS s FROM d WINDOW w AS (PARTITION BY request ORDER BY doc_id ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, CASE WHEN bytes > 20000 THEN 'file too large' WHEN k > 10 THEN 'too many files' WHEN s > 40000 THEN 'request too large' END AS reason FROM r) SELECT doc_id, request, bytes, reason IS NULL AS accepted, reason FROM x",
     "base64_round_trip": "WITH b AS (SELECT doc_id, text, ((strlen(text) + 2) // 3) * 4 * 0.75 <= 16500 AS fits FROM documents) SELECT doc_id, fits, sha256(CASE WHEN fits THEN text ELSE '' END) AS sha256 FROM b",
     "price_units": "SELECT p_partkey, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS price, CAST(CAST(p_retailprice AS DECIMAL(12, 2)) * 1000000 AS BIGINT) AS units FROM part",
-    "config_numbers": "WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey ELSE CAST(c_custkey * 97 AS VARCHAR) END AS raw FROM customer), v AS (SELECT c_custkey, raw, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS BIGINT) END AS v FROM r) SELECT c_custkey, CASE WHEN v > 0 THEN v END AS n, CASE WHEN v <= 65535 THEN v END AS port, CASE WHEN c_custkey % 4 <> 0 THEN 'svm' WHEN v IS NOT NULL THEN 'evm' END AS family FROM v",
+    "config_numbers": "WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey ELSE CAST(c_custkey * 97 AS VARCHAR) END AS raw FROM customer), v AS (SELECT c_custkey, raw, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS BIGINT) END AS v FROM r) SELECT c_custkey, CASE WHEN v > 0 THEN v ELSE -1 END AS n, CASE WHEN v <= 65535 THEN v ELSE -1 END AS port, CASE WHEN c_custkey % 4 <> 0 THEN 'svm' WHEN v IS NOT NULL THEN 'evm' ELSE 'none' END AS family FROM v",
     "ledger_totals": f"WITH {LEDGER} SELECT recurso, resultado, count(*) AS lines, CAST(sum(cents) AS BIGINT) AS cents FROM ledger GROUP BY ALL",
     "ledger_windows": f"WITH {LEDGER} SELECT strftime(time_bucket(INTERVAL 6 HOUR, fecha, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, recurso, count(*) AS lines, CAST(sum(cents) AS BIGINT) AS cents FROM ledger WHERE resultado = 'liquidado' GROUP BY ALL",
     "ledger_sessions": f"WITH {LEDGER}, g AS (SELECT *, CASE WHEN fecha - lag(fecha) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ledger WINDOW w AS (PARTITION BY pagador ORDER BY fecha)), s AS (SELECT *, sum(new) OVER (PARTITION BY pagador ORDER BY fecha ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT strftime(min(fecha), '%Y-%m-%d %H:%M:%S') AS session_start, pagador, count(*) AS lines FROM s GROUP BY pagador, s",

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lucerna.plans import registry
@@ -21,7 +22,7 @@ def tables():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(repr([None if x is None or x != x else str(x) for x in r]) for r in frame.itertuples(index=False))
+    return sorted(repr([None if pd.isna(x) else str(x) for x in r]) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
