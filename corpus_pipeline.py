@@ -21,6 +21,8 @@ from lucerna.llm.toxicity import fit_toxicity, toxicity_score
 LEAST_QUALITY = 0.5
 #: A document goes when its toxicity score reaches this.
 TOXIC = 0.3
+#: Documents are near duplicates when the Jaccard similarity of their shingles of so many words reaches so many hundredths.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, for each group of near duplicates; rows without id stay."""
-    found = ngram_components(docs.select("doc_id", "text"))
+    found = ngram_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     one = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter(docs["doc_id"].isNull()))

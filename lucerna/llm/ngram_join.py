@@ -14,6 +14,8 @@ The order counts a shingle's frequency only where the filter can need it: sets o
 shingles use all of them, larger ones those whose hash lies in the lowest part (others come after,
 by hash).  Sizes where a set could link with one of the other kind use both orders.
 
+The words of a shingle and the least similarity are parameters of a call; the constants are defaults.
+
 Rows and edge cases: null and empty texts have the empty set and no link; a null id is linked with
 nothing and has no component; repeated rows are copies of each other, and an id names one text; other
 columns are ignored; an empty table gives nothing.
@@ -35,9 +37,8 @@ from lucerna.llm.graph import components
 SHINGLE_WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sets up to SMALL order all their shingles; sets from LARGE on only those in the lowest part of the hash range.
-#: LARGE <= PERCENT / 100 * (SMALL + 1), so that two linking sets always share an order.
-SMALL, LARGE, LOW = 120, 102, int(0.22 * 2**64)
+#: Sets up to SMALL order all their shingles; larger ones only those in the lowest part of the hash range.
+SMALL = 120
 #: A unit holds at most about so much weight; a set weighs its shingles plus SET_WEIGHT.
 UNIT_WEIGHT, SET_WEIGHT = 1_500_000, 400
 FANOUT = 8
@@ -75,19 +76,30 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def large_from(percent: int = PERCENT) -> int:
+    """Sets from so many shingles on have the order of large sets, so that two linking sets always share an order."""
+    return percent * (SMALL + 1) // 100
+
+
+def lowest_part(percent: int = PERCENT) -> int:
+    """The (even) end of the lowest part of the hash range: the prefix's share of a set and some more."""
+    return min(int((107 - percent) / 100 * 2**64), 2**63 - 2)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, key of the set, and the shingles that each order of the filter may need.
 
     ``tokens`` holds both orders' shingles; the lowest bit tells which order a token belongs to.
     """
+    large_size, low = large_from(percent), np.uint64(lowest_part(percent))
     for b in batches:
         n, keys, tokens, small, large = [], [], [], [], []
         for text in b.column("text").to_pylist():
-            s = shingles(text)
+            s = shingles(text, words)
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             every = s if len(s) <= SMALL else s[:0]
-            lowest = s[: max(int(np.searchsorted(s, np.uint64(LOW))), prefix_length(len(s)))] if len(s) >= LARGE else s[:0]
+            lowest = s[: max(int(np.searchsorted(s, low)), prefix_length(len(s), percent))] if len(s) >= large_size else s[:0]
             small.append(len(every))
             large.append(len(lowest))
             tokens.append(np.concatenate([every & ~np.uint64(1), lowest | np.uint64(1)]).view(np.int64))
@@ -95,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), listed, pa.array(small, pa.int32()), pa.array(large, pa.int32())], ["doc_id", "n", "key", "tokens", "small", "large"])
 
 
-def families(sets: DataFrame) -> DataFrame:
+def families(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(rep, family) of every set that shares a filter key with another; ``sets`` has rep, n, tokens, small, large."""
     spark = sets.sparkSession
     tokens = sets.select("rep", F.explode("tokens").alias("token"))
@@ -105,10 +117,10 @@ def families(sets: DataFrame) -> DataFrame:
     drop_shared(spark, counted_path)
     # Shingles of large sets beyond the lowest part come last, by hash alone: how many sets list them says nothing.
     is_large = F.col("token").bitwiseAND(F.lit(1)) == 1
-    beyond = is_large & ((F.col("token") < 0) | (F.col("token") >= LOW))
+    beyond = is_large & ((F.col("token") < 0) | (F.col("token") >= lowest_part(percent)))
     place = F.struct(beyond.alias("beyond"), F.when(beyond, F.lit(0)).otherwise(F.col("df")).alias("df"), F.when(F.col("token") < 0, F.lit(1)).otherwise(F.lit(0)).alias("high"), "token")
     per = shared.groupBy("rep", is_large.alias("large_order")).agg(F.sort_array(F.collect_list(place)).alias("places"))
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     own = F.when(F.col("large_order"), F.col("large")).otherwise(F.col("small")) - F.size("places")
     open_places = (prefix - own).cast("int")
     keys = per.join(sets.select("rep", "n", "small", "large"), "rep").filter(open_places > 0).select("rep", F.explode(F.slice("places", F.lit(1), open_places)).alias("p")).select("rep", F.col("p.token").alias("token"))
@@ -120,7 +132,7 @@ def families(sets: DataFrame) -> DataFrame:
     return found
 
 
-def units(members: DataFrame) -> DataFrame:
+def units(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Deal members (rep, family, n) to units: (unit, side, rep).
 
     A family of bounded weight is one unit.  A heavier one is cut by size class (linking sets are in
@@ -131,7 +143,7 @@ def units(members: DataFrame) -> DataFrame:
     total = weighed.groupBy("family").agg(F.sum("w").alias("total"))
     split = weighed.join(total, "family")
     light = split.filter(F.col("total") <= UNIT_WEIGHT).select(F.concat_ws(":", "family").alias("unit"), F.lit(0).alias("side"), "rep")
-    heavy = split.filter(F.col("total") > UNIT_WEIGHT).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
+    heavy = split.filter(F.col("total") > UNIT_WEIGHT).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
     per = heavy.groupBy("family", "class").agg(F.ceil(F.sum("w") / (UNIT_WEIGHT / 2)).cast("int").alias("m"))
     up = per.select("family", (F.col("class") - 1).alias("class"), F.col("m").alias("m_up"))
     down = per.select("family", (F.col("class") + 1).alias("class"), F.col("m").alias("m_down"))
@@ -170,10 +182,10 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sp, at)))
 
 
-def _possible(level: tuple, i: np.ndarray, j: np.ndarray, leaf: bool) -> np.ndarray:
+def _possible(level: tuple, i: np.ndarray, j: np.ndarray, leaf: bool, percent: int) -> np.ndarray:
     """Whether the sets below nodes i and j can overlap enough."""
     m, lo, hi, spare = level
-    fits = (100 * hi[i] >= PERCENT * lo[j]) & (100 * hi[j] >= PERCENT * lo[i])
+    fits = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
     keep = np.flatnonzero(fits)
     step = max(1, 1_000_000 // m.shape[1])
     for at in range(0, len(keep), step):
@@ -184,11 +196,11 @@ def _possible(level: tuple, i: np.ndarray, j: np.ndarray, leaf: bool) -> np.ndar
             most = np.minimum(both + spare[a], both + spare[b])
         else:
             most = np.minimum(both + np.minimum(spare[a], spare[b]), np.minimum(hi[a], hi[b]))
-        fits[part] = (100 + PERCENT) * most >= PERCENT * (lo[a] + lo[b])
+        fits[part] = (100 + percent) * most >= percent * (lo[a] + lo[b])
     return fits
 
 
-def linked_pairs(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of all sets that link, in bounded slices, by dual traversal and exact intersection."""
     if len(sets) < 2:
         return
@@ -205,12 +217,12 @@ def linked_pairs(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         if depth == 0:
             apart = i < j
             i, j = i[apart], j[apart]
-        ok = _possible(tree.levels[depth], i, j, depth == 0)
+        ok = _possible(tree.levels[depth], i, j, depth == 0, percent)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
         if depth == 0:
-            good = _overlapping(tree, i, j)
+            good = _overlapping(tree, i, j, percent)
             yield tree.order[good[0]], tree.order[good[1]]
             continue
         below = len(tree.levels[depth - 1][0])
@@ -221,7 +233,7 @@ def linked_pairs(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         stack.append((depth - 1, ci[real], cj[real]))
 
 
-def _overlapping(tree: SignatureTree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _overlapping(tree: SignatureTree, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose intersection is large enough, counted exactly."""
     by = np.argsort(i, kind="stable")
     i, j = i[by], j[by]
@@ -235,7 +247,7 @@ def _overlapping(tree: SignatureTree, i: np.ndarray, j: np.ndarray) -> tuple[np.
             at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
             sizes = tree.size[js]
             common = np.add.reduceat(mine[at] == flat, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
-            good[a : a + len(js)] = (100 + PERCENT) * common >= PERCENT * (len(mine) + sizes)
+            good[a : a + len(js)] = (100 + percent) * common >= percent * (len(mine) + sizes)
     return i[good], j[good]
 
 
@@ -265,12 +277,12 @@ class Reach:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _join_unit(t: pa.Table) -> pa.Table:
+def _join_unit(t: pa.Table, words: int, percent: int) -> pa.Table:
     """Links inside one unit: for each set the smallest set that it reaches here, and its linked documents."""
     t = t.sort_by([("rep", "ascending"), ("side", "ascending")])
     rep, side, copies = (t.column(c).to_numpy() for c in ("rep", "side", "copies"))
     links, reach = np.zeros(len(rep)), Reach(len(rep))
-    for i, j in linked_pairs([shingles(x.as_py()) for x in t.column("text")]):
+    for i, j in linked_pairs([shingles(x.as_py(), words) for x in t.column("text")], percent):
         apart = (side[i] != side[j]) | (side[i] == 0)
         i, j = i[apart], j[apart]
         links += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
@@ -279,12 +291,15 @@ def _join_unit(t: pa.Table) -> pa.Table:
     return pa.table({"a": rep[some], "b": rep[reach.labels()][some], "links": links[some].astype(np.int64)})
 
 
-def ngram_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and n_links: how many other documents each document links with."""
+def ngram_components(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links: how many other documents each document links with.
+
+    Sets of shingles of ``words`` words link from a Jaccard similarity of ``percent`` hundredths on.
+    """
     bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches, sketch_path = write_shared(texts.mapInArrow(_sketch, "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
+    sketches, sketch_path = write_shared(texts.mapInArrow(lambda batches: _sketch(batches, words, percent), "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
     ids, _ = write_shared(sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), "ids")
     classes = ids.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes, class_path = write_shared(classes, "classes")
@@ -292,13 +307,13 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     sets = sketches.join(first, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["key", "doc_id"]).select("rep", "n", "tokens", "small", "large")
     sizes, size_path = write_shared(sets, "sets")
     drop_shared(spark, sketch_path)
-    family = families(sizes)
+    family = families(sizes, percent)
     members = family.join(sizes.select("rep", "n"), "rep").join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"])
     members, member_path = write_shared(members, "members")
     drop_shared(spark, size_path)  # the largest table; only members' texts are needed from here on
-    dealt = units(members.select("rep", "family", "n"))
+    dealt = units(members.select("rep", "family", "n"), percent)
     held = texts.join(members.select("rep", "copies"), texts["doc_id"] == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "text")
-    joined = dealt.join(held, "rep").groupBy("unit").applyInArrow(_join_unit, "a long, b long, links long")
+    joined = dealt.join(held, "rep").groupBy("unit").applyInArrow(lambda t: _join_unit(t, words, percent), "a long, b long, links long")
     joined, joined_path = write_shared(joined, "links")
     label = components(joined.select("a", "b"))
     links = joined.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

@@ -306,3 +306,39 @@ def test_query_matches_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     key = list(want.columns)
     assert sorted(map(tuple, got[key].astype(str).values)) == sorted(map(tuple, want.astype(str).values))
+
+
+def near_at_five_words(rows):
+    """(kept ids, links) by comparing the five-word shingles of all pairs; one row is kept of each group that links at 0.8."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root, links = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                x, y = a, b
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+    return sorted(rows[k][0] for k in range(len(rows)) if root[k] == k), links
+
+
+@pytest.mark.parametrize("unit", [ngram_join.UNIT_WEIGHT, 3_000])
+def test_duplicate_stage_equals_brute_force_at_five_words(spark, monkeypatch, unit):
+    monkeypatch.setattr(ngram_join, "UNIT_WEIGHT", unit)
+    rows = near_copies(unit + 1)
+    base = [f"v{i}" for i in range(400)]
+    # Appended passages and single edited words whose similarity lies between the stage's bound and op2's.
+    rows += [(1000, " ".join(base)), (1001, " ".join([*base, *(f"more{i}" for i in range(85))])), (1002, " ".join("edit" if i % 50 == 25 else w for i, w in enumerate(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    want, links = near_at_five_words(rows)
+    assert got == want
+    assert links > 20 and 1000 in want and 1001 not in want and 1002 not in want
+    assert sorted({c for _, _, c, _ in brute_components([r for r in rows if r[1] and r[1].strip()])}) != [i for i in want if dict(rows)[i] and dict(rows)[i].strip()]
