@@ -4,8 +4,9 @@ A page is stripped of its markup into lines, one for each block.  Furniture (men
 footers, sidebars, notices, adverts, forms, reader comments) becomes ``GAP`` blank lines, so that
 text lengths summed over sliding windows of ``WINDOW`` lines fall to zero around it.  Surge points
 are where the windowed sum leaves zero, dive points where it returns; the regions between them are
-candidates.  Bounds of an explicit article are blank lines too; its regions win.  Without one, the
-region with most text wins, and every other that reaches ``KEEP_SHARE`` of it is kept as well.
+candidates.  Bounds of an explicit article are blank lines too; its regions win.  Without one, every
+region is kept, however short, but those that are mostly links: an advert or a notice inside the text
+parts it into regions of any size.
 
 Null and empty pages give an empty text; repeated rows give a row each; other columns are ignored;
 markup that never closes ends with the page.
@@ -25,8 +26,6 @@ from lucerna.llm.common import bounded_batches
 
 WINDOW = 3
 GAP = WINDOW
-#: A region away from the main one is kept when its text is at least this share of the main region's.
-KEEP_SHARE = 0.5
 #: Without an article element, a region of which links hold more than this share is a menu.
 LINK_SHARE = 0.5
 
@@ -201,9 +200,7 @@ def main_text(page: str | None) -> str:
     if explicit:
         kept = explicit
     else:
-        found = [r for r in found if sum(k for _, k, _ in blocks[r[0] : r[1]]) <= LINK_SHARE * size(r)]
-        best = max(map(size, found), default=0)
-        kept = [r for r in found if size(r) >= KEEP_SHARE * best]
+        kept = [r for r in found if sum(k for _, k, _ in blocks[r[0] : r[1]]) <= LINK_SHARE * size(r)]
     return "\n\n".join(t for r in kept for t, _, _ in blocks[r[0] : r[1]] if t)
 
 

@@ -62,6 +62,14 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_page_without_article_keeps_text_around_adverts():
+    """Headline, lead and every piece between adverts stay, whatever their sizes; a menu of links goes."""
+    ad = '<div class="ad">buy</div>'
+    pieces = ["<h1>Headline</h1><p>Lead.</p>", f"<p>{'a ' * 1500}</p>", f"<p>{'b ' * 500}</p>", "<p>A short end.</p>"]
+    page = f'<div><a href="/">home</a> <a href="/x">more</a></div>{ad}<div>{ad.join(pieces)}</div><footer>foot</footer>'
+    assert html_extract.main_text(page) == "\n\n".join(["Headline", "Lead.", ("a " * 1500).strip(), ("b " * 500).strip(), "A short end."])
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "long " * 200_000, "y")]
     got = html_extract.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
