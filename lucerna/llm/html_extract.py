@@ -38,6 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select noembed noframes xmp title head".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Content that a class or id alone never makes furniture.
+CONTENT = frozenset("article h1 h2 h3 h4 h5 h6 p".split())
+#: Inside an article only these can be furniture by a class, and only by one that is a mark as a whole; ids name places there.
+CONTAINERS = frozenset("div section ul ol dl table figure fieldset details center".split())
 #: Parts of class names and ids that mark furniture; those of headers do so only outside an article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|space|block|container|wrapper)|adverts?|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
@@ -47,6 +51,10 @@ MARKED = re.compile(
 )
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-]|\d)", re.I)
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentary|respond|responses|reply|replies|disqus|guestbook)(?=$|[\s_-]|\d)", re.I)
+#: Classes for the comments of readers that have two parts.
+READERS_WHOLE = frozenset("comments-area comment-area comments-list comment-list comments-section comment-section comment-respond comment-form".split())
+#: Classes that tell a subject or a state of the content, such as category-legal or has-comments, are no marks.
+_ABOUT = re.compile(r"^(?:category|tag|topic|has|no|with|without)[-_]", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?P<key>class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>]|$)", re.I)
@@ -70,11 +78,17 @@ def _furniture(name: str, attrs: str, in_article: bool) -> int:
         key, value = m["key"].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if key == "role" and value.strip().lower() in ROLES:
             return SURE
-        if key in ("class", "id"):
-            value = _CAMEL.sub("-", value)
-            if READERS.search(value):
+        if in_article and key == "class" and name in CONTAINERS:
+            for x in value.split():
+                if x.lower() in READERS_WHOLE or READERS.fullmatch(x):
+                    return SURE
+                if MARKED.fullmatch(x):
+                    found = MARK
+        elif not in_article and key in ("class", "id") and name not in CONTENT:
+            marks = _CAMEL.sub("-", " ".join(x for x in value.split() if not _ABOUT.match(x)))
+            if READERS.search(marks):
                 return SURE
-            if MARKED.search(value) or not in_article and HEADERS.search(value):
+            if MARKED.search(marks) or HEADERS.search(marks):
                 found = MARK
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return SURE

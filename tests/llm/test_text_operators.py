@@ -70,6 +70,19 @@ def test_page_without_article_keeps_text_around_adverts():
     assert html_extract.main_text(page) == "\n\n".join(["Headline", "Lead.", ("a " * 1500).strip(), ("b " * 500).strip(), "A short end."])
 
 
+@pytest.mark.parametrize("mark", ["post category-legal", "tag-social", "has-comments", "search", "reply"])
+def test_marks_never_remove_articles_headings_or_paragraphs(mark):
+    inside = f'<h2 id="{mark}">Head</h2><p class="{mark}">Text.</p><section id="related-work"><h3 id="social-impact">Work</h3><p>More.</p></section>'
+    want = "Head\n\nText.\n\nWork\n\nMore."
+    furniture = '<div class="ad">buy</div><div class="x share">share</div><section class="comments-area"><p>A reader</p></section>'
+    assert html_extract.main_text(f'<article class="{mark}" id="{mark}">{inside}{furniture}</article>') == want
+    assert html_extract.main_text(f'<main class="{mark}">{inside}{furniture}</main>') == want
+
+
+def test_classes_of_subject_or_state_are_no_marks():
+    assert html_extract.main_text('<div class="post category-legal has-comments"><h1 class="page-header">Head</h1><p id="search">Text.</p></div><div class="cookie-notice">We use</div>') == "Head\n\nText."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "long " * 200_000, "y")]
     got = html_extract.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
