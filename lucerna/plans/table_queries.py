@@ -108,10 +108,9 @@ def pending_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_meta_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, language and character set within a bounded head of each page."""
+    """Title, language and character set of each page, wherever they stand in it."""
     p = table(spark, sf_dir, "pages")
-    head = F.left("html", F.lit(8000))
-    return p.select("page_id", F.regexp_extract(head, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(head, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract(head, '<meta charset="([^"]*)"', 1).alias("charset"))
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", '<meta charset="([^"]*)"', 1).alias("charset"))
 
 
 @query

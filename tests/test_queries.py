@@ -35,3 +35,11 @@ def test_query_matches_sql(spark, tables, name):
 
 def test_every_query_has_sql():
     assert registry.QUERIES.keys() == registry.ORACLE.keys()
+
+
+def test_page_meta_reads_whole_pages(spark, tmp_path):
+    """A long style before the title and the character set does not hide them."""
+    page = f'<html lang="fr"><head><style>{"p{} " * 5000}</style><meta charset="utf-8"><title>Late</title></head></html>'
+    spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["page_meta_extract"](spark, str(tmp_path)).first()
+    assert (got["title"], got["lang"], got["charset"]) == ("Late", "fr", "utf-8")
