@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.operators.office import findings_of, rule
-from lucerna.operators.relations import dangling, gap_fill, latest, reachable, shared_table
-from lucerna.sources.packages import MOST_PART, small_batches
+from lucerna.operators.relations import dangling, gap_fill, latest, reachable_each, shared_table
+from lucerna.sources.packages import MOST_PART
 
 # Labels of the information dictionary, keys that leave the catalogue, patterns of findings.
 INFO = [
@@ -121,7 +121,6 @@ def strings(raw: Column) -> Column:
 
 def scan_objects(files: DataFrame) -> DataFrame:
     """doc_id, num, gen, dict (what precedes a stream), stream (null without one): the last object of each number."""
-    small_batches(files)
     texts = files.select(F.col("doc_id").cast("long").alias("doc_id"), latin(F.col("content")).alias("t"))
     scanned = texts.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(?<![0-9])(\d{1,10}\s+\d{1,5}\s+obj\b.*?)\bendobj\b"), F.lit(1))).alias("ord", "o"))
     head = r"(?s)^(\d+)\s+(\d+)\s+obj\s*(.*)$"
@@ -247,7 +246,7 @@ def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
     edited = shared_table(edited, "edited")
     refs = references(edited)
     # Up to here only dictionaries were handled; streams are read from the files again for what is kept.
-    reached = reachable(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
+    reached = reachable_each(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
     kept = shared_table(edited.drop("stream").join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
     streams = scan_objects(files.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")).filter("stream IS NOT NULL").select("doc_id", "num", "stream")
     broken = dangling(references(kept), kept, {"doc_id": "doc_id", "dst": "num"}).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 6).alias("missing"))

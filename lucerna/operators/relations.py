@@ -6,13 +6,13 @@ work of one package is never more than rows that share its keys.
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spark's switch for deleting a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from lucerna.sources.shared import drop_shared, write_shared
 
 
 def dangling(refs: DataFrame, targets: DataFrame, on: dict[str, str]) -> DataFrame:
@@ -86,40 +86,63 @@ def package_diff(before: DataFrame, after: DataFrame, on: list[str], compare: st
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the folder that the cluster shares, and read it back.
+    """Cut the lineage: write to the folder that the cluster shares, and read it back."""
+    return write_shared(df, label)[0]
 
-    Nothing reads the write's shuffle files again, so Spark may delete them as soon as it ends.
-    """
-    spark: SparkSession = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        import tempfile
-
-        configured = "file://" + tempfile.mkdtemp(prefix="lucerna-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    path = f"{configured.rstrip('/')}/lucerna/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def reachable(edges: DataFrame, roots: DataFrame, keys: list[str], *, rounds: int = 1000) -> DataFrame:
+
+#: Rounds of :func:`reachable` after which what was found so far is written as one table again.
+ROUNDS_OF_A_TABLE = 16
+
+
+def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes (keys..., node) reachable from the roots over edges (keys..., src, dst), cycles included.
 
-    Each round joins only the newest nodes with the edges and drops those already seen; it is written
-    to the shared folder, so lost executors do not recompute the chain.
+    For graphs of any size: each round joins only the newest nodes with the edges and drops those already
+    seen.  Rounds are written to the shared folder, so lost executors do not recompute the chain, and
+    joined into one table now and then, so plans stay small.  A deep graph takes a round for each step;
+    graphs that are small each, such as files, are walked by :func:`reachable_each`.
     """
-    edges = edges.select(*keys, "src", "dst").distinct()
-    seen = shared_table(roots.select(*keys, "node").distinct(), "seen")
-    front = seen
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    edges, edge_path = write_shared(edges.select(*keys, "src", "dst").distinct(), "graph")
+    seen, path = write_shared(roots.select(*keys, "node").distinct(), "seen")
+    paths, front = [path], seen
+    while True:
         step = front.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        front = shared_table(step.join(seen, [*keys, "node"], "left_anti"), "front")
+        front, path = write_shared(step.join(seen, [*keys, "node"], "left_anti"), "front")
+        paths.append(path)
         if front.isEmpty():
-            return seen
+            whole, _ = write_shared(seen, "reached")
+            drop_shared(spark, edge_path, *paths)
+            return whole
         seen = seen.unionByName(front)
-    raise RuntimeError("the graph is deeper than the allowed rounds")
+        if len(paths) > ROUNDS_OF_A_TABLE:
+            seen, path = write_shared(seen, "seen")
+            drop_shared(spark, *paths[:-1])
+            paths = [paths[-1], path]
+
+
+def reachable_each(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """Like :func:`reachable`, for many graphs that are small each: every key's edges are walked in one task.
+
+    A single shuffle, whatever the depth.  What a group holds is two numbers for each reference of one
+    file; the file itself, with these references spelled out, has been one row before.
+    """
+    e = edges.select(*keys, "src", "dst").unionByName(roots.select(*keys, F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("node").cast(edges.schema["dst"].dataType).alias("dst")))
+
+    def walk(t: pa.Table) -> pa.Table:
+        near, stack = defaultdict(list), []
+        for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True):
+            (stack if a is None else near[a]).append(b)
+        seen = set(stack)
+        stack = list(seen)
+        while stack:
+            for x in near.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        found = pa.array(list(seen), t.schema.field("dst").type)
+        own = [pa.array([t.column(k)[0].as_py()] * len(found), t.schema.field(k).type) for k in keys]
+        return pa.table([*own, found], [*keys, "node"])
+
+    schema = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
+    return e.groupBy(*keys).applyInArrow(walk, f"{schema}, node {edges.schema['dst'].dataType.simpleString()}")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.sources.packages import small_batches
+from lucerna.sources.packages import BATCH_ROWS
+from lucerna.sources.shared import sliced
 
 SEGMENTS = "doc_id long, format string, ord int, kind string, segment binary, payload binary, error string"
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.string()]
@@ -75,10 +76,8 @@ WALKS = {"jpeg": jpeg_segments, "png": png_segments, "webp": webp_segments}
 
 def read_segments(files: DataFrame) -> DataFrame:
     """Segments of ``files`` (doc_id, format, content) of a known format; a broken file is one row with ``error``."""
-    small_batches(files)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             for doc, fmt, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 try:
                     rows = [(doc, fmt, i, *s, None) for i, s in enumerate(WALKS[fmt](content.as_py()))]

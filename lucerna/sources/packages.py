@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.sources.shared import sliced
+
 #: A part may inflate to at most so many bytes, and a package to so many in all.
 MOST_PART, MOST_PACKAGE = 64 << 20, 256 << 20
 #: What every written entry carries as time, date and name flag.
 WRITTEN_STAMP = (1980, 1, 1, 0, 0, 0)
-#: Packages and parts handed to Python at once; they can be megabytes each.
+#: Packages and parts that become Python objects at once; they can be megabytes each.
 BATCH_ROWS = 16
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
 PARTS = "doc_id long, ord int, name string, data binary, time int, date int, is_dir boolean, crc_ok boolean, error string"
@@ -45,12 +47,6 @@ NAMESPACES = {
 _SHORT = {v: k for k, v in NAMESPACES.items()}
 
 
-def small_batches(df: DataFrame) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-
-
 def inflate(data: bytes, most: int = MOST_PART, wbits: int = -15) -> bytes:
     """Inflated bytes; ValueError beyond ``most``."""
     d = zlib.decompressobj(wbits)
@@ -85,10 +81,8 @@ def entries(content: bytes) -> list[tuple[str, bytes, int, int, bool, bool]]:
 
 def read_packages(files: DataFrame) -> DataFrame:
     """Parts of every package of ``files`` (doc_id, content); an unreadable one is a row with ``error`` alone."""
-    small_batches(files)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     found = entries(content.as_py() or b"")
@@ -118,11 +112,10 @@ def packed(parts: list[tuple[str, bytes]]) -> bytes:
 
 def write_packages(parts: DataFrame) -> DataFrame:
     """doc_id and content of packages made of parts (doc_id, ord, name, data).  A package is one row, whole."""
-    small_batches(parts)
     listed = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "name", "data"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             made = [packed([(p["name"], p["data"] or b"") for p in row.as_py()]) for row in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
@@ -180,7 +173,6 @@ def inspect_packages(files: DataFrame) -> DataFrame:
     A part that is no well-formed XML has an ``error`` and no nodes; a package that cannot be read is
     a row with ``error`` alone.
     """
-    small_batches(files)
     types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), _NODE, pa.string()]
     columns = ["doc_id", "ord", "name", "size", "time", "date", "is_dir", "crc_ok", "nodes", "error"]
 
@@ -195,7 +187,7 @@ def inspect_packages(files: DataFrame) -> DataFrame:
         return doc, i, name, len(data), time, date, is_dir, crc_ok, nodes, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     rows = [one(doc, i, e) for i, e in enumerate(entries(content.as_py() or b""))]
