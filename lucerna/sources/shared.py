@@ -16,7 +16,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: dict[str, str] = {}
 _lock = threading.Lock()
-_writers: dict[int, tuple[int, str]] = {}
+_writers: dict[int, tuple[int, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +45,7 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
     """The switch is on while any thread of the session writes, and as before when the last one is done."""
     key = id(spark)
     with _lock:
-        n, before = _writers.get(key) or (0, spark.conf.get(CLEANUP))
+        n, before = _writers.get(key) or (0, spark.conf.get(CLEANUP, None))
         _writers[key] = (n + 1, before)
         spark.conf.set(CLEANUP, "true")
     try:
@@ -55,6 +55,8 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
             n, before = _writers.pop(key)
             if n > 1:
                 _writers[key] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(CLEANUP)
             else:
                 spark.conf.set(CLEANUP, before)
 
