@@ -1,63 +1,39 @@
-"""Helpers that the corpus operators share: shared tables, bounded Arrow batches, hashing splits."""
+"""Helpers that the corpus operators share: shared tables, bounded slices of Arrow batches, hashing splits."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Documents reach megabytes, so the default of 10,000 is too many.
+from lucerna.sources import shared
+from lucerna.sources.shared import drop_shared, shared_dir
+
+__all__ = ["drop_shared", "id_remainder", "numbers", "shared_dir", "slices", "table", "write_shared"]
+
+#: Rows of an Arrow batch that become Python objects at once. Documents reach megabytes.
 BATCH_ROWS = 500
 #: Bytes that a writer of a shared table holds before it writes a row group; several write at once in an executor.
 ROW_GROUP = 16 << 20
-#: Spark's switch for deleting a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
+    return shared.write_shared(df, label, row_group=ROW_GROUP)
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="lucerna-shared-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices short enough that the objects of long texts fit a Python worker."""
+    return shared.sliced(batches, BATCH_ROWS)
 
-def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
-
-    Nothing reads the write's shuffle files again, so Spark may delete them as soon as it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lucerna/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_shared(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`write_shared` that nothing will read again."""
-    jvm = spark._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Make Arrow batches short enough that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+
+def numbers(score: Callable[[list[str | None]], np.ndarray], texts: pa.Array) -> pa.Array:
+    """``score`` of every text, slice by slice."""
+    parts = [np.asarray(score(texts.slice(at, BATCH_ROWS).to_pylist()), float) for at in range(0, len(texts), BATCH_ROWS)]
+    return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
 
 def id_remainder(column: Column, modulus: int) -> Column:

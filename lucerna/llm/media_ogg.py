@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches
+from lucerna.llm.common import slices
 
 BLOCK = 192
 FRAME = 4 * BLOCK
@@ -178,10 +178,8 @@ def describe(d: Decoded) -> str:
 
 def media_columns(documents: DataFrame) -> DataFrame:
     """Store every text as Ogg, read the bytes back and describe them (doc_id, media, payload, n_bytes, feature)."""
-    bounded_batches(documents.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column("text").to_pylist():
                 raw = (text or "").encode("utf-8")
@@ -198,10 +196,8 @@ def media_columns(documents: DataFrame) -> DataFrame:
 
 def media_files(documents: DataFrame) -> DataFrame:
     """doc_id and the stored Ogg bytes."""
-    bounded_batches(documents.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             media = []
             for text in b.column("text").to_pylist():
                 raw = (text or "").encode("utf-8")

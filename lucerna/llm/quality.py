@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches, id_remainder
+from lucerna.llm.common import id_remainder, numbers, slices
 from lucerna.llm.gbdt import Forest, fit
 
 #: At most so many labelled rows, chosen by a hash of their id, are gathered to fit the trees.
@@ -88,7 +88,7 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x = _matrix(b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -107,7 +107,6 @@ def training_rows(documents: DataFrame, sample: DataFrame) -> DataFrame:
 
 def fit_quality(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held_out: int = 1, rows: int = TRAINING_ROWS) -> Forest:
     """Fit on at most ``rows`` labelled documents outside the held-out remainder."""
-    bounded_batches(documents.sparkSession)
     train = training_rows(documents, labelled_sample(labels, "quality", modulus, held_out, rows))
     got = train.mapInArrow(_featurise, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
@@ -120,7 +119,7 @@ def quality_score(forest: Forest) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(forest.probability(_matrix(texts.to_pylist())), pa.float64())
+        return numbers(lambda part: forest.probability(_matrix(part)), texts)
 
     return lambda text: score(text.cast("string"))
 
