@@ -8,6 +8,9 @@ candidates.  Bounds of an explicit article are blank lines too; its regions win.
 region is kept, however short, but those that are mostly links: an advert or a notice inside the text
 parts it into regions of any size.
 
+Elements and roles that are surely furniture go at once.  A class or id that only looks like it, such as
+``alert``, is left to the densities: such a block goes unless nearly all text of the page is inside it.
+
 Null and empty pages give an empty text; repeated rows give a row each; other columns are ignored;
 markup that never closes ends with the page.
 """
@@ -16,18 +19,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches
+from lucerna.llm.common import slices
 
 WINDOW = 3
 GAP = WINDOW
 #: Without an article element, a region of which links hold more than this share is a menu.
 LINK_SHARE = 0.5
+#: A block whose class or id only looks like furniture stays when it holds this share of the page's text outside links.
+MARK_SHARE = 0.8
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -56,8 +62,18 @@ READERS_WHOLE = frozenset("comments-area comment-area comments-list comment-list
 #: Classes that tell a subject or a state of the content, such as category-legal or has-comments, are no marks.
 _ABOUT = re.compile(r"^(?:category|tag|topic|has|no|with|without)[-_]", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"(?P<key>class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>]|$)", re.I)
+#: One attribute as a tokenizer reads it: quotes count only right after the equals sign.
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(rf"(?P<key>{_NAME})(?:\s*+=\s*+(?P<value>{_VALUE})?+)?+")
+_KEYS = re.compile("class|id|role|hidden|style", re.I)
+#: A solidus that closes an element is not the end of an unquoted value.
+_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|[\s\"'])[^\s=\"'/]+)/\s*$")
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
@@ -73,9 +89,16 @@ def _furniture(name: str, attrs: str, in_article: bool) -> int:
         return NO if name == "header" and in_article else SURE
     if name in ("html", "body", "main") or not attrs:
         return NO
-    found = NO
+    if not _KEYS.search(attrs):
+        return NO
+    found, seen = NO, set()
     for m in _ATTR.finditer(attrs):
-        key, value = m["key"].lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        key = m["key"].lower()
+        if key in seen:
+            continue
+        seen.add(key)
+        value = m["value"] or ""
+        value = value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value
         if key == "role" and value.strip().lower() in ROLES:
             return SURE
         if in_article and key == "class" and name in CONTAINERS:
@@ -95,97 +118,167 @@ def _furniture(name: str, attrs: str, in_article: bool) -> int:
     return found
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside an article) of each block in order; furniture is GAP blank lines."""
-    out: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    links = 0
-    stack: list[tuple[str, int]] = []
-    furniture = articles = anchors = 0
-
-    def flush() -> None:
-        nonlocal links
-        text = " ".join(entities.unescape("".join(parts)).split())
+class Lines:
+    """Blocks of a page as they are read: text, characters inside links, inside an article, and the innermost mark.
+
+    Surely furniture is left out while reading and leaves GAP blank lines.  Text inside an element that
+    only looks like furniture is kept under the number of its mark until the page's densities are known.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, bool, int]] = []
+        self.parts: list[str] = []
+        self.links = self.furniture = self.articles = self.anchors = 0
+        self.stack: list[tuple[str, int]] = []
+        self.open: Counter[str] = Counter()
+        #: Numbers of the marks around this place, where they stand in the stack, and every mark's outer one.
+        self.within, self.places, self.outer = [0], [], [0]
+
+    def blank(self) -> None:
+        self.rows.extend([("", 0, False, self.within[-1])] * GAP)
+
+    def flush(self) -> None:
+        text = " ".join(entities.unescape("".join(self.parts)).split())
         if text:
-            out.append((text, links, articles > 0))
-        parts.clear()
-        links = 0
-
-    def pop() -> None:
-        nonlocal furniture, articles, anchors
-        name, is_furniture = stack.pop()
-        furniture -= is_furniture > NO
-        articles -= name in ("article", "main")
-        anchors -= name == "a"
-        if is_furniture and not furniture:
-            parts.clear()
-        if is_furniture and not furniture or name in ("article", "main"):
-            out.extend([("", 0, False)] * GAP)
-
-    def text(piece: str) -> None:
-        nonlocal links
-        if not furniture and piece:
-            parts.append(piece)
-            links += len(piece) * (anchors > 0)
+            self.rows.append((text, self.links, self.articles > 0, self.within[-1]))
+        self.parts.clear()
+        self.links = 0
+
+    def text(self, piece: str) -> None:
+        if not self.furniture and piece:
+            self.parts.append(piece)
+            self.links += len(piece) * (self.anchors > 0)
+
+    def push(self, name: str, kind: int) -> None:
+        is_article = name in ("article", "main") and kind == NO and not self.furniture
+        if is_article and self.places:
+            # A wrapper that only looks like furniture, such as one named after its sidebar, holds the article.
+            self.flush()
+            for i in self.places:
+                self.stack[i] = (self.stack[i][0], NO)
+            self.places.clear()
+            del self.within[1:]
+        if kind and not self.furniture:
+            self.flush()
+        if name in ("article", "main"):
+            self.blank()
+        self.stack.append((name, kind))
+        self.open[name] += 1
+        if kind == SURE:
+            self.furniture += 1
+        elif kind == MARK:
+            self.blank()
+            self.places.append(len(self.stack) - 1)
+            self.outer.append(self.within[-1])
+            self.within.append(len(self.outer) - 1)
+        self.articles += name in ("article", "main")
+        self.anchors += name == "a"
+
+    def pop(self) -> None:
+        name, kind = self.stack.pop()
+        self.open[name] -= 1
+        if kind == MARK:
+            self.flush()
+            self.places.pop()
+            self.within.pop()
+        elif kind == SURE:
+            self.furniture -= 1
+            if not self.furniture:
+                self.parts.clear()
+        self.articles -= name in ("article", "main")
+        self.anchors -= name == "a"
+        if kind and not self.furniture or name in ("article", "main"):
+            self.blank()
+
+    def close(self, name: str) -> None:
+        if not self.open[name]:
+            return
+        while True:
+            last = self.stack[-1][0]
+            if last in BLOCKS:
+                self.flush()
+            self.pop()
+            if last == name:
+                return
+
+
+def read_page(page: str) -> Lines:
+    """All lines of a page, in one pass whose work is proportional to the page, however deep it is nested."""
+    out = Lines()
+    #: Names of which no end tag follows: looked for only once.
+    endless: set[str] = set()
+
+    def following(pattern: str, name: str, at: int) -> re.Match | None:
+        if pattern in endless:
+            return None
+        m = re.compile(pattern, re.I).search(page, at)
+        if m is None:
+            endless.add(pattern)
+        return m
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            out.text(page[at:])
             break
-        text(page[at : m.start()])
+        out.text(page[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
-            text(entities.escape(m["cdata"]))
+            out.text(entities.escape(m["cdata"]))
             continue
         if not (name := (m["name"] or "").lower()):
             continue
         if name == "br":
-            text(" ")
+            out.text(" ")
             continue
         if m["close"]:
             if name in BLOCKS:
-                flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                while len(stack) > depth:
-                    if stack[-1][0] in BLOCKS:
-                        flush()
-                    pop()
+                out.flush()
+            out.close(name)
             continue
+        closed = bool(_CLOSED.search(m["attrs"]))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not m["attrs"].rstrip().endswith("/"):
-                at = end.end() if end else n if name != "head" else at
-            if name == "head" and end is None:
-                body = re.compile(r"<body\b", re.I).search(page, at)
+            if closed and name != "head":
+                continue
+            end = following(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", name, at)
+            if name != "head" or end:
+                at = end.end() if end else n
+            else:
+                body = following(r"<body\b", name, at)
                 at = body.start() if body else at
             continue
         if name in BLOCKS:
-            flush()
+            out.flush()
             closers = _CLOSED_BY.get(name)
-            if stack and (stack[-1][0] == "p" or closers and stack[-1][0] in closers):
-                pop()
-        if name in VOID or m["attrs"].rstrip().endswith("/"):
+            if out.stack and (out.stack[-1][0] == "p" or closers and out.stack[-1][0] in closers):
+                out.pop()
+        if name in VOID or closed:
             continue
-        is_furniture = _furniture(name, m["attrs"], articles > 0)
-        if name in ("article", "main") and not is_furniture and not any(x == SURE for _, x in stack):
-            # A wrapper that only looks like furniture, such as one named after its sidebar, holds the article.
-            stack = [(x, NO) for x, _ in stack]
-            furniture = 0
-        if is_furniture and not furniture:
-            flush()
-        if name in ("article", "main"):
-            out.extend([("", 0, False)] * GAP)
-        stack.append((name, is_furniture))
-        furniture += is_furniture > NO
-        articles += name in ("article", "main")
-        anchors += name == "a"
-    flush() if not furniture else parts.clear()
+        out.push(name, _furniture(name, m["attrs"], out.articles > 0))
+    out.parts.clear() if out.furniture else out.flush()
     return out
 
 
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters inside links, inside an article) of each block in order; furniture is GAP blank lines.
+
+    A marked element is furniture unless it holds at least MARK_SHARE of the page's text outside links:
+    then it is the page's body under an unlucky name, and the same is asked of the marks inside it.
+    """
+    read = read_page(page)
+    dense = [0] * len(read.outer)
+    for text, links, _, mark in read.rows:
+        dense[mark] += max(0, len(text) - links)
+    for mark in range(len(dense) - 1, 0, -1):  # inner marks have higher numbers
+        dense[read.outer[mark]] += dense[mark]
+    body = {0}
+    for mark in range(1, len(dense)):
+        if read.outer[mark] in body and dense[mark] and dense[mark] >= MARK_SHARE * dense[0]:
+            body.add(mark)
+    return [(text, links, inside) if mark in body else ("", 0, False) for text, links, inside, mark in read.rows]
+
+
 def regions(lengths: list[int]) -> list[tuple[int, int]]:
     """[surge, dive) line ranges in which the sum over each window of WINDOW lines stays above zero."""
     total = [0]
@@ -220,10 +313,8 @@ def main_text(page: str | None) -> str:
 
 def extract_html(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    bounded_batches(pages.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
