@@ -5,9 +5,13 @@ audio and document parts become ordered placeholders, while their references and
 counts go to the attachments.  Control strings inside texts are escaped reversibly, so the marks
 of the template never come from a text, and reading back needs no other input than the output.
 
+Neighbouring text parts of a turn are one text before anything is escaped, so a control string that is
+spread over parts is escaped like any other.
+
 Rows and edge cases: a null text is empty, a null role is an empty role, a null conversation id is a
 conversation of its own, repeated rows are turns of their own (rows of equal turn number follow in
-the order of role and text); other columns are ignored; an empty table gives nothing.  A whole
+the order of role and text as they were given, rows without a number come last); other columns are
+ignored; an empty table gives nothing.  A whole
 conversation is one string, hence one value of one row: that is the format itself.
 """
 
@@ -22,6 +26,8 @@ ESCAPES = {"###": "\\h", "</turn>": "\\t", "<|": "\\p"}
 #: Tokens for one unit of size: a tile of an image, a second of audio, a page of a document.
 EXPANSION = {"image": 256, "audio": 50, "document": 512}
 PARTS = "array<struct<type:string,text:string,ref:string,size:bigint>>"
+PLACED = "array<struct<type:string,text:string,ref:string,size:bigint,i:int>>"
+ATTACHED = "array<struct<placeholder:string,type:string,ref:string,tokens:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -51,26 +57,36 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(F.transform(F.split(role, r"\\\\"), piece), "\\\\"))
 
 
-def text_parts(text: Column) -> Column:
-    """A plain text as a list of one part."""
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("text")) == "text"
+
+
+def joined(parts: Column) -> Column:
+    """The parts with their places (``i``); neighbouring text parts are one."""
     null = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), null.cast("string").alias("ref"), null.cast("bigint").alias("size")))
+    numbered = F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), p["ref"].alias("ref"), p["size"].alias("size"), i.alias("i")))
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(F.lit("text").alias("type"), F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(part["text"], F.lit(""))).alias("text"), null.cast("string").alias("ref"), null.cast("bigint").alias("size"), last["i"].alias("i"))
+        one = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
+        return F.when((F.size(done) > 0) & _is_text(part) & _is_text(last), one).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(numbered, F.array().cast(PLACED), add)
 
 
 def visit(parts: Column, turn: Column) -> tuple[Column, Column]:
-    """(flattened text, attachments): parts in order, each by the rule of its type."""
-    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    is_text = lambda x: F.coalesce(x["p"]["type"], F.lit("text")) == "text"
-    holder = lambda x: F.concat(F.lit("<|"), F.replace(escape_role(x["p"]["type"]), F.lit("|"), F.lit("\\b")), F.lit(":"), F.coalesce(turn.cast("string"), F.lit("")), F.lit("."), x["i"].cast("string"), F.lit("|>"))
-    flat = F.transform(numbered, lambda x: F.when(is_text(x), escape(F.coalesce(x["p"]["text"], F.lit("")))).otherwise(holder(x)))
+    """(flattened text, attachments) of placed parts, in order, each by the rule of its type."""
+    holder = lambda x: F.concat(F.lit("<|"), F.replace(escape_role(x["type"]), F.lit("|"), F.lit("\\b")), F.lit(":"), F.coalesce(turn.cast("string"), F.lit("")), F.lit("."), x["i"].cast("string"), F.lit("|>"))
+    flat = F.transform(parts, lambda x: F.when(_is_text(x), escape(F.coalesce(x["text"], F.lit("")))).otherwise(holder(x)))
 
     def tokens(x: Column) -> Column:
         per = F.lit(0)
         for kind, n in EXPANSION.items():
-            per = F.when(x["p"]["type"] == kind, F.lit(n)).otherwise(per)
-        return (per * F.coalesce(x["p"]["size"], F.lit(1))).cast("long")
+            per = F.when(x["type"] == kind, F.lit(n)).otherwise(per)
+        return (per * F.coalesce(x["size"], F.lit(1))).cast("long")
 
-    attached = F.transform(F.filter(numbered, lambda x: ~is_text(x)), lambda x: F.struct(holder(x).alias("placeholder"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), tokens(x).alias("tokens")))
+    attached = F.transform(F.filter(parts, lambda x: ~_is_text(x)), lambda x: F.struct(holder(x).alias("placeholder"), x["type"].alias("type"), x["ref"].alias("ref"), tokens(x).alias("tokens")))
     return F.array_join(flat, ""), attached
 
 
@@ -80,16 +96,19 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``turns`` has conv_id, turn, role and either ``parts`` (type PARTS) or ``text``.  A loss span is
     (segment, start, length) in code points of the segment, the part of the output up to a close mark.
     """
-    parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else text_parts(F.col("text"))
-    role = F.coalesce(F.col("role"), F.lit(""))
-    body, attached = visit(F.coalesce(F.col("p"), F.array().cast(PARTS)), F.col("turn"))
-    t = turns.select("conv_id", "turn", role.alias("role"), parts.alias("p"))
-    t = t.select("conv_id", "turn", "role", body.alias("body"), attached.alias("attached"))
-    t = t.withColumn("head", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(ROLE_END)))
-    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "head", "attached"))).alias("t"))
+    typed = "parts" in turns.columns
+    given = joined(F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))) if typed else F.coalesce(F.col("text"), F.lit(""))
+    t = turns.select("conv_id", F.struct(F.col("turn").isNull().alias("unnumbered"), "turn", F.coalesce("role", F.lit("")).alias("role"), given.alias("given")).alias("x"))
+    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("t"))
+
+    def laid(x: Column) -> Column:
+        body, attached = visit(x["given"], x["turn"]) if typed else (escape(x["given"]), F.array().cast(ATTACHED))
+        return F.struct((x["role"] == "assistant").alias("loss"), F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(ROLE_END)).alias("head"), body.alias("body"), attached.alias("attached"))
+
+    t = t.select("conv_id", F.transform("t", laid).alias("t"))
     segments = F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))
     spans = F.filter(
-        F.transform("t", lambda x, i: F.struct(i.alias("segment"), (F.char_length(x["head"]) + 1).alias("start"), F.char_length(x["body"]).alias("length"), (x["role"] == "assistant").alias("loss"))),
+        F.transform("t", lambda x, i: F.struct(i.alias("segment"), (F.char_length(x["head"]) + 1).alias("start"), F.char_length(x["body"]).alias("length"), x["loss"].alias("loss"))),
         lambda s: s["loss"],
     )
     attachments = F.flatten(F.transform("t", lambda x: x["attached"]))
