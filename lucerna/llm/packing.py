@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches, write_shared
+from lucerna.llm.common import slices, write_shared
 from lucerna.llm.tokenize import public_path, tokenizer
 
 CAPACITY = 2048
-#: Pieces of one length are numbered in so many slices, so that no task holds a whole length.
-SLICES = 64
+#: Pieces of one length are numbered in cells of about so many.
+CELL_ROWS = 1_000_000
 
 
 class RoomTree:
@@ -105,14 +105,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, *, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document."""
-    bounded_batches(documents.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(path, added_tokens)
         mark = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids, bounds = tok.encode([t or "" for t in b.column("text").to_pylist()])
             raw = ids.tobytes()
             docs, piece, start, length, crc = [], [], [], [], []
@@ -134,26 +132,29 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length``; ``cut`` must give the same rows when read again.
 
-    To the driver goes one count for each length and slice, at most capacity x SLICES numbers; the
-    plan that comes back has a few runs for each length.
+    Pieces of one length are numbered in cells of about CELL_ROWS rows, so no task sorts a whole length.
+    To the driver go one count for each length, then one for each cell: at most ``capacity`` and a
+    CELL_ROWS-th of the pieces.  What comes back are the cells' first numbers and the plan's runs.
     """
     spark = cut.sparkSession
-    sliced = cut.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SLICES)).cast("int"))
-    counted = sliced.groupBy("length", "__slice").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = defaultdict(int)
-    slices: list[tuple[int, int, int]] = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["__slice"])):
-        slices.append((r["length"], r["__slice"], counts[r["length"]]))
-        counts[r["length"]] += r["n"]
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    wide = spark.createDataFrame(sorted((k, -(-n // CELL_ROWS)) for k, n in counts.items()), "length long, __cells long")
+    celled = cut.join(F.broadcast(wide), "length").withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("__cells"))).drop("__cells")
+    cells: list[tuple[int, int, int]] = []
+    before: dict[int, int] = defaultdict(int)
+    for r in sorted(celled.groupBy("length", "__cell").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["length"], r["__cell"])):
+        cells.append((r["length"], r["__cell"], before[r["length"]]))
+        before[r["length"]] += r["n"]
     runs: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
     for length, first, bins, per, to, offset in plan(counts, capacity):
         runs[length].append((first, bins, per, to, offset))
-    before = spark.createDataFrame(slices, "length long, __slice int, __before long")
+    firsts = spark.createDataFrame(cells, "length long, __cell long, __before long")
     runs_of = spark.createDataFrame(sorted(runs.items()), "length long, __runs array<struct<first:long,bins:long,per:long,bin:long,at:long>>")
-    within = Window.partitionBy("length", "__slice").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = sliced.join(F.broadcast(before), ["length", "__slice"]).withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
-    fits = lambda x: (x["first"] <= F.col("__rank")) & (F.col("__rank") < x["first"] + x["bins"] * x["per"])
-    found = ranked.join(F.broadcast(runs_of), "length").withColumn("__run", F.filter("__runs", fits)[0])
+    within = Window.partitionBy("length", "__cell").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = celled.join(F.broadcast(firsts), ["length", "__cell"]).withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
+    # Runs of a length come in the order of their first ranks: the last one that begins at or before a rank holds it.
+    begun = F.size(F.filter(F.col("__runs"), lambda x: x["first"] <= F.col("__rank")))
+    found = ranked.join(F.broadcast(runs_of), "length").withColumn("__run", F.element_at("__runs", begun))
     nth = F.col("__rank") - F.col("__run.first")
     return found.select(
         *cut.columns,
@@ -162,7 +163,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, *, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(documents: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    cut, _ = write_shared(pieces(documents, path or public_path("word_bpe_49k.json"), capacity), "pieces")
+    cut, _ = write_shared(pieces(documents, path or public_path("word_bpe_49k.json"), capacity, added_tokens=added_tokens), "pieces")
     return place(cut, capacity)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches, write_shared
+from lucerna.llm.common import slices, write_shared
 from lucerna.llm.tokenize import public_path, tokenizer
 
 #: The histogram is summed in ranges of so many lengths, so that no task holds all lengths.
@@ -23,14 +23,13 @@ RANGE = 4096
 QUANTILES = (0.5, 0.9, 0.99)
 
 
-def token_lengths(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of every document."""
-    bounded_batches(documents.sparkSession)
+def token_lengths(documents: DataFrame, path: str | None = None, *, added_tokens: bool = False) -> DataFrame:
+    """doc_id and n_tokens of every document; see :mod:`lucerna.llm.tokenize` for added tokens written in a text."""
     path = path or public_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
-        for b in batches:
+        tok = tokenizer(path, added_tokens)
+        for b in slices(batches):
             _, bounds = tok.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "n_tokens"])
 
@@ -83,7 +82,7 @@ def totals_at(sums: DataFrame, limit: int) -> DataFrame:
     return sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(cut), F.lit(0)).alias("truncated_tokens"))
 
 
-def count_tokens(documents: DataFrame, *, path: str | None = None) -> DataFrame:
+def count_tokens(documents: DataFrame, *, path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """The histogram with its suffix sums, one row for each length that occurs."""
-    histogram, _ = write_shared(length_histogram(token_lengths(documents, path)), "lengths")
+    histogram, _ = write_shared(length_histogram(token_lengths(documents, path, added_tokens=added_tokens)), "lengths")
     return suffix_sums(histogram)

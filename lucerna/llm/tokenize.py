@@ -4,6 +4,10 @@ The file splits a normalised text into words and encodes each on its own, so a t
 concatenated ids of its words.  Most words recur: each Python worker keeps a bounded cache of
 packed ids and asks the tokenizer only for words it has not seen.  Texts with characters for which
 this split is not reproduced here go to the tokenizer whole, so the ids are always the tokenizer's.
+
+A file may name added tokens, such as an end mark, that are found in a text before it is split.  With
+``added`` their written form in a text gives their id, as the tokenizer does by default; without it, it
+is text like any other, so that a document cannot forge a mark.
 """
 
 from __future__ import annotations
@@ -48,13 +52,16 @@ def _foreign(text: str) -> bool:
 class WordTokenizer:
     """Ids of whole texts, as unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        pre = json.dumps(json.loads(self.tokenizer.to_str()).get("pre_tokenizer"))
+        self.tokenizer.encode_special_tokens = not added
+        told = json.loads(self.tokenizer.to_str())
+        pre = json.dumps(told.get("pre_tokenizer"))
+        #: Texts that hold one of these go to the tokenizer whole.
+        self.marks = [t["content"].lower() for t in told.get("added_tokens", []) if t["content"] and (added or not t["special"])]
         self.by_word = "'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -62,6 +69,10 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def _marked(self, text: str) -> bool:
+        low = text.lower()
+        return any(m in low for m in self.marks)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """Without the caches."""
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -99,7 +110,7 @@ class WordTokenizer:
         for i, text in enumerate(texts):
             if not text.isascii() and self.by_word and not _foreign(text):
                 text = unicodedata.normalize("NFC", text)
-            if not self.by_word or _foreign(text):
+            if not self.by_word or _foreign(text) or self.marks and self._marked(text):
                 foreign[i] = np.frombuffer(self.whole([text])[0], "<u4")
                 text = ""
             elif not text.isascii():
@@ -129,14 +140,14 @@ class WordTokenizer:
         return ids, bounds
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One per worker process and path."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, added: bool = False) -> WordTokenizer:
+    """One per worker process, path and treatment of added tokens."""
+    if (path, added) not in _loaded:
+        _loaded[path, added] = WordTokenizer(path, added)
+    return _loaded[path, added]
 
 
 def public_path(name: str) -> str:

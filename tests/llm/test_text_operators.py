@@ -234,3 +234,150 @@ def test_media_columns(spark, docs):
     files = media_ogg.media_files(docs).select(F.sha2("media", 256).alias("h")).collect()
     assert Counter(r["h"] for r in files) == Counter(r["media_sha256"] for r in got)
     assert media_ogg.media_columns(docs.limit(0)).count() == 0
+
+
+# Contracts: default ids of the tokenizer, typed parts, ties, odd pages ------
+
+
+def untouched_ids(texts):
+    """Ids of a tokenizer with its default settings: added tokens in a text give their ids."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenize.public_path("word_bpe_49k.json"))
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+MARKS = ["hi <|endoftext|> there", "<|startoftext|>", "a<|ENDOFTEXT|>b", "é<|endoftext|>é <|endoftext", "日本<|endoftext|>", *TEXTS]
+
+
+def test_added_tokens_give_the_ids_of_an_untouched_tokenizer(spark):
+    want = untouched_ids(MARKS)
+    assert want[0] == [1883, 49407, 997]
+    flat, bounds = tokenize.tokenizer(tokenize.public_path("word_bpe_49k.json"), True).encode([x or "" for x in MARKS])
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+    docs = spark.createDataFrame(list(enumerate(MARKS)), "doc_id long, text string")
+    got = {r["n_tokens"]: r["documents"] for r in token_counts.count_tokens(docs, added_tokens=True).collect()}
+    assert got == Counter(map(len, want))
+    crc = {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packing.pack_documents(docs, added_tokens=True).collect()}
+    for i, body in enumerate(want):
+        body = [*body, 0]
+        for k, s in enumerate(range(0, len(body), 2048)):
+            part = body[s : s + 2048]
+            assert crc.pop((i, k)) == (len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert not crc
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "a", " ", "É", "'s", "9", "\n", "日"]), max_size=12).map("".join), max_size=5))
+def test_ids_with_added_tokens_equal_the_untouched_tokenizers(texts):
+    flat, bounds = tokenize.tokenizer(tokenize.public_path("word_bpe_49k.json"), True).encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == untouched_ids(texts)
+
+
+@pytest.mark.parametrize("cell", [3, 1_000_000])
+def test_cells_of_a_length_do_not_change_the_packing(spark, monkeypatch, cell):
+    """A length that fills many cells: every place is used once, as many sequences as placing one piece at a time."""
+    monkeypatch.setattr(packing, "CELL_ROWS", cell)
+    rng = np.random.default_rng(4)
+    lengths = [int(x) for x in rng.choice([1, 2, 3, 7, 11, 20, 33, 40], 300)]
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    by = {}
+    for r in packing.place(cut, 40).collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(n for spans in by.values() for _, n in spans) == sorted(lengths)
+    for spans in by.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 40
+    rooms, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect_left(rooms, n)
+        room = rooms.pop(k) if k < len(rooms) else 40
+        opened += room == 40
+        if room > n:
+            insort(rooms, room - n)
+    assert len(by) == opened
+
+
+def test_control_strings_over_parts_do_not_forge_marks(spark):
+    part = lambda kind, text=None, ref=None: (kind, text, ref, None)
+    rows = [
+        (1, 0, "user", [part("text", "a<"), part("text", "/turn>b")]),
+        (1, 1, "assistant", [part("text", "<"), part(None, "|image:0.0|>"), part("image", ref="r"), part("text", "#"), part("text", "#"), part("text", "#")]),
+        (1, 2, "user", [part("text", "\\"), part("text", "h"), part("text", None)]),
+        (2, 0, "user", []),
+    ]
+    made = format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PARTS}"))
+    back = {r["conv_id"]: r for r in read_back(made).collect()}
+    assert [x["text"] for x in back[1]["turns"]] == ["a</turn>b", "<|image:0.0|><|image:1.2|>###", "\\h"]
+    assert back[1]["loss_text"] == "<|image:0.0|><|image:1.2|>###"
+    out = {r["conv_id"]: r for r in made.collect()}
+    assert out[1]["formatted"].count("<|") == 1 and [x["placeholder"] for x in out[1]["attachments"]] == ["<|image:1.2|>"]
+    assert [x["text"] for x in back[2]["turns"]] == [""]
+
+
+def test_turns_of_equal_or_no_number_follow_as_the_sql_says(spark):
+    import duckdb
+
+    from lucerna.llm.sql import OP7
+
+    rows = [(1, 5, "user", "$x"), (1, 5, "user", "###"), (1, 5, "user", "A"), (1, None, "user", "last"), (1, 0, "user", "first"), (1, 5, "assistant", "z"), (1, 5, None, None), (2, None, "assistant", "</turn>"), (-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    got = chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows[:-2])
+    want = con.sql(OP7).df()[list(got.columns)]
+    assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
+
+
+def test_quotes_inside_attribute_names_open_no_value():
+    assert html_extract.main_text('<p title="5" tall">Hello first</p><p class="x">World</p>') == "Hello first\n\nWorld"
+    assert html_extract.main_text("<p title='a>b' x=\"c>d\" y=e'f>One</p><p a=1/>Two") == "One\n\nTwo"
+
+
+def test_a_wrapper_with_an_unlucky_name_keeps_the_page():
+    body = "<p>One paragraph.</p><p>Another one.</p>"
+    assert html_extract.main_text(f'<body><div class="alert-history"><div id="search-results">{body}</div><div class="ad">buy</div></div><footer>f</footer></body>') == "One paragraph.\n\nAnother one."
+    assert html_extract.main_text(f'<div class="cookie-notice">{"We use cookies. " * 3}</div><div>{body}</div>') == "One paragraph.\n\nAnother one."
+
+
+@pytest.mark.parametrize("unit", ["<div>", '<div class="sidebar"><article>', '<div class="ad">x', "<p>", "<a href='", "<svg>", "<head>", "<!--", "<b x=a c", "</div>", "<li><ul>"])
+def test_deep_pages_take_time_in_proportion(unit):
+    import time
+
+    n = 100_000
+    start = time.process_time()
+    html_extract.main_text(unit * n + "</p></span>" * n + "end")
+    assert time.process_time() - start < 60  # squared work would take hours
+
+
+def planted_page(rng):
+    """(html, main text) of a random page: the text is known because the page is made from it."""
+    words = lambda: " ".join(rng.choice("alpha beta gamma delta <b> & café “q” 1".split()) for _ in range(rng.randrange(1, 30)))
+    shown = lambda t: t.replace("&", "&amp;").replace("<", rng.choice(["&lt;", "&#60;", "&#x3c;"]))
+    blank = lambda t: t.replace(" ", rng.choice([" ", "\n", "  \t"]))
+    odd = lambda: rng.choice(["", " title='x>y'", ' data-a="<p>"', " b=c'd", ' e" f', " class=lead"])
+    furniture = [
+        '<div class="ad">buy <b>now</b></div>', "<nav><ul><li><a href=/x>menu</a></ul></nav>", "<aside><p>side</p></aside>", "<script>if (a < b) document.write('<p>no</p>')</script>", "<style>p > a {}</style>",
+        '<form action="/s"><input name=q> search <button>go</button></form>', "<!-- <p>gone</p> -->", '<div role="alert">notice</div>', '<p hidden>hidden</p>', '<div class="share">share this</div>', "<noscript>no</noscript>",
+    ]
+    blocks, out = [], []
+    for _ in range(rng.randrange(1, 8)):
+        t = words()
+        kind = rng.choice(["p", "h2", "blockquote", "div", "li", "section"])
+        inner = " ".join(f"<em{odd()}>{shown(w)}</em>" if rng.random() < 0.2 else shown(w) for w in t.split(" "))
+        out.append(f"<{kind}{odd()}>{blank(inner) if '<em' not in inner else inner}</{kind}>" if kind != "li" else f"<ul><li{odd()}>{inner}</ul>")
+        blocks.append(t)
+        if rng.random() < 0.5:
+            out.append(rng.choice(furniture))
+    body = "\n".join(out)
+    page = f"<!doctype html><html><head><title>t</title></head><body><header><h1>site</h1></header>{rng.choice(furniture)}<article>{body}</article><section class=comments><p>me too</p></section><footer>f</footer></body></html>"
+    return page, "\n\n".join(blocks)
+
+
+def test_random_pages_give_the_text_they_were_made_from():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(400):
+        page, want = planted_page(rng)
+        assert html_extract.main_text(page) == want, page
