@@ -9,6 +9,7 @@ cannot hold the global one.  What moves is therefore at most k numbers for each
 Rows and edge cases: vectors that are null or hold null or non-finite components, and null ids, take
 no part; a repeated id counts once, with its smallest vector; vectors of another length than the
 query's are not compared with it; fewer than k candidates give them all; an empty table gives nothing.
+Components so large that a score may not fit a long are refused with an error.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import write_shared
+from lucerna.llm.common import drop_shared, slices, write_shared
+from lucerna.sources.shared import sliced
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
 #: Bins of one round, as a power of two.
 BIN_BITS = 12
-#: Candidate blocks are spread over so many groups; each group meets every query block.
-GROUPS = 24
+#: Candidate blocks of one group; each group meets every query block, so work is dealt as finely as there are blocks.
+GROUP_BLOCKS = 4
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -52,7 +54,7 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
             data = np.array(vs, "<i8").reshape(len(ids), dim)[order]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([zlib.crc32(raw)], pa.int64()), pa.array([raw]), pa.array([data.tobytes()])], ["dim", "block", "ids", "data"])
 
-        for b in batches:
+        for b in slices(batches):
             q = b.column("q")
             flat, at = q.values.to_numpy(zero_copy_only=False), q.offsets.to_numpy()
             for i, vec in enumerate(b.column("vec_id").to_pylist()):
@@ -108,14 +110,18 @@ def _histogram(row: dict, width: int, k: int) -> tuple[list[np.ndarray], list[np
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     """The k best candidates of each vector whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    rows, _ = write_shared(quantised(vectors), "vectors")
-    candidates, _ = write_shared(_blocks(rows, CANDIDATE_BLOCK).withColumn("salt", F.pmod(F.col("block"), F.lit(GROUPS))), "candidates")
+    rows, row_path = write_shared(quantised(vectors), "vectors")
+    stats = rows.agg(F.max(F.array_max(F.transform("q", lambda x: F.abs(x.cast("double"))))).alias("most"), F.max(F.size("q")).alias("dim")).first()
+    bound = max(1, int(stats["most"] or 0) ** 2 * max(1, stats["dim"] or 1))
+    if bound >= 2**63:
+        raise ValueError("scores of these vectors do not fit a long")
+    blocks, block_path = write_shared(_blocks(rows, CANDIDATE_BLOCK), "blocks")
+    groups = max(1, -(-blocks.count() // GROUP_BLOCKS))
+    candidates = blocks.withColumn("salt", F.pmod(F.col("block"), F.lit(groups)))
     asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
-    queries, _ = write_shared(_blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "queries")
-    stats = rows.agg(F.max(F.array_max(F.transform("q", F.abs))).alias("most"), F.max(F.size("q")).alias("dim")).first()
-    bound = max(1, (stats["most"] or 0) ** 2 * max(1, stats["dim"] or 1))
+    queries, query_path = write_shared(_blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "queries")
     bits = max(0, (2 * bound + 1).bit_length() - BIN_BITS)
-    state = None
+    state, paths = None, []
 
     def pairs(state: DataFrame | None) -> DataFrame:
         q = queries
@@ -123,12 +129,12 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
             q = q.withColumns({c: F.lit(None).cast("binary") for c in ("low", "high", "need")})
         else:
             q = q.join(state, "q_block", "left")
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))))
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         return candidates.join(q, ["dim", "salt"]).select("dim", "ids", "data", "q_block", "q_ids", "q_data", "low", "high", "need")
 
     def counted(width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, 1):
                 for row in b.to_pylist():
                     got = _histogram(row, width, k)
                     if got[0]:
@@ -149,14 +155,16 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
         cum = sums.withColumn("upto", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("bin").over(down).isNull())
         at = cum.filter((F.col("upto") - F.col("n") < F.col("still")) & ((F.col("upto") >= F.col("still")) | F.col("last")))
         needs = at.select("q_block", "query_id", (F.col("still") - F.col("upto") + F.col("n")).alias("still"), (F.col("bin") * width).alias("low"), ((F.col("bin") + 1) * width - 1).alias("high"))
-        needs, _ = write_shared(needs, "selected")
-        state = _packed(queries, needs)
+        needs, need_path = write_shared(needs, "selected")
+        if paths:
+            drop_shared(spark, *paths)
+        paths, state = [need_path], _packed(queries, needs)
         if bits == 0:
             break
         bits = max(0, bits - BIN_BITS)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for row in b.to_pylist():
                 qid, cid, s = _scores(row)
                 low = np.frombuffer(row["low"], "<i8")
@@ -169,7 +177,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kept = pairs(state).mapInArrow(final, "query_id long, vec_id long, score long")
+    kept, _ = write_shared(pairs(state).mapInArrow(final, "query_id long, vec_id long, score long"), "kept")
+    drop_shared(spark, row_path, block_path, query_path, *paths)
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -177,7 +186,7 @@ def _packed(queries: DataFrame, needs: DataFrame) -> DataFrame:
     """low, high and need of a query block's queries, in the block's order; at most QUERY_BLOCK of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for row in b.to_pylist():
                 by = {x["query_id"]: x for x in row["found"] or []}
                 ids = np.frombuffer(row["q_ids"], "<i8").tolist()
