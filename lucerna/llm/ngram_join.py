@@ -17,8 +17,8 @@ by hash).  Sizes where a set could link with one of the other kind use both orde
 The words of a shingle and the least similarity are parameters of a call; the constants are defaults.
 
 Rows and edge cases: null and empty texts have the empty set and no link; a null id is linked with
-nothing and has no component; repeated rows are copies of each other, and an id names one text; other
-columns are ignored; an empty table gives nothing.
+nothing and has no component; repeated rows are copies of each other; an id that comes with several
+texts stands for the smallest of them, in every row; other columns are ignored; an empty table gives nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches, drop_shared, write_shared
+from lucerna.llm.common import drop_shared, slices, write_shared
 from lucerna.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -92,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
     ``tokens`` holds both orders' shingles; the lowest bit tells which order a token belongs to.
     """
     large_size, low = large_from(percent), np.uint64(lowest_part(percent))
-    for b in batches:
+    for b in slices(batches):
         n, keys, tokens, small, large = [], [], [], [], []
         for text in b.column("text").to_pylist():
             s = shingles(text, words)
@@ -291,14 +291,24 @@ def _join_unit(t: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table({"a": rep[some], "b": rep[reach.labels()][some], "links": links[some].astype(np.int64)})
 
 
+def one_text_per_id(texts: DataFrame) -> DataFrame:
+    """Rows with the smallest text of their id; only ids with several texts, told by hashes, are joined."""
+    hashed = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    odd, path = write_shared(hashed.filter("lo <> hi").select("doc_id"), "several")
+    if odd.isEmpty():
+        drop_shared(texts.sparkSession, path)
+        return texts
+    own = texts.join(odd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("own"))
+    return texts.join(own, "doc_id", "left").select("doc_id", F.coalesce("own", "text").alias("text"))
+
+
 def ngram_components(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_links: how many other documents each document links with.
 
     Sets of shingles of ``words`` words link from a Jaccard similarity of ``percent`` hundredths on.
     """
-    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = one_text_per_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     sketches, sketch_path = write_shared(texts.mapInArrow(lambda batches: _sketch(batches, words, percent), "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
     ids, _ = write_shared(sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), "ids")
     classes = ids.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
