@@ -11,13 +11,14 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_batches, id_remainder
+from lucerna.llm.common import id_remainder, numbers, slices
 from lucerna.llm.gbdt import Forest, Isotonic, fit, isotonic
 from lucerna.llm.quality import TRAINING_ROWS, labelled_sample, training_rows
 
@@ -29,8 +30,8 @@ SECOND_PERSON = frozenset("you your yours yourself ya u tu te toi ton ta tes vou
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 #: A word form enters the learned lexicon when its likelihood ratio is at least this, and most of its documents are toxic.
 LEAST_RATIO = 20.0
-#: The learned lexicon keeps at most so many forms, the strongest first; it is held by every task.
-LEXICON_FORMS = 4_000
+#: Words whose forms a worker keeps looked up; a full table starts anew.
+KNOWN_WORDS = 300_000
 BEGINNINGS = (4, 5, 6)
 WINDOW = 5
 
@@ -39,15 +40,29 @@ FEATURES = (
     "near_you", "you_density", "upper_words", "upper_letters", "bangs", "questions", "repeated_marks", "masked_words", "letter_digit_words", "spaced_letters", "disguised_hits",
 )
 
-_WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}<>«»…-—*_`~"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _REPEATED = re.compile(r"([!?.])\1{2,}")
-_MASKED = re.compile(r"[^\W\d_][*#@$%]+[^\W\d_]")
+_MASKED = re.compile(r"(?<=[^\W\d_])[*#@$%]+(?=[^\W\d_])")
+
+
+_CAPITALS = bytes(range(65, 91))
+_ASCII = bytes(range(128))
+
+
+def capitals(text: str) -> int:
+    """How many characters are upper case."""
+    raw = text.encode("utf-8", "surrogatepass")
+    other = raw.translate(None, _ASCII)
+    return len(raw) - len(raw.translate(None, _CAPITALS)) + (sum(map(str.isupper, other.decode("utf-8", "surrogatepass"))) if other else 0)
+
+
+def token(word: str) -> str:
+    return word.lower().strip(_EDGE)
 
 
 def tokens(text: str) -> list[str]:
-    return [y for x in _WORD.findall(text.lower()) if (y := x.strip(_EDGE))]
+    return [y for x in text.split() if (y := token(x))]
 
 
 def forms(word: str) -> list[str]:
@@ -55,9 +70,55 @@ def forms(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
+class Known(NamedTuple):
+    """What a written word says, with and without the lexicon."""
+
+    token: str
+    seed: bool
+    strength: float
+    disguised: bool
+    you: bool
+    shouted: bool
+    mixed: bool
+
+
+#: Words of letters whose beginning no list and no form has.
+_PLAIN, _SHOUTED = (Known("x", False, 0.0, False, False, shouted, False) for shouted in (False, True))
+
+
+class Lexicon:
+    """Strengths of word forms.  What a word says is looked up once for each worker."""
+
+    def __init__(self, forms: dict[str, float]):
+        self.forms = forms
+        #: How every word begins that a list or a form has.
+        self.heads = {x.removeprefix("^")[: BEGINNINGS[0]] for x in (*forms, *SEED_WORDS, *SECOND_PERSON)}
+        self.known: dict[str, Known] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def plain(self, word: str) -> bool:
+        return word in SEED_WORDS or bool(self.forms.get(word))
+
+    def learn(self, word: str) -> Known:
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        w = token(word)
+        if w.isalpha() and w[: BEGINNINGS[0]] not in self.heads:
+            found = self.known[word] = _SHOUTED if len(word) > 1 and word.isupper() else _PLAIN
+            return found
+        seed, strength = w in SEED_WORDS, max([self.forms.get(f, 0.0) for f in forms(w)])
+        odd = not w.isalpha()
+        disguised = odd and not (seed or strength) and self.plain(re.sub(r"[^\w]", "", w.translate(LOOKALIKES)))
+        mixed = odd and any(map(str.isdigit, w)) and any(map(str.isalpha, w))
+        found = self.known[word] = Known(w, seed or disguised, strength, disguised, w in SECOND_PERSON, len(word) > 1 and word.isupper(), mixed)
+        return found
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    lexicon: dict[str, float]
+    lexicon: Lexicon
     forest: Forest
     calibration: Isotonic
 
@@ -66,79 +127,80 @@ class ToxicityModel:
         return np.clip(self.calibration(self.forest.probability(x)), 0, 1)
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
-    words = tokens(text)
-    n = max(1, len(words))
     raw = text.split()
-    strength: dict[str, float] = {}
-    seeds = learned = total = disguised = 0.0
-    hits, kinds = [], set()
-    tally = Counter(words)
-    for w, c in tally.items():
-        seed = w in SEED_WORDS
-        s = max([lexicon.get(f, 0.0) for f in forms(w)])
-        if not (seed or s) and not w.isalpha():
-            plain = re.sub(r"[^\w]", "", w.translate(LOOKALIKES))
-            if plain in SEED_WORDS or lexicon.get(plain):
-                disguised += c
-                seed = True
-        if seed or s:
-            strength[w] = s
-            kinds.add(w)
-            seeds += c * seed
-            learned += c * (s > 0)
-            total += c * s
-    you = SECOND_PERSON & tally.keys()
-    if strength:
-        hits = [i for i, w in enumerate(words) if w in strength]
+    count = seeds = learned = total = disguised = said = shouted = mixed = 0.0
+    strong = set()
+    get = lexicon.known.get
+    for word, c in Counter(raw).items():
+        k = get(word) or lexicon.learn(word)
+        shouted += c * k.shouted
+        if not k.token:
+            continue
+        count += c
+        if k.seed or k.strength:
+            strong.add(k.token)
+            seeds += c * k.seed
+            learned += c * (k.strength > 0)
+            total += c * k.strength
+            disguised += c * k.disguised
+        if k.you:
+            said += c
+        if k.mixed:
+            mixed += c
+    n = max(1.0, count)
     near = 0
-    if hits and you:
-        spots = np.array([i for i, w in enumerate(words) if w in you])
+    if strong and said:
+        words = [w for x in raw if (w := token(x))]
+        hits = [i for i, w in enumerate(words) if w in strong]
+        spots = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
         at = np.searchsorted(spots, hits)
         for i, k in zip(hits, at, strict=True):
             near += any(0 <= j < len(spots) and abs(spots[j] - i) <= WINDOW for j in (k - 1, k))
     spaced = _SPACED.findall(text)
     for x in spaced:
-        plain = re.sub(r"[\W_]", "", x.lower())
-        if plain in SEED_WORDS or lexicon.get(plain):
+        if lexicon.plain(re.sub(r"[\W_]", "", x.lower())):
             disguised += 1
             seeds += 1
-    letters = sum(map(str.isupper, text))
     return [
-        np.log1p(len(words)),
+        np.log1p(count),
         seeds / n,
         seeds,
         learned / n,
         learned,
         total / n,
-        float(len(kinds)),
+        float(len(strong)),
         near / n,
-        sum(tally[w] for w in you) / n,
-        sum(1 for w in raw if len(w) > 1 and w.isupper()) / n,
-        letters / max(1, len(text)),
+        said / n,
+        shouted / n,
+        capitals(text) / max(1, len(text)),
         text.count("!") / n,
         text.count("?") / n,
         len(_REPEATED.findall(text)) / n,
         len(_MASKED.findall(text)) / n,
-        sum(c for w, c in tally.items() if not w.isalpha() and any(map(str.isdigit, w)) and any(map(str.isalpha, w))) / n,
+        mixed / n,
         len(spaced) / n,
         disguised / n,
     ]
 
 
-def matrix(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
+def matrix(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return np.array([features(t, lexicon) for t in texts], float).reshape(-1, len(FEATURES))
 
 
-def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Word forms whose documents are mostly toxic, by a likelihood-ratio test on document counts."""
+def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
+    """Word forms whose documents are mostly toxic, by a likelihood-ratio test on document counts.
+
+    The test alone decides; ``train`` is bounded by its row limit, and so is what can pass.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             pos, neg = Counter(), Counter()
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                (pos if label else neg).update({f for w in set(tokens(text or "")) for f in forms(w) if len(f) <= 40})
+                words = set(tokens(text or ""))
+                (pos if label else neg).update(words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in BEGINNINGS)))
             keys = list(pos.keys() | neg.keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], ["form", "pos", "neg"])
 
@@ -147,10 +209,9 @@ def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
     ratio = 2 * (F.col("pos") * F.log(share / p0) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - p0))).otherwise(0.0))
     if not toxic or not clean:
-        return {}
+        return Lexicon({})
     strong = counted.filter((F.col("pos") > 0) & (share >= max(0.5, p0))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    best = strong.orderBy(F.desc("ratio"), "form").limit(LEXICON_FORMS).collect()
-    return {r["form"]: float(np.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in best}
+    return Lexicon({r["form"]: float(np.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in strong.orderBy("form").collect()})
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, rows: int = TRAINING_ROWS, folds: int = 3) -> ToxicityModel:
@@ -158,14 +219,13 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, h
 
     The calibration is learned from predictions on folds that the trees had not seen.
     """
-    bounded_batches(documents.sparkSession)
     sample = labelled_sample(labels, "toxic", modulus, held_out, rows)
     train = training_rows(documents, sample)
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     lexicon = learn_lexicon(train, counts.get(1, 0), counts.get(0, 0))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = matrix(b.column("text").to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -184,7 +244,7 @@ def toxicity_score(model: ToxicityModel) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts.to_pylist()), pa.float64())
+        return numbers(model.score, texts)
 
     return lambda text: score(text.cast("string"))
 
