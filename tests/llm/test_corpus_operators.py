@@ -342,3 +342,108 @@ def test_duplicate_stage_equals_brute_force_at_five_words(spark, monkeypatch, un
     assert got == want
     assert links > 20 and 1000 in want and 1001 not in want and 1002 not in want
     assert sorted({c for _, _, c, _ in brute_components([r for r in rows if r[1] and r[1].strip()])}) != [i for i in want if dict(rows)[i] and dict(rows)[i].strip()]
+
+
+# Former bounds, and brute force for what SQL cannot express ------------------
+
+
+def test_an_id_with_several_texts_stands_for_the_smallest(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, b), (1, a), (2, a), (3, b), (4, a + " more")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (27, 1), 2: (27, 1), 3: (27, 3), 4: (28, 1)}
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    vectors = spark.createDataFrame([(0, [1e12, 0.0]), (1, [1e12, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="long"):
+        topk.top_k(vectors)
+
+
+def test_more_domains_than_weights_are_refused(spark):
+    docs = spark.createDataFrame([(i, f"w{i}", f"d{i}") for i in range(mixing.DOMAINS + 1)], "doc_id long, text string, domain string")
+    with pytest.raises(ValueError, match="domains"):
+        mixing.mix(docs, docs.select("doc_id", "domain"), {"d1": 1.0})
+
+
+def test_rates_are_the_nonnegative_least_squares(spark):
+    """Targets that cannot be met: plain coordinate descent reaches hardly less (in parts of the sum at first)."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["a1", "a2", "b1", "b2", "both"], k=rng.randrange(3, 20))), rng.choice("ab")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    got = mixing.mix(docs, docs.select("doc_id", "domain"), {"a": 0.999, "b": 0.001}).collect()
+    m = np.array([[x * r["n_tokens"] for x in r["p"]] for r in got]).T
+    rate, now = np.array([r["rate"] for r in got]), m.sum(1)
+    goal = np.array([0.999, 0.001]) * now.sum()
+    assert np.allclose(got[0]["targets"], goal) and np.allclose(got[0]["reached"], m @ rate)
+    squares = lambda r: (((m @ r - goal) ** 2) / now).sum()
+    best = np.ones(len(got))
+    for _ in range(3000):
+        for i in range(len(best)):
+            a = m[:, i]
+            best[i] = max(0.0, best[i] - (a * (m @ best - goal) / now).sum() / (a * a / now).sum())
+    assert rate.min() >= 0 and squares(rate) - squares(best) <= 0.02 * squares(np.ones(len(got)))
+
+
+def test_rates_meet_targets_of_many_overlapping_domains(spark):
+    rng = random.Random(9)
+    names = "abcdefgh"
+    rows = [(i, " ".join(rng.choices([f"{d}{k}" for k in range(3)] + ["x", "y", "z"], k=rng.randrange(4, 30))), d) for i, d in enumerate(rng.choices(names, k=300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    targets = {d: k + 1.0 for k, d in enumerate(names)}
+    r = mixing.mix(docs, docs.select("doc_id", "domain"), targets).first()
+    assert np.allclose(r["reached"], r["targets"], rtol=1e-2)
+
+
+def test_long_and_many_forms_enter_the_lexicon(spark):
+    long = "z" * 90
+    rows = [(i, " ".join([f"toxic{k:04d}word" for k in range(6000)] + [long]) if i % 2 else "a fine day " * 5, i % 2) for i in range(30)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int"), 15, 15)
+    assert len(lexicon.forms) > 6000 and long in lexicon.forms
+
+
+def test_toxicity_features_by_hand():
+    lexicon = toxicity.Lexicon({"mora": 2.0, "^blub": 1.0})
+    x = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT, you mora! blubber m0ra... Éa, s c u m, a*b", lexicon), strict=True))
+    n = 12  # you idiot you mora blubber m0ra éa s c u m a*b
+    want = {
+        "log_words": np.log1p(n), "seed_count": 3, "learned_count": 2, "learned_strength": 3 / n, "distinct_hits": 4, "near_you": 4 / n, "you_density": 3 / n, "upper_words": 1 / n,
+        "bangs": 1 / n, "questions": 0, "repeated_marks": 1 / n, "masked_words": 1 / n, "letter_digit_words": 1 / n, "spaced_letters": 1 / n, "disguised_hits": 2 / n,
+    }
+    text = "You IDIOT, you mora! blubber m0ra... Éa, s c u m, a*b"
+    assert x["upper_letters"] == sum(c.isupper() for c in text) / len(text)
+    assert {k: round(x[k], 9) for k in want} == {k: round(float(v), 9) for k, v in want.items()}
+    again = toxicity.features(text, lexicon)
+    assert again == list(x.values())
+
+
+def test_first_split_is_the_best_of_all_splits():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=60) > 0.2).astype(float)
+    f = gbdt.fit(x, y, trees=1, depth=1, bins=1000)
+    p = (y.sum() + 0.5) / 61
+    g, h = p - y, np.full(60, p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    best = max((score(x[:, j] <= c) + score(x[:, j] > c), j) for j in range(3) for c in np.unique(x[:, j])[:-1] if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= 1.0)
+    left = x[:, f.feature[0, 0]] <= f.threshold[0, 0]
+    assert abs(score(left) + score(~left) - best[0]) < 1e-9
+    assert np.allclose(f.value[0], [-0.2 * g[m].sum() / (h[m].sum() + 1.0) for m in (left, ~left)])
+
+
+def test_quality_features_by_hand():
+    x = dict(zip(quality.FEATURES, quality.features("One two one TWO.\n\nAb $x é\nAb $x é"), strict=True))
+    assert x["distinct_words"] == 7 / 10 and x["top_word"] == 2 / 10 and x["shouted_words"] == 1 / 10
+    assert x["log_lines"] == np.log1p(3) and x["repeated_lines"] == 1 - (16 + 7) / (16 + 14) and x["longest_word"] == np.log1p(4)
+    assert x["repeated_trigrams"] == 1 - 7 / 8 and x["short_words"] == 6 / 10
+    assert quality.features(None) == quality.features("")
+
+
+def test_settings_are_as_before(spark):
+    """Corpus queries change no setting of the session."""
+    if not os.path.isdir(SF):
+        pytest.skip("no supplied tables")
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    for name, query in QUERIES.items():
+        query(spark, SF).limit(1).collect()
+        assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before, name
