@@ -7,19 +7,22 @@ materialised once, since every group of findings reads them.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions import names
+from lucerna.operators import office_parts
+from lucerna.operators.office_parts import COMMENTS, EMPTY_CORE, MINIMAL_APP, PERSONS, REVISION_PARTS
 from lucerna.operators.summaries import first_few
+from lucerna.sources.packages import BATCH_ROWS, part_nodes
+from lucerna.sources.shared import sliced
 
 # Part names and patterns, field labels and severities, revision tags.
 FOLDERS = {"word": "Word", "xl": "Excel", "ppt": "PowerPoint"}
-PERSONS = r"^(word/people|xl/persons/person|ppt/persons/person)\.xml$"
-COMMENTS = r"^(word/comments(Extended|Ids|Extensible)?|xl/comments\d*|xl/comments/comment\d*|xl/threadedComments/threadedComment\d*|ppt/commentAuthors|ppt/comments/comment\d*)\.xml$"
-REVISION_PARTS = r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$"
 MACROS = r"(^|/)(vbaProject(Signature)?\.bin|vbaData\.xml)$"
 THUMBNAIL, PRINTERS, REVISION_LOG = r"^docProps/thumbnail\.", "^xl/printerSettings/", "^xl/revisions/"
 EXTERNAL = r"^https?:|^[A-Za-z]:|^\\\\|^/"
@@ -42,10 +45,6 @@ REVISIONS = {
 OTHER_REVISIONS = "cellMerge sectPrChange numberingChange tblGridChange customXmlInsRangeStart customXmlInsRangeEnd customXmlDelRangeStart customXmlDelRangeEnd moveFromRangeStart moveFromRangeEnd moveToRangeStart moveToRangeEnd".split()
 SECRET_ATTRIBUTES = ("connection", "command", "password", "user", "uid", "pwd")
 SHOWN_STRINGS, SHOWN_CHARACTERS = 4, 140
-NS_CORE = 'xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:dcmitype="http://purl.org/dc/dcmitype/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
-XML_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
-EMPTY_CORE = f"{XML_HEAD}<cp:coreProperties {NS_CORE}/>"
-MINIMAL_APP = f'{XML_HEAD}<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties" xmlns:vt="http://schemas.openxmlformats.org/officeDocument/2006/docPropsVTypes"><Application>Microsoft Office Word</Application></Properties>'
 
 
 def rule(condition: Column, grp: str, label: Column | str, value: Column, sev: str, *, keep: bool = False) -> Column:
@@ -244,102 +243,125 @@ def dropped(name: Column, options: dict[str, object]) -> Column:
     return gone
 
 
-def _sub(text: Column, *rules: tuple[str, str]) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
-
-
-def _settled(text: Column, mode: object) -> Column:
-    """Tracked changes accepted or rejected (or left)."""
-    if mode == "keep":
-        return text
-    into, out = ("ins|moveTo|cellIns", "del|moveFrom|cellDel") if mode == "accept" else ("del|moveFrom|cellDel", "ins|moveTo|cellIns")
-    old = r"(?s)<w:(pPr|rPr|tblPr|trPr|tcPr|sectPr)>(?:(?!</w:\1>).)*?<w:\1Change[^>]*>\s*(<w:\1(?:\s[^>]*)?/>|<w:\1[ >].*?</w:\1>)\s*</w:\1Change>\s*</w:\1>"
-    rules = [("(?s)<w:(?:ins|del|moveFrom|moveTo|cellIns|cellDel|moveFromRangeStart|moveFromRangeEnd|moveToRangeStart|moveToRangeEnd)(?:\\s[^>]*)?/>", "")]
-    if mode == "reject":
-        rules += [(old, "$2"), ("<(/?)w:delText", "<$1w:t")]
-    rules += [(rf"(?s)<w:({out})(?:\s[^>]*)?>.*?</w:\1>", ""), (rf"</?w:(?:{into})(?:\s[^>]*)?>", ""), (r"(?s)<w:(pPrChange|rPrChange|tblPrChange|trPrChange|tcPrChange|sectPrChange)(?:\s[^>]*)?>.*?</w:\1>", "")]
-    return _sub(text, *rules)
-
-
-ACCOUNT = "displayName|userId|providerId|initials|author|sip|email|alias"
+CLEANED = "doc_id long, ord int, name string, data binary, stats map<string,int>, error string"
+_CLEANED = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.int32()), pa.string()]
 
 
 def clean_parts(parts: DataFrame, **options: object) -> DataFrame:
     """Parts that stay, rewritten: no names, dates, accounts or technical ids; references to dropped parts go too.
 
-    Text outside markup is never changed, except that accepted or rejected changes take effect.
+    Rewriting goes by namespace and local name, whatever prefixes and quotes a part uses, and leaves every
+    byte that it does not have to change.  Columns: doc_id, ord, name, data, stats (what was counted) and
+    error, for an XML part that cannot be read; its data is null.
     """
     o = checked(options)
     parts = parts.filter(F.col("name").isNotNull())
-    gone = parts.filter(dropped(F.col("name"), o)).select("doc_id", F.col("name").alias("gone"))
-    kept = parts.filter(~dropped(F.col("name"), o))
-    drops = gone.groupBy("doc_id").agg(F.collect_set("gone").alias("gone"))
-    kept = kept.join(drops, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
-    name, x = F.col("name"), F.col("data").cast("string")
-    is_xml = name.endswith(".xml") | name.endswith(".rels")
-    person = _sub(x, (rf"((?:\s|:)(?:{ACCOUNT})=)\"[^\"]*\"", '$1""'))
-    comment = x
-    if o["comments"] != "keep":  # spreadsheets and slides have no deletable comments: their authors are blanked
-        comment = _sub(x, (r"(\sw:(?:author|initials)=)\"[^\"]*\"", '$1""'), (r"(<p:cmAuthor\s[^>]*?\bname=)\"[^\"]*\"", '$1""'), (r"(<p:cmAuthor\s[^>]*?\binitials=)\"[^\"]*\"", '$1""'), (r"\s(?:w:date|dT|dt)=\"[^\"]*\"", ""), (r"<((?:\w+:)?author)>[^<]*</", "<$1></"))
-    revision = _sub(_settled(F.when(name.rlike(COMMENTS), comment).otherwise(x), o["changes"]), (r"(\sw:author=)\"[^\"]*\"", '$1""'), (r"\sw:date=\"[^\"]*\"", ""))
-    if o["comments"] == "delete":
-        revision = _sub(revision, (r"<w:r(?:\s[^>]*)?>\s*<w:commentReference[^>]*/>\s*</w:r>", ""), (r"<w:comment(?:RangeStart|RangeEnd|Reference)[^>]*/>", ""))
-    settings = _sub(x, (r"(?s)<w:rsids>.*?</w:rsids>", ""), (r"<w:(?:trackRevisions|saveThroughXslt|attachedTemplate|rsidRoot)(?:\s[^>]*)?/>", ""))
-    one = lambda g: F.concat(F.lit("<Override[^>]*PartName=\"/\\Q"), g, F.lit("\\E\"[^>]*/>"))
-    types = F.aggregate("gone", x, lambda t, g: F.regexp_replace(t, one(g), F.lit("")))
-    rewritten = F.when(name.rlike(PERSONS), person).when(name.rlike(REVISION_PARTS), revision).when(name.rlike(COMMENTS), comment).when(name == "word/settings.xml", settings).when(name == "[Content_Types].xml", types).otherwise(x)
-    plain = _sub(rewritten, (r"\s(?:\w+:)?(?:rsid\w*|paraId|paraIdParent|textId|docId)=\"[^\"]*\"", ""), (r"<w1[45]:docId(?:\s[^>]*)?/>", ""))
-    body = F.when(name == "docProps/core.xml", F.lit(EMPTY_CORE)).when(name == "docProps/app.xml", F.lit(MINIMAL_APP)).otherwise(plain)
-    out = kept.withColumn("data", F.when(is_xml, body.cast("binary")).otherwise(F.col("data")))
-    return _without_dead_relations(out).select("doc_id", "ord", "name", "data")
-
-
-def _without_dead_relations(parts: DataFrame) -> DataFrame:
-    """Relationships whose target was dropped are cut from their part; outside targets stay."""
-    one = r"<Relationship\s[^>]*/>"
-    each = F.regexp_extract_all(F.col("data").cast("string"), F.lit(one), F.lit(0))
-    target = lambda r: F.regexp_extract(r, "Target=\"([^\"]*)\"", 1)
-    inside = lambda r: ~target(r).rlike("^(https?:|/)") & ~F.contains(r, F.lit('TargetMode="External"'))
-    dead = F.filter(each, lambda r: inside(r) & F.array_contains(F.col("gone"), names.resolve_path(names.relations_owner(F.col("name")), target(r))))
-    cut = F.aggregate(dead, F.col("data").cast("string"), lambda t, r: F.replace(t, r, F.lit("")))
-    return parts.withColumn("data", F.when(F.col("name").endswith(".rels") & (F.size("gone") > 0), cut.cast("binary")).otherwise(F.col("data")))
+    drops = parts.filter(dropped(F.col("name"), o)).groupBy("doc_id").agg(F.collect_set("name").alias("gone"))
+    kept = parts.filter(~dropped(F.col("name"), o)).join(drops, "doc_id", "left").select("doc_id", "ord", "name", "data", F.coalesce("gone", F.array().cast("array<string>")).alias("gone"))
 
+    def one(name: str, data: bytes | None, gone: list[str]) -> tuple[bytes | None, list[tuple[str, int]], str | None]:
+        if not name.endswith((".xml", ".rels")):
+            return data, [], None
+        try:
+            made, stats = office_parts.rewrite(name, data or b"", set(gone), o)
+        except (ValueError, expat.ExpatError) as x:
+            return None, [], f"{name}: {type(x).__name__}: {x}"
+        return made, list(stats.items()), None
 
-# Verification --------------------------------------------------------------
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, BATCH_ROWS):
+            made = [one(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array([m[k] for m in made], _CLEANED[3 + k]) for k in range(3))], [x.split()[0] for x in CLEANED.split(", ")])
+
+    return kept.mapInArrow(run, CLEANED)
 
-#: What must not be left in a cleaned part, by name.
-RESIDUE = {
-    "author": r"\sw:author=\"[^\"]+\"", "initials": r"\sw:initials=\"[^\"]+\"", "date": r"\sw:date=", "rsid": r"\sw:rsid\w*=", "rsids": "<w:rsids?>", "paragraph": r"\s(?:w14|w15):(?:paraId|textId)=",
-    "document": r"<w1[45]:docId", "account": r"\s(?:w15:)?(?:userId|providerId)=\"[^\"]+\"", "person": r"displayName=\"[^\"]+\"", "template": "<w:attachedTemplate", "tracking": "<w:trackRevisions", "comment author": r"<p:cmAuthor\s[^>]*\bname=\"[^\"]+\"",
-}
 
+# Verification --------------------------------------------------------------
 
 def visible_text(data: Column) -> Column:
     """The text runs of a part, in order."""
     return F.array_join(F.regexp_extract_all(data.cast("string"), F.lit(r"<(?:w|a):t(?:\s[^>]*)?>([^<]*)</"), F.lit(1)), "")
 
 
+def told_text(data: Column, mode: str | None) -> Column:
+    """The text of a part as an independent reader tells it: all of it, or what is seen when changes are settled."""
+
+    @F.arrow_udf("string")
+    def told(parts: pa.Array) -> pa.Array:
+        return pa.array([office_parts.told_text(parts[i].as_py(), mode) for i in range(len(parts))], pa.string())
+
+    return told(data)
+
+
+def residue(nodes: DataFrame, options: dict[str, object]) -> DataFrame:
+    """doc_id, part, problem: names, dates, accounts and technical ids that are left, by namespace and local name.
+
+    ``nodes`` has one row for each element, from another reader than the cleaner's.
+    """
+    part, tag, keys, attrs = F.col("part"), F.col("tag"), F.map_keys("attrs"), F.col("attrs")
+    local = lambda k: F.regexp_extract(k, "([^:]*)$", 1)
+    filled = lambda name: F.coalesce(attrs[name], F.lit("")) != ""
+    some = lambda test: F.exists(keys, test)
+    revised, commented = part.rlike(REVISION_PARTS), part.rlike(COMMENTS) & F.lit(options["comments"] != "keep")
+    checks = {
+        "author": revised & filled("w:author"),
+        "date": revised & attrs["w:date"].isNotNull(),
+        "initials": commented & filled("w:initials"),
+        "comment author": commented & ((tag == "p:cmAuthor") & (filled("name") | filled("initials")) | (tag == "ss:author") & (F.trim("text") != "")),
+        "comment date": commented & ((tag == "tc:threadedComment") & attrs["dT"].isNotNull() | (tag == "p:cm") & attrs["dt"].isNotNull()),
+        "account": part.rlike(PERSONS) & some(lambda k: F.lower(local(k)).isin(*office_parts.ACCOUNT) & (F.element_at(attrs, k) != "")),
+        "rsid": some(lambda k: F.lower(local(k)).startswith("rsid")) | tag.isin(*office_parts.SESSIONS),
+        "paragraph": some(lambda k: local(k).isin(*office_parts.PARAGRAPH_IDS)),
+        "document": some(lambda k: local(k) == "docId") | tag.isin(*office_parts.DOCUMENT_IDS),
+        "settings": (part == "word/settings.xml") & tag.isin(*office_parts.SETTINGS),
+    }
+    if options["changes"] != "keep":
+        marks = (*office_parts.ADDED, *office_parts.TAKEN, *office_parts.FORMAT_CHANGES, *office_parts.MARKERS, *office_parts.OLD_TEXT)
+        checks["change"] = revised & tag.isin(*marks)
+    if options["comments"] == "delete":
+        checks["comment reference"] = revised & tag.isin(*office_parts.REFERENCES)
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(f"residue: {k}")) for k, c in checks.items())))
+    return nodes.select("doc_id", "part", F.explode(found).alias("problem")).distinct()
+
+
 def violations(before: DataFrame, after: DataFrame, **options: object) -> DataFrame:
     """What is wrong with cleaned packages: doc_id, part, problem.  Empty means verified.
 
-    Checks: only droppable parts are gone and none is new; residue; text of surviving parts (when
-    changes are kept); content types and relationships that point at missing parts.
+    Checks: only droppable parts are gone and none is new; every XML part reads; residue; the text of
+    surviving parts, as expected for the way changes are treated; content types and relationships that point
+    at missing parts; emptied properties; and, where ``after`` has time and date, the entries' stamps.
     """
     o = checked(options)
-    a = before.filter(F.col("name").isNotNull()).select("doc_id", "name", F.sha2(visible_text(F.col("data")).cast("binary"), 256).alias("ta"))
-    b = after.select("doc_id", "name", F.sha2(visible_text(F.col("data")).cast("binary"), 256).alias("tb"))
+    c, name = F.col, F.col("name")
+    mode = None if o["changes"] == "keep" else str(o["changes"])
+    xml = name.endswith(".xml") | name.endswith(".rels")
+    settled, own = name.rlike(REVISION_PARTS), name.startswith("docProps/") | name.rlike(COMMENTS) & ~name.rlike(REVISION_PARTS)
+    digest = lambda text: F.when(xml & ~own, F.sha2(text.cast("binary"), 256))
+    expected = told_text(c("data"), None) if mode is None else F.when(settled, told_text(c("data"), mode)).otherwise(told_text(c("data"), None))
+    # A cleaned part has no changes left, so what is seen in it does not depend on how they would be settled.
+    obtained = told_text(c("data"), None) if mode is None else F.when(settled, told_text(c("data"), "accept")).otherwise(told_text(c("data"), None))
+    a = before.filter(name.isNotNull()).select("doc_id", "name", digest(expected).alias("ta"), F.lit(True).alias("in_a"))
+    b = after.select("doc_id", "name", digest(obtained).alias("tb"), F.lit(True).alias("in_b"), (xml & told_text(c("data"), None).isNull()).alias("unread"))
     both = a.join(b, ["doc_id", "name"], "full_outer")
-    gone = F.col("tb").isNull() & ~dropped(F.col("name"), o)
-    problem = F.when(gone, "part is missing").when(F.col("ta").isNull(), "part is new").when((F.lit(o["changes"]) == "keep") & (F.col("ta") != F.col("tb")) & ~F.col("name").startswith("docProps/"), "text differs")
-    parts = both.select("doc_id", F.col("name").alias("part"), problem.alias("problem")).filter(F.col("problem").isNotNull())
-    text = F.col("data").cast("string")
-    residue = F.filter(F.array(*(F.when(text.rlike(p), F.lit(f"residue: {k}")) for k, p in RESIDUE.items())), lambda x: x.isNotNull())
-    left = after.filter(F.col("name").endswith(".xml")).select("doc_id", F.col("name").alias("part"), F.explode(residue).alias("problem"))
-    have = after.select("doc_id", F.col("name").alias("ref")).distinct()
-    typed = after.filter(F.col("name") == "[Content_Types].xml").select("doc_id", F.col("name").alias("part"), F.explode(F.regexp_extract_all(text, F.lit("PartName=\"/([^\"]*)\""), F.lit(1))).alias("ref"))
-    relation = after.filter(F.col("name").endswith(".rels")).select("doc_id", F.col("name").alias("part"), F.explode(F.regexp_extract_all(text, F.lit(r"<Relationship\s[^>]*/>"), F.lit(0))).alias("r"))
-    relation = relation.filter(~F.contains("r", F.lit('TargetMode="External"'))).select("doc_id", "part", names.resolve_path(names.relations_owner(F.col("part")), F.regexp_extract("r", "Target=\"([^\"]*)\"", 1)).alias("ref"))
-    dead = typed.unionByName(relation).join(have, ["doc_id", "ref"], "left_anti").select("doc_id", "part", F.concat(F.lit("points at missing "), F.col("ref")).alias("problem"))
-    whole = F.when((F.col("name") == "docProps/core.xml") & (text != EMPTY_CORE), "core properties are left").when((F.col("name") == "docProps/app.xml") & (text != MINIMAL_APP), "application properties are left")
-    properties = after.filter(F.col("name").startswith("docProps/")).select("doc_id", F.col("name").alias("part"), whole.alias("problem")).filter(F.col("problem").isNotNull())
+    problem = (
+        F.when(c("in_b").isNull() & ~dropped(name, o), "part is missing")
+        .when(c("in_a").isNull(), "part is new")
+        .when(c("unread"), "part cannot be read")
+        .when(c("in_b").isNotNull() & ~c("ta").eqNullSafe(c("tb")), "text differs")
+    )
+    parts = both.select("doc_id", name.alias("part"), problem.alias("problem")).filter(c("problem").isNotNull())
+    nodes = part_nodes(after)
+    left = residue(nodes, o)
+    have = after.select("doc_id", name.alias("ref")).distinct()
+    plain = lambda base, ref: names.resolve_path(base, ref)
+    typed = nodes.filter(c("tag") == "ct:Override").select("doc_id", "part", plain(F.lit(""), c("attrs")["PartName"]).alias("ref"))
+    relation = nodes.filter((c("tag") == "rel:Relationship") & ~c("attrs")["TargetMode"].eqNullSafe("External")).select("doc_id", "part", plain(names.relations_owner(c("part")), c("attrs")["Target"]).alias("ref"))
+    dead = typed.unionByName(relation).join(have, ["doc_id", "ref"], "left_anti").select("doc_id", "part", F.concat(F.lit("points at missing "), c("ref")).alias("problem"))
+    text = c("data").cast("string")
+    whole = F.when((name == "docProps/core.xml") & (text != EMPTY_CORE), "core properties are left").when((name == "docProps/app.xml") & (text != MINIMAL_APP), "application properties are left")
+    checks = [whole]
+    if {"time", "date"} <= set(after.columns):
+        checks.append(F.when((c("time") != 0) | (c("date") != 0x21), "entry has a stamp"))
+    listed = F.array_compact(F.array(*checks))
+    properties = after.select("doc_id", name.alias("part"), F.explode(listed).alias("problem"))
     return parts.unionByName(left).unionByName(dead).unionByName(properties)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lucerna.operators.office import findings_of, rule
 from lucerna.operators.relations import dangling, gap_fill, latest, reachable_each, shared_table
+from lucerna.sources import pdf_objects
 from lucerna.sources.packages import MOST_PART
 
 # Labels of the information dictionary, keys that leave the catalogue, patterns of findings.
@@ -33,10 +34,10 @@ XMP = [
     (r"<photoshop:(?:City|Country|Location)>([^<]{1,60})<", "Lugar declarado", "personal"),
 ]
 ANNOTATIONS = r"/Subtype\s*/(?:Text|FreeText|Highlight|Square|Stamp|Ink|FileAttachment)"
-#: A value of a dictionary: reference, dictionary (two deep), list, string, name or number.
-VALUE = r"(?:\d+\s+\d+\s+R|<<(?:[^<>]|<[0-9A-Fa-f\s]*>|<<(?:[^<>]|<[0-9A-Fa-f\s]*>|<<[^<>]*>>)*>>)*>>|\[[^\]]*\]|\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|/?[^\s/<>\[\]()]+)"
-#: A catalogue longer than this is not edited by pattern: the file is refused.
-LONGEST_CATALOG = 20_000
+#: No object can have a higher number (a limit of the format's readers); files that keep one are refused.
+HIGHEST = 8_388_607
+#: Missing numbers in a row that are listed as free; a wider gap begins a new section of the table.
+FREE_ROW = 64
 
 
 def latin(content: Column) -> Column:
@@ -121,14 +122,7 @@ def strings(raw: Column) -> Column:
 
 def scan_objects(files: DataFrame) -> DataFrame:
     """doc_id, num, gen, dict (what precedes a stream), stream (null without one): the last object of each number."""
-    texts = files.select(F.col("doc_id").cast("long").alias("doc_id"), latin(F.col("content")).alias("t"))
-    scanned = texts.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(?<![0-9])(\d{1,10}\s+\d{1,5}\s+obj\b.*?)\bendobj\b"), F.lit(1))).alias("ord", "o"))
-    head = r"(?s)^(\d+)\s+(\d+)\s+obj\s*(.*)$"
-    split = scanned.select("doc_id", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("int").alias("gen"), F.regexp_extract("o", head, 3).alias("body"))
-    has = F.col("body").rlike(r"(?s)>>\s*stream\r?\n")
-    content = F.encode(F.regexp_extract("body", r"(?s)>>\s*stream\r?\n(.*?)\r?\n?endstream", 1), "ISO-8859-1")
-    split = split.select("doc_id", "ord", "num", "gen", stripped(F.when(has, F.regexp_extract("body", r"(?s)^(.*?>>)\s*stream\r?\n", 1)).otherwise(F.col("body"))).alias("dict"), F.when(has, content).alias("stream"))
-    return latest(split, ["doc_id", "num"], ["ord"]).drop("ord")
+    return latest(pdf_objects.read_objects(files), ["doc_id", "num"], ["ord"]).drop("ord")
 
 
 #: Objects whose streams are read; those of all others are only copied.
@@ -229,21 +223,22 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> Da
 
 
 def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
-    """doc_id, content and error of rewritten files: one version, only reachable objects, no metadata or actions.
+    """doc_id, content, stats and error of rewritten files: one version, only reachable objects, no metadata or actions.
 
     ``error`` tells why a file was refused; its content is then null.
     """
     objects = shared_table(read_objects(files), "pdf-objects")
     trailer = shared_table(trailers(files, objects), "trailers")
     roots = trailer.filter(supported(F.col("trailer"))).select("doc_id", F.regexp_extract("trailer", r"/Root\s+(\d+)\s+\d+\s+R", 1).try_cast("long").alias("root"))
-    keys = [*CATALOG_DROP, *(["Names"] if attachments else [])]
-    drop = rf"(?s)/(?:{'|'.join(keys)})(?![A-Za-z])\s*{VALUE}"
-    code = rf"(?s)/JavaScript(?![A-Za-z])\s*{VALUE}"
+    keys = frozenset([*CATALOG_DROP, *(["Names"] if attachments else [])])
+
+    @F.arrow_udf("string")
+    def without(dictionaries: pa.Array) -> pa.Array:
+        return pa.array([x and pdf_objects.without_keys(x, keys, frozenset(["JavaScript"])) for x in dictionaries.to_pylist()], pa.string())
+
     own = objects.join(roots, "doc_id").filter(~F.col("dict").rlike(r"/Type\s*/(XRef|ObjStm)\b"))
     is_root = F.col("num") == F.col("root")
-    short = F.length("dict") <= LONGEST_CATALOG
-    edited = own.withColumn("dict", F.when(is_root & short, F.regexp_replace(F.regexp_replace("dict", drop, ""), code, "")).otherwise(F.col("dict"))).withColumn("long_root", is_root & ~short)
-    edited = shared_table(edited, "edited")
+    edited = shared_table(own.withColumn("dict", F.when(is_root, without(F.when(is_root, F.col("dict")))).otherwise(F.col("dict"))), "edited")
     refs = references(edited)
     # Up to here only dictionaries were handled; streams are read from the files again for what is kept.
     reached = reachable_each(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
@@ -253,20 +248,32 @@ def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
     piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
     head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
     before = F.coalesce(F.sum(F.octet_length("piece")).over(Window.partitionBy("doc_id").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(head)
-    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", "long_root", piece.alias("piece")).withColumn("at", before)
-    whole = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("num", "gen", "at", "piece"))).alias("l"), F.first("root").alias("root"), F.bool_or("long_root").alias("long_root"))
-    body = F.aggregate("l", F.lit(head), lambda a, x: F.concat(a, x["piece"]))
+    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", piece.alias("piece")).withColumn("at", before)
+    # Sections of the table: runs of numbers whose gaps are short.
+    in_order = Window.partitionBy("doc_id").orderBy("num")
+    begins = F.coalesce((F.col("num") - F.lag("num").over(in_order) > FREE_ROW).cast("int"), F.lit(0))
+    sectioned = placed.withColumn("begins", begins).withColumn("section", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    per = sectioned.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("num", "gen", "at", "piece"))).alias("l"), F.first("root").alias("root"))
     spots = F.map_from_entries(F.transform("l", lambda x: F.struct(x["num"], F.format_string("%010d %05d n \n", x["at"], x["gen"]))))
-    last = F.element_at("l", -1)["num"]
-    table = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), last), lambda n: F.coalesce(F.try_element_at("spots", n), F.lit("0000000000 65535 f \n"))), "")
-    made = whole.select("doc_id", "root", "long_root", F.size("l").alias("n"), body.alias("body"), spots.alias("spots"), last.alias("last"), "l").withColumn("table", table)
-    tail = F.concat(F.lit("xref\n0 "), (F.col("last") + 1).cast("string"), F.lit("\n0000000000 65535 f \n"), F.col("table"), F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), F.octet_length("body").cast("string"), F.lit("\n%%EOF\n"))
-    out = files.select(F.col("doc_id").cast("long").alias("doc_id")).join(trailer, "doc_id", "left").join(made.select("doc_id", "n", "long_root", F.concat("body", tail.cast("binary")).alias("content")), "doc_id", "left").join(broken, "doc_id", "left")
+    low, high = F.when(F.col("section") == 0, F.lit(1).cast("long")).otherwise(F.get("l", F.lit(0))["num"]), F.element_at("l", -1)["num"]
+    per = per.filter(high <= HIGHEST).withColumn("spots", spots).withColumn("low", low).withColumn("high", high)
+    lines = F.array_join(F.transform(F.sequence("low", "high"), lambda n: F.coalesce(F.try_element_at("spots", n), F.lit("0000000000 65535 f \n"))), "")
+    first = F.col("section") == 0
+    counted = F.concat(F.when(first, F.lit("0")).otherwise(F.col("low").cast("string")), F.lit(" "), (F.col("high") - F.col("low") + F.when(first, 2).otherwise(1)).cast("string"), F.lit("\n"), F.when(first, F.lit("0000000000 65535 f \n")).otherwise(""))
+    per = per.select("doc_id", "section", "root", "high", F.size("l").alias("n"), F.concat(counted, lines).alias("lines"), F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("body"))
+    made = per.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "lines", "body"))).alias("s"), F.first("root").alias("root"), F.max("high").alias("last"), F.sum("n").cast("int").alias("n"))
+    made = made.withColumn("body", F.aggregate("s", F.lit(head), lambda a, x: F.concat(a, x["body"]))).withColumn("table", F.array_join(F.transform("s", lambda x: x["lines"]), ""))
+    tail = F.concat(F.lit("xref\n"), F.col("table"), F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), F.octet_length("body").cast("string"), F.lit("\n%%EOF\n"))
+    high_numbers = kept.filter(F.col("num") > HIGHEST).select("doc_id", F.lit(True).alias("too_high")).distinct()
+    totals = objects.groupBy("doc_id").agg(F.count("*").alias("total"))
+    history = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.regexp_count(latin(F.col("content")), F.lit("%%EOF")) - 1, F.lit(0)).alias("history"))
+    out = history.join(trailer, "doc_id", "left").join(totals, "doc_id", "left").join(high_numbers, "doc_id", "left").join(made.select("doc_id", "n", F.concat("body", tail.cast("binary")).alias("content")), "doc_id", "left").join(broken, "doc_id", "left")
     error = (
         F.when(F.col("trailer").isNull(), "no trailer")
         .when(~supported(F.col("trailer")), "encrypted")
+        .when(F.col("too_high"), "object number beyond the limit")
         .when(F.coalesce("n", F.lit(0)) < 2, "no structure")
-        .when(F.col("long_root"), "catalogue too long")
         .when(F.col("missing").isNotNull(), F.concat(F.lit("broken references: "), F.array_join(F.transform("missing", lambda x: x.cast("string")), ", ")))
     )
-    return out.select("doc_id", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+    stats = F.create_map(F.lit("objects"), F.col("n"), F.lit("dropped"), (F.col("total") - F.col("n")).cast("int"), F.lit("history"), F.col("history").cast("int"))
+    return out.select("doc_id", F.when(error.isNull(), F.col("content")).alias("content"), F.when(error.isNull(), stats).alias("stats"), error.alias("error"))

@@ -44,7 +44,15 @@ NAMESPACES = {
     "rel": "http://schemas.openxmlformats.org/package/2006/relationships",
     "tc": "http://schemas.microsoft.com/office/spreadsheetml/2018/threadedcomments",
 }
-_SHORT = {v: k for k, v in NAMESPACES.items()}
+#: The same formats in their strict form.
+STRICT = {
+    "http://purl.oclc.org/ooxml/wordprocessingml/main": "w",
+    "http://purl.oclc.org/ooxml/presentationml/main": "p",
+    "http://purl.oclc.org/ooxml/spreadsheetml/main": "ss",
+    "http://purl.oclc.org/ooxml/officeDocument/extendedProperties": "ep",
+    "http://purl.oclc.org/ooxml/officeDocument/customProperties": "op",
+}
+_SHORT = {v: k for k, v in NAMESPACES.items()} | STRICT
 
 
 def inflate(data: bytes, most: int = MOST_PART, wbits: int = -15) -> bytes:
@@ -158,13 +166,19 @@ def parse_nodes(data: bytes) -> list[tuple[int, int, str, str, dict[str, str]]]:
 NODE = "struct<node:int,parent:int,tag:string,text:string,attrs:map<string,string>>"
 _NODE = pa.list_(pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
 INSPECTED = f"doc_id long, ord int, name string, size long, time int, date int, is_dir boolean, crc_ok boolean, nodes array<{NODE}>, error string"
-#: An element's text is kept up to so many characters, enough for a property; long texts stay in their part.
-SHOWN_TEXT = 8000
+
+#: Elements outside the property parts whose text is shown or compared.
+TEXT_OF = frozenset(["ss:author", "ss:definedName"])
 
 
-def kept_nodes(data: bytes) -> list[dict]:
-    """Elements with attributes or text, and those next to the root."""
-    return [{"node": n, "parent": up, "tag": tag, "text": text[:SHOWN_TEXT], "attrs": list(attrs.items())} for n, up, tag, text, attrs in parse_nodes(data) if attrs or text.strip() or up < 1]
+def kept_nodes(name: str, data: bytes) -> list[dict]:
+    """Elements with attributes or a text that is needed, and those next to the root.  Texts are kept whole."""
+    properties = name.startswith("docProps/")
+    return [
+        {"node": n, "parent": up, "tag": tag, "text": text if properties or tag in TEXT_OF else "", "attrs": list(attrs.items())}
+        for n, up, tag, text, attrs in parse_nodes(data)
+        if attrs or up < 1 or (properties or tag in TEXT_OF) and text.strip()
+    ]
 
 
 def inspect_packages(files: DataFrame) -> DataFrame:
@@ -181,7 +195,7 @@ def inspect_packages(files: DataFrame) -> DataFrame:
         nodes, error = None, None
         if name.endswith((".xml", ".rels")):
             try:
-                nodes = kept_nodes(data)
+                nodes = kept_nodes(name, data)
             except (ValueError, expat.ExpatError) as x:
                 error = f"{type(x).__name__}: {x}"
         return doc, i, name, len(data), time, date, is_dir, crc_ok, nodes, error
@@ -202,3 +216,20 @@ def inspect_packages(files: DataFrame) -> DataFrame:
 def nodes_of(inspected: DataFrame) -> DataFrame:
     """doc_id, part and the columns of a node, from :func:`inspect_packages`."""
     return inspected.select("doc_id", F.col("name").alias("part"), F.explode("nodes").alias("n")).select("doc_id", "part", "n.*")
+
+
+def part_nodes(parts: DataFrame) -> DataFrame:
+    """doc_id, part and the columns of a node, for every element of the readable XML parts of (doc_id, name, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, BATCH_ROWS):
+            found = []
+            for name, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                try:
+                    found.append(kept_nodes(name, data or b""))
+                except (ValueError, expat.ExpatError):
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _NODE)], ["doc_id", "name", "nodes"])
+
+    xml = F.col("name").endswith(".xml") | F.col("name").endswith(".rels")
+    return nodes_of(parts.filter(xml).select(F.col("doc_id").cast("long").alias("doc_id"), "name", "data").mapInArrow(run, f"doc_id long, name string, nodes array<{NODE}>"))
