@@ -27,12 +27,15 @@ GPS_FIELDS = {1: "latitud", 2: "longitud", 3: "referencia de altitud", 4: "altit
 HEADERS = {"EXIF": b"Exif\0\0", "XMP": b"http://ns.adobe.com/xap/1.0/\0", "ICC": b"ICC_PROFILE\0", "IPTC": b"Photoshop 3.0\0", "DUCKY": b"Ducky"}
 MARKERS = {"EXIF": "E1", "XMP": "E1", "ICC": "E2", "IPTC": "ED", "DUCKY": "EC"}
 PNG_TEXT = ("tEXt", "zTXt", "iTXt", "tIME")
+# What XMP packets tell.
 XMP = [
     (r"<dc:creator>[\s\S]{0,300}?<rdf:li[^>]*>([^<]{1,80})<", "Autor declarado en XMP", "personal"),
     (r"<xmp:CreatorTool>([^<]{1,80})<", "Herramienta que creó el archivo", "media"),
     (r"<photoshop:(?:City|Country)>([^<]{1,60})<", "Lugar declarado en XMP", "personal"),
     (r"<dc:rights>[\s\S]{0,200}?<rdf:li[^>]*>([^<]{1,80})<", "Derechos declarados", "media"),
 ]
+#: Data sets of an IPTC block by the standard's numbers: byline, credit, copyright notice, caption.
+IPTC = ((0x50, "Autor (byline)", "personal"), (0x6E, "Crédito", "personal"), (0x74, "Copyright", "media"), (0x78, "Pie de foto", "media"))
 
 
 def role(segments: DataFrame) -> DataFrame:
@@ -68,14 +71,16 @@ def image_findings(segments: DataFrame) -> DataFrame:
     segments = segments if "size" in segments.columns else metadata_only(segments)
     s = role(segments.filter(F.col("kind").isNotNull()))
     c, is_role = F.col, lambda name: F.col("role") == name
-    utf8, latin = F.decode(F.col("payload"), "UTF-8"), F.decode("payload", "ISO-8859-1")
+    s = s.withColumn("utf8", F.when(is_role("XMP"), F.decode("payload", "UTF-8"))).withColumn("latin", F.when(is_role("IPTC"), F.decode("payload", "ISO-8859-1")))
+    utf8, latin = c("utf8"), c("latin")
     # One data set of an IPTC block: mark, number, two bytes of length, text.
     data_set = lambda n: F.trim(F.regexp_replace(F.regexp_extract(latin, f"\x1c\x02{chr(n)}[\\s\\S]{{2}}([^\x1c]{{0,140}})", 1), "[^\x20-\x7eÀ-ÿ]", " "))
     animated = lambda fmt: is_role("ANIMATION") & (c("format") == fmt)
     from_segments = [
         *(rule(is_role("XMP"), "XMP", label, F.regexp_extract(utf8, pattern, 1), sev) for pattern, label, sev in XMP),
         rule(is_role("XMP") & utf8.rlike("<(?:exif:)?GPS(?:Latitude|Longitude)>"), "XMP", "Coordenadas GPS en XMP", F.lit("presentes"), "personal"),
-        *(rule(is_role("IPTC"), "IPTC (Photoshop)", label, data_set(n), sev) for n, label, sev in ((0x50, "Autor (byline)", "personal"), (0x6E, "Crédito", "personal"), (0x74, "Copyright", "media"), (0x78, "Pie de foto", "media"))),
+        *(rule(is_role("IPTC"), "IPTC (Photoshop)", label, data_set(n), sev) for n, label, sev in IPTC),
+        rule(is_role("IPTC") & ~latin.rlike("\x1c\x02[" + "".join(chr(n) for n, _, _ in IPTC) + "][\\s\\S]{2}[^\x1c]*[\x21-\x7eÀ-ÿ]"), "IPTC (Photoshop)", "Bloque IPTC", F.lit("presente"), "media"),
         rule(is_role("COM"), "Comentario JPEG", "Comentario guardado en el archivo", printable(c("payload"), 140), "media"),
         rule(is_role("DUCKY"), "Datos de cámara antiguos", "Segmento APP12 (Ducky)", F.lit("presente"), "personal"),
         rule(is_role("TEXT") & (c("kind") != "tIME"), "Texto incrustado en el PNG", F.concat(F.lit("Chunk "), c("kind")), printable(c("payload"), 160), "media"),

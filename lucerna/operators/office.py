@@ -8,6 +8,7 @@ materialised once, since every group of findings reads them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -47,16 +48,36 @@ SECRET_ATTRIBUTES = ("connection", "command", "password", "user", "uid", "pwd")
 SHOWN_STRINGS, SHOWN_CHARACTERS = 4, 140
 
 
-def rule(condition: Column, grp: str, label: Column | str, value: Column, sev: str, *, keep: bool = False) -> Column:
-    """One finding as a struct, or null where the condition does not hold or the value is empty."""
-    text = F.trim(value.cast("string"))
-    shown = F.struct(F.lit(grp).alias("grp"), (F.lit(label) if isinstance(label, str) else label).alias("label"), text.alias("value"), F.lit(sev).alias("sev"), F.lit(keep).alias("keep"))
-    return F.when(condition & (F.coalesce(text, F.lit("")) != ""), shown)
+class Finding(NamedTuple):
+    """A rule of findings: where it holds and what it shows; everything but the value is usually fixed."""
 
+    condition: Column
+    grp: str
+    label: Column | str
+    value: Column
+    sev: str
+    keep: bool
 
-def findings_of(rows: DataFrame, rules: list[Column]) -> DataFrame:
-    """The findings of all rules in one pass over ``rows``: doc_id, grp, label, value, sev, keep."""
-    return rows.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("doc_id", "f.*")
+
+def rule(condition: Column, grp: str, label: Column | str, value: Column, sev: str, *, keep: bool = False) -> Finding:
+    return Finding(condition, grp, label, value, sev, keep)
+
+
+def findings_of(rows: DataFrame, rules: list[Finding]) -> DataFrame:
+    """The findings of all rules in one pass over ``rows``: doc_id, grp, label, value, sev, keep.  Empty values are none.
+
+    Only values (and the few labels that depend on a row) are worked out for each row; what is fixed for a
+    rule is looked up by its place, so the generated code stays small.
+    """
+    own = [r.label for r in rules if not isinstance(r.label, str)]
+    values = F.array(*(F.when(r.condition, r.value.cast("string")) for r in rules))
+    told = rows.select("doc_id", F.posexplode(values).alias("at", "value"), *(x.alias(f"__label{i}") for i, x in enumerate(own))).withColumn("value", F.trim("value")).filter("value <> ''")
+    of = lambda items: F.get(F.array(*map(F.lit, items)), F.col("at"))
+    label = of([r.label if isinstance(r.label, str) else "" for r in rules])
+    places = [i for i, r in enumerate(rules) if not isinstance(r.label, str)]
+    for k, i in enumerate(places):
+        label = F.when(F.col("at") == i, F.col(f"__label{k}")).otherwise(label)
+    return told.select("doc_id", of([r.grp for r in rules]).alias("grp"), label.alias("label"), "value", of([r.sev for r in rules]).alias("sev"), of([r.keep for r in rules]).alias("keep"))
 
 
 def folder_format(folder: Column) -> Column:

@@ -186,3 +186,53 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = d.select(F.floor(F.col("doc_id") / 20).cast("long").alias("request"), F.col("doc_id").alias("ord"), F.concat(F.col("lang"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
     made = products.bundle(files).withColumnRenamed("request", "doc_id")
     return packages.read_packages(made).select(F.col("doc_id").alias("request"), F.col("ord").cast("long").alias("ord"), "name", F.sha2("data", 256).alias("sha256"))
+
+
+@query
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of cleaning every document's package: names, format, counters, what was removed, how much was found."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = _office(spark, sf_dir).join(d.select("doc_id", F.concat(F.lit("../informe "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("name")), "doc_id")
+    r = products.clean_report(shared_table(files, "files"), macros=True)
+    count = lambda k: F.coalesce(F.col("stats")[k], F.lit(0)).cast("long").alias(k)
+    notes = F.array_join("removed", "; ").alias("removed")
+    return r.select("doc_id", "name", "output_name", "kind", "format", *map(count, ("authors", "dates", "accounts", "comments", "rsid", "paraId", "settings")), notes, F.size("findings").cast("long").alias("n_findings"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def office_other_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages whose parts use other prefixes and single quotes, cleaned: what is found and what is wrong afterwards."""
+    parts = shared_table(packages.read_packages(packages.write_packages(fixtures.respelled(fixtures.office_parts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))), "respelled")
+    kept = shared_table(office.clean_parts(parts, macros=True), "cleaned")
+    wrong = office.violations(parts, kept.drop("stats", "error"), macros=True).groupBy("doc_id").agg(F.count("*").alias("problems"))
+    inspected = shared_table(packages.inspect_packages(packages.write_packages(kept)), "parts")
+    people = office.office_findings(inspected, packages.nodes_of(inspected)).filter("sev = 'personal' AND NOT keep AND NOT (label = '(sin nombre)' AND value = '(sin identificador)')").groupBy("doc_id").agg(F.count("*").alias("people"))
+    body = kept.filter("name = 'word/document.xml'").select("doc_id", F.sha2(office.told_text(F.col("data"), None).cast("binary"), 256).alias("text_sha256"))
+    every = kept.select("doc_id").distinct().join(wrong, "doc_id", "left").join(people, "doc_id", "left").join(body, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("problems", F.lit(0)).alias("problems"), F.coalesce("people", F.lit(0)).alias("people"), F.coalesce("text_sha256", F.lit("")).alias("text_sha256"))
+
+
+def _every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a package, an image, a PDF file and a text: four files, numbered apart."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = d.select("doc_id", F.concat(F.lit("text: "), F.col("text")).cast("binary").alias("content"))
+    kinds = [fixtures.office_files(d), fixtures.image_files(d), fixtures.pdf_files(d), text]
+    out = None
+    for k, files in enumerate(kinds):
+        one = files.select((F.col("doc_id") * 4 + k).alias("doc_id"), "content")
+        out = one if out is None else out.unionByName(one)
+    return shared_table(out, "every")
+
+
+@query
+def scan_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every document in every kind of file."""
+    s = products.scan(_every_kind(spark, sf_dir))
+    return s.select(F.col("doc_id").alias("file_id"), "riesgo", "puntuacion", F.size("hallazgos").cast("long").alias("n"))
+
+
+@query
+def clean_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cleaning and its checks did to every document in every kind of file."""
+    c = products.clean(_every_kind(spark, sf_dir), macros=True)
+    return c.select(F.col("doc_id").alias("file_id"), F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.col("sha256_in") != F.col("sha256_out"), F.lit(False)).alias("changed"))

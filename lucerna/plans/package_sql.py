@@ -140,3 +140,25 @@ SELECT doc_id, kind, error, CASE WHEN error = '' THEN kind ELSE 'none' END AS ki
 ORACLE["bundles"] = """WITH d AS (SELECT doc_id // 20 AS request, doc_id, lang, text FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY doc_id) - 1 AS ord, row_number() OVER (PARTITION BY request, lang ORDER BY doc_id) AS k FROM d)
 SELECT request, ord, lang || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.txt' AS name, sha256(text) AS sha256 FROM n"""
+
+_CLEAN_TEXT = "regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{FFFE}\\x{FFFF}]', '', 'g')"
+_UNIX = f"replace(replace({_CLEAN_TEXT}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+ORACLE["office_other_spellings"] = f"SELECT doc_id, 0 AS problems, 0 AS people, CASE WHEN doc_id % 3 = 0 THEN sha256({_UNIX} || 'nuevo' || 'viejo') ELSE '' END AS text_sha256 FROM documents"
+# What the fixtures of each format carry for a cleaning to count.
+_COUNTED = [("authors", "3, 0, 0"), ("dates", "3, 0, 0"), ("accounts", "3, 0, 0"), ("comments", "1, 0, 2"), ("rsid", "4, 0, 0"), ("paraId", "1, 0, 0"), ("settings", "1, 0, 0")]
+_BY_FORMAT = ", ".join(f"[{n}][doc_id % 3 + 1] AS {k}" for k, n in _COUNTED)
+_ALWAYS = "'Título, autor, última persona que guardó, empresa, plantilla, revisión y fechas del archivo; Fechas internas del paquete ZIP normalizadas'"
+_NOTES = """CASE doc_id % 3 WHEN 0 THEN '3 nombres o cuentas de la lista de personas; 3 campos de autor anonimizados; 3 fechas borradas; 1 autor(es) de comentarios sin nombre ni fecha; 4 identificadores de sesión de edición (rsid); 1 identificadores de párrafo o texto; 1 ajuste(s) de plantilla o de control de cambios; '
+  WHEN 2 THEN '2 autor(es) de comentarios sin nombre ni fecha; ' ELSE '' END"""
+ORACLE["clean_report"] = f"""WITH {FINDINGS}, n AS (SELECT doc_id, count(*) AS n_findings FROM findings GROUP BY doc_id)
+SELECT doc_id, 'informe ' || doc_id || '.docx' AS name, 'informe ' || doc_id || ' - sin metadatos.docx' AS output_name, 'office' AS kind, {FORMAT.replace("'word'", "'Word'").replace("'excel'", "'Excel'").replace("'powerpoint'", "'PowerPoint'")} AS format,
+  {_BY_FORMAT}, {_NOTES} || {_ALWAYS} AS removed, n_findings, '' AS error FROM documents JOIN n USING (doc_id)"""
+_SCORES = f"""WITH {SIGNALS}, o AS (SELECT doc_id, least(100, sum(CASE nivel WHEN 'alto' THEN 40 WHEN 'medio' THEN 15 ELSE 5 END)) AS s, count(*) AS n FROM signals GROUP BY doc_id),
+f AS (
+  SELECT 4 * doc_id AS file_id, false AS bad, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM documents LEFT JOIN o USING (doc_id)
+  UNION ALL SELECT 4 * doc_id + 1, false, 0, 0 FROM documents
+  UNION ALL SELECT 4 * doc_id + 2, doc_id % 11 = 0, 15 + CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END, 1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END FROM documents
+  UNION ALL SELECT 4 * doc_id + 3, true, 0, 0 FROM documents
+)"""
+ORACLE["scan_every_kind"] = f"{_SCORES} SELECT file_id, CASE WHEN bad THEN 'desconocido' WHEN s >= 40 THEN 'alto' WHEN s >= 15 THEN 'medio' ELSE 'bajo' END AS riesgo, CAST(CASE WHEN bad THEN 0 ELSE s END AS INTEGER) AS puntuacion, CAST(CASE WHEN bad THEN 0 ELSE n END AS BIGINT) AS n FROM f"
+ORACLE["clean_every_kind"] = """SELECT 4 * doc_id + k AS file_id, ['office', 'image', 'pdf', 'none'][k + 1] AS kind, CASE WHEN k = 3 THEN 'unsupported format' WHEN k = 2 AND doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error, NOT (k = 3 OR (k = 2 AND doc_id % 11 = 0)) AS changed FROM documents, range(4) r(k)"""

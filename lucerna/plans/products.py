@@ -6,10 +6,13 @@ file that fails is a row with an error, never a failed job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions import sniff
+from lucerna.functions.names import output_name, safe_name
 from lucerna.functions.text import strict_text
 from lucerna.operators import images, office, pdf, secrets, verdict
 from lucerna.operators.relations import number_names, shared_table
@@ -73,19 +76,101 @@ def scan(files: DataFrame) -> DataFrame:
     return listed.select("doc_id", "riesgo", "puntuacion", F.when(F.col("riesgo") == "desconocido", empty).otherwise(F.col("hallazgos")).alias("hallazgos"), "recomendacion")
 
 
+def _image_stats(segments: DataFrame) -> DataFrame:
+    """doc_id and stats: what cleaning takes out of images."""
+    s = images.role(segments.filter(F.col("kind").isNotNull()))
+    named = {"EXIF": "exif", "XMP": "xmp", "IPTC": "iptc", "COM": "comments", "DUCKY": "vendor", "TEXT": "pngText", "ICC": "icc"}
+    per = s.filter(F.col("role").isin(*named)).groupBy("doc_id").agg(*(F.count_if(F.col("role") == k).cast("int").alias(v) for k, v in named.items()))
+    blocks = images.exif_blocks(segments).select("doc_id", F.size("x.fields").alias("exifFields"), F.size("x.gps").alias("gps"), F.col("x.thumbnail").cast("int").alias("thumbnails"), F.col("x.orientation").alias("orientation"))
+    every = per.join(blocks, "doc_id", "left")
+    return every.select("doc_id", F.map_filter(F.create_map(*(x for c in every.columns if c != "doc_id" for x in (F.lit(c), F.coalesce(c, F.lit(0))))), lambda k, v: v > 0).alias("stats"))
+
+
+def _cleaned(seen: Inspected, status: DataFrame, *, icc: str, orientation: str, attachments: bool, options: dict[str, object]) -> DataFrame:
+    """doc_id, cleaned, stats and refused of every file that can be cleaned; a file that fails its own check is refused."""
+    good = status.filter("error IS NULL").select("doc_id")
+    parts = shared_table(packages.read_packages(seen.of("office").join(good, "doc_id", "left_semi")), "office-parts")
+    kept = shared_table(office.clean_parts(parts, **options), "clean-parts")
+    counted = kept.select("doc_id", F.explode("stats")).groupBy("doc_id", "key").agg(F.sum("value").cast("int").alias("n"))
+    stats = counted.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n")))).alias("stats"))
+    unread = kept.filter("error IS NOT NULL").select("doc_id", F.col("name").alias("part"), F.col("error").alias("problem"))
+    wrong = unread.unionByName(office.violations(parts, kept.drop("stats", "error"), **options))
+    wrong = wrong.groupBy("doc_id").agg(F.min(F.concat(F.lit("check failed: "), F.col("part"), F.lit(": "), F.col("problem"))).alias("refused"))
+    made = packages.write_packages(kept).join(stats, "doc_id", "left").join(wrong, "doc_id", "left").select("doc_id", "content", "stats", "refused")
+    segments = shared_table(read_segments(seen.of("image").join(good, "doc_id", "left_semi")), "image-segments")
+    pictures = shared_table(images.assemble(images.clean_segments(segments, icc=icc, orientation=orientation)), "clean-images")
+    wrong = images.image_violations(segments, read_segments(pictures)).groupBy("doc_id").agg(F.min(F.concat(F.lit("check failed: "), F.col("problem"))).alias("refused"))
+    pictures = pictures.join(_image_stats(segments), "doc_id", "left").join(wrong, "doc_id", "left").select("doc_id", "content", "stats", "refused")
+    papers = pdf.clean_pdf(seen.of("pdf").select("doc_id", "content"), attachments=attachments).select("doc_id", "content", "stats", F.col("error").alias("refused"))
+    every = made.unionByName(pictures).unionByName(papers)
+    return every.select("doc_id", F.when(F.col("refused").isNull(), F.col("content")).alias("cleaned"), "stats", "refused")
+
+
 def clean(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, **options: object) -> DataFrame:
-    """doc_id, kind, content, bytes_in, bytes_out, sha256_in, sha256_out, error of every file."""
+    """doc_id, kind, content, bytes_in, bytes_out, sha256_in, sha256_out, stats, error of every file.
+
+    Every cleaned file has passed the checks of its kind; one that has not is an ``error`` without content.
+    """
     seen = Inspected(files)
     status = seen.status()
-    good = status.filter("error IS NULL").select("doc_id")
-    parts = packages.read_packages(seen.of("office").join(good, "doc_id", "left_semi"))
-    made = packages.write_packages(office.clean_parts(parts, **options)).select("doc_id", "content", F.lit(None).cast("string").alias("refused"))
-    segments = read_segments(seen.of("image").join(good, "doc_id", "left_semi"))
-    pictures = images.assemble(images.clean_segments(segments, icc=icc, orientation=orientation)).select("doc_id", "content", F.lit(None).cast("string").alias("refused"))
-    papers = pdf.clean_pdf(seen.of("pdf").select("doc_id", "content"), attachments=attachments).select("doc_id", "content", F.col("error").alias("refused"))
-    cleaned = made.unionByName(pictures).unionByName(papers).withColumnRenamed("content", "cleaned")
+    cleaned = _cleaned(seen, status, icc=icc, orientation=orientation, attachments=attachments, options=options)
     joined = seen.files.select("doc_id", F.octet_length("content").cast("long").alias("bytes_in"), F.sha2("content", 256).alias("sha256_in")).join(status, "doc_id").join(cleaned, "doc_id", "left")
-    return joined.select("doc_id", "kind", F.col("cleaned").alias("content"), "bytes_in", F.octet_length("cleaned").cast("long").alias("bytes_out"), "sha256_in", F.sha2("cleaned", 256).alias("sha256_out"), F.coalesce("error", "refused").alias("error"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    return joined.select("doc_id", "kind", F.col("cleaned").alias("content"), "bytes_in", F.octet_length("cleaned").cast("long").alias("bytes_out"), "sha256_in", F.sha2("cleaned", 256).alias("sha256_out"), F.when(F.col("cleaned").isNotNull(), F.coalesce("stats", none)).alias("stats"), F.coalesce("error", "refused").alias("error"))
+
+
+# What a report says was removed, by kind and counter.
+REMOVED = {
+    "office": [
+        ("ins", "{} inserción(es) resueltas"), ("del", "{} borrado(s) resueltos"), ("format", "{} cambio(s) de formato resueltos"), ("accounts", "{} nombres o cuentas de la lista de personas"),
+        ("authors", "{} campos de autor anonimizados"), ("dates", "{} fechas borradas"), ("comments", "{} autor(es) de comentarios sin nombre ni fecha"),
+        ("rsid", "{} identificadores de sesión de edición (rsid)"), ("paraId", "{} identificadores de párrafo o texto"), ("docId", "{} identificadores persistentes del documento"), ("settings", "{} ajuste(s) de plantilla o de control de cambios"),
+    ],
+    "image": [
+        ("exifFields", "EXIF: {} campos eliminados (cámara, objetivos, fechas, software, autor)"), ("gps", "Coordenadas GPS eliminadas ({} campos)"), ("thumbnails", "Miniatura incrustada eliminada"), ("xmp", "XMP eliminado (autor, derechos, lugar)"),
+        ("iptc", "Bloque IPTC de Photoshop eliminado (autor, crédito, pie de foto)"), ("comments", "Comentario guardado en el archivo, eliminado"), ("vendor", "Datos de cámara antiguos (APP12) eliminados"),
+        ("pngText", "{} chunks de texto del PNG eliminados (autor, descripción, fecha)"), ("orientation", "Orientación {} conservada para que la foto no salga girada"),
+    ],
+    "pdf": [("history", "{} actualización(es) incremental(es) descartadas"), ("dropped", "{} objeto(s) descartados: metadatos, estructura y restos de versiones anteriores")],
+}
+ALWAYS = {
+    "office": ["Título, autor, última persona que guardó, empresa, plantilla, revisión y fechas del archivo", "Fechas internas del paquete ZIP normalizadas"],
+    "image": ["La imagen NO se recodifica: los píxeles son idénticos al original"],
+    "pdf": ["/Info fuera: autor, título, asunto, palabras clave, programas y fechas", "Los flujos de contenido se copian sin recomprimir: la imagen no cambia"],
+}
+
+
+def removed(kind: Column, stats: Column) -> Column:
+    """Ordered notes of what cleaning took out, from its counters."""
+    out = F.array().cast("array<string>")
+    for k, told in REMOVED.items():
+        said = [F.when(F.coalesce(stats[c], F.lit(0)) > 0, F.replace(F.lit(text), F.lit("{}"), stats[c].cast("string"))) for c, text in told]
+        out = F.when(kind == k, F.array_compact(F.array(*said, *map(F.lit, ALWAYS[k])))).otherwise(out)
+    return out
+
+
+def clean_report(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, **options: object) -> DataFrame:
+    """The report of a cleaning, one row for each file of (doc_id, name, content).
+
+    doc_id, name, output_name, kind, format, bytes_in, bytes_out, sha256_in, sha256_out, options (JSON), removed,
+    stats, findings (of the file as it came) and error.  A refused file has an error, no output and no stats.
+    """
+    chosen = office.checked(options) | {"icc": icc, "orientation": orientation, "attachments": attachments}
+    seen = Inspected(files)
+    found = seen.findings()
+    of = ["grp", "label", "value", "sev", "keep"]
+    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("findings"))
+    formats = office.formats(seen.parts).select("doc_id", F.col("format").alias("package_format"))
+    told = files.select(F.col("doc_id").cast("long").alias("doc_id"), safe_name(F.col("name")).alias("name"), sniff.sniff_image(F.col("content")).alias("image_format"))
+    done = clean(files, icc=icc, orientation=orientation, attachments=attachments, **options).drop("content")
+    shown = F.when(F.col("kind") == "office", F.col("package_format")).when(F.col("kind") == "image", F.upper("image_format")).when(F.col("kind") == "pdf", "PDF")
+    r = told.join(done, "doc_id").join(formats, "doc_id", "left").join(listed, "doc_id", "left")
+    ok = F.col("error").isNull()
+    empty = F.array().cast("array<struct<grp:string,label:string,value:string,sev:string,keep:boolean>>")
+    return r.select(
+        "doc_id", "name", F.when(ok, output_name(F.col("name"))).alias("output_name"), "kind", shown.alias("format"), "bytes_in", "bytes_out", "sha256_in", "sha256_out",
+        F.lit(json.dumps(chosen, sort_keys=True)).alias("options"), F.when(ok, removed(F.col("kind"), F.col("stats"))).alias("removed"), "stats", F.coalesce("findings", empty).alias("findings"), "error",
+    )
 
 
 def scan_text(texts: DataFrame) -> DataFrame:
