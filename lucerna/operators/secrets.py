@@ -25,7 +25,8 @@ class Rule:
 
 
 #: Patterns that Java and RE2 read alike: no look-around, no back-references, no shorthand classes.  Repeats
-#: that start a pattern are bounded, so a text without white space costs no more than any other.
+#: that start a pattern are bounded, and other repeats end at the next slash or blank, so a text without white space
+#: costs no more than any other.
 RULES = (
     Rule("aws", "Access key de AWS", "alto", r"AKIA[0-9A-Z]{16}", ("AKIA",)),
     Rule("github", "Token de GitHub", "alto", r"gh[pousr]_[A-Za-z0-9]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
@@ -37,7 +38,7 @@ RULES = (
     Rule("sendgrid", "Clave de SendGrid", "alto", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", ("SG.",)),
     Rule("npm", "Token de npm", "alto", r"npm_[A-Za-z0-9]{36}", ("npm_",)),
     Rule("pem", "Clave privada PEM", "alto", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----BEGIN ",)),
-    Rule("connection", "Cadena de conexión con contraseña", "alto", r"[a-z][a-z0-9+.-]{0,30}://[^ \t\n:@/]{1,128}:[^ \t\n@/]{1,128}@[^ \t\n/]{1,128}", ("://",)),
+    Rule("connection", "Cadena de conexión con contraseña", "alto", r"[a-z][a-z0-9+.-]{0,30}://[^ \t\n:@/]+:[^ \t\n@/]+@[^ \t\n/]+", ("://",)),
     Rule("jwt", "JWT", "alto", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
     Rule("generic", "Posible credencial asignada", "medio", r"(?i:token|secret|password|passwd|api_?key)[ \t]*[:=][ \t]*[\"'][^\"' \t]{8,}[\"']", ("token", "secret", "passw", "api_key", "apikey"), folded=True),
 )

@@ -161,3 +161,126 @@ def test_predictors_are_undone():
     assert pdf.undo_predictor(coded, 4) == b"".join(rows)
     with pytest.raises(ValueError, match="predictor"):
         pdf.undo_predictor(b"\x09abcd", 4)
+
+
+# Spellings of XML, numbers and depths of PDF files ---------------------------
+
+
+W = packages.NAMESPACES["w"]
+
+
+def cleaned_with_checks(spark, options, **parts):
+    before = packages.read_packages(frame(spark, package(**parts)))
+    after = office.clean_parts(before, **options)
+    found = office.violations(before, after.drop("stats", "error"), **options).collect()
+    return {r["name"]: bytes(r["data"]).decode() for r in after.collect()}, {(r["part"], r["problem"]) for r in found}, {r["name"]: r["stats"] for r in after.collect()}
+
+
+@pytest.mark.parametrize(
+    "spelled",
+    [
+        f'<w:document xmlns:w="{W}"><w:p w:rsidR="1"><w:ins w:author="Ana Real" w:date="d"><w:t>x</w:t></w:ins></w:p></w:document>',
+        f"<w:document xmlns:w='{W}'><w:p w:rsidR='1'><w:ins w:author='Ana Real'\n w:date = 'd'><w:t>x</w:t></w:ins></w:p></w:document>",
+        f'<q:document xmlns:q="{W}"><q:p q:rsidR="1"><q:ins q:author="Ana Real" q:date="d"><q:t>x</q:t></q:ins></q:p></q:document>',
+        f'<document xmlns="{W}" xmlns:z="{W}"><p z:rsidR="1"><ins z:author="Ana Real" z:date="d"><t>x</t></ins></p></document>',
+        f'<a xmlns="urn:other"><q:ins xmlns:q="{W}" q:author="Ana &gt; Real" q:date="d"><q:t>x</q:t></q:ins></a>',
+        '<w:document xmlns:w="http://purl.oclc.org/ooxml/wordprocessingml/main"><w:ins w:author="Ana Real" w:date="d"><w:t>x</w:t></w:ins></w:document>',
+    ],
+)
+def test_authors_go_in_every_spelling(spark, spelled):
+    out, problems, stats = cleaned_with_checks(spark, {}, word__document_xml=spelled)
+    body = out["word/document.xml"]
+    assert "Real" not in body and "date" not in body and "rsid" not in body and ">x<" in body and not problems
+    assert stats["word/document.xml"]["authors"] == 1 and stats["word/document.xml"]["dates"] == 1
+    # The check finds what a cleaner would leave.
+    before = packages.read_packages(frame(spark, package(word__document_xml=spelled)))
+    left = {r["problem"] for r in office.violations(before, before.select("doc_id", "ord", "name", "data")).collect()}
+    assert {"residue: author", "residue: date"} <= left
+
+
+def test_bytes_that_need_no_change_stay(spark):
+    body = f"<?xml version='1.0'?>\r\n<!-- c --><w:document  xmlns:w='{W}' ><w:t xml:space='preserve'>a &#38; b &lt;w:author=\"x\"&gt;<![CDATA[ <w:date> ]]></w:t><w:p/ ></w:document >".replace("/ >", "/>")
+    out, problems, _ = cleaned_with_checks(spark, {}, word__document_xml=body)
+    assert out["word/document.xml"] == body and not problems
+
+
+def test_all_marks_go_when_changes_are_settled(spark):
+    marks = "".join(f"<w:{m} w:id='1' w:author='x'/>" for m in ("numberingChange", "tblGridChange", "customXmlInsRangeStart", "customXmlInsRangeEnd", "customXmlDelRangeStart", "customXmlDelRangeEnd", "moveFromRangeStart", "moveToRangeEnd", "cellDel", "cellIns"))
+    body = f'<w:document xmlns:w="{W}"><w:p><w:rPr><w:ins w:author="x"/><w:b/><w:rPrChange w:author="x"><w:rPr/></w:rPrChange></w:rPr>{marks}<w:ins w:author="x"><w:r><w:t>n</w:t></w:r><w:del w:author="y"><w:r><w:delText>both</w:delText></w:r></w:del></w:ins><w:moveFrom><w:r><w:t>m</w:t></w:r></w:moveFrom><w:moveTo><w:r><w:t>m</w:t></w:r></w:moveTo><w:del w:author="x"><w:r><w:delText>v</w:delText></w:r></w:del></w:p></w:document>'
+    for mode, shown in (("accept", "nm"), ("reject", "mv")):
+        out, problems, _ = cleaned_with_checks(spark, {"changes": mode}, word__document_xml=body)
+        text = out["word/document.xml"]
+        assert not problems and office.office_parts.told_text(text.encode(), None) == shown
+        assert ("<w:b/>" in text) == (mode == "accept") and "Change" not in text and "Range" not in text and "delText" not in text
+    # A cleaner that loses text is told so.
+    before = packages.read_packages(frame(spark, package(word__document_xml=body)))
+    lost = before.select("doc_id", "ord", "name", F.lit(f'<w:document xmlns:w="{W}"><w:t>n</w:t></w:document>').cast("binary").alias("data"))
+    assert "text differs" in {r["problem"] for r in office.violations(before, lost, changes="accept").collect()}
+
+
+def test_comment_references_and_targets_go_in_every_spelling(spark):
+    parts = {
+        "word__document_xml": f"<q:document xmlns:q='{W}'><q:commentRangeStart q:id='0'/><q:r><q:commentReference q:id='0'/></q:r><q:r><q:t>x</q:t></q:r></q:document>",
+        "word__comments_xml": f"<q:comments xmlns:q='{W}'><q:comment q:author='a'><q:t>n</q:t></q:comment></q:comments>",
+        "word___rels__document_xml.rels": f"<r:Relationships xmlns:r='{packages.NAMESPACES['rel']}'><r:Relationship Target='/word/comments.xml' Id='1'/><r:Relationship Id='2' Target=\"../word/document.xml\"/></r:Relationships>",
+    }
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", parts["word__document_xml"])
+        z.writestr("word/comments.xml", parts["word__comments_xml"])
+        z.writestr("word/_rels/document.xml.rels", parts["word___rels__document_xml.rels"])
+    before = packages.read_packages(frame(spark, held.getvalue()))
+    after = office.clean_parts(before, comments="delete")
+    out = {r["name"]: bytes(r["data"]).decode() for r in after.collect()}
+    assert set(out) == {"word/document.xml", "word/_rels/document.xml.rels"}
+    assert "comment" not in out["word/document.xml"] and "comments.xml" not in out["word/_rels/document.xml.rels"] and "Id='2'" in out["word/_rels/document.xml.rels"]
+    assert office.violations(before, after.drop("stats", "error"), comments="delete").count() == 0
+
+
+def test_a_part_that_cannot_be_read_refuses_its_file_alone(spark):
+    from lucerna.plans import products
+
+    good, bad = package(word__document_xml=f'<w:document xmlns:w="{W}"><w:ins w:author="x"/></w:document>'), package(word__document_xml="<w:document><unclosed></w:document>")
+    got = {r["doc_id"]: r for r in products.clean(frame(spark, good, bad)).collect()}
+    assert got[0]["error"] is None and got[0]["content"] is not None
+    assert got[1]["error"] and got[1]["content"] is None
+
+
+def test_long_property_texts_are_shown_whole(spark):
+    title = "t" * 20_000
+    core = f'<cp:coreProperties xmlns:cp="{packages.NAMESPACES["cp"]}" xmlns:dc="{packages.NAMESPACES["dc"]}"><dc:title>{title}</dc:title></cp:coreProperties>'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"/>')
+        z.writestr("docProps/core.xml", core)
+    parts = packages.inspect_packages(frame(spark, held.getvalue()))
+    assert title in {r["value"] for r in office.office_findings(parts, packages.nodes_of(parts)).collect()}
+
+
+def test_deep_odd_and_good_pdf_files_beside_each_other(spark):
+    n = 5000
+    chain = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Next 3 0 R >>"), *((k, b"<< /Next %d 0 R >>" % (k + 1)) for k in range(3, n)), (n, b"<< /Last true >>"))
+    inner = b"a endobj 9 0 obj << /Evil true >> endobj endstream b"
+    tricky = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] >>"), (3, b"<< /Length %d >>\nstream\n%s\nendstream" % (len(inner), inner)))
+    indirect = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] >>"), (3, b"<< /Length 4 0 R >>\nstream\n%s\nendstream" % inner), (4, b"%d" % len(inner)))
+    unreached = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages >>"), (4000000000, b"<< >>"))
+    huge = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [4000000000 0 R] >>"), (4000000000, b"<< >>"))
+    sparse = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [8000000 0 R] >>"), (8000000, b"<< /Far true >>"))
+    nested = make_pdf((1, b"<< /Type /Catalog /Pages 2 0 R /AA << /O << /A << /B << /C (>> /Keep) >> >> >> >> /OpenAction [2 0 R [/Fit [(a]b)]]] /Lang (es) %s >>" % (b"/K%d 1 " * 5000 % tuple(range(5000)))), (2, b"<< /Type /Pages >>"))
+    got = {r["doc_id"]: r for r in pdf.clean_pdf(frame(spark, chain, tricky, indirect, unreached, huge, sparse, nested)).collect()}
+    assert {i: r["error"] for i, r in got.items() if r["error"]} == {4: "object number beyond the limit"}
+    assert bytes(got[0]["content"]).count(b" obj\n") == n and got[0]["stats"]["objects"] == n
+    assert inner in bytes(got[1]["content"]) and inner in bytes(got[2]["content"])
+    assert b"4000000000" not in bytes(got[3]["content"]) and got[3]["stats"]["dropped"] == 1
+    far = bytes(got[5]["content"])
+    table = far[int(far.rsplit(b"startxref\n", 1)[1].split(b"\n")[0]) :].split(b"\n")
+    assert table[:2] == [b"xref", b"0 3"] and table[5] == b"8000000 1" and far[int(table[6][:10]) :].startswith(b"8000000 0 obj") and len(far) < 1000
+    kept = bytes(got[6]["content"])
+    assert b"/AA" not in kept and b"OpenAction" not in kept and b"/Lang (es)" in kept and b"/K4999 1" in kept and b"Keep" not in kept
+
+
+def test_reachable_each_walks_deep_chains_in_one_shuffle(spark):
+    edges = spark.createDataFrame([(d, k, k + 1) for d in (0, 1) for k in range(3000)] + [(0, 3000, 0), (2, 5, 6)], "doc_id long, src long, dst long")
+    roots = spark.createDataFrame([(0, 0), (1, 2990)], "doc_id long, node long")
+    got = relations.reachable_each(edges, roots, ["doc_id"]).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {0: 3001, 1: 11}

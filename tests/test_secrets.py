@@ -67,3 +67,22 @@ def test_score_is_capped_and_unsupported_is_unknown(spark):
     docs = spark.createDataFrame([(1, True), (2, True), (3, False)], "doc_id long, ok boolean")
     got = {r["doc_id"]: (r["riesgo"], r["puntuacion"]) for r in verdict.verdicts(docs, signals, supported=F.col("ok")).collect()}
     assert got == {1: ("alto", 100), 2: ("medio", 15), 3: ("desconocido", 0)}
+
+
+def test_long_parts_of_a_connection_are_found_and_redacted(spark):
+    """User, password and host have no longest length; long texts of near misses stay cheap."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lucerna.operators import secrets
+
+    long = [f"db://{'u' * a}:{'p' * b}@{'h' * c}/x" for a, b, c in ((1, 128, 1), (1, 129, 1), (500, 5000, 300))]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {(r["doc_id"], r["rule"]) for r in secrets.secret_hits(docs).collect()} == {(0, "connection"), (1, "connection"), (2, "connection")}
+    assert [r["t"] for r in docs.select(secrets.redact(F.col("text")).alias("t")).collect()] == ["[connection]/x"] * 3
+    assert secrets.residue(docs).count() == 0
+    start = time.time()
+    odd = spark.createDataFrame([(0, "a://" + "b" * 300_000), (1, "a://b:" * 50_000), (2, "ab://c:d" * 50_000)], "doc_id long, text string")
+    assert secrets.secret_hits(odd).count() == 0
+    assert time.time() - start < 60
