@@ -63,6 +63,8 @@ class WordTokenizer:
         #: Texts that hold one of these go to the tokenizer whole.
         self.marks = [t["content"].lower() for t in told.get("added_tokens", []) if t["content"] and (added or not t["special"])]
         self.by_word = "'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre
+        #: What every mark begins with up to its first letter: a text without it is not looked at closer.
+        self.leads = {re.match(r"[^a-zA-Z]*", m).group() if m.isascii() else "" for m in self.marks}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_SUFFIX)]] = True
@@ -70,6 +72,8 @@ class WordTokenizer:
         self.chunks: dict[str, bytes] = {}
 
     def _marked(self, text: str) -> bool:
+        if not any(x in text for x in self.leads):
+            return False
         low = text.lower()
         return any(m in low for m in self.marks)
 
