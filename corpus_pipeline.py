@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences: quality, toxicity, near duplicates, mixture, packing.
 
-Rows and edge cases, for every stage: a null text is an empty one; a null id is kept as a document of
-its own; rows that repeat whole are judged each, and one of them is left after the near duplicates; an
-id names one text; columns of any name pass through; an empty table gives an empty table.
+Rows and edge cases, for every stage: a null text is an empty one; a null id is a document of its own,
+never a near duplicate of another, and is mixed by a draw from its text; rows that repeat whole are judged
+each, and one of them is left after the near duplicates; an id that comes with several texts stands for
+the smallest of them when near duplicates are sought, and one of its rows is left; columns of any name pass
+through the filtering stages, packing returns its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
