@@ -1,8 +1,9 @@
 """PDF files: objects and references as rows, findings, reachability, and a rewritten file.
 
-A file is read as Latin-1 text, which keeps every byte.  Objects come from a scan (the last one of a
-number wins, as in a chain of updates); objects inside compressed object streams are cut out by their
-offsets and only fill numbers that the scan has not found.  Two small helpers inflate a stream and
+A file is read as Latin-1 text, which keeps every byte.  Of several objects with one number that which
+the file's cross-reference chain names wins, in the file or inside a compressed object stream; what no
+table names (none, or a damaged one) comes from a scan: the last one in the file, then objects of object
+streams, which only fill numbers that are still missing.  Two small helpers inflate a stream and
 decode a string; the rest is DataFrame work.  A file that could not be rebuilt safely is refused with
 a reason, never damaged.
 """
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from lucerna.operators.office import findings_of, rule
 from lucerna.operators.relations import dangling, gap_fill, latest, reachable_each, shared_table
-from lucerna.sources import pdf_objects
+from lucerna.sources import pdf_objects, pdf_tables
 from lucerna.sources.packages import MOST_PART
+from lucerna.sources.pdf_objects import HIGHEST, undo_predictor
 
 # Labels of the information dictionary, keys that leave the catalogue, patterns of findings.
 INFO = [
@@ -34,8 +36,6 @@ XMP = [
     (r"<photoshop:(?:City|Country|Location)>([^<]{1,60})<", "Lugar declarado", "personal"),
 ]
 ANNOTATIONS = r"/Subtype\s*/(?:Text|FreeText|Highlight|Square|Stamp|Ink|FileAttachment)"
-#: No object can have a higher number (a limit of the format's readers); files that keep one are refused.
-HIGHEST = 8_388_607
 #: Missing numbers in a row that are listed as free; a wider gap begins a new section of the table.
 FREE_ROW = 64
 
@@ -49,23 +49,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def undo_predictor(data: bytes, columns: int) -> bytes:
-    """Rows of PNG-predicted bytes (one byte a sample) as they were; ValueError on a broken row."""
-    width, above, out = columns + 1, bytearray(columns), bytearray()
-    for at in range(0, len(data) - len(data) % width, width):
-        kind, row = data[at], bytearray(data[at + 1 : at + width])
-        if kind > 4:
-            raise ValueError("unknown predictor")
-        for i in range(columns):
-            left, up, corner = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
-            guess = left + up - corner
-            near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
-            row[i] = (row[i] + (0, left, up, (left + up) // 2, near)[kind]) & 0xFF
-        out += row
-        above = row
-    return bytes(out)
-
-
 def _inflate(data: pa.Array, columns: pa.Array) -> pa.Array:
     """Inflated bytes, with the predictor undone where ``columns`` is above 0; null where damaged or beyond the limit."""
     out = []
@@ -121,8 +104,8 @@ def strings(raw: Column) -> Column:
 
 
 def scan_objects(files: DataFrame) -> DataFrame:
-    """doc_id, num, gen, dict (what precedes a stream), stream (null without one): the last object of each number."""
-    return latest(pdf_objects.read_objects(files), ["doc_id", "num"], ["ord"]).drop("ord")
+    """doc_id, num, gen, dict (what precedes a stream), stream (null without one): of each number the object that the table names, or the last."""
+    return latest(pdf_tables.read_objects(files), ["doc_id", "num"], ["told", "ord"]).drop("told", "ord")
 
 
 #: Objects whose streams are read; those of all others are only copied.
@@ -132,12 +115,16 @@ READ_STREAMS = r"/Type\s*/(ObjStm|Metadata)\b"
 def read_objects(files: DataFrame) -> DataFrame:
     """doc_id, num, gen, dict, stream_bytes (null without a stream) and, where it is read, stream.
 
-    Objects inside compressed object streams fill numbers that the scan has not found.  Streams of pages
-    and pictures are left out, so the table is small beside the files.
+    Objects inside compressed object streams come first where the table names them, else they fill numbers
+    that the scan has not found.  Streams of pages and pictures are left out, so the table is small beside the files.
     """
     scanned = scan_objects(files).select("doc_id", "num", "gen", "dict", F.octet_length("stream").cast("long").alias("stream_bytes"), F.when(F.col("dict").rlike(READ_STREAMS), F.col("stream")).alias("stream"))
     direct = shared_table(scanned, "objects")
-    return gap_fill(direct, _compressed(direct), ["doc_id", "num"])
+    inside = _compressed(direct)
+    named = pdf_tables.read_tables(files).filter("num IS NOT NULL").select("doc_id", "num", "holder", "place")
+    first = inside.join(named, ["doc_id", "num", "holder", "place"], "left_semi").drop("holder", "place")
+    last = latest(inside, ["doc_id", "num"], ["holder", "place"]).drop("holder", "place")
+    return gap_fill(gap_fill(first, direct, ["doc_id", "num"]), last, ["doc_id", "num"])
 
 
 def data(objects: DataFrame) -> Column:
@@ -149,22 +136,22 @@ def data(objects: DataFrame) -> Column:
 
 
 def _compressed(objects: DataFrame) -> DataFrame:
-    """Objects inside object streams: their spans end where the next one starts."""
+    """Objects inside object streams, with their stream and place there: their spans end where the next one starts."""
     streams = objects.filter(F.col("dict").rlike(r"/Type\s*/ObjStm")).select("doc_id", F.col("num").alias("holder"), data(objects).alias("d"), F.regexp_extract("dict", r"/First\s+(\d+)", 1).try_cast("int").alias("first"))
     text = streams.filter("d IS NOT NULL AND first IS NOT NULL").select("doc_id", "holder", latin(F.col("d")).alias("t"), "first")
     numbers = F.transform(F.regexp_extract_all(F.left("t", F.col("first")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), lambda i: F.struct(F.get(numbers, (2 * i).cast("int")).alias("num"), F.get(numbers, (2 * i + 1).cast("int")).alias("at")))
-    rows = text.select("doc_id", "holder", "t", "first", F.explode(pairs).alias("p")).select("doc_id", "holder", "t", "first", "p.num", "p.at").filter("num IS NOT NULL AND at IS NOT NULL")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), lambda i: F.struct(i.cast("long").alias("place"), F.get(numbers, (2 * i).cast("int")).alias("num"), F.get(numbers, (2 * i + 1).cast("int")).alias("at")))
+    rows = text.select("doc_id", "holder", "t", "first", F.explode(pairs).alias("p")).select("doc_id", "holder", "t", "first", "p.place", "p.num", "p.at").filter("num IS NOT NULL AND at IS NOT NULL")
     end = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id", "holder").orderBy("at", "num")), F.length("t") - F.col("first"))
-    cut = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("long").alias("stream_bytes"), F.lit(None).cast("binary").alias("stream"), "holder")
-    return latest(cut, ["doc_id", "num"], ["holder"]).drop("holder")
+    return rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("long").alias("stream_bytes"), F.lit(None).cast("binary").alias("stream"), "holder", "place")
 
 
 def trailers(files: DataFrame, objects: DataFrame) -> DataFrame:
-    """doc_id and trailer of every file: the last trailer dictionary, or that of a cross-reference stream; null without one."""
+    """doc_id and trailer of every file: the newest of its table, else that of a cross-reference stream or the last in the file; null without one."""
     listed = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(latin(F.col("content")).rlike("trailer"), F.try_element_at(F.regexp_extract_all(latin(F.col("content")), F.lit(r"(?s)trailer\s*(<<.*?>>)\s*startxref"), F.lit(1)), F.lit(-1))).alias("listed"))
     crossed = objects.filter(F.col("dict").rlike(r"/Type\s*/XRef\b")).groupBy("doc_id").agg(F.max_by("dict", "num").alias("crossed"))
-    return listed.join(crossed, "doc_id", "left").select("doc_id", F.coalesce("crossed", "listed").alias("trailer"))
+    named = pdf_tables.read_tables(files).filter("trailer IS NOT NULL").select("doc_id", F.col("trailer").alias("named"))
+    return listed.join(crossed, "doc_id", "left").join(named, "doc_id", "left").select("doc_id", F.coalesce("named", "crossed", "listed").alias("trailer"))
 
 
 def references(objects: DataFrame) -> DataFrame:
@@ -244,6 +231,7 @@ def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
     reached = reachable_each(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
     kept = shared_table(edited.drop("stream").join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
     streams = scan_objects(files.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")).filter("stream IS NOT NULL").select("doc_id", "num", "stream")
+    streams = streams.join(kept.filter("stream_bytes IS NOT NULL").select("doc_id", "num"), ["doc_id", "num"], "left_semi")
     broken = dangling(references(kept), kept, {"doc_id": "doc_id", "dst": "num"}).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 6).alias("missing"))
     piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
     head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"

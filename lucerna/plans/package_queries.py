@@ -12,6 +12,7 @@ from lucerna.operators import images, office, pdf, verdict
 from lucerna.operators.relations import shared_table
 from lucerna.plans import products
 from lucerna.sources import fixtures, packages
+from lucerna.sources import pdf_tables as tables
 from lucerna.sources.images import read_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +159,13 @@ def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.coalesce("error", F.lit("")).alias("error")).join(per, "doc_id", "left").select("doc_id", "error", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("content_sha256", F.lit("")).alias("content_sha256"))
 
 
+@query
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of cleaned files: how many objects there are, and how many stand where the table says."""
+    cleaned = pdf.clean_pdf(_pdf(spark, sf_dir)[0]).filter("content IS NOT NULL")
+    return tables.read_objects(shared_table(cleaned, "cleaned")).groupBy("doc_id").agg(F.count("*").alias("objects"), F.count_if("told").alias("told"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of all kinds in one table: packages, images, PDF files, and texts that are none of them."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

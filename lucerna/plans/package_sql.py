@@ -117,6 +117,7 @@ ORACLE |= {
     "pdf_findings": " UNION ALL ".join(f"SELECT doc_id, {g} AS grp, {lab} AS label, {v} AS value, '{s}' AS sev, {k} AS keep FROM documents WHERE {c}" for c, g, lab, v, s, k in _PDF_ROWS),
     "pdf_verdict": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + 15 END AS p FROM documents) SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'desconocido' WHEN p >= 40 THEN 'alto' ELSE 'medio' END AS riesgo, p AS puntuacion, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN p > 15 THEN 2 ELSE 1 END AS BIGINT) AS n_signals FROM s",
     "pdf_clean": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 4 = 0 THEN 5 ELSE 4 END AS BIGINT) AS objects, CASE WHEN doc_id % 11 = 0 THEN '' ELSE sha256(text) END AS content_sha256 FROM documents",
+    "pdf_tables": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 4 END AS objects, CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 4 END AS told FROM documents WHERE doc_id % 11 <> 0",
 }
 
 _ADVICE = "CASE riesgo " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RECOMMENDATIONS.items()) + " END AS recomendacion"

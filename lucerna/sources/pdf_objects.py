@@ -1,4 +1,4 @@
-"""Objects of PDF files as rows: one pass over a file that skips streams by their length.
+"""Objects of a PDF file: one pass over it that skips streams by their length.
 
 Files are read as Latin-1 text, which keeps every byte.
 """
@@ -6,18 +6,11 @@ Files are read as Latin-1 text, which keeps every byte.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lucerna.sources.packages import BATCH_ROWS
-from lucerna.sources.shared import sliced
-
-OBJECTS = "doc_id long, ord int, num long, gen int, dict string, stream binary"
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
-_START = re.compile(r"(?<![0-9])([0-9]{1,10})\s+([0-9]{1,5})\s+obj\b")
+#: No object can have a higher number (a limit of the format's readers); files that keep one are refused.
+HIGHEST = 8_388_607
+START = re.compile(r"(?<![0-9])([0-9]{1,10})\s+([0-9]{1,5})\s+obj\b")
 _TOKEN = re.compile(r"<<|>>|<[0-9A-Fa-f\s]*>|\(|%[^\r\n]*|\bstream\r?\n|\bendobj\b")
 _STRING = re.compile(r"\\.|[()]", re.S)
 _LENGTH = re.compile(r"/Length\s+([0-9]{1,12})(?:\s+([0-9]{1,5})\s+R\b)?")
@@ -51,44 +44,56 @@ def body_end(t: str, at: int) -> tuple[int, int, bool]:
     return len(t), len(t), False
 
 
-def objects_of(content: bytes) -> Iterator[tuple[int, int, str, bytes | None]]:
-    """(num, gen, what precedes a stream, stream) of each object in the order of the file; one without an end is left out."""
+def undo_predictor(data: bytes, columns: int) -> bytes:
+    """Rows of PNG-predicted bytes (one byte a sample) as they were; ValueError on a broken row."""
+    width, above, out = columns + 1, bytearray(columns), bytearray()
+    for at in range(0, len(data) - len(data) % width, width):
+        kind, row = data[at], bytearray(data[at + 1 : at + width])
+        if kind > 4:
+            raise ValueError("unknown predictor")
+        for i in range(columns):
+            left, up, corner = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
+            guess = left + up - corner
+            near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            row[i] = (row[i] + (0, left, up, (left + up) // 2, near)[kind]) & 0xFF
+        out += row
+        above = row
+    return bytes(out)
+
+
+def stream_of(content: bytes, t: str, value: str, at: int, length_of: Callable[[int], int | None]) -> tuple[bytes, int]:
+    """(the stream that starts at ``at``, where it ends), by its length if that can be true."""
+    told = _LENGTH.search(value)
+    size = None if not told else int(told[1]) if told[2] is None else length_of(int(told[1]))
+    if size is not None and _END.match(t, at + size):
+        stop = at + size
+    else:  # no length, or a wrong one
+        found = t.find("endstream", at)
+        stop = found if found >= 0 else len(t)
+        stop -= 2 if t[stop - 2 : stop] == "\r\n" and stop - 2 >= at else 1 if t[stop - 1 : stop] in ("\n", "\r") and stop > at else 0
+    return content[at:stop], stop
+
+
+def objects_of(content: bytes) -> Iterator[tuple[int, int, int, str, bytes | None]]:
+    """(offset, num, gen, what precedes a stream, stream) of each object in the order of the file; one without an end is left out."""
     t = content.decode("latin-1")
     numbers: dict[int, int] | None = None
+
+    def length_of(num: int) -> int | None:
+        nonlocal numbers
+        if numbers is None:
+            numbers = {int(n): int(v) for n, v in _NUMBER.findall(t)}
+        return numbers.get(num)
+
     at = 0
-    while m := _START.search(t, at):
+    while m := START.search(t, at):
         end, at, has_stream = body_end(t, m.end())
         if end == len(t):
             return
         value, stream = t[m.end() : end].strip(), None
         if has_stream:
-            told = _LENGTH.search(value)
-            size = int(told[1]) if told else None
-            if told and told[2] is not None:
-                if numbers is None:
-                    numbers = {int(n): int(v) for n, v in _NUMBER.findall(t)}
-                size = numbers.get(int(told[1]))
-            if size is not None and _END.match(t, at + size):
-                stop = at + size
-            else:  # no length, or a wrong one
-                found = t.find("endstream", at)
-                stop = found if found >= 0 else len(t)
-                stop -= 2 if t[stop - 2 : stop] == "\r\n" and stop - 2 >= at else 1 if t[stop - 1 : stop] in ("\n", "\r") and stop > at else 0
-            stream, at = content[at:stop], stop
-        yield int(m[1]), int(m[2]), value, stream
-
-
-def read_objects(files: DataFrame) -> DataFrame:
-    """doc_id, ord, num, gen, dict and stream of every object that stands in a file, repeated numbers included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, BATCH_ROWS):
-            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(doc, i, *o) for i, o in enumerate(objects_of(content.as_py() or b""))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], [x.split()[0] for x in OBJECTS.split(", ")])
-
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, OBJECTS)
+            stream, at = stream_of(content, t, value, at, length_of)
+        yield m.start(), int(m[1]), int(m[2]), value, stream
 
 
 _SPACE = re.compile(r"\s*")

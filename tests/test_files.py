@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lucerna.operators import images, office, pdf, relations, verdict
-from lucerna.sources import packages
+from lucerna.sources import packages, pdf_tables
 from lucerna.sources.images import jpeg_segments, parse_exif, read_segments
 
 
@@ -284,3 +284,44 @@ def test_reachable_each_walks_deep_chains_in_one_shuffle(spark):
     roots = spark.createDataFrame([(0, 0), (1, 2990)], "doc_id long, node long")
     got = relations.reachable_each(edges, roots, ["doc_id"]).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {0: 3001, 1: 11}
+
+
+def crossed_pdf():
+    """An old page and its newer version in an object stream, found through a cross-reference stream and an earlier table; a stray copy follows."""
+    out, at = bytearray(b"%PDF-1.5\n"), {}
+
+    def put(num, body):
+        at[num] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (num, body))
+
+    put(1, b"<< /Type /Catalog /Pages 2 0 R >>")
+    put(2, b"<< /Type /Pages /Kids [3 0 R] >>")
+    put(3, b"<< /Type /Page /Parent 2 0 R /Old true >>")
+    table = len(out)
+    out += b"xref\n0 4\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % at[n] for n in (1, 2, 3)) + b"trailer\n<< /Size 4 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % table
+    inner = b"3 0 " + b"<< /Type /Page /Parent 2 0 R /New true >>"
+    put(5, b"<< /Type /ObjStm /N 1 /First 4 /Length %d >>\nstream\n%s\nendstream" % (len(inner), inner))
+    rows = b"".join(bytes([k, *a.to_bytes(2, "big"), g]) for k, a, g in ((2, 5, 0), (1, at[5], 0), (1, len(out), 0)))
+    lines = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(rows[i : i + 4], rows[i - 4 : i] if i else bytes(4), strict=True)) for i in range(0, len(rows), 4))
+    packed = zlib.compress(lines)
+    stream = len(out)
+    put(6, b"<< /Type /XRef /Size 7 /Index [3 1 5 2] /W [1 2 1] /Root 1 0 R /Prev %d /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >> /Length %d >>\nstream\n%s\nendstream" % (table, len(packed), packed))
+    stray = b"1 0 obj\n<< /Type /Catalog /Stray true >>\nendobj\n"
+    return bytes(out) + stray + b"startxref\n%d\n%%%%EOF\n" % stream
+
+
+def test_cross_reference_chain_tells_which_object_counts(spark):
+    whole = crossed_pdf()
+    damaged = whole[: whole.rindex(b"startxref")] + b"startxref\n7\n%%EOF\n"
+    got = {(r["doc_id"], r["num"]): r["dict"] for r in pdf.read_objects(frame(spark, whole, damaged)).collect()}
+    assert "/New" in got[0, 3] and "/Stray" not in got[0, 1]
+    assert "/Old" in got[1, 3] and "/Stray" in got[1, 1]
+    out = pdf.clean_pdf(frame(spark, whole)).first()
+    assert out["error"] is None and b"/New true" in bytes(out["content"]) and b"/Old" not in bytes(out["content"])
+
+
+def test_odd_tables_are_no_table():
+    loop = b"%PDF-1.4\nxref\n0 1\n0000000000 65535 f \ntrailer\n<< /Root 1 0 R /Prev 9 >>\nstartxref\n9\n%%EOF\n"
+    assert len(pdf_tables.sections_of(loop)) == 1 and pdf_tables.table_of(loop) == (None, {})
+    for content in (b"", b"startxref", b"startxref 99999", b"startxref 0 1 0 obj << /Type /XRef /W [1 9 1] >> stream\n"):
+        assert pdf_tables.table_of(content) == (None, {})
