@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.text import printable
 from lucerna.operators.office import findings_of, rule
-from lucerna.sources.images import exif, tiff_block
+from lucerna.sources.images import WALKS, exif, tiff_block
 
 # Labels and severities of EXIF fields, labels of GPS fields, headers of segments.
 EXIF_FIELDS = [
@@ -26,6 +26,7 @@ EXIF_FIELDS = [
 GPS_FIELDS = {1: "latitud", 2: "longitud", 3: "referencia de altitud", 4: "altitud", 5: "referencia de altitud", 6: "altitud", 7: "hora GPS", 29: "fecha GPS", 18: "datum", 27: "dirección de la imagen"}
 HEADERS = {"EXIF": b"Exif\0\0", "XMP": b"http://ns.adobe.com/xap/1.0/\0", "ICC": b"ICC_PROFILE\0", "IPTC": b"Photoshop 3.0\0", "DUCKY": b"Ducky"}
 MARKERS = {"EXIF": "E1", "XMP": "E1", "ICC": "E2", "IPTC": "ED", "DUCKY": "EC"}
+LABELS = {"jpeg": "JPEG", "png": "PNG", "webp": "WebP", "tiff": "TIFF", "heic": "HEIC", "avif": "AVIF"}
 PNG_TEXT = ("tEXt", "zTXt", "iTXt", "tIME")
 # What XMP packets tell.
 XMP = [
@@ -63,6 +64,34 @@ def exif_blocks(segments: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.min_by("x", "ord").alias("x"))
 
 
+def exif_findings(blocks: DataFrame) -> DataFrame:
+    """What EXIF blocks (doc_id, ``x``) tell: fields, coordinates, a thumbnail, the orientation."""
+    c = F.col
+    label_of = lambda t: F.coalesce(*(F.when(t == k, F.lit(label)) for k, label, _ in EXIF_FIELDS))
+    level = lambda sev: c("tag").isin(*(k for k, _, x in EXIF_FIELDS if x == sev))
+    fields = blocks.select("doc_id", F.explode("x.fields").alias("f")).select("doc_id", "f.tag", "f.value")
+    gps_label = lambda t: reduce(lambda o, kv: F.when(t == kv[0], F.lit(kv[1])).otherwise(o), GPS_FIELDS.items(), t.cast("string"))
+    from_blocks = [
+        rule(F.size("x.gps") > 0, "EXIF · ubicación", "Coordenadas GPS", F.concat(F.lit("presentes: "), F.array_join(F.array_distinct(F.transform("x.gps", gps_label)), ", ")), "personal"),
+        rule(c("x.thumbnail"), "EXIF", "Miniatura incrustada en el EXIF", F.lit("puede mostrar una versión distinta de la foto"), "media"),
+        rule(c("x.orientation") > 0, "EXIF", "Orientación", F.concat(c("x.orientation").cast("string"), F.lit(" (se conserva)")), "baja"),
+    ]
+    by_field = [rule(level(sev), "EXIF", label_of(c("tag")), c("value"), sev) for sev in ("personal", "media", "baja")]
+    return findings_of(fields, by_field).unionByName(findings_of(blocks, from_blocks))
+
+
+def file_findings(files: DataFrame) -> DataFrame:
+    """What a picture's file (doc_id, format, content) tells as a whole: its type, that its format is not cleaned, and what a TIFF holds, which is an EXIF block itself."""
+    label = F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), F.col("format"))
+    size = F.concat(F.round(F.octet_length("content") / 1024, 0).cast("long").cast("string"), F.lit(" KB"))
+    types = [
+        rule(F.lit(True), "Archivo", "Tipo detectado", F.concat(label, F.lit(" · "), size), "baja"),
+        rule(~F.col("format").isin(*WALKS), "Archivo", "Formato no soportado para limpiar", F.lit("este formato todavía no se puede reescribir sin recodificar la imagen"), "media", keep=True),
+    ]
+    blocks = files.filter("format = 'tiff'").select("doc_id", exif(F.col("content")).alias("x")).filter("x IS NOT NULL")
+    return findings_of(files, types).unionByName(exif_findings(blocks))
+
+
 def image_findings(segments: DataFrame) -> DataFrame:
     """All findings of images: doc_id, grp, label, value, sev, keep.
 
@@ -71,7 +100,7 @@ def image_findings(segments: DataFrame) -> DataFrame:
     segments = segments if "size" in segments.columns else metadata_only(segments)
     s = role(segments.filter(F.col("kind").isNotNull()))
     c, is_role = F.col, lambda name: F.col("role") == name
-    s = s.withColumn("utf8", F.when(is_role("XMP"), F.decode("payload", "UTF-8"))).withColumn("latin", F.when(is_role("IPTC"), F.decode("payload", "ISO-8859-1")))
+    s = s.withColumn("utf8", F.when(is_role("XMP"), F.make_valid_utf8(F.col("payload").cast("string")))).withColumn("latin", F.when(is_role("IPTC"), F.decode("payload", "ISO-8859-1")))
     utf8, latin = c("utf8"), c("latin")
     # One data set of an IPTC block: mark, number, two bytes of length, text.
     data_set = lambda n: F.trim(F.regexp_replace(F.regexp_extract(latin, f"\x1c\x02{chr(n)}[\\s\\S]{{2}}([^\x1c]{{0,140}})", 1), "[^\x20-\x7eÀ-ÿ]", " "))
@@ -88,16 +117,6 @@ def image_findings(segments: DataFrame) -> DataFrame:
         rule(animated("png"), "PNG animado", "Animación (APNG)", F.lit("se conserva"), "baja"),
         rule(animated("webp"), "WebP animado", "Animación", F.lit("se conserva"), "baja"),
     ]
-    blocks = exif_blocks(segments)
-    label_of = lambda t: F.coalesce(*(F.when(t == k, F.lit(label)) for k, label, _ in EXIF_FIELDS))
-    level = lambda sev: c("tag").isin(*(k for k, _, x in EXIF_FIELDS if x == sev))
-    fields = blocks.select("doc_id", F.explode("x.fields").alias("f")).select("doc_id", "f.tag", "f.value")
-    gps_label = lambda t: reduce(lambda o, kv: F.when(t == kv[0], F.lit(kv[1])).otherwise(o), GPS_FIELDS.items(), t.cast("string"))
-    from_blocks = [
-        rule(F.size("x.gps") > 0, "EXIF · ubicación", "Coordenadas GPS", F.concat(F.lit("presentes: "), F.array_join(F.array_distinct(F.transform("x.gps", gps_label)), ", ")), "personal"),
-        rule(c("x.thumbnail"), "EXIF", "Miniatura incrustada en el EXIF", F.lit("puede mostrar una versión distinta de la foto"), "media"),
-        rule(c("x.orientation") > 0, "EXIF", "Orientación", F.concat(c("x.orientation").cast("string"), F.lit(" (se conserva)")), "baja"),
-    ]
     profile = F.when(is_role("ICC"), F.when(c("format") == "png", F.col("size")).otherwise(F.octet_length("payload")))
     files = s.groupBy("doc_id", "format").agg(F.sum(profile).alias("icc"), F.count("role").alias("n"))
     bare = (c("n") == 0) & (c("format") != "png")
@@ -105,8 +124,7 @@ def image_findings(segments: DataFrame) -> DataFrame:
         rule(c("icc") > 0, "Perfil de color", "Perfil ICC incrustado", F.concat(c("icc").cast("string"), F.lit(" bytes (se conserva)")), "baja"),
         rule(bare, "Metadatos de imagen", F.when(c("format") == "webp", F.lit("Bloques EXIF/XMP")).otherwise(F.lit("Segmentos con metadatos")), F.lit("ninguno"), "baja"),
     ]
-    by_field = [rule(level(sev), "EXIF", label_of(c("tag")), c("value"), sev) for sev in ("personal", "media", "baja")]
-    every = [findings_of(s.filter("role IS NOT NULL"), from_segments), findings_of(fields, by_field), findings_of(blocks, from_blocks), findings_of(files, from_files)]
+    every = [findings_of(s.filter("role IS NOT NULL"), from_segments), exif_findings(exif_blocks(segments)), findings_of(files, from_files)]
     return reduce(DataFrame.unionByName, every)
 
 

@@ -99,8 +99,21 @@ def decode_string(raw: str | None) -> str | None:
     return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
 
 
-def strings(raw: Column) -> Column:
-    return F.arrow_udf("string")(lambda a: pa.array([decode_string(x) for x in a.to_pylist()], pa.string()))(raw)
+_INFO = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+
+
+def info_values(dictionary: Column) -> Column:
+    """Keys of an information dictionary that hold a string, and their texts."""
+
+    @F.arrow_udf("array<struct<key:string,value:string>>")
+    def read(dictionaries: pa.Array) -> pa.Array:
+        out = []
+        for d in dictionaries.to_pylist():
+            held = pdf_objects.own_values(d or "", frozenset(k for k, _, _ in INFO))
+            out.append([{"key": k, "value": decode_string(v)} for k, v in held.items() if v[:1] in ("(", "<") and v[:2] != "<<"])
+        return pa.array(out, _INFO)
+
+    return read(dictionary)
 
 
 def scan_objects(files: DataFrame) -> DataFrame:
@@ -185,8 +198,7 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> Da
         rule(readable & F.contains("t", F.lit("/EmbeddedFiles")), "Adjuntos", "Archivos incrustados (/EmbeddedFiles)", F.lit("documentos dentro del PDF"), "personal", keep=True),
     ]
     is_info = readable & (c("num") == F.regexp_extract("trailer", r"/Info\s+(\d+)\s+\d+\s+R", 1).try_cast("long"))
-    raw = lambda key: F.regexp_extract("dict", rf"(?s)/{key}\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", 1)
-    infos = known.filter(is_info).select("doc_id", F.explode(F.array(*(F.struct(F.lit(key).alias("key"), raw(key).alias("raw")) for key, _, _ in INFO))).alias("v")).filter("v.raw <> ''").select("doc_id", "v.key", F.left(strings(c("v.raw")), F.lit(120)).alias("value"))
+    infos = known.filter(is_info).select("doc_id", F.explode(info_values(c("dict"))).alias("v")).select("doc_id", "v.key", F.left("v.value", F.lit(120)).alias("value"))
     label_of = F.coalesce(*(F.when(c("key") == k, F.lit(label)) for k, label, _ in INFO))
     level = lambda sev: c("key").isin(*(k for k, _, x in INFO if x == sev))
     from_infos = [rule(level(sev), "Propiedades del documento", label_of, c("value"), sev) for sev in ("personal", "media", "baja")]
@@ -197,7 +209,7 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> Da
         rule(readable & is_type("Filespec"), "Adjuntos", "Archivo incrustado dentro del PDF", F.lit("hay documentos dentro del archivo"), "personal", keep=True),
     ]
     meta = known.filter(readable & is_type("Metadata"))
-    xmp = meta.select("doc_id", F.left(F.decode(data(meta), "UTF-8"), F.lit(8000)).alias("x"))
+    xmp = meta.select("doc_id", F.left(F.make_valid_utf8(data(meta).cast("string")), F.lit(8000)).alias("x"))
     counts = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(readable & is_type("Page")).alias("pages"))
     every = [
         findings_of(text, from_files),

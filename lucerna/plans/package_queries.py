@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import sniff
-from lucerna.operators import images, office, pdf, verdict
+from lucerna.operators import images, office, pdf, raw_scan, verdict
 from lucerna.operators.relations import shared_table
-from lucerna.plans import products
+from lucerna.plans import overview, products
 from lucerna.sources import fixtures, packages
 from lucerna.sources import pdf_tables as tables
 from lucerna.sources.images import read_segments
@@ -244,3 +244,38 @@ def clean_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning and its checks did to every document in every kind of file."""
     c = products.clean(_every_kind(spark, sf_dir), macros=True)
     return c.select(F.col("doc_id").alias("file_id"), F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.col("sha256_in") != F.col("sha256_out"), F.lit(False)).alias("changed"))
+
+
+@query
+def image_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What picture files tell as a whole; every document's picture is also there as a TIFF and as a HEIC file."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return images.file_findings(shared_table(_pictures(d), "pictures").withColumn("format", sniff.sniff_image(F.col("content")))).withColumnRenamed("doc_id", "file_id")
+
+
+def _pictures(d: DataFrame) -> DataFrame:
+    kinds = [fixtures.image_files(d), fixtures.tiff_files(d), fixtures.heic_files(d)]
+    out = None
+    for k, files in enumerate(kinds):
+        one = files.select((F.col("doc_id") * 3 + k).alias("doc_id"), "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence on every document in every kind of file."""
+    return overview.summaries(_every_kind(spark, sf_dir)).select(F.col("doc_id").alias("file_id"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+@query
+def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks that the raw scanners find in every document in every kind of file, named by its kind."""
+    kind, third = F.col("doc_id") % 4, (F.floor(F.col("doc_id") / 4) % 3).cast("int")
+    of = lambda *names: F.element_at(F.array(*map(F.lit, names)), third + 1)
+    name = F.concat(F.lit("Informe.v2."), F.when(kind == 0, of("docx", "XLSX", "pptx")).when(kind == 1, of("jpg", "png", "webp")).when(kind == 2, "pdf").otherwise("txt"))
+    found = raw_scan.raw_marks(_every_kind(spark, sf_dir).withColumn("name", name))
+    lines = found.filter("present OR present IS NULL").select("doc_id", F.struct("ord", raw_scan.mark_line(F.col("present"), F.col("text")).alias("line")).alias("l"))
+    absent = found.groupBy("doc_id").agg(F.count_if(~F.col("present")).alias("absent"))
+    told = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("lines"))
+    return told.join(absent, "doc_id").select(F.col("doc_id").alias("file_id"), "lines", "absent")

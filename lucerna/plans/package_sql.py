@@ -163,3 +163,43 @@ f AS (
 )"""
 ORACLE["scan_every_kind"] = f"{_SCORES} SELECT file_id, CASE WHEN bad THEN 'desconocido' WHEN s >= 40 THEN 'alto' WHEN s >= 15 THEN 'medio' ELSE 'bajo' END AS riesgo, CAST(CASE WHEN bad THEN 0 ELSE s END AS INTEGER) AS puntuacion, CAST(CASE WHEN bad THEN 0 ELSE n END AS BIGINT) AS n FROM f"
 ORACLE["clean_every_kind"] = """SELECT 4 * doc_id + k AS file_id, ['office', 'image', 'pdf', 'none'][k + 1] AS kind, CASE WHEN k = 3 THEN 'unsupported format' WHEN k = 2 AND doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error, NOT (k = 3 OR (k = 2 AND doc_id % 11 = 0)) AS changed FROM documents, range(4) r(k)"""
+
+_PICTURE_SIZE = "CAST(round((octet_length(encode(coalesce(text, ''))) + extra) / 1024.0) AS BIGINT) || ' KB'"
+_UNSUPPORTED = "'Archivo' AS grp, 'Formato no soportado para limpiar' AS label, 'este formato todavía no se puede reescribir sin recodificar la imagen' AS value, 'media' AS sev, true AS keep"
+# Bytes of a picture file beside its text, from the lengths of what it carries.
+_TIFF = "(strlen(source) + 1 + 68)"
+_LANG = "strlen(lang)"
+_XMP_SIZE = f"({_LANG} + 58)"
+_EXTRA = f"""CASE WHEN k = 1 THEN {_TIFF} WHEN k = 2 THEN 16
+  WHEN doc_id % 3 = 0 THEN 2 + 18 + (10 + {_TIFF}) + (33 + {_XMP_SIZE}) + (4 + {_LANG}) + 4 + 2
+  WHEN doc_id % 3 = 1 THEN 8 + 25 + (19 + {_LANG}) + (12 + {_TIFF}) + 12 + 12
+  ELSE 8 + 4 + 18 + (8 + strlen(text) % 2) + (8 + {_TIFF} + {_TIFF} % 2) + (8 + {_XMP_SIZE} + {_XMP_SIZE} % 2) END"""
+ORACLE["image_file_findings"] = f"""WITH f AS (SELECT 3 * doc_id + k AS file_id, doc_id, k, source, text, {_EXTRA} AS extra FROM documents, range(3) r(k))
+SELECT file_id, 'Archivo' AS grp, 'Tipo detectado' AS label, CASE k WHEN 1 THEN 'TIFF' WHEN 2 THEN 'HEIC' ELSE ['JPEG', 'PNG', 'WebP'][doc_id % 3 + 1] END || ' · ' || {_PICTURE_SIZE} AS value, 'baja' AS sev, false AS keep FROM f
+UNION ALL SELECT file_id, {_UNSUPPORTED} FROM f WHERE k > 0
+UNION ALL SELECT file_id, 'EXIF', 'Fabricante de la cámara', source, 'personal', false FROM f WHERE k = 1
+UNION ALL SELECT file_id, 'EXIF', 'Orientación', '6 (se conserva)', 'baja', false FROM f WHERE k = 1
+UNION ALL SELECT file_id, 'EXIF · ubicación', 'Coordenadas GPS', 'presentes: latitud', 'personal', false FROM f WHERE k = 1"""
+ORACLE["file_summaries"] = """WITH b AS (SELECT 4 * doc_id + k AS file_id, k, doc_id, CASE k
+  WHEN 0 THEN CASE doc_id % 3 WHEN 0 THEN ['2 marcas de control de cambios', CASE WHEN source = lang THEN '1' ELSE '2' END || ' autores distintos', '2 identificadores técnicos', 'cuentas vinculadas', 'miniatura incrustada', CASE WHEN doc_id % 21 = 0 THEN 'macros' END]
+    WHEN 1 THEN [CASE WHEN doc_id % 12 = 1 THEN 'conexiones a bases de datos' END] ELSE [] END
+  WHEN 1 THEN ['coordenadas GPS', 'datos EXIF', CASE WHEN doc_id % 3 <> 1 THEN 'XMP' END, 'orientación 6 (que se conserva)']
+  WHEN 2 THEN [CASE WHEN doc_id % 5 = 0 THEN '1 versión(es) anteriores dentro del archivo' END, 'XMP incrustado', 'identificador del archivo'] ELSE [] END AS bits,
+  CASE k WHEN 0 THEN ['Word', 'Excel', 'PowerPoint'][doc_id % 3 + 1] WHEN 1 THEN ['JPEG', 'PNG', 'WEBP'][doc_id % 3 + 1] ELSE 'PDF' END AS label FROM documents, range(4) r(k)),
+t AS (SELECT *, array_to_string(list_filter(bits, lambda x: x IS NOT NULL), ', ') AS told FROM b)
+SELECT file_id, CASE WHEN k = 3 THEN '' WHEN k = 2 AND doc_id % 11 = 0 THEN 'Detectamos un PDF cifrado: se puede ver el informe, pero no limpiarlo sin la contraseña.'
+  WHEN told = '' THEN label || ' sin metadatos personales detectados.' ELSE 'Detectamos ' || ['un archivo de', 'una imagen', 'un'][k + 1] || ' ' || label || ' con ' || told || '.' END AS summary FROM t"""
+_FOUND = "'  [x] ' || "
+ORACLE["raw_marks"] = f"""WITH {PARTS}, n AS (SELECT doc_id, count(*) AS n FROM listed GROUP BY doc_id),
+f AS (SELECT doc_id, lang, source, text, 0 AS k, {_EXTRA.replace("k = 1", "false").replace("k = 2", "false")} AS extra FROM documents),
+m AS (
+  SELECT 4 * doc_id AS file_id, CASE doc_id % 3 WHEN 1 THEN 17 ELSE 12 END - (doc_id % 12 = 1)::INT - 2 * (doc_id % 6 = 1)::INT - (doc_id % 15 = 10)::INT AS absent, ['  contenedor ZIP/' || ['docx', 'xlsx', 'pptx'][doc_id % 3 + 1] || ' con ' || n || ' partes',
+    {_FOUND} 'core.xml dc:title = Documento ' || doc_id, {_FOUND} 'core.xml dc:creator = ' || source, {_FOUND} 'core.xml cp:lastModifiedBy = ' || lang, {_FOUND} 'app.xml TotalTime = ' || doc_id % 100, {_FOUND} 'app.xml Company = Empresa ' || lang,
+    CASE WHEN doc_id % 6 = 1 THEN {_FOUND} 'enlaces externos a otros archivos (1)' END, CASE WHEN doc_id % 12 = 1 THEN {_FOUND} 'xl/connections.xml (cadenas de conexión a bases de datos): Server=' || source || ';Password=secreto, SELECT 1' END,
+    CASE WHEN doc_id % 15 = 10 THEN {_FOUND} 'nombres definidos: Fuera' END, CASE WHEN doc_id % 6 = 1 THEN {_FOUND} 'configuración de impresora (1)' END,
+    CASE WHEN doc_id % 3 = 2 THEN {_FOUND} 'ppt/commentAuthors.xml (autores de comentarios): ' || source END, CASE doc_id % 3 WHEN 0 THEN {_FOUND} 'partes de comentarios: word/comments.xml' WHEN 2 THEN {_FOUND} 'partes de comentarios: ppt/commentAuthors.xml' END] AS l FROM documents JOIN n USING (doc_id)
+  UNION ALL SELECT 4 * doc_id + 1, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, ['  ' || (octet_length(encode(coalesce(text, ''))) + extra) || ' bytes', CASE WHEN doc_id % 3 = 0 THEN {_FOUND} 'XMP (Adobe)' END, CASE WHEN doc_id % 3 = 0 THEN {_FOUND} 'segmento COM (comentario JPEG)' END,
+    CASE WHEN doc_id % 3 = 1 THEN {_FOUND} 'chunks de texto PNG' END, CASE WHEN doc_id % 3 = 1 THEN {_FOUND} 'chunk eXIf (EXIF dentro de PNG)' END, {_FOUND} 'fabricante (Make) = ' || source, {_FOUND} 'GPS presente: latitud (coordenadas omitidas)'] FROM f
+  UNION ALL SELECT 4 * doc_id + 2, CASE WHEN doc_id % 4 = 0 THEN 8 ELSE 9 END, ['  1 páginas', {_FOUND} '/Author = ' || source, {_FOUND} '/Title = FEFF0041', {_FOUND} 'XMP incrustado', {_FOUND} 'actualizaciones incrementales (texto anterior recuperable)', CASE WHEN doc_id % 4 = 0 THEN {_FOUND} 'archivos adjuntos incrustados' END] FROM documents
+  UNION ALL SELECT 4 * doc_id + 3, 0, ['  sin analizador para .txt'] FROM documents
+) SELECT file_id, array_to_string(list_filter(l, lambda x: x IS NOT NULL), chr(10)) AS lines, CAST(absent AS BIGINT) AS absent FROM m"""

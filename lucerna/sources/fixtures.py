@@ -126,6 +126,16 @@ def image_files(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.when(i % 3 == 0, jpeg).when(i % 3 == 1, png).otherwise(webp).alias("content"))
 
 
+def tiff_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of a TIFF with the camera's fields and the text behind them."""
+    return documents.select("doc_id", F.concat(_camera(F.col("source")), F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+
+
+def heic_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of a file with the mark of a HEIC picture."""
+    return documents.select("doc_id", F.concat(_hex("00000018"), F.lit(b"ftypheic"), _hex("00000000"), F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+
+
 def pdf_files(documents: DataFrame) -> DataFrame:
     """doc_id and content of a PDF whose page holds the text; by id with actions, attachments, an update or encryption."""
     i, size = F.col("doc_id"), F.octet_length("text").cast("string")

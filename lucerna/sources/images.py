@@ -96,7 +96,7 @@ def parse_exif(b: bytes | None) -> dict | None:
     """Fields of the first directory and tags of the GPS directory; None where there is no TIFF header."""
     if b and b.startswith(EXIF_HEADER):
         b = b[6:]
-    if not b or b[:4] not in (b"II*\0", b"MM\0*"):
+    if not b or len(b) < 8 or b[:4] not in (b"II*\0", b"MM\0*"):
         return None
     order = "<" if b[:2] == b"II" else ">"
 

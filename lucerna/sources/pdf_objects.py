@@ -143,3 +143,24 @@ def without_keys(t: str, own: frozenset[str], anywhere: frozenset[str]) -> str:
             elif named := _NAME.match(t, at):  # a name as a value is no key
                 at = named.end()
     return "".join([*out, t[kept_to:]])
+
+
+def own_values(t: str, keys: frozenset[str]) -> dict[str, str]:
+    """The values of some of a dictionary's own keys, as they are written."""
+    out, at, depth = {}, 0, 0
+    while m := _KEY.search(t, at):
+        word, at = m.group(), m.end()
+        if word == "<<":
+            depth += 1
+        elif word == ">>":
+            depth -= 1
+        elif word == "(":
+            at = string_end(t, m.start())
+        elif word.startswith("/"):
+            if depth == 1 and word[1:] in keys:
+                end = value_end(t, at)
+                out[word[1:]] = t[at:end].strip()
+                at = end
+            elif named := _NAME.match(t, at):
+                at = named.end()
+    return out

@@ -8,7 +8,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lucerna.operators import images, office, pdf, relations, verdict
+from lucerna.functions import sniff
+from lucerna.operators import images, office, pdf, raw_scan, relations, verdict
+from lucerna.plans import overview
 from lucerna.sources import packages, pdf_tables
 from lucerna.sources.images import jpeg_segments, parse_exif, read_segments
 
@@ -325,3 +327,54 @@ def test_odd_tables_are_no_table():
     assert len(pdf_tables.sections_of(loop)) == 1 and pdf_tables.table_of(loop) == (None, {})
     for content in (b"", b"startxref", b"startxref 99999", b"startxref 0 1 0 obj << /Type /XRef /W [1 9 1] >> stream\n"):
         assert pdf_tables.table_of(content) == (None, {})
+
+
+def jpeg(*segments):
+    return b"\xff\xd8" + b"".join(b"\xff" + bytes([m]) + (len(p) + 2).to_bytes(2, "big") + p for m, p in segments) + b"\xff\xda\x00\x02x\xff\xd9"
+
+
+def test_packets_that_are_not_utf8_do_not_stop_the_job(spark):
+    xmp = b"<x:xmpmeta><xmp:CreatorTool>caf\xe9</xmp:CreatorTool></x:xmpmeta>"
+    picture = frame(spark, jpeg((0xE1, images.HEADERS["XMP"] + xmp))).withColumn("format", F.lit("jpeg"))
+    assert [r["value"] for r in images.image_findings(read_segments(picture)).collect()] == ["caf\ufffd"]
+    files = frame(spark, make_pdf((1, b"<< /Type /Catalog /Metadata 2 0 R >>"), (2, b"<< /Type /Metadata /Length %d >>\nstream\n%s\nendstream" % (len(xmp), xmp))))
+    objects = pdf.read_objects(files)
+    assert "caf\ufffd" in {r["value"] for r in pdf.pdf_findings(files, objects, pdf.trailers(files, objects)).collect()}
+
+
+def test_long_and_nested_strings_of_properties(spark):
+    author = b"a\\)" * 50_000
+    files = frame(spark, make_pdf((1, b"<< /Type /Catalog >>"), (2, b"<< /Title (x (y) z) /Author (%s) /Inner << /Subject (no) >> >>" % author), trailer="<< /Root 1 0 R /Info 2 0 R >>"))
+    objects = pdf.read_objects(files)
+    got = {r["label"]: r["value"] for r in pdf.pdf_findings(files, objects, pdf.trailers(files, objects)).filter("grp = 'Propiedades del documento'").collect()}
+    assert got == {"Diccionario /Info": "presente", "Título": "x (y) z", "Autor": ("a)" * 60)}
+
+
+def test_pictures_of_formats_that_are_not_cleaned(spark):
+    tiff = b"II*\0\x08\0\0\0\x01\0\x3b\x01\x02\0\x04\0\0\0Ana\0\0\0\0\0"
+    files = frame(spark, tiff, b"II*\0", b"\0\0\0\x18ftypavif", jpeg()).withColumn("format", sniff.sniff_image(F.col("content")))
+    got = sorted((r["doc_id"], r["label"], r["value"]) for r in images.file_findings(files).collect())
+    assert [x for x in got if x[1] not in ("Formato no soportado para limpiar",)] == [(0, "Autor (Artist)", "Ana"), (0, "Tipo detectado", "TIFF · 0 KB"), (1, "Tipo detectado", "TIFF · 0 KB"), (2, "Tipo detectado", "AVIF · 0 KB"), (3, "Tipo detectado", "JPEG · 0 KB")]
+    assert [x[0] for x in got if x[1] == "Formato no soportado para limpiar"] == [0, 1, 2]
+
+
+def test_raw_scanners_take_any_file(spark):
+    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + "\x05SummaryInformation".encode("utf-16-le")
+    rows = [(0, "a.doc", ole), (1, "b.docx", b"PK\3\4broken"), (2, "sin", None), (3, None, b""), (4, "c.PDF", None), (5, "d.png", b"no picture"), (6, "e.xlsx", package(xl__workbook_xml=b'<x><definedName name="a"/></x>', docProps__core_xml=b"<dc:title>\xff</dc:title>"))]
+    got = raw_scan.raw_marks(spark.createDataFrame(rows, "doc_id long, name string, content binary")).collect()
+    of = lambda i: [(r["present"], r["text"]) for r in sorted(got, key=lambda r: r["ord"]) if r["doc_id"] == i]
+    assert [p for p, _ in of(0)] == [True, True, False]
+    assert len(of(1)) == 1 and of(1)[0][0] is None and of(1)[0][1].startswith("error: ")
+    assert of(2) == [(None, "sin analizador para .sin")] and of(3) == [(None, "sin analizador para .")]
+    assert of(4)[0] == (None, "0 páginas") and not any(p for p, _ in of(4))
+    assert (False, "no se pudo abrir") in of(5)
+    assert {(True, "nombres definidos: a"), (True, "core.xml dc:title = \ufffd")} <= set(of(6))
+
+
+def test_summaries_of_odd_files(spark):
+    docx = package(word__document_xml=b"<a/>", docProps__custom_xml=b"<a/>")
+    files = frame(spark, docx, b"PK\3\4broken", None, b"II*\0", b"\0\0\0\x18ftypheic", make_pdf((1, b"<< /Type /Catalog >>")), make_pdf((1, b"<< /Type /Catalog >>"), trailer="<< /Root 1 0 R /Encrypt 3 0 R >>"))
+    got = {r["doc_id"]: r["summary"] for r in overview.summaries(files).collect()}
+    assert got[0] == "Detectamos un archivo de Word con propiedades personalizadas." and got[1] is None and got[2] is None
+    assert got[3].startswith("Detectamos una imagen TIFF, pero") and got[4].startswith("Detectamos una imagen HEIC, pero")
+    assert got[5] == "PDF sin metadatos personales detectados." and got[6] == overview.ENCRYPTED
