@@ -15,6 +15,7 @@ from lucerna.llm.mixing import LANGUAGE_TARGETS, mix
 from lucerna.llm.ngram_join import ngram_components
 from lucerna.llm.packing import pack_documents
 from lucerna.llm.quality import classify_quality
+from lucerna.llm.resampling import resample_to_target
 from lucerna.llm.sql import ORACLE
 from lucerna.llm.token_counts import count_tokens
 from lucerna.llm.topk import top_k
@@ -69,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents, labelled, LANGUAGE_TARGETS)
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_to_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_token_counts, op4_exact_topk, op5_toxicity, op6_best_fit, op7_chat, op8_quality, op9_ogg, op10_mixing)
+    f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_token_counts, op4_exact_topk, op5_toxicity, op6_best_fit, op7_chat, op8_quality, op9_ogg, op10_mixing, op11_target_resampling)
 }

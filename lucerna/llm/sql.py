@@ -59,5 +59,39 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 FROM s LEFT JOIN lowest USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
-ORACLE = {"op2_ngram_join": OP2, "op4_exact_topk": OP4, "op7_chat": OP7}
+OP11 = r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT true AS corpus, doc_id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT false, item_id, row_number() OVER (), text FROM benchmark
+), found AS (
+  SELECT corpus, doc_id, row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), each AS (
+  SELECT corpus, row, unnest(w) AS word FROM found
+), counted AS (
+  SELECT corpus, row, word, count(*) AS n FROM each GROUP BY ALL
+), coded AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM counted)
+), bytes AS (
+  SELECT word, list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda i: CAST(16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1 AS BIGINT)) AS b FROM coded
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1])), 4294967295) % 10000 AS bucket FROM bytes, steps
+), totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (corpus), 0) AS s, coalesce(sum(n) FILTER (NOT corpus), 0) AS t FROM counted JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM totals) + 10000)) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS BIGINT) AS gain FROM totals
+), weights AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE corpus GROUP BY row
+), h AS (
+  SELECT row, list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i]) - 1 AS BIGINT)), lambda a, b: 16 * a + b) AS h FROM found WHERE corpus
+), scored AS (
+  SELECT doc_id, row, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM found JOIN h USING (row) LEFT JOIN weights USING (row) WHERE corpus
+), ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
+ORACLE = {"op2_ngram_join": OP2, "op4_exact_topk": OP4, "op7_chat": OP7, "op11_target_resampling": OP11}
 """Queries whose rows SQL gives."""
