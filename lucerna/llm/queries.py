@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from lucerna.llm.chat import chat_digests
 from lucerna.llm.common import table
 from lucerna.llm.html_extract import extract_html
+from lucerna.llm.license_scan import license_report
 from lucerna.llm.media_ogg import media_columns
 from lucerna.llm.mixing import LANGUAGE_TARGETS, mix
 from lucerna.llm.ngram_join import ngram_components
 from lucerna.llm.packing import pack_documents
 from lucerna.llm.quality import classify_quality
+from lucerna.llm.repair import repair_report
 from lucerna.llm.resampling import resample_to_target
 from lucerna.llm.sql import ORACLE
 from lucerna.llm.token_counts import count_tokens
@@ -74,6 +76,22 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_to_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Phrases whose every place counts, and their labels.
+LICENSE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"), LICENSE_PHRASES)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_token_counts, op4_exact_topk, op5_toxicity, op6_best_fit, op7_chat, op8_quality, op9_ogg, op10_mixing, op11_target_resampling)
-}
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_ngram_join, op3_token_counts, op4_exact_topk, op5_toxicity, op6_best_fit, op7_chat, op8_quality, op9_ogg, op10_mixing,
+        op11_target_resampling, op12_license_scan, op13_conversation_repair,
+    )
+}
