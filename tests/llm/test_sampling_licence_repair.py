@@ -162,14 +162,14 @@ def test_licence_hits_have_places(spark):
 
 def brute_damage(rows):
     out = []
-    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or " ", r[3] or " ")):
+    for conv, turn, role, text in rows:
         role, text = " " if role is None else role, " " if text is None else text
         harm = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
         if harm == 0:
             continue
         text = "" if harm == 1 else re.sub("[.!?]", "", text) if harm == 2 else text
         out += [(turn, "user" if harm == 4 else role, text)] * (2 if harm == 3 else 1)
-    return out
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
 
 
 def brute_faults(rows):
