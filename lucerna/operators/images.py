@@ -1,7 +1,9 @@
 """Images: findings from segments, cleaning by leaving segments out, and a check of what stays.
 
 All work is on the ``segments`` table of :mod:`lucerna.sources.images`; the compressed picture is
-copied, never decoded.
+copied, never decoded.  Of a JPEG's application segments only those that a picture needs stay (JFIF, the
+colour profile if asked for, Adobe's colour transform); what follows the end mark of a picture is reported
+and goes as well.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.functions.binary import joined
 from lucerna.functions.text import printable
 from lucerna.operators.office import findings_of, rule
 from lucerna.sources.images import WALKS, exif, tiff_block
@@ -26,6 +29,8 @@ EXIF_FIELDS = [
 GPS_FIELDS = {1: "latitud", 2: "longitud", 3: "referencia de altitud", 4: "altitud", 5: "referencia de altitud", 6: "altitud", 7: "hora GPS", 29: "fecha GPS", 18: "datum", 27: "dirección de la imagen"}
 HEADERS = {"EXIF": b"Exif\0\0", "XMP": b"http://ns.adobe.com/xap/1.0/\0", "ICC": b"ICC_PROFILE\0", "IPTC": b"Photoshop 3.0\0", "DUCKY": b"Ducky"}
 MARKERS = {"EXIF": "E1", "XMP": "E1", "ICC": "E2", "IPTC": "ED", "DUCKY": "EC"}
+#: Further packets of XMP, and application segments that belong to the picture.
+MORE_XMP, BELONGS = b"http://ns.adobe.com/xmp/extension/\0", (("E0", b"JFIF\0"), ("E0", b"JFXX\0"), ("EE", b"Adobe"))
 LABELS = {"jpeg": "JPEG", "png": "PNG", "webp": "WebP", "tiff": "TIFF", "heic": "HEIC", "avif": "AVIF"}
 PNG_TEXT = ("tEXt", "zTXt", "iTXt", "tIME")
 # What XMP packets tell.
@@ -40,14 +45,21 @@ IPTC = ((0x50, "Autor (byline)", "personal"), (0x6E, "Crédito", "personal"), (0
 
 
 def role(segments: DataFrame) -> DataFrame:
-    """Add ``role``: EXIF, XMP, ICC, IPTC, DUCKY, COM, TEXT, ANIMATION or null for what belongs to the picture."""
+    """Add ``role``: EXIF, XMP, ICC, IPTC, DUCKY, COM, TEXT, ANIMATION, OTHER, TAIL or null for what belongs to the picture.
+
+    OTHER is any other application segment of a JPEG, TAIL what follows a picture's end mark.
+    """
     starts = lambda h: F.hex(F.substring("payload", 1, len(h))) == h.hex().upper()
-    out = F.lit(None).cast("string")
+    belongs = reduce(lambda o, kh: o | ((F.col("kind") == kh[0]) & starts(kh[1])), BELONGS, F.lit(False))
+    out = F.when((F.col("format") == "jpeg") & F.col("kind").rlike("^E[0-9A-F]$") & ~belongs, "OTHER")
+    out = F.when((F.col("format") == "jpeg") & (F.col("kind") == "E1") & starts(MORE_XMP), "XMP").otherwise(out)
     for name, header in HEADERS.items():
         out = F.when((F.col("format") == "jpeg") & (F.col("kind") == MARKERS[name]) & starts(header), F.lit(name)).otherwise(out)
     out = F.when((F.col("format") == "jpeg") & (F.col("kind") == "FE"), "COM").otherwise(out)
     png = F.when(F.col("kind").isin(*PNG_TEXT), "TEXT").when(F.col("kind") == "eXIf", "EXIF").when(F.col("kind") == "iCCP", "ICC").when(F.col("kind") == "acTL", "ANIMATION")
     webp = F.when(F.col("kind") == "EXIF", "EXIF").when(F.col("kind") == "XMP ", "XMP").when(F.col("kind") == "ICCP", "ICC").when(F.col("kind") == "ANIM", "ANIMATION")
+    out = F.when(F.col("kind") == "TAIL", "TAIL").otherwise(out)
+    png, webp = (F.when(F.col("kind") == "TAIL", "TAIL").otherwise(x) for x in (png, webp))
     return segments.withColumn("role", F.when(F.col("format") == "png", png).when(F.col("format") == "webp", webp).otherwise(out))
 
 
@@ -111,6 +123,8 @@ def image_findings(segments: DataFrame) -> DataFrame:
         *(rule(is_role("IPTC"), "IPTC (Photoshop)", label, data_set(n), sev) for n, label, sev in IPTC),
         rule(is_role("IPTC") & ~latin.rlike("\x1c\x02[" + "".join(chr(n) for n, _, _ in IPTC) + "][\\s\\S]{2}[^\x1c]*[\x21-\x7eÀ-ÿ]"), "IPTC (Photoshop)", "Bloque IPTC", F.lit("presente"), "media"),
         rule(is_role("COM"), "Comentario JPEG", "Comentario guardado en el archivo", printable(c("payload"), 140), "media"),
+        rule(is_role("OTHER"), "Metadatos de imagen", F.concat(F.lit("Segmento APP"), F.conv(F.substring("kind", 2, 1), 16, 10)), printable(c("payload"), 140), "media"),
+        rule(is_role("TAIL"), "Archivo", "Datos después del final de la imagen", F.concat(c("size").cast("string"), F.lit(" bytes")), "personal"),
         rule(is_role("DUCKY"), "Datos de cámara antiguos", "Segmento APP12 (Ducky)", F.lit("presente"), "personal"),
         rule(is_role("TEXT") & (c("kind") != "tIME"), "Texto incrustado en el PNG", F.concat(F.lit("Chunk "), c("kind")), printable(c("payload"), 160), "media"),
         rule(c("kind") == "tIME", "Texto incrustado en el PNG", "Fecha de modificación (tIME)", F.lit("presente"), "media"),
@@ -139,7 +153,7 @@ def clean_segments(segments: DataFrame, *, icc: str = "keep", orientation: str =
     """Segments that stay, with a new minimal EXIF block where the orientation is kept: doc_id, format, ord, segment."""
     if icc not in ("keep", "remove") or orientation not in ("keep", "remove"):
         raise ValueError("icc and orientation are keep or remove")
-    gone = ["EXIF", "XMP", "IPTC", "COM", "DUCKY", "TEXT", *(["ICC"] if icc == "remove" else [])]
+    gone = ["EXIF", "XMP", "IPTC", "COM", "DUCKY", "TEXT", "OTHER", "TAIL", *(["ICC"] if icc == "remove" else [])]
     blocks = exif_blocks(segments).filter("x.orientation > 0" if orientation == "keep" else "false").select("doc_id", tiff_block(F.col("x.orientation"), F.col("x.width"), F.col("x.height")).alias("tiff"))
     s = role(segments.filter(F.col("kind").isNotNull()))
     kept = s.filter(F.col("role").isNull() | ~F.col("role").isin(*gone)).join(blocks.select("doc_id", F.lit(True).alias("turned")), "doc_id", "left")
@@ -162,7 +176,7 @@ def clean_segments(segments: DataFrame, *, icc: str = "keep", orientation: str =
 def assemble(segments: DataFrame) -> DataFrame:
     """doc_id, format and content of segments put together; the size in a WebP header is set anew."""
     listed = segments.groupBy("doc_id", "format").agg(F.sort_array(F.collect_list(F.struct("ord", "segment"))).alias("l"))
-    body = F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["segment"]))
+    body = joined(F.transform("l", lambda x: x["segment"]))
     whole = listed.select("doc_id", "format", body.alias("content"))
     sized = F.concat(F.substring("content", 1, 4), _wide(F.octet_length("content") - 8, 8, little=True), F.expr("substring(content, 9)"))
     return whole.select("doc_id", "format", F.when(F.col("format") == "webp", sized).otherwise(F.col("content")).alias("content"))
@@ -170,8 +184,8 @@ def assemble(segments: DataFrame) -> DataFrame:
 
 def image_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     """What is wrong with cleaned images, by re-reading both: metadata left, or a picture that differs."""
-    picture = lambda s: role(s).filter("role IS NULL AND kind NOT IN ('RIFF', 'VP8X')").groupBy("doc_id").agg(F.sha2(F.aggregate(F.sort_array(F.collect_list(F.struct("ord", "segment"))), F.lit(b""), lambda a, x: F.concat(a, x["segment"])), 256).alias("sha"))
-    left = role(after).filter(F.col("role").isin("XMP", "IPTC", "COM", "DUCKY", "TEXT")).select("doc_id", F.concat(F.lit("left: "), F.col("role")).alias("problem"))
+    picture = lambda s: role(s).filter("role IS NULL AND kind NOT IN ('RIFF', 'VP8X')").groupBy("doc_id").agg(F.sha2(joined(F.transform(F.sort_array(F.collect_list(F.struct("ord", "segment"))), lambda x: x["segment"])), 256).alias("sha"))
+    left = role(after).filter(F.col("role").isin("XMP", "IPTC", "COM", "DUCKY", "TEXT", "OTHER", "TAIL")).select("doc_id", F.concat(F.lit("left: "), F.col("role")).alias("problem"))
     fields = exif_blocks(after).filter((F.size("x.gps") > 0) | F.exists("x.fields", lambda f: ~f["tag"].isin(0x0112, 0xA002, 0xA003))).select("doc_id", F.lit("left: EXIF fields").alias("problem"))
     a, b = picture(before), picture(after).withColumnRenamed("sha", "sha_after")
     other = a.join(b, "doc_id", "left").filter(~F.col("sha").eqNullSafe(F.col("sha_after"))).select("doc_id", F.lit("picture differs").alias("problem"))

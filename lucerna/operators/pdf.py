@@ -3,9 +3,10 @@
 A file is read as Latin-1 text, which keeps every byte.  Of several objects with one number that which
 the file's cross-reference chain names wins, in the file or inside a compressed object stream; what no
 table names (none, or a damaged one) comes from a scan: the last one in the file, then objects of object
-streams, which only fill numbers that are still missing.  Two small helpers inflate a stream and
-decode a string; the rest is DataFrame work.  A file that could not be rebuilt safely is refused with
-a reason, never damaged.
+streams, which only fill numbers that are still missing.  Types, references, filters and trailers are
+read from the tokens of a dictionary, so strings and comments are never taken for them.  Small helpers
+inflate a stream and decode a string; the rest is DataFrame work.  A file that could not be rebuilt
+safely is refused with a reason, never damaged.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions.binary import joined
 from lucerna.operators.office import findings_of, rule
-from lucerna.operators.relations import dangling, gap_fill, latest, reachable_each, shared_table
-from lucerna.sources import pdf_objects, pdf_tables
+from lucerna.operators.relations import cut_ranges, dangling, gap_fill, latest, reachable_each, shared_table
+from lucerna.sources import pdf_tables, pdf_tokens
 from lucerna.sources.packages import MOST_PART
 from lucerna.sources.pdf_objects import HIGHEST, undo_predictor
 
@@ -38,6 +40,9 @@ XMP = [
 ANNOTATIONS = r"/Subtype\s*/(?:Text|FreeText|Highlight|Square|Stamp|Ink|FileAttachment)"
 #: Missing numbers in a row that are listed as free; a wider gap begins a new section of the table.
 FREE_ROW = 64
+FREE = "0000000000 65535 f \n"
+#: Why a file is refused whose compressed objects cannot be seen: a damaged stream, or one beyond the limit.
+UNREAD = "object stream cannot be read"
 
 
 def latin(content: Column) -> Column:
@@ -109,8 +114,8 @@ def info_values(dictionary: Column) -> Column:
     def read(dictionaries: pa.Array) -> pa.Array:
         out = []
         for d in dictionaries.to_pylist():
-            held = pdf_objects.own_values(d or "", frozenset(k for k, _, _ in INFO))
-            out.append([{"key": k, "value": decode_string(v)} for k, v in held.items() if v[:1] in ("(", "<") and v[:2] != "<<"])
+            held = pdf_tokens.own(d)
+            out.append([{"key": k, "value": decode_string(held[k])} for k, _, _ in INFO if held.get(k, "")[:1] in ("(", "<") and held[k][:2] != "<<"])
         return pa.array(out, _INFO)
 
     return read(dictionary)
@@ -122,17 +127,21 @@ def scan_objects(files: DataFrame) -> DataFrame:
 
 
 #: Objects whose streams are read; those of all others are only copied.
-READ_STREAMS = r"/Type\s*/(ObjStm|Metadata)\b"
+READ_STREAMS = ("ObjStm", "Metadata")
 
 
 def read_objects(files: DataFrame) -> DataFrame:
-    """doc_id, num, gen, dict, stream_bytes (null without a stream) and, where it is read, stream.
+    """doc_id, num, gen, dict, stream_bytes (null without a stream), type, refs, data and unread.
 
-    Objects inside compressed object streams come first where the table names them, else they fill numbers
-    that the scan has not found.  Streams of pages and pictures are left out, so the table is small beside the files.
+    ``type`` and ``refs`` are what the dictionary's tokens say.  ``data`` is what a stream of READ_STREAMS
+    holds, ``unread`` tells that it could not be had.  Objects inside compressed object streams come first
+    where the table names them, else they fill numbers that the scan has not found.  Streams of pages and
+    pictures are left out, so the table is small beside the files.
     """
-    scanned = scan_objects(files).select("doc_id", "num", "gen", "dict", F.octet_length("stream").cast("long").alias("stream_bytes"), F.when(F.col("dict").rlike(READ_STREAMS), F.col("stream")).alias("stream"))
-    direct = shared_table(scanned, "objects")
+    seen = scan_objects(files).withColumn("x", pdf_tokens.facts(F.col("dict")))
+    read = F.when(F.col("x.type").isin(*READ_STREAMS), F.col("stream"))
+    seen = seen.select("doc_id", "num", "gen", "dict", F.octet_length("stream").cast("long").alias("stream_bytes"), "x.type", "x.refs", data(read).alias("data"), read.isNotNull().alias("unread"))
+    direct = shared_table(seen.withColumn("unread", F.col("unread") & F.col("data").isNull()), "objects")
     inside = _compressed(direct)
     named = pdf_tables.read_tables(files).filter("num IS NOT NULL").select("doc_id", "num", "holder", "place")
     first = inside.join(named, ["doc_id", "num", "holder", "place"], "left_semi").drop("holder", "place")
@@ -140,64 +149,117 @@ def read_objects(files: DataFrame) -> DataFrame:
     return gap_fill(gap_fill(first, direct, ["doc_id", "num"]), last, ["doc_id", "num"])
 
 
-def data(objects: DataFrame) -> Column:
-    """The data of a stream: inflated where its only filter is Flate, else as it stands."""
-    flate = F.col("dict").rlike(r"/Filter\s*\[?\s*/FlateDecode\s*\]?")
-    predicted = F.regexp_extract("dict", r"/Predictor\s+(1[0-5])", 1) != ""
-    columns = F.when(predicted, F.coalesce(F.regexp_extract("dict", r"/Columns\s+(\d{1,6})", 1).try_cast("int"), F.lit(1))).otherwise(F.lit(0))
-    return F.when(flate, inflated(F.when(flate, F.col("stream")), columns)).otherwise(F.col("stream"))
+def data(stream: Column) -> Column:
+    """The data of a stream beside its ``dict``: inflated where its only filter is Flate, null where another one is used or it is damaged, else as it stands."""
+    by = pdf_tokens.filters(F.when(stream.isNotNull(), F.col("dict")))
+    return F.when(by["flate"], inflated(F.when(by["flate"], stream), by["columns"])).when(~by["other"], stream)
 
 
 def _compressed(objects: DataFrame) -> DataFrame:
     """Objects inside object streams, with their stream and place there: their spans end where the next one starts."""
-    streams = objects.filter(F.col("dict").rlike(r"/Type\s*/ObjStm")).select("doc_id", F.col("num").alias("holder"), data(objects).alias("d"), F.regexp_extract("dict", r"/First\s+(\d+)", 1).try_cast("int").alias("first"))
-    text = streams.filter("d IS NOT NULL AND first IS NOT NULL").select("doc_id", "holder", latin(F.col("d")).alias("t"), "first")
+    first = pdf_tokens.own_entries(F.col("dict"))["First"].try_cast("int")
+    streams = objects.filter("type = 'ObjStm' AND data IS NOT NULL").select("doc_id", F.col("num").alias("holder"), latin(F.col("data")).alias("t"), first.alias("first"))
+    text = streams.filter("first IS NOT NULL")
     numbers = F.transform(F.regexp_extract_all(F.left("t", F.col("first")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), lambda i: F.struct(i.cast("long").alias("place"), F.get(numbers, (2 * i).cast("int")).alias("num"), F.get(numbers, (2 * i + 1).cast("int")).alias("at")))
     rows = text.select("doc_id", "holder", "t", "first", F.explode(pairs).alias("p")).select("doc_id", "holder", "t", "first", "p.place", "p.num", "p.at").filter("num IS NOT NULL AND at IS NOT NULL")
     end = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id", "holder").orderBy("at", "num")), F.length("t") - F.col("first"))
-    return rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), F.lit(None).cast("long").alias("stream_bytes"), F.lit(None).cast("binary").alias("stream"), "holder", "place")
+    rows = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), "holder", "place")
+    rows = rows.withColumn("x", pdf_tokens.facts(F.col("dict")))
+    return rows.select("doc_id", "num", "gen", "dict", F.lit(None).cast("long").alias("stream_bytes"), "x.type", "x.refs", F.lit(None).cast("binary").alias("data"), F.lit(False).alias("unread"), "holder", "place")
 
 
 def trailers(files: DataFrame, objects: DataFrame) -> DataFrame:
     """doc_id and trailer of every file: the newest of its table, else that of a cross-reference stream or the last in the file; null without one."""
-    listed = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(latin(F.col("content")).rlike("trailer"), F.try_element_at(F.regexp_extract_all(latin(F.col("content")), F.lit(r"(?s)trailer\s*(<<.*?>>)\s*startxref"), F.lit(1)), F.lit(-1))).alias("listed"))
-    crossed = objects.filter(F.col("dict").rlike(r"/Type\s*/XRef\b")).groupBy("doc_id").agg(F.max_by("dict", "num").alias("crossed"))
-    named = pdf_tables.read_tables(files).filter("trailer IS NOT NULL").select("doc_id", F.col("trailer").alias("named"))
-    return listed.join(crossed, "doc_id", "left").join(named, "doc_id", "left").select("doc_id", F.coalesce("named", "crossed", "listed").alias("trailer"))
+    listed = pdf_tables.read_tables(files).filter("num IS NULL").select("doc_id", "trailer", "listed")
+    crossed = objects.filter("type = 'XRef'").groupBy("doc_id").agg(F.max_by("dict", "num").alias("crossed"))
+    return listed.join(crossed, "doc_id", "left").select("doc_id", F.coalesce("trailer", "crossed", "listed").alias("trailer"))
+
+
+def unread(objects: DataFrame) -> DataFrame:
+    """doc_id and error of files with a stream of compressed objects that cannot be seen."""
+    return objects.filter("unread AND type = 'ObjStm'").select("doc_id", F.lit(UNREAD).alias("error")).distinct()
 
 
 def references(objects: DataFrame) -> DataFrame:
-    """doc_id, src, dst: every reference in an object's dictionary."""
-    return objects.select("doc_id", F.col("num").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("dict", F.lit(r"(\d{1,10})\s+\d{1,5}\s+R\b"), F.lit(1)))).alias("d")).select("doc_id", "src", F.col("d").cast("long").alias("dst"))
+    """doc_id, src, dst: every reference in an object's value."""
+    return objects.select("doc_id", F.col("num").alias("src"), F.explode("refs").alias("dst"))
+
+
+def dictionary_entries(objects: DataFrame) -> DataFrame:
+    """doc_id, num, depth, key, key_start, val_start, val_end, value: every entry of every dictionary."""
+    e = objects.select("doc_id", "num", "dict", F.explode(pdf_tokens.entries(F.col("dict"))).alias("e")).select("doc_id", "num", "dict", "e.*")
+    return e.withColumn("value", F.substr("dict", F.col("val_start") + 1, F.col("val_end") - F.col("val_start"))).drop("dict")
+
+
+def names_dictionaries(objects: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id and num of the objects that a catalogue's /Names leads to, references to references included."""
+    value = pdf_tokens.own_entries(F.col("dict"))["Names"]
+    start = objects.join(roots, "doc_id").filter("num = root").select("doc_id", pdf_tokens.referred(value).alias("node")).filter("node IS NOT NULL")
+    bare = objects.select("doc_id", F.col("num").alias("src"), pdf_tokens.referred(F.col("dict")).alias("dst")).filter("dst IS NOT NULL")
+    return reachable_each(bare, start, ["doc_id"]).select("doc_id", F.col("node").alias("num"))
+
+
+def tree_names(objects: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """doc_id, name, num: what the name tree under ``key`` (JavaScript, EmbeddedFiles, Dests) of a catalogue's names lists.
+
+    The tree is walked through /Kids of any depth, cycles included; ``num`` is the object that a name leads to, null
+    where its value stands in the node.
+    """
+    named = names_dictionaries(objects, roots).withColumn("names", F.lit(True))
+    holders = objects.join(roots, "doc_id").join(named, ["doc_id", "num"], "left").filter("num = root OR names")
+    found = dictionary_entries(holders).filter(F.col("key") == key)
+    inline = found.select("doc_id", F.col("value").alias("dict"))
+    starts = found.select("doc_id", pdf_tokens.referred(F.col("value")).alias("node")).filter("node IS NOT NULL")
+    nodes = objects.select("doc_id", "num", "dict").withColumn("x", pdf_tokens.tree_node(F.col("dict")))
+    kids = nodes.select("doc_id", F.col("num").alias("src"), F.explode("x.kids").alias("dst"))
+    below = inline.select("doc_id", F.explode(pdf_tokens.tree_node(F.col("dict"))["kids"]).alias("node"))
+    reached = reachable_each(kids, starts.unionByName(below), ["doc_id"]).withColumnRenamed("node", "num")
+    leaves = nodes.join(reached, ["doc_id", "num"], "left_semi").select("doc_id", F.explode("x.names").alias("n"))
+    leaves = leaves.unionByName(inline.select("doc_id", F.explode(pdf_tokens.tree_node(F.col("dict"))["names"]).alias("n")))
+    return leaves.select("doc_id", decoded(F.col("n.name")).alias("name"), "n.num")
+
+
+def decoded(raw: Column) -> Column:
+    """The texts of strings with their delimiters."""
+    return F.arrow_udf("string")(lambda x: pa.array([decode_string(v) for v in x.to_pylist()], pa.string()))(raw)
 
 
 def supported(trailer: Column) -> Column:
-    return trailer.isNotNull() & ~trailer.rlike(r"/Encrypt\b")
+    return trailer.isNotNull() & ~F.map_contains_key(pdf_tokens.own_entries(trailer), "Encrypt")
 
 
-def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> DataFrame:
+def root_of(trailer: Column) -> Column:
+    """The number of the catalogue."""
+    return pdf_tokens.referred(pdf_tokens.own_entries(trailer)["Root"])
+
+
+def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame, *, xmp_chars: int | None = None) -> DataFrame:
     """All findings of PDF files: doc_id, grp, label, value, sev, keep.  Encrypted files show little more than that.
 
-    One pass over the files, one over the objects with one aggregate by file.
+    One pass over the files, one over the objects with one aggregate by file.  ``xmp_chars`` reads so many
+    characters of an XMP packet only; by default it is read whole.
     """
     c = F.col
-    text = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("content").alias("size"), latin(F.col("content")).alias("t")).join(trailer, "doc_id", "left")
-    readable = supported(c("trailer"))
-    known = objects.join(trailer, "doc_id", "left")
-    is_type = lambda k: c("dict").rlike(rf"/Type\s*/{k}(?![A-Za-z])")
+    told = pdf_tokens.own_entries(c("trailer"))
+    said = trailer.select("doc_id", c("trailer").isNotNull().alias("found"), told.alias("told"))
+    said = said.select("doc_id", "told", (c("found") & ~F.map_contains_key("told", "Encrypt")).alias("readable"))
+    text = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("content").alias("size"), latin(F.col("content")).alias("t")).join(said, "doc_id", "left")
+    readable = c("readable")
+    known = objects.join(said, "doc_id", "left")
+    is_type = lambda k: F.coalesce(c("type") == k, F.lit(False))
     eofs, notes = F.regexp_count("t", F.lit("%%EOF")), F.regexp_count("t", F.lit(ANNOTATIONS))
     from_files = [
         rule(F.lit(True), "Archivo", "Tipo detectado", F.concat(F.lit("PDF · "), F.round(c("size") / 1024, 0).cast("long").cast("string"), F.lit(" KB")), "baja"),
         rule(eofs > 1, "Estructura", "Versiones anteriores dentro del archivo", F.concat(eofs.cast("string"), F.lit(" actualizaciones incrementales en el mismo archivo")), "personal", keep=True),
-        rule(c("trailer").rlike(r"/Encrypt\b"), "Archivo", "PDF cifrado", F.lit("no se puede limpiar sin la contraseña"), "media", keep=True),
-        rule(readable & c("trailer").rlike(r"/ID\s*\["), "Estructura", "Identificador del archivo (/ID)", F.lit("huellas que identifican este archivo concreto"), "media"),
+        rule(F.map_contains_key("told", "Encrypt"), "Archivo", "PDF cifrado", F.lit("no se puede limpiar sin la contraseña"), "media", keep=True),
+        rule(readable & F.map_contains_key("told", "ID"), "Estructura", "Identificador del archivo (/ID)", F.lit("huellas que identifican este archivo concreto"), "media"),
         rule(readable & (notes > 0), "Anotaciones", "Comentarios y anotaciones", notes, "media", keep=True),
         rule(readable & F.contains("t", F.lit("/AcroForm")), "Formularios", "Formulario con campos", F.lit("los valores escritos siguen dentro del archivo"), "media", keep=True),
         rule(readable & c("t").rlike(r"/JavaScript|/OpenAction|/AA\b"), "JavaScript", "Código que puede ejecutarse al abrir el PDF", F.lit("presente"), "personal"),
         rule(readable & F.contains("t", F.lit("/EmbeddedFiles")), "Adjuntos", "Archivos incrustados (/EmbeddedFiles)", F.lit("documentos dentro del PDF"), "personal", keep=True),
     ]
-    is_info = readable & (c("num") == F.regexp_extract("trailer", r"/Info\s+(\d+)\s+\d+\s+R", 1).try_cast("long"))
+    is_info = readable & (c("num") == pdf_tokens.referred(c("told")["Info"]))
     infos = known.filter(is_info).select("doc_id", F.explode(info_values(c("dict"))).alias("v")).select("doc_id", "v.key", F.left("v.value", F.lit(120)).alias("value"))
     label_of = F.coalesce(*(F.when(c("key") == k, F.lit(label)) for k, label, _ in INFO))
     level = lambda sev: c("key").isin(*(k for k, _, x in INFO if x == sev))
@@ -209,7 +271,8 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> Da
         rule(readable & is_type("Filespec"), "Adjuntos", "Archivo incrustado dentro del PDF", F.lit("hay documentos dentro del archivo"), "personal", keep=True),
     ]
     meta = known.filter(readable & is_type("Metadata"))
-    xmp = meta.select("doc_id", F.left(F.make_valid_utf8(data(meta).cast("string")), F.lit(8000)).alias("x"))
+    packet = F.make_valid_utf8(c("data").cast("string"))
+    xmp = meta.select("doc_id", (packet if xmp_chars is None else F.left(packet, F.lit(xmp_chars))).alias("x"))
     counts = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(readable & is_type("Page")).alias("pages"))
     every = [
         findings_of(text, from_files),
@@ -221,56 +284,81 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame) -> Da
     return reduce(DataFrame.unionByName, every)
 
 
-def clean_pdf(files: DataFrame, *, attachments: bool = False) -> DataFrame:
+def _rewritten(kept: DataFrame, streams: DataFrame) -> DataFrame:
+    """doc_id, n and content: objects in the order of their numbers, a table in sections, and a trailer.
+
+    Offsets are a window sum; each row makes its own lines of the table, and the pieces of a file are joined once.
+    """
+    piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
+    head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
+    in_order = Window.partitionBy("doc_id").orderBy("num")
+    before = F.coalesce(F.sum(F.octet_length("piece")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(head)
+    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", piece.alias("piece")).withColumn("at", before)
+    # A wide gap begins a section; in a section, numbers in between are listed as free.
+    placed = placed.withColumn("gap", F.col("num") - F.coalesce(F.lag("num").over(in_order), F.lit(0)) - 1).withColumn("first", F.lag("num").over(in_order).isNull())
+    placed = placed.withColumn("begins", F.col("gap") >= FREE_ROW).withColumn("section", F.sum((F.col("gap") >= FREE_ROW).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    high = F.max("num").over(Window.partitionBy("doc_id", "section"))
+    headed = lambda low: F.concat(low.cast("string"), F.lit(" "), (high - low + 1).cast("string"), F.lit("\n"))
+    top = F.when(F.col("first"), F.when(F.col("begins"), "0 1\n").otherwise(headed(F.lit(0)))).otherwise("")
+    zero = F.when(F.col("first"), F.lit(FREE)).otherwise("")
+    between = F.when(F.col("begins"), headed(F.col("num"))).otherwise(F.repeat(F.lit(FREE), F.col("gap").cast("int")))
+    line = F.concat(top, zero, between, F.format_string("%010d %05d n \n", "at", "gen"))
+    lined = placed.select("doc_id", "num", "root", "piece", line.alias("line"))
+    made = lined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "line", "piece"))).alias("l"), F.first("root").alias("root"), F.max("num").alias("last"), F.sum(F.octet_length("piece")).alias("bytes"))
+    table = F.array_join(F.transform("l", lambda x: x["line"]), "")
+    tail = F.concat(F.lit("xref\n"), table, F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), (F.col("bytes") + len(head)).cast("string"), F.lit("\n%%EOF\n"))
+    return made.select("doc_id", F.size("l").alias("n"), joined(F.concat(F.array(F.lit(head)), F.transform("l", lambda x: x["piece"]), F.array(tail.cast("binary")))).alias("content"))
+
+
+def without_entries(objects: DataFrame, roots: DataFrame, keys: list[str], *, deep: bool) -> DataFrame:
+    """Objects whose dictionaries lack what cleaning takes out; references are those that are left.
+
+    From the catalogue go its own ``keys``; from it and from the names dictionaries that it leads to goes
+    /JavaScript with all that hangs on it.  ``deep`` takes actions, script and metadata from every object.
+    """
+    named = names_dictionaries(objects.drop("root"), roots).withColumn("names", F.lit(True))
+    marked = objects.join(named, ["doc_id", "num"], "left")
+    is_root = F.col("num") == F.col("root")
+    touched = marked if deep else marked.filter(is_root | F.col("names"))
+    entries = dictionary_entries(touched.filter(F.col("dict").contains("/"))).join(touched.select("doc_id", "num", "root", "names"), ["doc_id", "num"])
+    from_catalogue = (is_root & (F.col("depth") == 1) & F.col("key").isin(*keys)) | ((is_root | F.col("names")) & (F.col("key") == "JavaScript"))
+    script = F.col("key").isin("A", "Next", "OpenAction") & F.col("value").rlike(r"/S\s*/JavaScript(?![A-Za-z])")
+    gone = entries.filter(from_catalogue | (F.col("key").isin("AA", "Metadata", "PieceInfo", "JS") | script) if deep else from_catalogue)
+    cut = cut_ranges(touched.select("doc_id", "num", "dict"), gone.select("doc_id", "num", "key_start", "val_end"), ["doc_id", "num"], "dict", "key_start", "val_end")
+    cut = cut.select("doc_id", "num", F.col("dict").alias("cut"), pdf_tokens.facts(F.col("dict"))["refs"].alias("cut_refs"))
+    out = objects.join(cut, ["doc_id", "num"], "left")
+    return out.withColumn("dict", F.coalesce("cut", "dict")).withColumn("refs", F.coalesce("cut_refs", "refs")).drop("cut", "cut_refs")
+
+
+def clean_pdf(files: DataFrame, *, attachments: bool = False, deep: bool = False) -> DataFrame:
     """doc_id, content, stats and error of rewritten files: one version, only reachable objects, no metadata or actions.
 
+    ``attachments`` takes out all names of the catalogue, embedded files among them.  By default actions and
+    metadata of single pages and other objects stay, as findings tell; ``deep`` takes them out as well.
     ``error`` tells why a file was refused; its content is then null.
     """
     objects = shared_table(read_objects(files), "pdf-objects")
     trailer = shared_table(trailers(files, objects), "trailers")
-    roots = trailer.filter(supported(F.col("trailer"))).select("doc_id", F.regexp_extract("trailer", r"/Root\s+(\d+)\s+\d+\s+R", 1).try_cast("long").alias("root"))
-    keys = frozenset([*CATALOG_DROP, *(["Names"] if attachments else [])])
-
-    @F.arrow_udf("string")
-    def without(dictionaries: pa.Array) -> pa.Array:
-        return pa.array([x and pdf_objects.without_keys(x, keys, frozenset(["JavaScript"])) for x in dictionaries.to_pylist()], pa.string())
-
-    own = objects.join(roots, "doc_id").filter(~F.col("dict").rlike(r"/Type\s*/(XRef|ObjStm)\b"))
-    is_root = F.col("num") == F.col("root")
-    edited = shared_table(own.withColumn("dict", F.when(is_root, without(F.when(is_root, F.col("dict")))).otherwise(F.col("dict"))), "edited")
-    refs = references(edited)
+    roots = trailer.filter(supported(F.col("trailer"))).select("doc_id", root_of(F.col("trailer")).alias("root"))
+    keys = [*CATALOG_DROP, *(["Names"] if attachments else [])]
+    own = objects.drop("data", "unread").join(roots, "doc_id").filter("num > 0 AND (type IS NULL OR type NOT IN ('XRef', 'ObjStm'))")
+    edited = shared_table(without_entries(own, roots, keys, deep=deep), "edited")
     # Up to here only dictionaries were handled; streams are read from the files again for what is kept.
-    reached = reachable_each(refs, roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
-    kept = shared_table(edited.drop("stream").join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
+    reached = reachable_each(references(edited), roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
+    kept = shared_table(edited.join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
     streams = scan_objects(files.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")).filter("stream IS NOT NULL").select("doc_id", "num", "stream")
     streams = streams.join(kept.filter("stream_bytes IS NOT NULL").select("doc_id", "num"), ["doc_id", "num"], "left_semi")
     broken = dangling(references(kept), kept, {"doc_id": "doc_id", "dst": "num"}).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 6).alias("missing"))
-    piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
-    head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
-    before = F.coalesce(F.sum(F.octet_length("piece")).over(Window.partitionBy("doc_id").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(head)
-    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", piece.alias("piece")).withColumn("at", before)
-    # Sections of the table: runs of numbers whose gaps are short.
-    in_order = Window.partitionBy("doc_id").orderBy("num")
-    begins = F.coalesce((F.col("num") - F.lag("num").over(in_order) > FREE_ROW).cast("int"), F.lit(0))
-    sectioned = placed.withColumn("begins", begins).withColumn("section", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    per = sectioned.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("num", "gen", "at", "piece"))).alias("l"), F.first("root").alias("root"))
-    spots = F.map_from_entries(F.transform("l", lambda x: F.struct(x["num"], F.format_string("%010d %05d n \n", x["at"], x["gen"]))))
-    low, high = F.when(F.col("section") == 0, F.lit(1).cast("long")).otherwise(F.get("l", F.lit(0))["num"]), F.element_at("l", -1)["num"]
-    per = per.filter(high <= HIGHEST).withColumn("spots", spots).withColumn("low", low).withColumn("high", high)
-    lines = F.array_join(F.transform(F.sequence("low", "high"), lambda n: F.coalesce(F.try_element_at("spots", n), F.lit("0000000000 65535 f \n"))), "")
-    first = F.col("section") == 0
-    counted = F.concat(F.when(first, F.lit("0")).otherwise(F.col("low").cast("string")), F.lit(" "), (F.col("high") - F.col("low") + F.when(first, 2).otherwise(1)).cast("string"), F.lit("\n"), F.when(first, F.lit("0000000000 65535 f \n")).otherwise(""))
-    per = per.select("doc_id", "section", "root", "high", F.size("l").alias("n"), F.concat(counted, lines).alias("lines"), F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("body"))
-    made = per.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "lines", "body"))).alias("s"), F.first("root").alias("root"), F.max("high").alias("last"), F.sum("n").cast("int").alias("n"))
-    made = made.withColumn("body", F.aggregate("s", F.lit(head), lambda a, x: F.concat(a, x["body"]))).withColumn("table", F.array_join(F.transform("s", lambda x: x["lines"]), ""))
-    tail = F.concat(F.lit("xref\n"), F.col("table"), F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), F.octet_length("body").cast("string"), F.lit("\n%%EOF\n"))
     high_numbers = kept.filter(F.col("num") > HIGHEST).select("doc_id", F.lit(True).alias("too_high")).distinct()
+    made = _rewritten(kept.join(high_numbers, "doc_id", "left_anti"), streams)
     totals = objects.groupBy("doc_id").agg(F.count("*").alias("total"))
     history = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.regexp_count(latin(F.col("content")), F.lit("%%EOF")) - 1, F.lit(0)).alias("history"))
-    out = history.join(trailer, "doc_id", "left").join(totals, "doc_id", "left").join(high_numbers, "doc_id", "left").join(made.select("doc_id", "n", F.concat("body", tail.cast("binary")).alias("content")), "doc_id", "left").join(broken, "doc_id", "left")
+    hidden = unread(objects).withColumnRenamed("error", "unread")
+    out = history.join(trailer, "doc_id", "left").join(totals, "doc_id", "left").join(high_numbers, "doc_id", "left").join(hidden, "doc_id", "left").join(made, "doc_id", "left").join(broken, "doc_id", "left")
     error = (
         F.when(F.col("trailer").isNull(), "no trailer")
         .when(~supported(F.col("trailer")), "encrypted")
+        .when(F.col("unread").isNotNull(), F.col("unread"))
         .when(F.col("too_high"), "object number beyond the limit")
         .when(F.coalesce("n", F.lit(0)) < 2, "no structure")
         .when(F.col("missing").isNotNull(), F.concat(F.lit("broken references: "), F.array_join(F.transform("missing", lambda x: x.cast("string")), ", ")))

@@ -85,6 +85,28 @@ def package_diff(before: DataFrame, after: DataFrame, on: list[str], compare: st
     return a.join(b, on, "full_outer").select(*on, change.alias("change")).filter(F.col("change").isNotNull())
 
 
+def union_ranges(ranges: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """The ranges [start, end) of each key with those that touch or overlap joined into one.
+
+    A range begins a new island where the running maximum of the ends before it lies before its start.
+    """
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranges.filter(F.col(start) < F.col(end)).withColumn("__new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
+    island = apart.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+
+
+def cut_ranges(rows: DataFrame, ranges: DataFrame, keys: list[str], text: str, start: str, end: str) -> DataFrame:
+    """``rows`` whose ``text`` lacks the ranges [start, end) of its key, places from 0: what is left is the complement of their union."""
+    joined = union_ranges(ranges, keys, start, end).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(start).cast("int").alias("a"), F.col(end).cast("int").alias("b")))).alias("__r"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("__r", lambda r: r["b"]))
+    ends = F.concat(F.transform("__r", lambda r: r["a"]), F.array(F.char_length(text)))
+    kept = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda p: F.substr(F.col(text), p["b"] + 1, F.greatest(p["e"] - p["b"], F.lit(0)))), "")
+    out = rows.join(joined, keys, "left").withColumn(text, F.when(F.col("__r").isNull(), F.col(text)).otherwise(kept))
+    return out.select(*rows.columns)
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the folder that the cluster shares, and read it back."""
     return write_shared(df, label)[0]

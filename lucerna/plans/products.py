@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import sniff
 from lucerna.functions.names import output_name, safe_name
 from lucerna.functions.text import strict_text
-from lucerna.operators import images, office, pdf, secrets, verdict
+from lucerna.operators import image_check, images, office, pdf, pdf_check, secrets, verdict
 from lucerna.operators.relations import number_names, shared_table
 from lucerna.sources import packages
 from lucerna.sources.images import WALKS, read_segments
@@ -58,6 +58,7 @@ class Inspected:
             self.parts.filter("error IS NOT NULL").select("doc_id", "error")
             .unionByName(self.segments.filter("error IS NOT NULL").select("doc_id", "error"))
             .unionByName(office.formats(self.parts).filter("format IS NULL").select("doc_id", F.lit("not an office document").alias("error")))
+            .unionByName(pdf.unread(self.objects))
             .unionByName(self.trailers.filter(~pdf.supported(F.col("trailer"))).select("doc_id", F.when(F.col("trailer").isNull(), "no trailer").otherwise("encrypted").alias("error")))
         )
         errors = broken.groupBy("doc_id").agg(F.min("error").alias("error"))
@@ -86,7 +87,11 @@ def _image_stats(segments: DataFrame) -> DataFrame:
     return every.select("doc_id", F.map_filter(F.create_map(*(x for c in every.columns if c != "doc_id" for x in (F.lit(c), F.coalesce(c, F.lit(0))))), lambda k, v: v > 0).alias("stats"))
 
 
-def _cleaned(seen: Inspected, status: DataFrame, *, icc: str, orientation: str, attachments: bool, options: dict[str, object]) -> DataFrame:
+def _refusals(violations: DataFrame) -> DataFrame:
+    return violations.groupBy("doc_id").agg(F.min(F.concat(F.lit("check failed: "), F.col("problem"))).alias("refused"))
+
+
+def _cleaned(seen: Inspected, status: DataFrame, *, icc: str, orientation: str, attachments: bool, deep: bool, options: dict[str, object]) -> DataFrame:
     """doc_id, cleaned, stats and refused of every file that can be cleaned; a file that fails its own check is refused."""
     good = status.filter("error IS NULL").select("doc_id")
     parts = shared_table(packages.read_packages(seen.of("office").join(good, "doc_id", "left_semi")), "office-parts")
@@ -97,23 +102,31 @@ def _cleaned(seen: Inspected, status: DataFrame, *, icc: str, orientation: str,
     wrong = unread.unionByName(office.violations(parts, kept.drop("stats", "error"), **options))
     wrong = wrong.groupBy("doc_id").agg(F.min(F.concat(F.lit("check failed: "), F.col("part"), F.lit(": "), F.col("problem"))).alias("refused"))
     made = packages.write_packages(kept).join(stats, "doc_id", "left").join(wrong, "doc_id", "left").select("doc_id", "content", "stats", "refused")
-    segments = shared_table(read_segments(seen.of("image").join(good, "doc_id", "left_semi")), "image-segments")
+    images_in = seen.of("image").join(good, "doc_id", "left_semi")
+    segments = shared_table(read_segments(images_in), "image-segments")
     pictures = shared_table(images.assemble(images.clean_segments(segments, icc=icc, orientation=orientation)), "clean-images")
-    wrong = images.image_violations(segments, read_segments(pictures)).groupBy("doc_id").agg(F.min(F.concat(F.lit("check failed: "), F.col("problem"))).alias("refused"))
+    wrong = _refusals(image_check.picture_violations(images_in, pictures, icc=icc, orientation=orientation))
     pictures = pictures.join(_image_stats(segments), "doc_id", "left").join(wrong, "doc_id", "left").select("doc_id", "content", "stats", "refused")
-    papers = pdf.clean_pdf(seen.of("pdf").select("doc_id", "content"), attachments=attachments).select("doc_id", "content", "stats", F.col("error").alias("refused"))
+    pdf_in = seen.of("pdf").select("doc_id", "content")
+    papers = shared_table(pdf.clean_pdf(pdf_in, attachments=attachments, deep=deep), "clean-pdf")
+    done = papers.filter("content IS NOT NULL")
+    streams = pdf_check.stream_digests(pdf.scan_objects(pdf_in.join(done.select("doc_id"), "doc_id", "left_semi")))
+    wrong = _refusals(pdf_check.pdf_violations(streams, done, attachments=attachments, deep=deep))
+    papers = papers.join(wrong, "doc_id", "left").select("doc_id", "content", "stats", F.coalesce("error", "refused").alias("refused"))
     every = made.unionByName(pictures).unionByName(papers)
     return every.select("doc_id", F.when(F.col("refused").isNull(), F.col("content")).alias("cleaned"), "stats", "refused")
 
 
-def clean(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, **options: object) -> DataFrame:
+def clean(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, deep: bool = False, seen: Inspected | None = None, **options: object) -> DataFrame:
     """doc_id, kind, content, bytes_in, bytes_out, sha256_in, sha256_out, stats, error of every file.
 
-    Every cleaned file has passed the checks of its kind; one that has not is an ``error`` without content.
+    Every cleaned file has passed the checks of its kind, made by readers of their own; one that has not is an
+    ``error`` without content.  ``deep`` takes actions and metadata from all objects of a PDF file, not from its
+    catalogue alone.  ``seen`` is what inspection has already read of the same files.
     """
-    seen = Inspected(files)
+    seen = seen or Inspected(files)
     status = seen.status()
-    cleaned = _cleaned(seen, status, icc=icc, orientation=orientation, attachments=attachments, options=options)
+    cleaned = _cleaned(seen, status, icc=icc, orientation=orientation, attachments=attachments, deep=deep, options=options)
     joined = seen.files.select("doc_id", F.octet_length("content").cast("long").alias("bytes_in"), F.sha2("content", 256).alias("sha256_in")).join(status, "doc_id").join(cleaned, "doc_id", "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     return joined.select("doc_id", "kind", F.col("cleaned").alias("content"), "bytes_in", F.octet_length("cleaned").cast("long").alias("bytes_out"), "sha256_in", F.sha2("cleaned", 256).alias("sha256_out"), F.when(F.col("cleaned").isNotNull(), F.coalesce("stats", none)).alias("stats"), F.coalesce("error", "refused").alias("error"))
@@ -149,20 +162,20 @@ def removed(kind: Column, stats: Column) -> Column:
     return out
 
 
-def clean_report(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, **options: object) -> DataFrame:
+def clean_report(files: DataFrame, *, icc: str = "keep", orientation: str = "keep", attachments: bool = False, deep: bool = False, **options: object) -> DataFrame:
     """The report of a cleaning, one row for each file of (doc_id, name, content).
 
     doc_id, name, output_name, kind, format, bytes_in, bytes_out, sha256_in, sha256_out, options (JSON), removed,
     stats, findings (of the file as it came) and error.  A refused file has an error, no output and no stats.
     """
-    chosen = office.checked(options) | {"icc": icc, "orientation": orientation, "attachments": attachments}
+    chosen = office.checked(options) | {"icc": icc, "orientation": orientation, "attachments": attachments, "deep": deep}
     seen = Inspected(files)
     found = seen.findings()
     of = ["grp", "label", "value", "sev", "keep"]
     listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("findings"))
     formats = office.formats(seen.parts).select("doc_id", F.col("format").alias("package_format"))
     told = files.select(F.col("doc_id").cast("long").alias("doc_id"), safe_name(F.col("name")).alias("name"), sniff.sniff_image(F.col("content")).alias("image_format"))
-    done = clean(files, icc=icc, orientation=orientation, attachments=attachments, **options).drop("content")
+    done = clean(files, icc=icc, orientation=orientation, attachments=attachments, deep=deep, seen=seen, **options).drop("content")
     shown = F.when(F.col("kind") == "office", F.col("package_format")).when(F.col("kind") == "image", F.upper("image_format")).when(F.col("kind") == "pdf", "PDF")
     r = told.join(done, "doc_id").join(formats, "doc_id", "left").join(listed, "doc_id", "left")
     ok = F.col("error").isNull()

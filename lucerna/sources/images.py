@@ -6,6 +6,7 @@ stays is decided by DataFrame operators.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -21,8 +22,20 @@ _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.bina
 EXIF_HEADER = b"Exif\0\0"
 
 
+_CODED_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
+
+
+def _end_mark(b: bytes, at: int) -> int:
+    """Behind the end mark of the scans that start at ``at``; the end of the file without one."""
+    while m := _CODED_END.search(b, at):
+        if b[m.start() + 1] == 0xD9:
+            return m.end()
+        at = m.end() + int.from_bytes(b[m.end() : m.end() + 2], "big") if m.end() + 2 <= len(b) else len(b)
+    return len(b)
+
+
 def jpeg_segments(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
-    """(marker, whole segment, payload); the scan and what follows is one last piece."""
+    """(marker, whole segment, payload); the scans up to the end mark are one piece, what follows it the last."""
     yield "SOI", b[:2], b""
     at = 2
     while at < len(b):
@@ -32,7 +45,10 @@ def jpeg_segments(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
         if marker == 0xFF:
             at += 1
         elif marker in (0xDA, 0xD9):
-            yield "SCAN", b[at:], b""
+            end = _end_mark(b, at)
+            yield "SCAN", b[at:end], b""
+            if end < len(b):
+                yield "TAIL", b[end:], b""
             return
         elif marker == 1 or 0xD0 <= marker <= 0xD7:
             yield f"{marker:02X}", b[at : at + 2], b""
@@ -56,12 +72,15 @@ def png_segments(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
         yield kind, b[at : at + 12 + size], b[at + 8 : at + 8 + size]
         at += 12 + size
         if kind == "IEND":
+            if at < len(b):
+                yield "TAIL", b[at:], b""
             return
 
 
 def webp_segments(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
     yield "RIFF", b[:12], b""
-    at = 12
+    at, whole = 12, b
+    b = whole[: 8 + int.from_bytes(whole[4:8], "little")]
     while at + 8 <= len(b):
         size = int.from_bytes(b[at + 4 : at + 8], "little")
         end = at + 8 + size + size % 2
@@ -69,6 +88,8 @@ def webp_segments(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
             raise ValueError("chunk beyond the end")
         yield b[at : at + 4].decode("latin-1"), b[at:end].ljust(8 + size + size % 2, b"\0"), b[at + 8 : at + 8 + size]
         at = end
+    if len(b) < len(whole):
+        yield "TAIL", whole[len(b) :], b""
 
 
 WALKS = {"jpeg": jpeg_segments, "png": png_segments, "webp": webp_segments}

@@ -8,26 +8,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+from lucerna.sources.pdf_tokens import integer, own, reference, string_end
+
 #: No object can have a higher number (a limit of the format's readers); files that keep one are refused.
 HIGHEST = 8_388_607
 START = re.compile(r"(?<![0-9])([0-9]{1,10})\s+([0-9]{1,5})\s+obj\b")
 _TOKEN = re.compile(r"<<|>>|<[0-9A-Fa-f\s]*>|\(|%[^\r\n]*|\bstream\r?\n|\bendobj\b")
-_STRING = re.compile(r"\\.|[()]", re.S)
-_LENGTH = re.compile(r"/Length\s+([0-9]{1,12})(?:\s+([0-9]{1,5})\s+R\b)?")
 _NUMBER = re.compile(r"(?<![0-9])([0-9]{1,10})\s+[0-9]{1,5}\s+obj\s+([0-9]{1,12})\s+endobj\b")
 _END = re.compile(r"\s*endstream\b")
 
 
-def string_end(t: str, at: int) -> int:
-    """Behind the closing bracket of the string that opens at ``at``."""
-    depth = 0
-    for m in _STRING.finditer(t, at):
-        depth += {"(": 1, ")": -1}.get(m.group(), 0)
-        if not depth:
-            return m.end()
-    return len(t)
-
-
 def body_end(t: str, at: int) -> tuple[int, int, bool]:
     """(end of an object's value, behind the word that ends it, whether that word begins a stream)."""
     depth = 0
@@ -63,8 +53,9 @@ def undo_predictor(data: bytes, columns: int) -> bytes:
 
 def stream_of(content: bytes, t: str, value: str, at: int, length_of: Callable[[int], int | None]) -> tuple[bytes, int]:
     """(the stream that starts at ``at``, where it ends), by its length if that can be true."""
-    told = _LENGTH.search(value)
-    size = None if not told else int(told[1]) if told[2] is None else length_of(int(told[1]))
+    told = own(value).get("Length")
+    elsewhere = reference(told)
+    size = length_of(elsewhere) if elsewhere is not None else integer(told)
     if size is not None and _END.match(t, at + size):
         stop = at + size
     else:  # no length, or a wrong one
@@ -94,73 +85,3 @@ def objects_of(content: bytes) -> Iterator[tuple[int, int, int, str, bytes | Non
         if has_stream:
             stream, at = stream_of(content, t, value, at, length_of)
         yield m.start(), int(m[1]), int(m[2]), value, stream
-
-
-_SPACE = re.compile(r"\s*")
-_NESTED = re.compile(r"<<|>>|<[0-9A-Fa-f\s]*>|\(|\[|\]")
-_SIMPLE = re.compile(r"<[0-9A-Fa-f\s]*>|[0-9]+\s+[0-9]+\s+R\b|/?[^\s/<>\[\]()]+")
-_KEY = re.compile(r"<<|>>|<[0-9A-Fa-f\s]*>|\(|/[^\s/<>\[\]()]*")
-_NAME = re.compile(r"\s*/[^\s/<>\[\]()]*")
-
-
-def value_end(t: str, at: int) -> int:
-    """Behind the value that starts at or after ``at``."""
-    at = _SPACE.match(t, at).end()
-    if not t.startswith(("<<", "["), at):
-        if t.startswith("(", at):
-            return string_end(t, at)
-        m = _SIMPLE.match(t, at)
-        return m.end() if m else at
-    level = 0
-    while m := _NESTED.search(t, at):
-        word, at = m.group(), m.end()
-        if word == "(":
-            at = string_end(t, m.start())
-        elif word in ("<<", "["):
-            level += 1
-        elif word in (">>", "]"):
-            level -= 1
-            if not level:
-                return at
-    return len(t)
-
-
-def without_keys(t: str, own: frozenset[str], anywhere: frozenset[str]) -> str:
-    """A dictionary without some of its own keys, and without others at any depth, whatever their values hold."""
-    out, kept_to, at, depth = [], 0, 0, 0
-    while m := _KEY.search(t, at):
-        word, at = m.group(), m.end()
-        if word == "<<":
-            depth += 1
-        elif word == ">>":
-            depth -= 1
-        elif word == "(":
-            at = string_end(t, m.start())
-        elif word.startswith("/"):
-            if depth == 1 and word[1:] in own or word[1:] in anywhere:
-                out.append(t[kept_to : m.start()])
-                at = kept_to = value_end(t, at)
-            elif named := _NAME.match(t, at):  # a name as a value is no key
-                at = named.end()
-    return "".join([*out, t[kept_to:]])
-
-
-def own_values(t: str, keys: frozenset[str]) -> dict[str, str]:
-    """The values of some of a dictionary's own keys, as they are written."""
-    out, at, depth = {}, 0, 0
-    while m := _KEY.search(t, at):
-        word, at = m.group(), m.end()
-        if word == "<<":
-            depth += 1
-        elif word == ">>":
-            depth -= 1
-        elif word == "(":
-            at = string_end(t, m.start())
-        elif word.startswith("/"):
-            if depth == 1 and word[1:] in keys:
-                end = value_end(t, at)
-                out[word[1:]] = t[at:end].strip()
-                at = end
-            elif named := _NAME.match(t, at):
-                at = named.end()
-    return out

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.sources.packages import BATCH_ROWS, MOST_PART
-from lucerna.sources.pdf_objects import HIGHEST, START, body_end, objects_of, stream_of, undo_predictor, value_end
+from lucerna.sources.pdf_objects import HIGHEST, START, body_end, objects_of, stream_of, undo_predictor
+from lucerna.sources.pdf_tokens import integer, name_of, own, structure, tokens
 from lucerna.sources.shared import sliced
 
 _FIRST = re.compile(r"startxref\s+([0-9]{1,12})")
@@ -20,16 +21,33 @@ _COUNT = re.compile(r"\s*([0-9]{1,10})\s+([0-9]{1,10})\b")
 _ENTRY = re.compile(r"\s*([0-9]{10})\s([0-9]{5})\s([nf])")
 _TRAILER = re.compile(r"\s*trailer\b")
 _SPACE = re.compile(r"\s*")
-_CROSSED = re.compile(r"/Type\s*/XRef\b")
-_LIST = r"\s*\[([0-9\s]*)\]"
 
 #: A section: its dictionary, and rows of number, kind (1 in the file, 2 in an object stream), place, generation or index.
 Section = tuple[str, np.ndarray]
 
 
-def _number(dictionary: str, key: str) -> int | None:
-    m = re.search(rf"/{key}\s+([0-9]{{1,12}})\b(?!\s+[0-9]+\s+R\b)", dictionary)
-    return int(m[1]) if m else None
+def _number(dictionary: dict[str, str], key: str) -> int | None:
+    return integer(dictionary.get(key))
+
+
+def _numbers(dictionary: dict[str, str], key: str) -> list[int] | None:
+    value = dictionary.get(key, "")
+    found = [integer(value[a:b]) for kind, a, b in tokens(value) if kind == "word"]
+    return found if value.startswith("[") and None not in found else None
+
+
+def _words(value: str) -> list[str]:
+    return [value[a:b] for kind, a, b in tokens(value) if kind == "name"]
+
+
+def _dictionary_end(t: str, at: int) -> int:
+    """Behind the dictionary that starts at or after ``at``; ``at`` without one."""
+    depth = 0
+    for kind, start, end in tokens(t, at):
+        depth += {"<<": 1, ">>": -1}.get(kind, 0)
+        if depth <= 0:
+            return end if kind == ">>" else at
+    return at
 
 
 def _listed(t: str, at: int) -> Section | None:
@@ -45,7 +63,7 @@ def _listed(t: str, at: int) -> Section | None:
             if e[3] == "n":
                 rows.append((num, 1, int(e[1]), int(e[2])))
     m = _TRAILER.match(t, at)
-    return t[m.end() : value_end(t, m.end())].strip() if m else "", np.array(rows, np.int64).reshape(-1, 4)
+    return t[m.end() : _dictionary_end(t, m.end())].strip() if m else "", np.array(rows, np.int64).reshape(-1, 4)
 
 
 def _streamed(content: bytes, t: str, at: int) -> Section | None:
@@ -54,18 +72,19 @@ def _streamed(content: bytes, t: str, at: int) -> Section | None:
         return None
     end, at, has_stream = body_end(t, m.end())
     value = t[m.end() : end].strip()
-    widths = re.search("/W" + _LIST, value)
-    if not has_stream or not _CROSSED.search(value) or not widths:
+    held = own(value)
+    width = _numbers(held, "W")
+    if not has_stream or name_of(held.get("Type", "")) != "XRef" or not width:
         return None
     data, _ = stream_of(content, t, value, at, lambda _: None)
-    width = [int(x) for x in widths[1].split()]
     if len(width) != 3 or not 0 < sum(width) <= 24 or max(width) > 8:
         return None
-    if "/FlateDecode" in value:
+    if "FlateDecode" in map(name_of, _words(held.get("Filter", ""))):
         try:
             data = zlib.decompressobj().decompress(data, MOST_PART)
-            if (_number(value, "Predictor") or 1) >= 10:
-                data = undo_predictor(data, _number(value, "Columns") or 1)
+            inner = {k: value[a:b] for depth, k, _, a, b in structure(value)[0] if depth > 1}
+            if (_number(inner, "Predictor") or 1) >= 10:
+                data = undo_predictor(data, _number(inner, "Columns") or 1)
         except (zlib.error, ValueError):
             return None
     table = np.frombuffer(data[: len(data) // sum(width) * sum(width)], np.uint8).reshape(-1, sum(width))
@@ -77,8 +96,7 @@ def _streamed(content: bytes, t: str, at: int) -> Section | None:
         fields.append(x.astype(np.int64))
         left += n
     kind = fields[0] if width[0] else np.ones(len(table), np.int64)
-    ranges = re.search("/Index" + _LIST, value)
-    bounds = [int(x) for x in ranges[1].split()] if ranges else [0, _number(value, "Size") or 0]
+    bounds = _numbers(held, "Index") or [0, _number(held, "Size") or 0]
     numbers, room = [], len(table)
     for first, n in zip(bounds[::2], bounds[1::2], strict=False):
         numbers.append(np.arange(min(n, room), dtype=np.int64) + min(first, 2**40))
@@ -101,14 +119,15 @@ def sections_of(content: bytes) -> list[Section]:
         seen.add(at)
         if section := _listed(t, at) or _streamed(content, t, at):
             out.append(section)
-            ahead += [x for key in ("Prev", "XRefStm") if (x := _number(section[0], key)) is not None]
+            held = own(section[0])
+            ahead += [x for key in ("Prev", "XRefStm") if (x := _number(held, key)) is not None]
     return out
 
 
 def table_of(content: bytes) -> tuple[str | None, dict[int, tuple[int, int, int]]]:
     """(trailer, (kind, place, generation or index) by number), the newest entry of each; nothing if no table can be used."""
     sections = sections_of(content)
-    trailer = next((d for d, _ in sections if "/Root" in d), None)
+    trailer = next((d for d, _ in sections if "Root" in own(d)), None)
     if not trailer or sum(len(rows) for _, rows in sections) > HIGHEST:
         return None, {}
     found: dict[int, tuple[int, int, int]] = {}
@@ -117,20 +136,31 @@ def table_of(content: bytes) -> tuple[str | None, dict[int, tuple[int, int, int]
     return (trailer, found) if found else (None, {})
 
 
-TABLES = "doc_id long, num long, holder long, place long, trailer string"
+def last_trailer(t: str) -> str | None:
+    """The last dictionary behind the word ``trailer`` in a file."""
+    at = len(t)
+    while (at := t.rfind("trailer", 0, at)) >= 0:
+        end = _dictionary_end(t, at + 7)
+        if end > at + 7:
+            return t[at + 7 : end].strip()
+    return None
+
+
+TABLES = "doc_id long, num long, holder long, place long, trailer string, listed string"
 
 
 def read_tables(files: DataFrame) -> DataFrame:
-    """Of every file with a usable table: a row with its trailer, and a row for each number that stands in an object stream."""
+    """A row for each file (``num`` null) with the trailer of its usable table and the last one in the file, and one for each number that stands in an object stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, BATCH_ROWS):
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                trailer, found = table_of(content.as_py() or b"")
-                if trailer:
-                    inside = [(num, a, i) for num, (kind, a, i) in found.items() if kind == 2]
-                    columns = [[None, *x] for x in zip(*inside, strict=True)] if inside else [[None]] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * (len(inside) + 1), pa.int64()), *(pa.array(x, pa.int64()) for x in columns), pa.array([trailer, *[None] * len(inside)], pa.string())], [x.split()[0] for x in TABLES.split(", ")])
+                raw = content.as_py() or b""
+                trailer, found = table_of(raw)
+                rows = [(doc, None, None, None, trailer, last_trailer(raw.decode("latin-1")))]
+                rows += [(doc, num, a, i, None, None) for num, (kind, a, i) in found.items() if kind == 2]
+                types = [pa.int64()] * 4 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in TABLES.split(", ")])
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, TABLES)
 
