@@ -11,19 +11,16 @@ safely is refused with a reason, never damaged.
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.binary import joined
 from lucerna.operators.office import findings_of, rule
 from lucerna.operators.relations import cut_ranges, dangling, gap_fill, latest, reachable_each, shared_table
 from lucerna.sources import pdf_tables, pdf_tokens
-from lucerna.sources.packages import MOST_PART
-from lucerna.sources.pdf_objects import HIGHEST, undo_predictor
+from lucerna.sources.pdf_objects import HIGHEST, undo_predictor  # noqa: F401
 
 # Labels of the information dictionary, keys that leave the catalogue, patterns of findings.
 INFO = [
@@ -41,6 +38,7 @@ ANNOTATIONS = r"/Subtype\s*/(?:Text|FreeText|Highlight|Square|Stamp|Ink|FileAtta
 #: Missing numbers in a row that are listed as free; a wider gap begins a new section of the table.
 FREE_ROW = 64
 FREE = "0000000000 65535 f \n"
+HEAD = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
 #: Why a file is refused whose compressed objects cannot be seen: a damaged stream, or one beyond the limit.
 UNREAD = "object stream cannot be read"
 
@@ -54,25 +52,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _inflate(data: pa.Array, columns: pa.Array) -> pa.Array:
-    """Inflated bytes, with the predictor undone where ``columns`` is above 0; null where damaged or beyond the limit."""
-    out = []
-    for x, n in zip(data.to_pylist(), columns.to_pylist(), strict=True):
-        try:
-            d = zlib.decompressobj()
-            got = d.decompress(x, MOST_PART) if x is not None else None
-            if got is not None and n:
-                got = undo_predictor(got, n)
-            out.append(got if got is not None and not d.unconsumed_tail else None)
-        except (zlib.error, ValueError):
-            out.append(None)
-    return pa.array(out, pa.binary())
-
-
-def inflated(data: Column, columns: Column) -> Column:
-    return F.arrow_udf("binary")(_inflate)(data, columns)
-
-
 def decode_string(raw: str | None) -> str | None:
     """The text of a literal or hexadecimal string with its delimiters."""
     if not raw:
@@ -126,33 +105,37 @@ def scan_objects(files: DataFrame) -> DataFrame:
     return latest(pdf_tables.read_objects(files), ["doc_id", "num"], ["told", "ord"]).drop("told", "ord")
 
 
-#: Objects whose streams are read; those of all others are only copied.
-READ_STREAMS = ("ObjStm", "Metadata")
+def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects, trailers) of files, from one pass over them.
 
+    Objects: doc_id, num, gen, dict, stream_at, stream_bytes and stream_sha (null without a stream), type, refs, data
+    and unread.  ``type`` and ``refs`` are what the dictionary's tokens say.  ``data`` is what a stream of compressed
+    objects or of metadata holds, ``unread`` tells that it could not be had.  Objects inside compressed object streams
+    come first where the table names them, else they fill numbers that the scan has not found.  Streams of pages and
+    pictures are left in the files, so the table is small beside them.
 
-def read_objects(files: DataFrame) -> DataFrame:
-    """doc_id, num, gen, dict, stream_bytes (null without a stream), type, refs, data and unread.
-
-    ``type`` and ``refs`` are what the dictionary's tokens say.  ``data`` is what a stream of READ_STREAMS
-    holds, ``unread`` tells that it could not be had.  Objects inside compressed object streams come first
-    where the table names them, else they fill numbers that the scan has not found.  Streams of pages and
-    pictures are left out, so the table is small beside the files.
+    Trailers: doc_id and trailer of every file: the newest of its table, else that of a cross-reference stream or the
+    last in the file; null without one.
     """
-    seen = scan_objects(files).withColumn("x", pdf_tokens.facts(F.col("dict")))
-    read = F.when(F.col("x.type").isin(*READ_STREAMS), F.col("stream"))
-    seen = seen.select("doc_id", "num", "gen", "dict", F.octet_length("stream").cast("long").alias("stream_bytes"), "x.type", "x.refs", data(read).alias("data"), read.isNotNull().alias("unread"))
-    direct = shared_table(seen.withColumn("unread", F.col("unread") & F.col("data").isNull()), "objects")
+    rows = shared_table(pdf_tables.read_rows(files), "pdf-rows")
+    direct = latest(rows.filter("dict IS NOT NULL").drop("holder", "place", "trailer", "listed"), ["doc_id", "num"], ["told", "ord"]).drop("told", "ord")
     inside = _compressed(direct)
-    named = pdf_tables.read_tables(files).filter("num IS NOT NULL").select("doc_id", "num", "holder", "place")
+    named = rows.filter("holder IS NOT NULL").select("doc_id", "num", "holder", "place")
     first = inside.join(named, ["doc_id", "num", "holder", "place"], "left_semi").drop("holder", "place")
     last = latest(inside, ["doc_id", "num"], ["holder", "place"]).drop("holder", "place")
-    return gap_fill(gap_fill(first, direct, ["doc_id", "num"]), last, ["doc_id", "num"])
+    objects = gap_fill(gap_fill(first, direct, ["doc_id", "num"]), last, ["doc_id", "num"])
+    crossed = direct.filter("type = 'XRef'").groupBy("doc_id").agg(F.max_by("dict", "num").alias("crossed"))
+    listed = rows.filter("num IS NULL").select("doc_id", "trailer", "listed")
+    return objects, listed.join(crossed, "doc_id", "left").select("doc_id", F.coalesce("trailer", "crossed", "listed").alias("trailer"))
 
 
-def data(stream: Column) -> Column:
-    """The data of a stream beside its ``dict``: inflated where its only filter is Flate, null where another one is used or it is damaged, else as it stands."""
-    by = pdf_tokens.filters(F.when(stream.isNotNull(), F.col("dict")))
-    return F.when(by["flate"], inflated(F.when(by["flate"], stream), by["columns"])).when(~by["other"], stream)
+def read_objects(files: DataFrame) -> DataFrame:
+    return read(files)[0]
+
+
+def trailers(files: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """The trailers alone; ``objects`` is not needed any more."""
+    return read(files)[1]
 
 
 def _compressed(objects: DataFrame) -> DataFrame:
@@ -166,14 +149,8 @@ def _compressed(objects: DataFrame) -> DataFrame:
     end = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id", "holder").orderBy("at", "num")), F.length("t") - F.col("first"))
     rows = rows.withColumn("end", end).select("doc_id", "num", F.lit(0).alias("gen"), stripped(F.substring("t", (F.col("first") + F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))).alias("dict"), "holder", "place")
     rows = rows.withColumn("x", pdf_tokens.facts(F.col("dict")))
-    return rows.select("doc_id", "num", "gen", "dict", F.lit(None).cast("long").alias("stream_bytes"), "x.type", "x.refs", F.lit(None).cast("binary").alias("data"), F.lit(False).alias("unread"), "holder", "place")
-
-
-def trailers(files: DataFrame, objects: DataFrame) -> DataFrame:
-    """doc_id and trailer of every file: the newest of its table, else that of a cross-reference stream or the last in the file; null without one."""
-    listed = pdf_tables.read_tables(files).filter("num IS NULL").select("doc_id", "trailer", "listed")
-    crossed = objects.filter("type = 'XRef'").groupBy("doc_id").agg(F.max_by("dict", "num").alias("crossed"))
-    return listed.join(crossed, "doc_id", "left").select("doc_id", F.coalesce("trailer", "crossed", "listed").alias("trailer"))
+    none = {c: F.lit(None).cast(t) for c, t in (("stream_at", "long"), ("stream_bytes", "long"), ("stream_sha", "binary"), ("data", "binary"))}
+    return rows.select("doc_id", "num", "gen", "dict", "x.type", "x.refs", *(x.alias(c) for c, x in none.items()), F.lit(False).alias("unread"), "holder", "place")
 
 
 def unread(objects: DataFrame) -> DataFrame:
@@ -284,16 +261,34 @@ def pdf_findings(files: DataFrame, objects: DataFrame, trailer: DataFrame, *, xm
     return reduce(DataFrame.unionByName, every)
 
 
-def _rewritten(kept: DataFrame, streams: DataFrame) -> DataFrame:
+def _put_together(content: pa.Array, pieces: pa.Array, tail: pa.Array) -> pa.Array:
+    """For each file the header, its pieces (head, and a stream by place and length in the old file), and the tail."""
+    out = []
+    for raw, own, end in zip(content, pieces, tail.to_pylist(), strict=True):
+        if end is None:
+            out.append(None)
+            continue
+        old, held = memoryview(raw.as_py()), [HEAD]
+        for x in own.as_py():
+            held.append(x["head"].encode("latin-1"))
+            if x["stream_at"] is not None:
+                held += [b"\nstream\n", old[x["stream_at"] : x["stream_at"] + x["stream_bytes"]], b"\nendstream"]
+            held.append(b"\nendobj\n")
+        out.append(b"".join([*held, end.encode("latin-1")]))
+    return pa.array(out, pa.binary())
+
+
+def _rewritten(kept: DataFrame, files: DataFrame) -> DataFrame:
     """doc_id, n and content: objects in the order of their numbers, a table in sections, and a trailer.
 
-    Offsets are a window sum; each row makes its own lines of the table, and the pieces of a file are joined once.
+    Offsets are a window sum of lengths and each row makes its own lines of the table; streams are copied from the
+    old file by their places when a file's pieces are joined, once.
     """
-    piece = F.concat(F.encode(F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict")), "ISO-8859-1"), F.coalesce(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream")), F.lit(b"")), F.lit(b"\nendobj\n"))
-    head = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
+    head = F.concat(F.col("num").cast("string"), F.lit(" "), F.col("gen").cast("string"), F.lit(" obj\n"), F.col("dict"))
+    size = F.char_length("head") + F.when(F.col("stream_at").isNotNull(), F.col("stream_bytes") + len("\nstream\n\nendstream")).otherwise(0) + len("\nendobj\n")
     in_order = Window.partitionBy("doc_id").orderBy("num")
-    before = F.coalesce(F.sum(F.octet_length("piece")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(head)
-    placed = kept.join(streams, ["doc_id", "num"], "left").select("doc_id", "num", "gen", "root", piece.alias("piece")).withColumn("at", before)
+    placed = kept.select("doc_id", "num", "gen", "root", head.alias("head"), "stream_at", "stream_bytes").withColumn("bytes", size)
+    placed = placed.withColumn("at", F.coalesce(F.sum("bytes").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(HEAD))
     # A wide gap begins a section; in a section, numbers in between are listed as free.
     placed = placed.withColumn("gap", F.col("num") - F.coalesce(F.lag("num").over(in_order), F.lit(0)) - 1).withColumn("first", F.lag("num").over(in_order).isNull())
     placed = placed.withColumn("begins", F.col("gap") >= FREE_ROW).withColumn("section", F.sum((F.col("gap") >= FREE_ROW).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -303,11 +298,14 @@ def _rewritten(kept: DataFrame, streams: DataFrame) -> DataFrame:
     zero = F.when(F.col("first"), F.lit(FREE)).otherwise("")
     between = F.when(F.col("begins"), headed(F.col("num"))).otherwise(F.repeat(F.lit(FREE), F.col("gap").cast("int")))
     line = F.concat(top, zero, between, F.format_string("%010d %05d n \n", "at", "gen"))
-    lined = placed.select("doc_id", "num", "root", "piece", line.alias("line"))
-    made = lined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "line", "piece"))).alias("l"), F.first("root").alias("root"), F.max("num").alias("last"), F.sum(F.octet_length("piece")).alias("bytes"))
+    lined = placed.select("doc_id", "num", "root", "bytes", "head", "stream_at", "stream_bytes", line.alias("line"))
+    made = lined.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("num", "line", "head", "stream_at", "stream_bytes"))).alias("l"), F.first("root").alias("root"), F.max("num").alias("last"), F.sum("bytes").alias("bytes"))
     table = F.array_join(F.transform("l", lambda x: x["line"]), "")
-    tail = F.concat(F.lit("xref\n"), table, F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), (F.col("bytes") + len(head)).cast("string"), F.lit("\n%%EOF\n"))
-    return made.select("doc_id", F.size("l").alias("n"), joined(F.concat(F.array(F.lit(head)), F.transform("l", lambda x: x["piece"]), F.array(tail.cast("binary")))).alias("content"))
+    tail = F.concat(F.lit("xref\n"), table, F.lit("trailer\n<< /Size "), (F.col("last") + 1).cast("string"), F.lit(" /Root "), F.col("root").cast("string"), F.lit(" 0 R >>\nstartxref\n"), (F.col("bytes") + len(HEAD)).cast("string"), F.lit("\n%%EOF\n"))
+    pieces = F.transform("l", lambda x: F.struct(x["head"].alias("head"), x["stream_at"].alias("stream_at"), x["stream_bytes"].alias("stream_bytes")))
+    made = made.select("doc_id", F.size("l").alias("n"), pieces.alias("pieces"), tail.alias("tail"))
+    both = made.join(files.select(F.col("doc_id").cast("long").alias("doc_id"), "content"), "doc_id")
+    return both.select("doc_id", "n", F.arrow_udf("binary")(_put_together)("content", "pieces", "tail").alias("content"))
 
 
 def without_entries(objects: DataFrame, roots: DataFrame, keys: list[str], *, deep: bool) -> DataFrame:
@@ -330,27 +328,28 @@ def without_entries(objects: DataFrame, roots: DataFrame, keys: list[str], *, de
     return out.withColumn("dict", F.coalesce("cut", "dict")).withColumn("refs", F.coalesce("cut_refs", "refs")).drop("cut", "cut_refs")
 
 
-def clean_pdf(files: DataFrame, *, attachments: bool = False, deep: bool = False) -> DataFrame:
+def clean_pdf(files: DataFrame, *, attachments: bool = False, deep: bool = False, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """doc_id, content, stats and error of rewritten files: one version, only reachable objects, no metadata or actions.
 
     ``attachments`` takes out all names of the catalogue, embedded files among them.  By default actions and
     metadata of single pages and other objects stay, as findings tell; ``deep`` takes them out as well.
+    ``known`` are the written objects and trailers of the same files, where they have been read before.
     ``error`` tells why a file was refused; its content is then null.
     """
-    objects = shared_table(read_objects(files), "pdf-objects")
-    trailer = shared_table(trailers(files, objects), "trailers")
+    if known is None:
+        objects, trailer = read(files)
+        known = shared_table(objects, "pdf-objects"), shared_table(trailer, "trailers")
+    objects, trailer = known
     roots = trailer.filter(supported(F.col("trailer"))).select("doc_id", root_of(F.col("trailer")).alias("root"))
     keys = [*CATALOG_DROP, *(["Names"] if attachments else [])]
-    own = objects.drop("data", "unread").join(roots, "doc_id").filter("num > 0 AND (type IS NULL OR type NOT IN ('XRef', 'ObjStm'))")
+    own = objects.drop("data", "unread", "stream_sha").join(roots, "doc_id").filter("num > 0 AND (type IS NULL OR type NOT IN ('XRef', 'ObjStm'))")
     edited = shared_table(without_entries(own, roots, keys, deep=deep), "edited")
-    # Up to here only dictionaries were handled; streams are read from the files again for what is kept.
+    # Up to here only dictionaries are handled; streams are copied from the files when all is known.
     reached = reachable_each(references(edited), roots.filter("root IS NOT NULL").select("doc_id", F.col("root").alias("node")), ["doc_id"])
     kept = shared_table(edited.join(reached.select("doc_id", F.col("node").alias("num")), ["doc_id", "num"], "left_semi"), "kept")
-    streams = scan_objects(files.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")).filter("stream IS NOT NULL").select("doc_id", "num", "stream")
-    streams = streams.join(kept.filter("stream_bytes IS NOT NULL").select("doc_id", "num"), ["doc_id", "num"], "left_semi")
     broken = dangling(references(kept), kept, {"doc_id": "doc_id", "dst": "num"}).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 6).alias("missing"))
     high_numbers = kept.filter(F.col("num") > HIGHEST).select("doc_id", F.lit(True).alias("too_high")).distinct()
-    made = _rewritten(kept.join(high_numbers, "doc_id", "left_anti"), streams)
+    made = _rewritten(kept.join(high_numbers, "doc_id", "left_anti"), files)
     totals = objects.groupBy("doc_id").agg(F.count("*").alias("total"))
     history = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.regexp_count(latin(F.col("content")), F.lit("%%EOF")) - 1, F.lit(0)).alias("history"))
     hidden = unread(objects).withColumnRenamed("error", "unread")

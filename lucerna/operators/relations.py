@@ -150,21 +150,25 @@ def reachable_each(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataF
     file; the file itself, with these references spelled out, has been one row before.
     """
     e = edges.select(*keys, "src", "dst").unionByName(roots.select(*keys, F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("node").cast(edges.schema["dst"].dataType).alias("dst")))
-
-    def walk(t: pa.Table) -> pa.Table:
-        near, stack = defaultdict(list), []
-        for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True):
-            (stack if a is None else near[a]).append(b)
-        seen = set(stack)
-        stack = list(seen)
-        while stack:
-            for x in near.get(stack.pop(), ()):
-                if x not in seen:
-                    seen.add(x)
-                    stack.append(x)
-        found = pa.array(list(seen), t.schema.field("dst").type)
-        own = [pa.array([t.column(k)[0].as_py()] * len(found), t.schema.field(k).type) for k in keys]
-        return pa.table([*own, found], [*keys, "node"])
-
-    schema = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
-    return e.groupBy(*keys).applyInArrow(walk, f"{schema}, node {edges.schema['dst'].dataType.simpleString()}")
+    kind = edges.schema["dst"].dataType.simpleString()
+
+    @F.arrow_udf(f"array<{kind}>")
+    def walk(graphs: pa.Array) -> pa.Array:
+        flat, bounds = graphs.values, graphs.offsets.to_pylist()
+        src, dst = flat.field("src").to_pylist(), flat.field("dst").to_pylist()
+        out = []
+        for begin, end in zip(bounds, bounds[1:], strict=False):
+            near, stack = defaultdict(list), []
+            for a, b in zip(src[begin:end], dst[begin:end], strict=True):
+                (stack if a is None else near[a]).append(b)
+            seen = set(stack)
+            stack = list(seen)
+            while stack:
+                for x in near.get(stack.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        stack.append(x)
+            out.append(list(seen))
+        return pa.array(out, pa.list_(flat.type.field("dst").type))
+
+    return e.groupBy(*keys).agg(F.collect_list(F.struct("src", "dst")).alias("__g")).select(*keys, F.explode(walk("__g")).alias("node"))

@@ -126,10 +126,14 @@ def image_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.image_violations(before, after)
 
 
+def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_table(fixtures.pdf_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pdf")
+
+
 def _pdf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = shared_table(fixtures.pdf_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pdf")
-    objects = shared_table(pdf.read_objects(files), "objects")
-    return files, objects, shared_table(pdf.trailers(files, objects), "trailers")
+    files = _pdf_files(spark, sf_dir)
+    objects, trailers = pdf.read(files)
+    return files, shared_table(objects, "objects"), shared_table(trailers, "trailers")
 
 
 @query
@@ -153,7 +157,7 @@ def pdf_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned files read again: why a file was refused, how many objects are left, the digest of the page's content."""
-    cleaned = shared_table(pdf.clean_pdf(_pdf(spark, sf_dir)[0]), "cleaned")
+    cleaned = shared_table(pdf.clean_pdf(_pdf_files(spark, sf_dir)), "cleaned")
     objects = pdf.scan_objects(cleaned.filter("content IS NOT NULL"))
     per = objects.groupBy("doc_id").agg(F.count("*").alias("objects"), F.max(F.when(F.col("num") == 4, F.sha2("stream", 256))).alias("content_sha256"))
     return cleaned.select("doc_id", F.coalesce("error", F.lit("")).alias("error")).join(per, "doc_id", "left").select("doc_id", "error", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("content_sha256", F.lit("")).alias("content_sha256"))
@@ -162,7 +166,7 @@ def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of cleaned files: how many objects there are, and how many stand where the table says."""
-    cleaned = pdf.clean_pdf(_pdf(spark, sf_dir)[0]).filter("content IS NOT NULL")
+    cleaned = pdf.clean_pdf(_pdf_files(spark, sf_dir)).filter("content IS NOT NULL")
     return tables.read_objects(shared_table(cleaned, "cleaned")).groupBy("doc_id").agg(F.count("*").alias("objects"), F.count_if("told").alias("told"))
 
 

@@ -34,8 +34,8 @@ class Inspected:
         self.parts = shared_table(packages.inspect_packages(self.of("office")), "parts")
         self.nodes = packages.nodes_of(self.parts)
         self.segments = shared_table(images.metadata_only(read_segments(self.of("image"))), "segments")
-        self.objects = shared_table(pdf.read_objects(self.of("pdf")), "objects")
-        self.trailers = shared_table(pdf.trailers(self.of("pdf"), self.objects), "trailers")
+        objects, trailers = pdf.read(self.of("pdf"))
+        self.objects, self.trailers = shared_table(objects, "objects"), shared_table(trailers, "trailers")
 
     def of(self, kind: str) -> DataFrame:
         return self.files.filter(F.col("kind") == kind)
@@ -107,11 +107,8 @@ def _cleaned(seen: Inspected, status: DataFrame, *, icc: str, orientation: str,
     pictures = shared_table(images.assemble(images.clean_segments(segments, icc=icc, orientation=orientation)), "clean-images")
     wrong = _refusals(image_check.picture_violations(images_in, pictures, icc=icc, orientation=orientation))
     pictures = pictures.join(_image_stats(segments), "doc_id", "left").join(wrong, "doc_id", "left").select("doc_id", "content", "stats", "refused")
-    pdf_in = seen.of("pdf").select("doc_id", "content")
-    papers = shared_table(pdf.clean_pdf(pdf_in, attachments=attachments, deep=deep), "clean-pdf")
-    done = papers.filter("content IS NOT NULL")
-    streams = pdf_check.stream_digests(pdf.scan_objects(pdf_in.join(done.select("doc_id"), "doc_id", "left_semi")))
-    wrong = _refusals(pdf_check.pdf_violations(streams, done, attachments=attachments, deep=deep))
+    papers = shared_table(pdf.clean_pdf(seen.of("pdf").select("doc_id", "content"), attachments=attachments, deep=deep, known=(seen.objects, seen.trailers)), "clean-pdf")
+    wrong = _refusals(pdf_check.pdf_violations(pdf_check.stream_digests(seen.objects), papers.filter("content IS NOT NULL"), attachments=attachments, deep=deep))
     papers = papers.join(wrong, "doc_id", "left").select("doc_id", "content", "stats", F.coalesce("error", "refused").alias("refused"))
     every = made.unionByName(pictures).unionByName(papers)
     return every.select("doc_id", F.when(F.col("refused").isNull(), F.col("content")).alias("cleaned"), "stats", "refused")

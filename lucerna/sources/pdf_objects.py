@@ -65,8 +65,8 @@ def stream_of(content: bytes, t: str, value: str, at: int, length_of: Callable[[
     return content[at:stop], stop
 
 
-def objects_of(content: bytes) -> Iterator[tuple[int, int, int, str, bytes | None]]:
-    """(offset, num, gen, what precedes a stream, stream) of each object in the order of the file; one without an end is left out."""
+def objects_of(content: bytes) -> Iterator[tuple[int, int, int, str, int, bytes | None]]:
+    """(offset, num, gen, what precedes a stream, where it starts, stream) of each object in the order of the file; one without an end is left out."""
     t = content.decode("latin-1")
     numbers: dict[int, int] | None = None
 
@@ -81,7 +81,7 @@ def objects_of(content: bytes) -> Iterator[tuple[int, int, int, str, bytes | Non
         end, at, has_stream = body_end(t, m.end())
         if end == len(t):
             return
-        value, stream = t[m.end() : end].strip(), None
+        value, begin, stream = t[m.end() : end].strip(), at, None
         if has_stream:
             stream, at = stream_of(content, t, value, at, length_of)
-        yield m.start(), int(m[1]), int(m[2]), value, stream
+        yield m.start(), int(m[1]), int(m[2]), value, begin, stream

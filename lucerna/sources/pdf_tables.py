@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lucerna.sources.packages import BATCH_ROWS, MOST_PART
 from lucerna.sources.pdf_objects import HIGHEST, START, body_end, objects_of, stream_of, undo_predictor
-from lucerna.sources.pdf_tokens import integer, name_of, own, structure, tokens
+from lucerna.sources.pdf_tokens import filters, integer, name_of, own, structure, tokens
 from lucerna.sources.shared import sliced
 
 _FIRST = re.compile(r"startxref\s+([0-9]{1,12})")
@@ -36,10 +37,6 @@ def _numbers(dictionary: dict[str, str], key: str) -> list[int] | None:
     return found if value.startswith("[") and None not in found else None
 
 
-def _words(value: str) -> list[str]:
-    return [value[a:b] for kind, a, b in tokens(value) if kind == "name"]
-
-
 def _dictionary_end(t: str, at: int) -> int:
     """Behind the dictionary that starts at or after ``at``; ``at`` without one."""
     depth = 0
@@ -79,14 +76,9 @@ def _streamed(content: bytes, t: str, at: int) -> Section | None:
     data, _ = stream_of(content, t, value, at, lambda _: None)
     if len(width) != 3 or not 0 < sum(width) <= 24 or max(width) > 8:
         return None
-    if "FlateDecode" in map(name_of, _words(held.get("Filter", ""))):
-        try:
-            data = zlib.decompressobj().decompress(data, MOST_PART)
-            inner = {k: value[a:b] for depth, k, _, a, b in structure(value)[0] if depth > 1}
-            if (_number(inner, "Predictor") or 1) >= 10:
-                data = undo_predictor(data, _number(inner, "Columns") or 1)
-        except (zlib.error, ValueError):
-            return None
+    data = stream_data(value, data)
+    if data is None:
+        return None
     table = np.frombuffer(data[: len(data) // sum(width) * sum(width)], np.uint8).reshape(-1, sum(width))
     fields, left = [], 0
     for n in width:
@@ -146,39 +138,68 @@ def last_trailer(t: str) -> str | None:
     return None
 
 
-TABLES = "doc_id long, num long, holder long, place long, trailer string, listed string"
-
+READ = "doc_id long, ord int, told boolean, num long, gen int, dict string, type string, refs array<long>, stream_at long, stream_bytes long, stream_sha binary, data binary, unread boolean, holder long, place long, trailer string, listed string"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+#: Objects whose streams are read; those of all others are only copied.
+READ_STREAMS = ("ObjStm", "Metadata")
 
-def read_tables(files: DataFrame) -> DataFrame:
-    """A row for each file (``num`` null) with the trailer of its usable table and the last one in the file, and one for each number that stands in an object stream."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, BATCH_ROWS):
-            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = content.as_py() or b""
-                trailer, found = table_of(raw)
-                rows = [(doc, None, None, None, trailer, last_trailer(raw.decode("latin-1")))]
-                rows += [(doc, num, a, i, None, None) for num, (kind, a, i) in found.items() if kind == 2]
-                types = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in TABLES.split(", ")])
+def stream_data(value: str, stream: bytes) -> bytes | None:
+    """What a stream holds, its predictor undone; None where another filter is used, or it is damaged or too large."""
+    flate, other, columns = filters(value)
+    if other or not flate:
+        return None if other else stream
+    try:
+        d = zlib.decompressobj()
+        got = d.decompress(stream, MOST_PART)
+        got = undo_predictor(got, columns) if columns else got
+        return None if d.unconsumed_tail else got
+    except (zlib.error, ValueError):
+        return None
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, TABLES)
 
+def _object_row(doc: int, i: int, told: bool, num: int, gen: int, value: str, at: int, stream: bytes | None) -> dict:
+    found, refs = structure(value)
+    kind = next((value[s:e] for depth, key, _, s, e in found if depth == 1 and key == "Type"), "")
+    kind = name_of(kind) if kind.startswith("/") else None
+    row = {"doc_id": doc, "ord": i, "told": told, "num": num, "gen": gen, "dict": value, "type": kind, "refs": list(dict.fromkeys(refs)), "unread": False}
+    if stream is not None:
+        row |= {"stream_at": at, "stream_bytes": len(stream), "stream_sha": hashlib.sha256(stream).digest()}
+        if kind in READ_STREAMS:
+            row["data"] = stream_data(value, stream)
+            row["unread"] = row["data"] is None
+    return row
 
-OBJECTS = "doc_id long, ord int, told boolean, num long, gen int, dict string, stream binary"
-_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
 
+def read_rows(files: DataFrame) -> DataFrame:
+    """Everything that one pass over each file tells.
 
-def read_objects(files: DataFrame) -> DataFrame:
-    """Every object that stands in a file, repeated numbers included; ``told``: it stands where the file's table says."""
+    A row for each object that stands in the file, repeated numbers included (``dict`` is there; ``told``: it stands
+    where the file's table says; its stream by place, length and digest); a row for each number that the table puts
+    into an object stream (``holder``, ``place``); and one row for the file with the trailer of its table and the last
+    one in the file (``num`` is null).
+    """
+    names = [x.split()[0] for x in READ.split(", ")]
+    schema = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in READ.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, BATCH_ROWS):
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = content.as_py() or b""
-                _, found = table_of(raw)
-                rows = [(doc, i, found.get(num, ())[:2] == (1, at), num, *rest) for i, (at, num, *rest) in enumerate(objects_of(raw))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], [x.split()[0] for x in OBJECTS.split(", ")])
+                text = raw.decode("latin-1")
+                trailer, found = table_of(raw)
+                rows = [{"doc_id": doc, "trailer": trailer, "listed": last_trailer(text)}]
+                rows += [{"doc_id": doc, "num": num, "holder": a, "place": i} for num, (kind, a, i) in found.items() if kind == 2]
+                for i, (at, num, gen, value, begin, stream) in enumerate(objects_of(raw)):
+                    rows.append(_object_row(doc, i, found.get(num, ())[:2] == (1, at), num, gen, value, begin, stream))
+                columns = {n: [r.get(n) for r in rows] for n in names}
+                yield pa.RecordBatch.from_pydict(columns, schema)
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, OBJECTS)
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, READ)
+
+
+def read_objects(files: DataFrame) -> DataFrame:
+    """Every object that stands in a file, with its stream; ``told``: it stands where the file's table says."""
+    rows = read_rows(files).filter("dict IS NOT NULL").select("doc_id", "ord", "told", "num", "gen", "dict", "stream_at", "stream_bytes")
+    stream = F.when(F.col("stream_at").isNotNull(), F.substr("content", (F.col("stream_at") + 1).cast("int"), F.col("stream_bytes").cast("int")))
+    return rows.join(files.select(F.col("doc_id").cast("long").alias("doc_id"), "content"), "doc_id").select("doc_id", "ord", "told", "num", "gen", "dict", stream.alias("stream"))

@@ -154,26 +154,15 @@ def referred(value: Column) -> Column:
     return F.regexp_extract(value, r"^\s*(\d{1,10})\s+\d{1,5}\s+R\s*$", 1).try_cast("long")
 
 
-_FILTERS = pa.struct([("flate", pa.bool_()), ("other", pa.bool_()), ("columns", pa.int32())])
-
-
-def filters(text: Column) -> Column:
-    """How a stream is written: ``flate`` (its only filter is Flate), ``other`` (some other filter), ``columns`` (of its predictor, or 0)."""
-
-    @F.arrow_udf("struct<flate:boolean,other:boolean,columns:int>")
-    def read(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts.to_pylist():
-            found, _ = structure(x or "")
-            names = next((x[s:e] for depth, key, _, s, e in found if depth == 1 and key in ("Filter", "F")), "")
-            named = [name_of(names[s:e]) for kind, s, e in tokens(names) if kind == "name"]
-            flate = named in (["FlateDecode"], ["Fl"])
-            said = {key: x[s:e] for depth, key, _, s, e in reversed(found) if depth > 1 and key in ("Predictor", "Columns")}
-            predicted = (integer(said.get("Predictor")) or 1) >= 10
-            out.append({"flate": flate, "other": bool(named) and not flate, "columns": min(integer(said.get("Columns")) or 1, 1 << 20) if predicted else 0})
-        return pa.array(out, _FILTERS)
-
-    return read(text)
+def filters(t: str) -> tuple[bool, bool, int]:
+    """How a stream is written: (its only filter is Flate, there is some other filter, columns of its predictor or 0)."""
+    found, _ = structure(t)
+    names = next((t[s:e] for depth, key, _, s, e in found if depth == 1 and key in ("Filter", "F")), "")
+    named = [name_of(names[s:e]) for kind, s, e in tokens(names) if kind == "name"]
+    flate = named in (["FlateDecode"], ["Fl"])
+    said = {key: t[s:e] for depth, key, _, s, e in reversed(found) if depth > 1 and key in ("Predictor", "Columns")}
+    predicted = (integer(said.get("Predictor")) or 1) >= 10
+    return flate, bool(named) and not flate, min(integer(said.get("Columns")) or 1, 1 << 20) if predicted else 0
 
 
 _NODE = pa.struct([("kids", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("name", pa.string()), ("num", pa.int64())])))])
