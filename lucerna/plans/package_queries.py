@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.functions import sniff
-from lucerna.operators import images, office, pdf, raw_scan, verdict
+from lucerna.functions import names, sniff
+from lucerna.operators import image_check, images, office, pdf, pdf_check, raw_scan, verdict
 from lucerna.operators.relations import shared_table
-from lucerna.plans import overview, products
+from lucerna.plans import overview, products, verification
 from lucerna.sources import fixtures, packages
 from lucerna.sources import pdf_tables as tables
 from lucerna.sources.images import read_segments
@@ -283,3 +283,85 @@ def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     absent = found.groupBy("doc_id").agg(F.count_if(~F.col("present")).alias("absent"))
     told = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("lines"))
     return told.join(absent, "doc_id").select(F.col("doc_id").alias("file_id"), "lines", "absent")
+
+
+def _pdf_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = shared_table(fixtures.pdf_tree_files(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")), "pdf-trees")
+    objects, trailers = pdf.read(files)
+    return files, shared_table(objects, "objects"), shared_table(trailers, "trailers")
+
+
+@query
+def pdf_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all dictionaries of every file with name trees: nesting, key and value as written."""
+    _, objects, _ = _pdf_trees(spark, sf_dir)
+    return pdf.dictionary_entries(objects).filter("num <> 4").select("doc_id", "num", "depth", "key", "value")
+
+
+@query
+def pdf_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every file with name trees; what strings and comments hold is none."""
+    _, objects, _ = _pdf_trees(spark, sf_dir)
+    return pdf.references(objects)
+
+
+@query
+def pdf_tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the name trees of scripts and attachments list."""
+    _, objects, trailers = _pdf_trees(spark, sf_dir)
+    roots = trailers.select("doc_id", pdf.root_of(F.col("trailer")).alias("root"))
+    of = lambda key: pdf.tree_names(objects, roots, key).withColumn("tree", F.lit(key))
+    return of("JavaScript").unionByName(of("EmbeddedFiles")).select("doc_id", "tree", "name", F.coalesce("num", F.lit(-1).cast("long")).alias("num"))
+
+
+@query
+def pdf_tree_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with name trees, cleaned: why refused, objects left, and whether a script is left, by default and in a deep cleaning."""
+    files, objects, trailers = _pdf_trees(spark, sf_dir)
+    side = lambda deep: pdf.clean_pdf(files, deep=deep, known=(objects, trailers)).select("doc_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.col("stats")["objects"], F.lit(0)).cast("long").alias("objects"), F.contains(pdf.latin(F.col("content")), F.lit("/JS ")).alias("script"))
+    return side(False).join(side(True).select("doc_id", F.col("objects").alias("deep_objects"), F.col("script").alias("deep_script")), "doc_id")
+
+
+@query
+def pdf_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second reader finds wrong with cleaned files: nothing, and what was planted in copies of them."""
+    files, objects, trailers = _pdf_trees(spark, sf_dir)
+    plain = _pdf_files(spark, sf_dir)
+    cleaned = shared_table(pdf.clean_pdf(files, known=(objects, trailers)).filter("content IS NOT NULL").select("doc_id", "content"), "cleaned")
+    again = pdf.clean_pdf(plain).filter("content IS NOT NULL").select("doc_id", "content")
+    text = pdf.latin(F.col("content"))
+    planted = cleaned.withColumn("content", F.encode(F.replace(text, F.lit("/Lang (see 99 0 R now)"), F.lit("/OpenAction 4 0 R     ")), "ISO-8859-1"))
+    told = lambda streams, after, which: pdf_check.pdf_violations(pdf_check.stream_digests(streams), after).withColumn("which", F.lit(which))
+    return told(objects, cleaned, "trees").unionByName(told(pdf.read_objects(plain), again, "plain")).unionByName(told(objects, planted, "planted"))
+
+
+@query
+def picture_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second reader finds wrong with cleaned pictures: nothing; and with pictures that were not cleaned at all."""
+    files = shared_table(fixtures.image_files(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("format", sniff.sniff_image(F.col("content"))), "pictures")
+    cleaned = shared_table(images.assemble(images.clean_segments(read_segments(files))), "cleaned")
+    told = lambda after, which: image_check.picture_violations(files, after).withColumn("which", F.lit(which))
+    return told(cleaned, "cleaned").unionByName(told(files, "as it was"))
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in every kind of file and its copy; every seventh copy is missing, every fifth is the original."""
+    files = _every_kind(spark, sf_dir)
+    done = products.clean(files, macros=True).select("doc_id", F.col("content").alias("copy"))
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".bin"))
+    both = shared_table(files.join(done, "doc_id").withColumn("name", name), "originals-and-copies")
+    number = F.floor(F.col("doc_id") / 4)
+    given = F.when(number % 7 == 0, F.lit(None).cast("binary")).when(number % 5 == 0, F.col("content")).otherwise(F.col("copy"))
+    outputs = both.select(names.output_name(F.col("name")).alias("name"), given.alias("content")).filter("content IS NOT NULL")
+    return verification.verify_pairs(both.select("name", "content"), outputs, macros=True)
+
+
+@query
+def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each original, the name that its copy must have, and what the verifier of its kind says."""
+    return _verified(spark, sf_dir).select("name", "wanted", F.coalesce("kind", F.lit("none")).alias("kind"), "status")
+
+
+@query
+def verify_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.tally(_verified(spark, sf_dir))

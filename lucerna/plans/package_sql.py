@@ -203,3 +203,32 @@ m AS (
   UNION ALL SELECT 4 * doc_id + 2, CASE WHEN doc_id % 4 = 0 THEN 8 ELSE 9 END, ['  1 páginas', {_FOUND} '/Author = ' || source, {_FOUND} '/Title = FEFF0041', {_FOUND} 'XMP incrustado', {_FOUND} 'actualizaciones incrementales (texto anterior recuperable)', CASE WHEN doc_id % 4 = 0 THEN {_FOUND} 'archivos adjuntos incrustados' END] FROM documents
   UNION ALL SELECT 4 * doc_id + 3, 0, ['  sin analizador para .txt'] FROM documents
 ) SELECT file_id, array_to_string(list_filter(l, lambda x: x IS NOT NULL), chr(10)) AS lines, CAST(absent AS BIGINT) AS absent FROM m"""
+
+# Files with name trees: what each object says, by its number.
+_ODD_NAMES = "'<< /JavaScript 6 0 R /EmbeddedFiles 8 0 R >>'"
+_TREE_ENTRIES = [
+    ("true", 1, 1, "Type", "'/Catalog'"), ("true", 1, 1, "Pages", "'2 0 R'"), ("true", 1, 1, "Lang", "'(see 99 0 R now)'"), ("doc_id % 2 = 0", 1, 1, "Names", "'5 0 R'"),
+    ("doc_id % 2 = 1", 1, 1, "Names", _ODD_NAMES), ("doc_id % 2 = 1", 1, 2, "JavaScript", "'6 0 R'"), ("doc_id % 2 = 1", 1, 2, "EmbeddedFiles", "'8 0 R'"),
+    ("true", 2, 1, "Type", "'/Pages'"), ("true", 2, 1, "Kids", "'[3 0 R]'"), ("true", 2, 1, "Count", "'1'"),
+    ("true", 3, 1, "Type", "'/Page'"), ("true", 3, 1, "Parent", "'2 0 R'"), ("true", 3, 1, "Contents", "'4 0 R'"),
+    ("doc_id % 3 = 0", 3, 1, "AA", "'<< /O << /S /JavaScript /JS (page) >> >>'"), ("doc_id % 3 = 0", 3, 2, "O", "'<< /S /JavaScript /JS (page) >>'"), ("doc_id % 3 = 0", 3, 3, "S", "'/JavaScript'"), ("doc_id % 3 = 0", 3, 3, "JS", "'(page)'"),
+    ("true", 5, 1, "JavaScript", "'6 0 R'"), ("true", 5, 1, "EmbeddedFiles", "'8 0 R'"), ("true", 6, 1, "Kids", "'[7 0 R]'"), ("true", 7, 1, "Limits", "'[(first) (second)]'"), ("true", 7, 1, "Kids", "'[6 0 R]'"),
+    ("true", 7, 1, "Names", "'[(first) 9 0 R (second) << /S /JavaScript /JS (two) >>]'"), ("true", 7, 3, "S", "'/JavaScript'"), ("true", 7, 3, "JS", "'(two)'"), ("true", 8, 1, "Names", "'[(' || source || ') 10 0 R]'"),
+    ("true", 9, 1, "S", "'/JavaScript'"), ("true", 9, 1, "JS", r"'(one \) 97 0 R)'"), ("true", 10, 1, "Type", "'/Filespec'"), ("true", 10, 1, "F", "'(a.txt)'"),
+]
+_HAS_TEXT = "text IS NOT NULL"
+ORACLE |= {
+    "pdf_entries": " UNION ALL ".join(f"SELECT doc_id, {num} AS num, {depth} AS depth, '{key}' AS key, {value} AS value FROM documents WHERE {_HAS_TEXT} AND {c}" for c, num, depth, key, value in _TREE_ENTRIES),
+    "pdf_references": f"""SELECT doc_id, src, dst FROM documents, (VALUES (1, 2, -1), (1, 5, 0), (1, 6, 1), (1, 8, 1), (2, 3, -1), (3, 2, -1), (3, 4, -1), (5, 6, -1), (5, 8, -1), (6, 7, -1), (7, 6, -1), (7, 9, -1), (8, 10, -1)) r(src, dst, half)
+  WHERE {_HAS_TEXT} AND (half = -1 OR doc_id % 2 = half)""",
+    "pdf_tree_names": f"""SELECT doc_id, 'JavaScript' AS tree, name, num FROM documents, (VALUES ('first', 9), ('second', -1)) n(name, num) WHERE {_HAS_TEXT}
+  UNION ALL SELECT doc_id, 'EmbeddedFiles', source, 10 FROM documents WHERE {_HAS_TEXT}""",
+    "pdf_tree_clean": f"SELECT doc_id, '' AS error, CAST(7 - doc_id % 2 AS BIGINT) AS objects, doc_id % 3 = 0 AS script, CAST(7 - doc_id % 2 AS BIGINT) AS deep_objects, false AS deep_script FROM documents WHERE {_HAS_TEXT}",
+    "pdf_violations": f"SELECT doc_id, 'left in the catalogue: /OpenAction' AS problem, 'planted' AS which FROM documents WHERE {_HAS_TEXT}",
+    "picture_violations": """SELECT doc_id, 'left: ' || told AS problem, 'as it was' AS which FROM documents,
+  (VALUES (0, 'EXIF field 010F'), (0, 'EXIF field 8825'), (0, 'APP1'), (0, 'comment'), (1, 'chunk tEXt'), (1, 'EXIF field 010F'), (1, 'EXIF field 8825'), (2, 'EXIF field 010F'), (2, 'EXIF field 8825'), (2, 'chunk XMP')) t(kind, told)
+  WHERE doc_id % 3 = kind""",
+    "verify_pairs": """SELECT 'f' || (4 * doc_id + k) || '.bin' AS name, 'f' || (4 * doc_id + k) || ' - sin metadatos.bin' AS wanted, ['office', 'image', 'pdf', 'none'][k + 1] AS kind,
+  CASE WHEN doc_id % 7 = 0 OR (doc_id % 5 <> 0 AND (k = 3 OR (k = 2 AND doc_id % 11 = 0))) THEN 'no output' WHEN k = 3 THEN 'no verifier' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM documents, range(4) r(k)""",
+}
+ORACLE["verify_tally"] = f"SELECT kind, status, count(*) AS n FROM ({ORACLE['verify_pairs']}) GROUP BY kind, status"

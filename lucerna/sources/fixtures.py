@@ -151,3 +151,21 @@ def pdf_files(documents: DataFrame) -> DataFrame:
     end = F.concat(F.lit("trailer\n<< /Size 8 /Root 1 0 R /Info 5 0 R /ID [<00> <00>]"), when(i % 11 == 0, " /Encrypt 9 0 R"), F.lit(" >>\nstartxref\n0\n%%EOF\n"))
     update = F.when(i % 5 == 0, F.concat(F.lit("5 0 obj\n<< /Author ("), F.col("lang"), F.lit(") >>\nendobj\n"), end)).otherwise("")
     return documents.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *numbered, end, update).cast("binary").alias("content"))
+
+
+def pdf_tree_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of a PDF with scripts and attachments in name trees, behind references for even ids; every third page has an action.
+
+    A string and a comment hold what looks like references.
+    """
+    i, size = F.col("doc_id"), F.octet_length("text").cast("string")
+    names = F.when(i % 2 == 0, F.lit("5 0 R")).otherwise("<< /JavaScript 6 0 R /EmbeddedFiles 8 0 R >>")
+    action = F.when(i % 3 == 0, F.lit(" /AA << /O << /S /JavaScript /JS (page) >> >>")).otherwise("")
+    objects = [
+        F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R /Lang (see 99 0 R now) % and 98 0 R\n /Names "), names, F.lit(" >>")), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"),
+        F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R"), action, F.lit(" >>")), F.concat(F.lit("<< /Length "), size, F.lit(" >>\nstream\n"), F.col("text"), F.lit("\nendstream")),
+        F.lit("<< /JavaScript 6 0 R /EmbeddedFiles 8 0 R >>"), F.lit("<< /Kids [7 0 R] >>"), F.lit("<< /Limits [(first) (second)] /Kids [6 0 R] /Names [(first) 9 0 R (second) << /S /JavaScript /JS (two) >>] >>"),
+        F.concat(F.lit("<< /Names [("), F.col("source"), F.lit(") 10 0 R] >>")), F.lit("<< /S /JavaScript /JS (one \\) 97 0 R) >>"), F.lit("<< /Type /Filespec /F (a.txt) >>"),
+    ]
+    numbered = [F.concat(F.lit(f"{n + 1} 0 obj\n"), o, F.lit("\nendobj\n")) for n, o in enumerate(objects)]
+    return documents.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *numbered, F.lit("trailer\n<< /Size 11 /Root 1 0 R >>\nstartxref\n0\n%%EOF\n")).cast("binary").alias("content"))

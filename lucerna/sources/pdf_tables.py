@@ -142,6 +142,8 @@ READ = "doc_id long, ord int, told boolean, num long, gen int, dict string, type
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 #: Objects whose streams are read; those of all others are only copied.
 READ_STREAMS = ("ObjStm", "Metadata")
+#: Rows are sent on together until there are so many, or a file of so many bytes is among them.
+MANY_ROWS, LARGE_FILE = 2_000, 1 << 20
 
 
 def stream_data(value: str, stream: bytes) -> bytes | None:
@@ -183,17 +185,19 @@ def read_rows(files: DataFrame) -> DataFrame:
     schema = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in READ.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for b in sliced(batches, BATCH_ROWS):
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = content.as_py() or b""
-                text = raw.decode("latin-1")
                 trailer, found = table_of(raw)
-                rows = [{"doc_id": doc, "trailer": trailer, "listed": last_trailer(text)}]
+                rows.append({"doc_id": doc, "trailer": trailer, "listed": last_trailer(raw.decode("latin-1"))})
                 rows += [{"doc_id": doc, "num": num, "holder": a, "place": i} for num, (kind, a, i) in found.items() if kind == 2]
                 for i, (at, num, gen, value, begin, stream) in enumerate(objects_of(raw)):
                     rows.append(_object_row(doc, i, found.get(num, ())[:2] == (1, at), num, gen, value, begin, stream))
-                columns = {n: [r.get(n) for r in rows] for n in names}
-                yield pa.RecordBatch.from_pydict(columns, schema)
+                if len(rows) >= MANY_ROWS or len(raw) >= LARGE_FILE:
+                    yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names}, schema)
+                    rows = []
+        yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names}, schema)
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, READ)
 

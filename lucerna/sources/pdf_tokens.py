@@ -174,14 +174,15 @@ def _node(t: str) -> dict:
         if key == "Kids":
             kids += structure(t[start:end])[1]
         elif key == "Names" and t[start:end].startswith("["):
-            written, pending = t[start:end], None
-            words = list(tokens(written))
+            # Names and values take turns in the array itself; what a value holds is not looked into.
+            level, pending, words = 0, None, list(tokens(t[start:end]))
             for i, (kind, a, b) in enumerate(words):
-                if kind == "string":
-                    pending = written[a:b]
+                level += (kind in ("<<", "[")) - (kind in (">>", "]"))
+                if level == 1 and kind == "string" and pending is None:
+                    pending = t[start + a : start + b]
                 elif pending is not None:
-                    three = [written[x:y] for _, x, y in words[i : i + 3]]
-                    names.append({"name": pending, "num": reference(" ".join(three))})
+                    three = " ".join(t[start + x : start + y] for _, x, y in words[i : i + 3])
+                    names.append({"name": pending, "num": reference(three)})
                     pending = None
     return {"kids": kids, "names": names}
 
