@@ -14,7 +14,6 @@ Components so large that a score may not fit a long are refused with an error.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ from lucerna.sources.shared import sliced
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
+#: Bytes of a block's vectors, whatever their length: longer vectors make shorter blocks.
+BLOCK_BYTES = 32 << 20
 #: Bins of one round, as a power of two.
 BIN_BITS = 12
 #: Candidate blocks of one group; each group meets every query block, so work is dealt as finely as there are blocks.
@@ -42,7 +43,10 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """Vectors of one length packed into rows of at most ``limit`` vectors."""
+    """Vectors of one length packed into rows of at most ``limit`` vectors and BLOCK_BYTES bytes.
+
+    A block's number is its place among all blocks: it holds from the time that the table is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
@@ -52,7 +56,7 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             raw = np.array(ids, "<i8")[order].tobytes()
             data = np.array(vs, "<i8").reshape(len(ids), dim)[order]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([zlib.crc32(raw)], pa.int64()), pa.array([raw]), pa.array([data.tobytes()])], ["dim", "block", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([raw]), pa.array([data.tobytes()])], ["dim", "ids", "data"])
 
         for b in slices(batches):
             q = b.column("q")
@@ -62,12 +66,12 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
                 ids, vs = held.setdefault(len(v), ([], []))
                 ids.append(vec)
                 vs.append(v)
-                if len(ids) == limit:
+                if len(ids) == max(1, min(limit, BLOCK_BYTES // (8 * max(1, len(v))))):
                     yield emit(len(v))
         for dim in list(held):
             yield emit(dim)
 
-    return rows.mapInArrow(run, "dim int, block long, ids binary, data binary")
+    return rows.mapInArrow(run, "dim int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +121,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
         raise ValueError("scores of these vectors do not fit a long")
     blocks, block_path = write_shared(_blocks(rows, CANDIDATE_BLOCK), "blocks")
     groups = max(1, -(-blocks.count() // GROUP_BLOCKS))
-    candidates = blocks.withColumn("salt", F.pmod(F.col("block"), F.lit(groups)))
+    candidates = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
     queries, query_path = write_shared(_blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "queries")
     bits = max(0, (2 * bound + 1).bit_length() - BIN_BITS)
