@@ -132,38 +132,48 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length``; ``cut`` must give the same rows when read again.
 
-    Pieces of one length are numbered in cells of about CELL_ROWS rows, so no task sorts a whole length.
+    Pieces of one length are numbered in cells of about CELL_ROWS rows, so no task sorts a whole length.  Cells are
+    dealt by all that a piece says and, where ``cut`` has one, by its ``__row`` number (left out of the result), so
+    that repeated rows and rows without id are spread as well.
     To the driver go one count for each length, then one for each cell: at most ``capacity`` and a
     CELL_ROWS-th of the pieces.  What comes back are the cells' first numbers and the plan's runs.
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    told = [c for c in ("doc_id", "piece", "start", "ids_crc32", "__row") if c in cut.columns]
     wide = spark.createDataFrame(sorted((k, -(-n // CELL_ROWS)) for k, n in counts.items()), "length long, __cells long")
-    celled = cut.join(F.broadcast(wide), "length").withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("__cells"))).drop("__cells")
+    celled = cut.join(F.broadcast(wide), "length").withColumn("__cell", F.pmod(F.xxhash64(*told), F.col("__cells"))).drop("__cells")
     cells: list[tuple[int, int, int]] = []
     before: dict[int, int] = defaultdict(int)
     for r in sorted(celled.groupBy("length", "__cell").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["length"], r["__cell"])):
         cells.append((r["length"], r["__cell"], before[r["length"]]))
         before[r["length"]] += r["n"]
-    runs: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
-    for length, first, bins, per, to, offset in plan(counts, capacity):
-        runs[length].append((first, bins, per, to, offset))
+    runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for length, first, _, per, to, offset in plan(counts, capacity):
+        runs[length].append((first, per, to, offset))
+    #: First ranks, pieces a bin, first bin and offset of the runs of each length, in the order of ranks.
+    planned = {length: np.array(sorted(x), np.int64).T for length, x in runs.items()}
     firsts = spark.createDataFrame(cells, "length long, __cell long, __before long")
-    runs_of = spark.createDataFrame(sorted(runs.items()), "length long, __runs array<struct<first:long,bins:long,per:long,bin:long,at:long>>")
-    within = Window.partitionBy("length", "__cell").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "__cell").orderBy(*told)
     ranked = celled.join(F.broadcast(firsts), ["length", "__cell"]).withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
-    # Runs of a length come in the order of their first ranks: the last one that begins at or before a rank holds it.
-    begun = F.size(F.filter(F.col("__runs"), lambda x: x["first"] <= F.col("__rank")))
-    found = ranked.join(F.broadcast(runs_of), "length").withColumn("__run", F.element_at("__runs", begun))
-    nth = F.col("__rank") - F.col("__run.first")
-    return found.select(
-        *cut.columns,
-        (F.col("__run.bin") + F.floor(nth / F.col("__run.per"))).cast("long").alias("sequence_id"),
-        (F.col("__run.at") + F.pmod(nth, F.col("__run.per")) * F.col("length")).cast("long").alias("offset"),
-    )
+
+    @F.arrow_udf("struct<bin:bigint,at:bigint>")
+    def lies(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        length, rank = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+        bins, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for k in np.unique(length):
+            mine = np.flatnonzero(length == k)
+            first, per, to, offset = planned[int(k)]
+            run = np.searchsorted(first, rank[mine], "right") - 1
+            nth = rank[mine] - first[run]
+            bins[mine], at[mine] = to[run] + nth // per[run], offset[run] + nth % per[run] * k
+        return pa.StructArray.from_arrays([pa.array(bins), pa.array(at)], ["bin", "at"])
+
+    found = ranked.withColumn("__at", lies(F.col("length").cast("long"), F.col("__rank").cast("long")))
+    return found.select(*(c for c in cut.columns if c != "__row"), F.col("__at.bin").alias("sequence_id"), F.col("__at.at").alias("offset"))
 
 
 def pack_documents(documents: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    cut, _ = write_shared(pieces(documents, path or public_path("word_bpe_49k.json"), capacity, added_tokens=added_tokens), "pieces")
+    cut, _ = write_shared(pieces(documents, path or public_path("word_bpe_49k.json"), capacity, added_tokens=added_tokens).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     return place(cut, capacity)
