@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public word-level BPE file, through a cache of words.
 
 The file splits a normalised text into words and encodes each on its own, so a text's ids are the
-concatenated ids of its words.  Most words recur: each Python worker keeps a bounded cache of
-packed ids and asks the tokenizer only for words it has not seen.  Texts with characters for which
+concatenated ids of its words.  Most words recur: each Python worker keeps a cache of packed ids, bounded in
+entries and in characters, and asks the tokenizer only for words it has not seen.  Texts with characters for which
 this split is not reproduced here go to the tokenizer whole, so the ids are always the tokenizer's.
 
 A file may name added tokens, such as an end mark, that are found in a text before it is split.  With
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks and words kept by each worker; a full cache starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 900_000, 500_000
+#: Chunks and words kept by each worker, and characters of each; a full cache starts anew.  Longer ones are not kept.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS, LONGEST = 900_000, 500_000, 16 << 20, 64
 #: Characters up to here are split by the pattern below (Latin letters); other texts go whole.
 _LAST = 0x17F
 _WHITE = "\t\n\v\f\r \x85\xa0"
@@ -70,6 +70,8 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_SUFFIX)]] = True
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        #: Characters held by each cache.
+        self.held: dict[int, int] = {}
 
     def _marked(self, text: str) -> bool:
         if not any(x in text for x in self.leads):
@@ -81,27 +83,41 @@ class WordTokenizer:
         """Without the caches."""
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words, from the tokenizer."""
+        out: dict[str, bytes] = {}
         for i in range(0, len(new), 500):
             part = new[i : i + 500]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             after = np.flatnonzero(self.ends[ids]) + 1
             if len(after) == len(part):
                 raw, bounds = ids.tobytes(), [0, *(4 * after).tolist()]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
+                out.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
             else:
-                self.words.update(zip(part, self.whole(part), strict=True))
-
-    def _learn_chunks(self, new: list[str]) -> None:
+                out.update(zip(part, self.whole(part), strict=True))
+        return out
+
+    def _keep(self, cache: dict[str, bytes], found: dict[str, bytes], most: int) -> None:
+        """Put what is short into a cache; one that would be too full starts anew, and what alone is too much is not kept."""
+        short = {w: i for w, i in found.items() if len(w) <= LONGEST}
+        size = sum(map(len, short))
+        if len(short) > most or size > CACHE_CHARS:
+            return
+        if len(cache) + len(short) > most or self.held.get(id(cache), 0) + size > CACHE_CHARS:
+            cache.clear()
+            self.held[id(cache)] = 0
+        cache.update(short)
+        self.held[id(cache)] = self.held.get(id(cache), 0) + size
+
+    def _of_chunks(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not kept, by those of their words."""
         split = [_SPLIT.findall(c) for c in new]
         words = {w for x in split for w in x}
-        missing = words - self.words.keys()
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-            missing = words
-        self._learn_words(list(missing))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, x))) for c, x in zip(new, split, strict=True))
+        known = {w: self.words[w] for w in words if w in self.words}
+        fresh = self._encoded(list(words - known.keys()))
+        self._keep(self.words, fresh, CACHE_WORDS)
+        get = (known | fresh).__getitem__
+        return {c: b"".join(map(get, x)) for c, x in zip(new, split, strict=True)}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and where each text's begin (one more bound than texts).
@@ -123,12 +139,9 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
         coded = lists.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-            new = distinct
-        self._learn_chunks(new)
-        known = [self.chunks[c] for c in distinct]
+        fresh = self._of_chunks([c for c in distinct if c not in self.chunks])
+        known = [fresh[c] if c in fresh else self.chunks[c] for c in distinct]
+        self._keep(self.chunks, fresh, CACHE_CHUNKS)
         ids = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
