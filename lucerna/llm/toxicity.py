@@ -23,7 +23,9 @@ from lucerna.llm.gbdt import Forest, Isotonic, fit, isotonic
 from lucerna.llm.quality import TRAINING_ROWS, labelled_sample, training_rows
 
 #: Insults known beforehand.
-SEED_WORDS = frozenset("idiot moron loser scum worthless pathetic clown stupid trash disgusting".split())
+SEED_WORDS = frozenset(
+    "idiot moron loser scum worthless pathetic clown stupid trash disgusting imbécile crétin débile ordure dummkopf trottel abschaum idiota imbécil estúpido basura escoria".split()
+)
 #: Second-person words of the corpus languages.
 SECOND_PERSON = frozenset("you your yours yourself ya u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie tú ti usted ustedes vosotros".split())
 #: Characters that stand for letters in disguised words.
@@ -32,6 +34,8 @@ LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 LEAST_RATIO = 20.0
 #: Words whose forms a worker keeps looked up; a full table starts anew.
 KNOWN_WORDS = 300_000
+#: Longer words are looked up each time.
+LONGEST = 64
 BEGINNINGS = (4, 5, 6)
 WINDOW = 5
 
@@ -106,13 +110,16 @@ class Lexicon:
             self.known.clear()
         w = token(word)
         if w.isalpha() and w[: BEGINNINGS[0]] not in self.heads:
-            found = self.known[word] = _SHOUTED if len(word) > 1 and word.isupper() else _PLAIN
-            return found
+            return self.keep(word, _SHOUTED if len(word) > 1 and word.isupper() else _PLAIN)
         seed, strength = w in SEED_WORDS, max([self.forms.get(f, 0.0) for f in forms(w)])
         odd = not w.isalpha()
         disguised = odd and not (seed or strength) and self.plain(re.sub(r"[^\w]", "", w.translate(LOOKALIKES)))
         mixed = odd and any(map(str.isdigit, w)) and any(map(str.isalpha, w))
-        found = self.known[word] = Known(w, seed or disguised, strength, disguised, w in SECOND_PERSON, len(word) > 1 and word.isupper(), mixed)
+        return self.keep(word, Known(w, seed or disguised, strength, disguised, w in SECOND_PERSON, len(word) > 1 and word.isupper(), mixed))
+
+    def keep(self, word: str, found: Known) -> Known:
+        if len(word) <= LONGEST:
+            self.known[word] = found
         return found
 
 
@@ -189,54 +196,67 @@ def matrix(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return np.array([features(t, lexicon) for t in texts], float).reshape(-1, len(FEATURES))
 
 
-def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
+def learn_lexicons(train: DataFrame, folds: int) -> list[Lexicon]:
     """Word forms whose documents are mostly toxic, by a likelihood-ratio test on document counts.
 
-    The test alone decides; ``train`` is bounded by its row limit, and so is what can pass.
+    One lexicon without the rows of each fold (the column ``fold``), and at last one from all rows.  The test alone
+    decides; ``train`` is bounded by its row limit, and so is what can pass.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pos, neg = Counter(), Counter()
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+            seen: dict[tuple[int, int], Counter] = {}
+            for text, label, fold in zip(*(b.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 words = set(tokens(text or ""))
-                (pos if label else neg).update(words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in BEGINNINGS)))
-            keys = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], ["form", "pos", "neg"])
+                seen.setdefault((fold, label), Counter()).update(words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in BEGINNINGS)))
+            rows = [(form, fold, n * (label > 0), n * (label == 0)) for (fold, label), c in seen.items() for form, n in c.items()]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["form", "fold", "pos", "neg"])
+
+    sizes = {(r["fold"], r["label"]): r["n"] for r in train.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    counted = train.select("text", "label", "fold").mapInArrow(count, "form string, fold long, pos long, neg long").groupBy("form").agg(
+        *(F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c in ("pos", "neg")), *(F.sum(c).alias(f"{c}{folds}") for c in ("pos", "neg"))
+    )
+    passes = []
+    for k in range(folds + 1):
+        toxic, clean = (sum(n for (fold, label), n in sizes.items() if fold != k and label == wanted) for wanted in (1, 0))
+        p0, pos, neg = toxic / max(1, toxic + clean), F.col(f"pos{k}"), F.col(f"neg{k}")
+        share = pos / (pos + neg)
+        ratio = 2 * (pos * F.log(share / p0) + F.when(neg > 0, neg * F.log((1 - share) / (1 - p0))).otherwise(0.0)) if toxic and clean else F.lit(None).cast("double")
+        passes.append(F.coalesce(F.when(pos > 0, (share >= max(0.5, p0)) & (ratio >= LEAST_RATIO)), F.lit(False)).alias(f"in{k}"))
+    strong = counted.select("*", *passes).filter(" OR ".join(f"in{k}" for k in range(folds + 1))).orderBy("form").collect()
+    return [Lexicon({r["form"]: float(np.log((r[f"pos{k}"] + 0.5) / (r[f"neg{k}"] + 0.5))) for r in strong if r[f"in{k}"]}) for k in range(folds + 1)]
 
-    counted = train.select("text", "label").mapInArrow(count, "form string, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p0 = toxic / max(1, toxic + clean)
-    share = F.col("pos") / (F.col("pos") + F.col("neg"))
-    ratio = 2 * (F.col("pos") * F.log(share / p0) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - p0))).otherwise(0.0))
-    if not toxic or not clean:
-        return Lexicon({})
-    strong = counted.filter((F.col("pos") > 0) & (share >= max(0.5, p0))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    return Lexicon({r["form"]: float(np.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in strong.orderBy("form").collect()})
+
+def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
+    """The lexicon of all rows of ``train`` (text, label), of which so many are toxic and clean."""
+    return learn_lexicons(train.withColumn("fold", F.lit(-1).cast("long")), 0)[0] if toxic and clean else Lexicon({})
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, rows: int = TRAINING_ROWS, folds: int = 3) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents outside the held-out remainder.
+    """Fit on at most ``rows`` labelled documents outside the held-out remainder; of an id with several texts the smallest.
 
-    The calibration is learned from predictions on folds that the trees had not seen.
+    The calibration is learned from predictions on folds that neither the trees nor the lexicon behind their
+    features had seen.
     """
     sample = labelled_sample(labels, "toxic", modulus, held_out, rows)
-    train = training_rows(documents, sample)
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    lexicon = learn_lexicon(train, counts.get(1, 0), counts.get(0, 0))
+    train = training_rows(documents, sample).groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    train = train.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("long"))
+    lexicons = learn_lexicons(train, folds)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = matrix(b.column("text").to_pylist(), lexicon)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            x = [matrix(b.column("text").to_pylist(), lexicon) for lexicon in lexicons]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("fold"), pa.array(np.concatenate(x, 1).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
-    got = train.select("doc_id", "label", "text").mapInArrow(featurise, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
-    y = got["label"].to_numpy(float)
-    fold = np.arange(len(y)) % folds
+    got = train.select("doc_id", "label", "text", "fold").mapInArrow(featurise, "doc_id long, label int, fold long, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    each = np.array(got["x"].tolist(), float).reshape(-1, folds + 1, len(FEATURES))
+    y, fold = got["label"].to_numpy(float), got["fold"].to_numpy()
     unseen = np.zeros(len(y))
     for k in range(folds):
+        x = each[:, k]
         unseen[fold == k] = fit(x[fold != k], y[fold != k], trees=40).probability(x[fold == k])
-    return ToxicityModel(lexicon, fit(x, y, trees=40), isotonic(unseen, y))
+    return ToxicityModel(lexicons[-1], fit(each[:, folds], y, trees=40), isotonic(unseen, y))
 
 
 def toxicity_score(model: ToxicityModel) -> Callable[[Column], Column]:
