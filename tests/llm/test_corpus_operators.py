@@ -447,3 +447,30 @@ def test_settings_are_as_before(spark):
     for name, query in QUERIES.items():
         query(spark, SF).limit(1).collect()
         assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before, name
+
+
+def test_blocks_have_numbers_of_their_own(spark, monkeypatch):
+    """Many short blocks, bounded by bytes too: no two have one number, and nothing is mixed up."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 6 * 3)
+    rng = random.Random(4)
+    vectors = {i: [rng.randrange(-9, 9) / 4 for _ in range(6)] for i in range(200)}
+    d = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(7)
+    blocks = topk._blocks(topk.quantised(d), 4)
+    assert blocks.select("block").distinct().count() == blocks.count() >= 50
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(d, k=5, every=2).collect()}
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors.items()}
+    for i in range(0, 200, 2):
+        best = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
+def test_lexicons_of_folds_have_not_seen_their_fold(spark):
+    rows = [(i, f"{'zorgle' if i % 2 else 'plain'} w{i} fine words here", i % 2, i % 3) for i in range(90)]
+    rows += [(100 + i, f"only{k} insultish{k} text", 1, k) for k in range(3) for i in range(25)]
+    rows += [(300 + i, f"calm c{i} text", 0, i % 3) for i in range(75)]
+    lexicons = toxicity.learn_lexicons(spark.createDataFrame(rows, "doc_id long, text string, label int, fold long"), 3)
+    assert len(lexicons) == 4 and all("zorgle" in x.forms for x in lexicons)
+    for k in range(3):
+        assert f"insultish{k}" not in lexicons[k].forms and f"insultish{k}" in lexicons[3].forms and f"insultish{(k + 1) % 3}" in lexicons[k].forms

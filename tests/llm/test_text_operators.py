@@ -381,3 +381,35 @@ def test_random_pages_give_the_text_they_were_made_from():
     for _ in range(400):
         page, want = planted_page(rng)
         assert html_extract.main_text(page) == want, page
+
+
+# Bounds ----------------------------------------------------------------------
+
+
+def test_caches_are_bounded_in_characters(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokenize, "CACHE_CHARS", 2_000)
+    rng = random.Random(2)
+    tok = tokenize.WordTokenizer(tokenize.public_path("word_bpe_49k.json"))
+    plain = tokenize.WordTokenizer(tokenize.public_path("word_bpe_49k.json"))
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abc1;/") for _ in range(rng.choice([3, 9, 500]))) for _ in range(60)) for _ in range(3)]
+        ids, bounds = tok.encode(texts)
+        assert [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)] == plain.whole(texts)
+        for cache in (tok.words, tok.chunks):
+            assert sum(map(len, cache)) <= 2_000 and all(len(x) <= tokenize.LONGEST for x in cache)
+
+
+def test_rows_without_id_are_dealt_to_many_cells(spark, monkeypatch):
+    """Repeated rows without id get places of their own, in several cells of one length."""
+    monkeypatch.setattr(packing, "CELL_ROWS", 100)
+    docs = spark.createDataFrame([(None, "same text here")] * 700, "doc_id long, text string").repartition(5)
+    got = packing.pack_documents(docs, capacity=20).collect()
+    assert len(got) == 700 and len({(r["sequence_id"], r["offset"]) for r in got}) == 700
+    cut = spark.createDataFrame([(None, 0, 0, 5, 9, i) for i in range(700)], "doc_id long, piece int, start long, length long, ids_crc32 long, __row long")
+    placed = packing.place(cut, 20)
+    assert placed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    cells = cut.select((F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "__row"), F.lit(7))).alias("c")).groupBy("c").count().collect()
+    assert len(cells) == 7 and max(r["count"] for r in cells) < 200
+    assert sorted((r["sequence_id"], r["offset"]) for r in placed.collect()) == [(s, 5 * k) for s in range(175) for k in range(4)]
