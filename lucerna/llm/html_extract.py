@@ -4,12 +4,14 @@ A page is stripped of its markup into lines, one for each block.  Furniture (men
 footers, sidebars, notices, adverts, forms, reader comments) becomes ``GAP`` blank lines, so that
 text lengths summed over sliding windows of ``WINDOW`` lines fall to zero around it.  Surge points
 are where the windowed sum leaves zero, dive points where it returns; the regions between them are
-candidates.  Bounds of an explicit article are blank lines too; its regions win.  Without one, every
-region is kept, however short, but those that are mostly links: an advert or a notice inside the text
-parts it into regions of any size.
+candidates.  Regions of articles win over those of the page's main element, and these over all others.
+Of several articles one stays when its densest window reaches ``PEAK`` of the densest of all: teasers of
+other articles do not.  Otherwise every region is kept, however short, but one that is nothing but links.
 
-Elements and roles that are surely furniture go at once.  A class or id that only looks like it, such as
-``alert``, is left to the densities: such a block goes unless nearly all text of the page is inside it.
+Elements and roles that are surely furniture go.  So does a container whose class or id has a name all of
+whose parts are words for furniture, inside an article and outside: ``cookie-notice``, ``share-buttons``,
+``relatedPosts``; not ``related-work`` or ``search-results``, which also say something else.  Headings,
+paragraphs and articles never go by a name, and a container that holds an article does not.
 
 Null and empty pages give an empty text; repeated rows give a row each; other columns are ignored;
 markup that never closes ends with the page.
@@ -21,6 +23,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +33,8 @@ from lucerna.llm.common import slices
 
 WINDOW = 3
 GAP = WINDOW
-#: Without an article element, a region of which links hold more than this share is a menu.
-LINK_SHARE = 0.5
-#: A block whose class or id only looks like furniture stays when it holds this share of the page's text outside links.
-MARK_SHARE = 0.8
+#: Another article of a page stays when its densest window reaches this share of the densest of all.
+PEAK = 0.5
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -44,24 +45,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select noembed noframes xmp title head".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Content that a class or id alone never makes furniture.
-CONTENT = frozenset("article h1 h2 h3 h4 h5 h6 p".split())
-#: Inside an article only these can be furniture by a class, and only by one that is a mark as a whole; ids name places there.
-CONTAINERS = frozenset("div section ul ol dl table figure fieldset details center".split())
-#: Parts of class names and ids that mark furniture; those of headers do so only outside an article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|space|block|container|wrapper)|adverts?|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
-    r"footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|search)(?=$|[\s_-]|\d)",
-    re.I,
+#: Elements that a class or id can make furniture: containers, never headings, paragraphs, articles or words in a line.
+CONTAINERS = frozenset("div section ul ol li dl table figure fieldset details center".split())
+PARAGRAPHS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
+# Words for furniture: alone, for headers (outside an article), for comments of readers, in company only, and what keeps them company.
+STRONG = frozenset(
+    "ad ads adbox adslot adunit adspace adblock adcontainer adwrapper advert adverts advertisement advertisements advertising adsense banner banners promo promos promotion promotions sponsor sponsored sponsors "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription "
+    "signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager".split()
+)
+HEADERS = frozenset("header masthead topbar".split())
+READERS = frozenset("comment comments commentlist commentary respond responses reply replies disqus guestbook".split())
+WEAK = frozenset("side search legal copyright disclaimer follow trending popular".split())
+BOXES = frozenset("box bar links link form list area block panel button buttons icons icon bars".split())
+NEUTRAL = BOXES | frozenset(
+    "container wrapper wrap section group item items post posts article articles story stories news slot unit space zone top bottom left right inner outer main site page primary secondary global fixed sticky content text "
+    "thread tools this us now more by our the your".split()
 )
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-]|\d)", re.I)
-READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentary|respond|responses|reply|replies|disqus|guestbook)(?=$|[\s_-]|\d)", re.I)
-#: Classes for the comments of readers that have two parts.
-READERS_WHOLE = frozenset("comments-area comment-area comments-list comment-list comments-section comment-section comment-respond comment-form".split())
-#: Classes that tell a subject or a state of the content, such as category-legal or has-comments, are no marks.
-_ABOUT = re.compile(r"^(?:category|tag|topic|has|no|with|without)[-_]", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[^a-z]+")
 #: One attribute as a tokenizer reads it: quotes count only right after the equals sign.
 _NAME = r"[^\s/>][^\s/>=]*+"
 _VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
@@ -79,10 +81,22 @@ _CLOSED_BY = {
 }
 
 
-#: How firmly an element is furniture: not at all, by a mark that an article inside it outweighs, or surely.
+#: How firmly an element is furniture: not at all, by a name that an article inside it outweighs, or surely.
 NO, MARK, SURE = 0, 1, 2
 
 
+def _marked(name: str, in_article: bool) -> int:
+    """Whether a class or id names furniture: all its parts are such words, and one of them says so by itself or two in company."""
+    parts = [x for x in _PARTS.split(_CAMEL.sub("-", name).lower()) if x]
+    if not parts or not all(x in STRONG or x in READERS or x in NEUTRAL or x in WEAK or x in HEADERS for x in parts):
+        return NO
+    if any(x in READERS for x in parts):
+        return SURE
+    if any(x in STRONG for x in parts) or not in_article and any(x in HEADERS for x in parts):
+        return MARK
+    return MARK if any(x in WEAK for x in parts) and any(x in BOXES for x in parts) else NO
+
+
 def _furniture(name: str, attrs: str, in_article: bool) -> int:
     """Whether an element is page furniture by its name, role, class or id, or hidden."""
     if name in FURNITURE:
@@ -101,63 +115,68 @@ def _furniture(name: str, attrs: str, in_article: bool) -> int:
         value = value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value
         if key == "role" and value.strip().lower() in ROLES:
             return SURE
-        if in_article and key == "class" and name in CONTAINERS:
-            for x in value.split():
-                if x.lower() in READERS_WHOLE or READERS.fullmatch(x):
-                    return SURE
-                if MARKED.fullmatch(x):
-                    found = MARK
-        elif not in_article and key in ("class", "id") and name not in CONTENT:
-            marks = _CAMEL.sub("-", " ".join(x for x in value.split() if not _ABOUT.match(x)))
-            if READERS.search(marks):
-                return SURE
-            if MARKED.search(marks) or HEADERS.search(marks):
-                found = MARK
+        if key in ("class", "id") and (name in CONTAINERS or name == "article" and in_article):
+            kinds = [_marked(x, in_article) for x in value.split()]
+            found = max([found, *kinds]) if name != "article" else SURE if SURE in kinds else found
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return SURE
     return found
 
 
+class Row(NamedTuple):
+    """A line: its text, links in it, whether words stand outside them, whether it is a paragraph, the article and the mark it is in, and whether main holds it."""
+
+    text: str
+    links: int
+    words: bool
+    paragraph: bool
+    article: int
+    mark: int
+    main: bool
+
+
 class Lines:
-    """Blocks of a page as they are read: text, characters inside links, inside an article, and the innermost mark.
+    """Blocks of a page as they are read.
 
     Surely furniture is left out while reading and leaves GAP blank lines.  Text inside an element that
-    only looks like furniture is kept under the number of its mark until the page's densities are known.
+    is furniture by its name is kept under the number of its mark: an article further inside outweighs it.
     """
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, int]] = []
+        self.rows: list[Row] = []
         self.parts: list[str] = []
-        self.links = self.furniture = self.articles = self.anchors = 0
+        self.links = self.furniture = self.articles = self.anchors = self.mains = self.last_article = 0
+        self.words = False
         self.stack: list[tuple[str, int]] = []
         self.open: Counter[str] = Counter()
-        #: Numbers of the marks around this place, where they stand in the stack, and every mark's outer one.
-        self.within, self.places, self.outer = [0], [], [0]
+        #: Marks around this place: where they stand in the stack.
+        self.places: list[int] = []
 
     def blank(self) -> None:
-        self.rows.extend([("", 0, False, self.within[-1])] * GAP)
+        self.rows.extend([Row("", 0, False, False, 0, len(self.places), False)] * GAP)
 
     def flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.parts)).split())
         if text:
-            self.rows.append((text, self.links, self.articles > 0, self.within[-1]))
+            paragraph = any(self.open[x] for x in PARAGRAPHS)
+            self.rows.append(Row(text, self.links, self.words, paragraph, self.last_article if self.articles else 0, len(self.places), self.mains > 0))
         self.parts.clear()
-        self.links = 0
+        self.links, self.words = 0, False
 
     def text(self, piece: str) -> None:
         if not self.furniture and piece:
             self.parts.append(piece)
-            self.links += len(piece) * (self.anchors > 0)
+            if not self.anchors and not self.words:
+                self.words = any(map(str.isalnum, entities.unescape(piece) if "&" in piece else piece))
 
     def push(self, name: str, kind: int) -> None:
         is_article = name in ("article", "main") and kind == NO and not self.furniture
-        if is_article and self.places:
-            # A wrapper that only looks like furniture, such as one named after its sidebar, holds the article.
+        if is_article and self.places and not self.articles:
+            # A wrapper with an unlucky name, such as one named after its sidebar, holds the article.
             self.flush()
             for i in self.places:
                 self.stack[i] = (self.stack[i][0], NO)
             self.places.clear()
-            del self.within[1:]
         if kind and not self.furniture:
             self.flush()
         if name in ("article", "main"):
@@ -169,10 +188,12 @@ class Lines:
         elif kind == MARK:
             self.blank()
             self.places.append(len(self.stack) - 1)
-            self.outer.append(self.within[-1])
-            self.within.append(len(self.outer) - 1)
-        self.articles += name in ("article", "main")
+        if name == "article":
+            self.last_article += not self.articles
+            self.articles += 1
+        self.mains += name == "main"
         self.anchors += name == "a"
+        self.links += name == "a" and not self.furniture
 
     def pop(self) -> None:
         name, kind = self.stack.pop()
@@ -180,12 +201,12 @@ class Lines:
         if kind == MARK:
             self.flush()
             self.places.pop()
-            self.within.pop()
         elif kind == SURE:
             self.furniture -= 1
             if not self.furniture:
                 self.parts.clear()
-        self.articles -= name in ("article", "main")
+        self.articles -= name == "article"
+        self.mains -= name == "main"
         self.anchors -= name == "a"
         if kind and not self.furniture or name in ("article", "main"):
             self.blank()
@@ -260,23 +281,10 @@ def read_page(page: str) -> Lines:
     return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside an article) of each block in order; furniture is GAP blank lines.
-
-    A marked element is furniture unless it holds at least MARK_SHARE of the page's text outside links:
-    then it is the page's body under an unlucky name, and the same is asked of the marks inside it.
-    """
-    read = read_page(page)
-    dense = [0] * len(read.outer)
-    for text, links, _, mark in read.rows:
-        dense[mark] += max(0, len(text) - links)
-    for mark in range(len(dense) - 1, 0, -1):  # inner marks have higher numbers
-        dense[read.outer[mark]] += dense[mark]
-    body = {0}
-    for mark in range(1, len(dense)):
-        if read.outer[mark] in body and dense[mark] and dense[mark] >= MARK_SHARE * dense[0]:
-            body.add(mark)
-    return [(text, links, inside) if mark in body else ("", 0, False) for text, links, inside, mark in read.rows]
+def lines(page: str) -> list[Row]:
+    """Every block in order; furniture is GAP blank lines."""
+    gone = Row("", 0, False, False, 0, 0, False)
+    return [gone if row.mark else row for row in read_page(page).rows]
 
 
 def regions(lengths: list[int]) -> list[tuple[int, int]]:
@@ -297,18 +305,27 @@ def regions(lengths: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def _peak(lengths: list[int]) -> int:
+    return max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by an empty line."""
     blocks = lines(page or "")
-    lengths = [len(t) for t, _, _ in blocks]
-    found = regions(lengths)
-    size = lambda r: sum(lengths[r[0] : r[1]])
-    explicit = [r for r in found if blocks[r[0]][2]]
+    found = regions([len(x.text) for x in blocks])
+    rows = lambda r: [x for x in blocks[r[0] : r[1]] if x.text]
+    explicit = [r for r in found if blocks[r[0]].article]
     if explicit:
-        kept = explicit
+        peaks: dict[int, int] = {}
+        for r in explicit:
+            of = blocks[r[0]].article
+            peaks[of] = max(peaks.get(of, 0), _peak([len(x.text) for x in blocks[r[0] : r[1]]]))
+        kept = [r for r in explicit if peaks[blocks[r[0]].article] >= PEAK * max(peaks.values())]
     else:
-        kept = [r for r in found if sum(k for _, k, _ in blocks[r[0] : r[1]]) <= LINK_SHARE * size(r)]
-    return "\n\n".join(t for r in kept for t, _, _ in blocks[r[0] : r[1]] if t)
+        kept = [r for r in found if blocks[r[0]].main] or found
+        menu = lambda x: sum(y.links for y in x) > 1 and not any(y.words or y.paragraph for y in x)
+        kept = [r for r in kept if not menu(rows(r))]
+    return "\n\n".join(x.text for r in kept for x in rows(r))
 
 
 def extract_html(pages: DataFrame) -> DataFrame:
