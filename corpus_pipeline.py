@@ -3,8 +3,8 @@
 Rows and edge cases, for every stage: a null text is an empty one; a null id is a document of its own,
 never a near duplicate of another, and is mixed by a draw from its text; rows that repeat whole are judged
 each, and one of them is left after the near duplicates; an id that comes with several texts stands for
-the smallest of them when near duplicates are sought, and one of its rows is left; columns of any name pass
-through the filtering stages, packing returns its own; an empty table gives an empty table.
+the smallest of them when near duplicates are sought, and its row with that text is left; a domain that is
+labelled but has no target gets the target 0, so its documents go; columns of any name pass through the filtering stages, packing returns its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,7 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, for each group of near duplicates; rows without id stay."""
     found = ngram_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    # Of an id with several rows that with the smallest text stays, by which the id was judged; a hot id combines before the shuffle.
+    rest = [c for c in docs.columns if c != "doc_id"]
+    told = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*rest)))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), told).alias("__row"))
+    one = one.select("doc_id", *(F.col(f"__row.`{c}`").alias(c) for c in rest)).select(*docs.columns)
     return one.unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
