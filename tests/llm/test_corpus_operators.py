@@ -474,3 +474,14 @@ def test_lexicons_of_folds_have_not_seen_their_fold(spark):
     assert len(lexicons) == 4 and all("zorgle" in x.forms for x in lexicons)
     for k in range(3):
         assert f"insultish{k}" not in lexicons[k].forms and f"insultish{k}" in lexicons[3].forms and f"insultish{(k + 1) % 3}" in lexicons[k].forms
+
+
+def test_the_row_by_which_an_id_was_judged_stays(spark):
+    """Of rows with one id the smallest text stays, whatever their order; ties agree in every column."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"b {words}", "en", "s", 9), (1, f"a {words}", "en", "s", 9), (1, f"a {words}", "de", "s", 9), (2, "other text altogether", "en", "s", 3), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, schema), "")
+        assert got.columns == [x.split()[0] for x in schema.split(", ")]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, f"a {words}", "de", "s", 9), rows[3], rows[4], rows[5]]))

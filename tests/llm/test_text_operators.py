@@ -413,3 +413,56 @@ def test_rows_without_id_are_dealt_to_many_cells(spark, monkeypatch):
     cells = cut.select((F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "__row"), F.lit(7))).alias("c")).groupBy("c").count().collect()
     assert len(cells) == 7 and max(r["count"] for r in cells) < 200
     assert sorted((r["sequence_id"], r["offset"]) for r in placed.collect()) == [(s, 5 * k) for s in range(175) for k in range(4)]
+
+
+# Furniture by name, main, several articles --------------------------------------
+
+
+@pytest.mark.parametrize("name", ["newsletter-signup", "share-buttons", "ad-slot", "cookie-notice", "related-posts", "relatedPosts", "comments-area", "sidebar_left", "social-share", "search-box", "ad-1"])
+@pytest.mark.parametrize("key", ["class", "id"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<body>{}</body>", "<main><article>{}</article><p>teaser</p></main>"])
+def test_names_of_two_parts_are_furniture_everywhere(name, key, wrap):
+    page = wrap.format(f'<h1>Head</h1><p>Text of the page.</p><div {key}="{name}"><p>Gone.</p></div><p>End of it.</p>')
+    assert html_extract.main_text(page).replace("\n\nteaser", "") == "Head\n\nText of the page.\n\nEnd of it."
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-results", "legal", "alert-history", "category-legal", "menu-history-of-food", "socialism"])
+def test_names_that_say_something_else_are_content(name):
+    assert html_extract.main_text(f'<div class="{name}"><p>body text of page</p></div><p>small other text that is here too</p>') == "body text of page\n\nsmall other text that is here too"
+
+
+def test_no_paragraph_is_lost_for_its_links():
+    ad = '<div class="ad">buy</div>'
+    assert html_extract.main_text(f"<p>One.</p>{ad}<p>See <a>this long list of links</a>, <a>and that</a></p>{ad}<p><a>All</a> <a>linked</a></p>{ad}<p>End.</p>") == "One.\n\nSee this long list of links, and that\n\nAll linked\n\nEnd."
+    assert html_extract.main_text(f"<ul><li><a>home</a><li><a>more</a></ul>{ad}<p>Text.</p>") == "Text."
+
+
+def test_main_holds_the_text_but_is_no_article():
+    page = '<div>stray</div><main><div class="cookie-banner">We use cookies</div><div id="sidebar">Side</div>{}<div id="comments"><p>A reader</p></div></main>'
+    assert html_extract.main_text(page.format("<p>The text.</p>")) == "The text."
+    assert html_extract.main_text(page.format("<article><p>The text.</p></article>")) == "The text."
+
+
+def test_teasers_of_other_articles_go_by_density():
+    body = "".join(f"<p>{'A sentence of the article that goes on for a while. ' * 4}</p>" for _ in range(6))
+    teaser = "<article><h3><a>Another title</a></h3><p>Short lead.</p></article>"
+    text = html_extract.main_text(f"<article><h1>Head</h1>{body}</article>{teaser * 4}")
+    assert text.startswith("Head") and "Another" not in text and text.count("A sentence") == 24
+    two = html_extract.main_text(f"<article><h1>One</h1>{body}</article><article><h1>Two</h1>{body}</article>")
+    assert "One" in two and "Two" in two
+
+
+def test_random_pages_without_an_article():
+    import random
+
+    rng = random.Random(17)
+    gone = ['<div class="cookie-consent-banner">we use</div>', '<section id="newsletter_signup"><p>sign up</p></section>', '<ul class="share-links"><li><a href=x>a</a><li><a href=y>b</a></ul>', '<div id="comments"><p>me too</p><article class="comment"><p>and me</p></article></div>', "<aside>side</aside>", '<div class="topAdBox">buy</div>']
+    for _ in range(200):
+        blocks = [" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 9))]
+        out = []
+        for t in blocks:
+            out.append(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<div class=body-text>{}</div>", "<p>{} </p>", "<section id=part>{}</section>"]).format(t))
+            out.extend(rng.sample(gone, rng.randrange(3)))
+        wrap = rng.choice(["<body>{}</body>", "<main>{}</main>", '<div class="page-wrapper"><div id="content">{}</div></div>'])
+        page = f'<header>site</header>{wrap.format("".join(out))}<footer>f</footer>'
+        assert html_extract.main_text(page) == "\n\n".join(blocks), page
