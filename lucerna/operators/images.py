@@ -92,6 +92,19 @@ def exif_findings(blocks: DataFrame) -> DataFrame:
     return findings_of(fields, by_field).unionByName(findings_of(blocks, from_blocks))
 
 
+def directory_findings(blocks: DataFrame) -> DataFrame:
+    """What the directories behind the first one tell (doc_id, ``x``): serial numbers, owners, dates, and the place in degrees."""
+    c = F.col
+    labels = {k: label for k, label, _ in EXIF_FIELDS}
+    fields = blocks.select("doc_id", F.explode("x.more").alias("f")).select("doc_id", "f.dir", "f.tag", "f.value").filter((c("dir") != "GPS") & c("tag").isin(*labels))
+    label_of = F.coalesce(*(F.when(c("tag") == k, F.lit(label)) for k, label in labels.items()))
+    level = lambda sev: c("tag").isin(*(k for k, _, x in EXIF_FIELDS if x == sev))
+    by_field = [rule(level(sev), "EXIF · directorios", label_of, c("value"), sev) for sev in ("personal", "media", "baja")]
+    spot = F.concat(F.format_string("%.6f", "x.latitude"), F.lit(", "), F.format_string("%.6f", "x.longitude"))
+    place = [rule(c("x.latitude").isNotNull() & c("x.longitude").isNotNull(), "EXIF · ubicación", "Coordenadas en grados", spot, "personal")]
+    return findings_of(fields, by_field).unionByName(findings_of(blocks, place))
+
+
 def file_findings(files: DataFrame) -> DataFrame:
     """What a picture's file (doc_id, format, content) tells as a whole: its type, that its format is not cleaned, and what a TIFF holds, which is an EXIF block itself."""
     label = F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), F.col("format"))

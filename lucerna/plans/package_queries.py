@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import names, sniff
+from lucerna.functions.binary import joined
 from lucerna.operators import image_check, images, office, pdf, pdf_check, raw_scan, verdict
 from lucerna.operators.relations import shared_table
-from lucerna.plans import overview, products, verification
+from lucerna.plans import overview, products, responses, verification
 from lucerna.sources import fixtures, packages
 from lucerna.sources import pdf_tables as tables
-from lucerna.sources.images import read_segments
+from lucerna.sources.images import exif, read_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,7 +38,7 @@ def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def office_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind by first bytes, format by the first known folder, and the label of both."""
     files = _office(spark, sf_dir)
-    parts = packages.read_packages(files)
+    parts = packages.list_packages(files)
     listed = parts.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     fmt = sniff.package_format(F.col("names"))
     return files.select("doc_id", sniff.file_kind(F.col("content")).alias("kind")).join(listed, "doc_id").select("doc_id", "kind", fmt.alias("format"), sniff.kind_label(F.col("kind"), fmt).alias("label"))
@@ -365,3 +366,52 @@ def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def verify_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.tally(_verified(spark, sf_dir))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of twenty documents each as the files of a request, named by language, each with a report."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    report = F.to_json(F.struct(F.col("doc_id").alias("id")))
+    return d.select(F.floor(F.col("doc_id") / 20).cast("long").alias("request"), F.col("doc_id").alias("ord"), F.concat(F.col("lang"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), report.alias("report"))
+
+
+@query
+def package_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages made of rows of bytes, put together and read again: names, and digests of files and reports."""
+    pieces = responses.package_response(_requests(spark, sf_dir))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "piece"))), lambda x: x["piece"])
+    whole = pieces.groupBy(F.col("request").alias("doc_id")).agg(listed.alias("l")).select("doc_id", joined(F.col("l")).alias("content"))
+    return packages.read_packages(whole).select(F.col("doc_id").alias("request"), F.col("ord").cast("long").alias("ord"), "name", "crc_ok", F.sha2("data", 256).alias("sha256"))
+
+
+@query
+def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of answers of at most 40,000 bytes of files each, and files that no page can hold."""
+    pages = responses.json_pages(_requests(spark, sf_dir), most=40_000)
+    count = F.size(F.split("body", "bytesBase64")) - 1
+    return pages.select("request", F.coalesce("page", F.lit(-1).cast("long")).alias("page"), F.coalesce(count, F.lit(0)).cast("long").alias("files"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def batch_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch of a hundred documents accepts and refuses, as files of many names."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".txt", ".DOCX", ".jpeg", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = d.select(F.floor(F.col("doc_id") / 100).cast("long").alias("request"), F.col("doc_id").alias("ord"), F.concat(F.col("lang"), ending).alias("name"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    kept, refused = responses.batch(files, most_bytes=60_000)
+    return kept.withColumn("reason", F.lit("")).unionByName(refused).select("request", "ord", "name", "reason")
+
+
+@query
+def package_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the property parts of every package, by a lateral join of SQL with a table function."""
+    packages.register(spark)
+    return spark.sql("SELECT f.doc_id, n.part, n.tag, n.text FROM {files} f, LATERAL package_nodes(f.content, '^docProps/.*[.]xml$') n WHERE n.error IS NULL AND n.parent >= 0", files=_office(spark, sf_dir))
+
+
+@query
+def exif_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serial numbers and places of cameras, from the directories that the first one leads to."""
+    files = fixtures.camera_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    blocks = files.select("doc_id", exif(F.col("content")).alias("x")).filter("x IS NOT NULL")
+    return images.directory_findings(blocks)

@@ -232,3 +232,31 @@ ORACLE |= {
   CASE WHEN doc_id % 7 = 0 OR (doc_id % 5 <> 0 AND (k = 3 OR (k = 2 AND doc_id % 11 = 0))) THEN 'no output' WHEN k = 3 THEN 'no verifier' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM documents, range(4) r(k)""",
 }
 ORACLE["verify_tally"] = f"SELECT kind, status, count(*) AS n FROM ({ORACLE['verify_pairs']}) GROUP BY kind, status"
+
+_REQUESTS = "requests AS (SELECT doc_id // 20 AS request, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS nth, row_number() OVER (PARTITION BY doc_id // 20, lang ORDER BY doc_id) AS same, lang, coalesce(text, '') AS text FROM documents)"
+ORACLE |= {
+    "package_responses": f"""WITH {_REQUESTS}
+  SELECT request, nth - 1 AS ord, lang || CASE WHEN same > 1 THEN ' (' || same || ')' ELSE '' END || '.txt' AS name, true AS crc_ok, sha256(text) AS sha256 FROM requests
+  UNION ALL SELECT request, count(*), 'informe.json', true, sha256('{{"servicio":"metadata","version":"1","files":[' || string_agg('{{"id":' || doc_id || '}}', ',' ORDER BY doc_id) || ']}}') FROM requests GROUP BY request""",
+    # The fold over sizes, one document at a time: a page ends before the file that it has no room for.
+    "json_responses": """WITH RECURSIVE files AS (SELECT doc_id // 20 AS request, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS nth, strlen(coalesce(text, '')) AS size FROM documents WHERE strlen(coalesce(text, '')) <= 40000),
+  dealt AS (
+    SELECT request, nth, 0 AS page, size AS used FROM files WHERE nth = 1
+    UNION ALL SELECT f.request, f.nth, CASE WHEN d.used + f.size > 40000 THEN d.page + 1 ELSE d.page END, CASE WHEN d.used + f.size > 40000 THEN f.size ELSE d.used + f.size END FROM dealt d JOIN files f ON f.request = d.request AND f.nth = d.nth + 1
+  )
+  SELECT request, CAST(page AS BIGINT) AS page, count(*) AS files, '' AS error FROM dealt GROUP BY ALL
+  UNION ALL SELECT doc_id // 20, -1, 0, 'file beyond the limit of an answer' FROM documents WHERE strlen(coalesce(text, '')) > 40000""",
+    "batch_rejects": """WITH f AS (
+    SELECT doc_id // 100 AS request, doc_id AS ord, lang || ['.pdf', '.txt', '.DOCX', '.jpeg', ''][doc_id % 5 + 1] AS name, doc_id % 5 IN (0, 2, 3) AS taken, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS nth, strlen(coalesce(text, '')) AS size FROM documents
+  ), s AS (
+    SELECT *, sum(CASE WHEN taken AND nth <= 50 THEN size ELSE 0 END) OVER (PARTITION BY request ORDER BY ord) AS so_far FROM f
+  )
+  SELECT request, ord, name, CASE WHEN nth > 50 THEN 'solo se procesan 50 archivos por lote' WHEN NOT taken THEN 'formato no admitido' WHEN so_far > 60000 THEN 'se superó el límite por lote' ELSE '' END AS reason FROM s""",
+    "package_elements": """SELECT doc_id, part, tag, text FROM (
+    SELECT doc_id, 'docProps/core.xml' AS part, 'dc:title' AS tag, 'Documento ' || doc_id AS text FROM documents UNION ALL SELECT doc_id, 'docProps/core.xml', 'dc:creator', source FROM documents
+    UNION ALL SELECT doc_id, 'docProps/core.xml', 'cp:lastModifiedBy', lang FROM documents UNION ALL SELECT doc_id, 'docProps/app.xml', 'ep:Company', 'Empresa ' || lang FROM documents
+    UNION ALL SELECT doc_id, 'docProps/app.xml', 'ep:TotalTime', CAST(doc_id % 100 AS VARCHAR) FROM documents)""",
+    "exif_directories": """SELECT doc_id, 'EXIF · directorios' AS grp, 'Número de serie del cuerpo' AS label, source AS value, 'personal' AS sev, false AS keep FROM documents
+  UNION ALL SELECT doc_id, 'EXIF · ubicación', 'Coordenadas en grados', printf('%.6f', d90) || ', ' || printf('%.6f', -d180), 'personal', false FROM (
+    SELECT doc_id, CAST(doc_id % 90 AS DOUBLE) + CAST(doc_id % 60 AS DOUBLE) / 60 + CAST(doc_id % 6000 AS DOUBLE) / 100 / 3600 AS d90, CAST(doc_id % 180 AS DOUBLE) + CAST(doc_id % 60 AS DOUBLE) / 60 + CAST(doc_id % 6000 AS DOUBLE) / 100 / 3600 AS d180 FROM documents)""",
+}

@@ -43,7 +43,7 @@ class Inspected:
     def findings(self) -> DataFrame:
         kinds = {
             "office": office.office_findings(self.parts, self.nodes),
-            "image": images.image_findings(self.segments).unionByName(images.file_findings(self.of("image"))),
+            "image": images.image_findings(self.segments).unionByName(images.file_findings(self.of("image"))).unionByName(images.directory_findings(images.exif_blocks(self.segments))),
             "pdf": pdf.pdf_findings(self.of("pdf"), self.objects, self.trailers),
         }
         out = None

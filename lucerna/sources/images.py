@@ -109,12 +109,31 @@ def read_segments(files: DataFrame) -> DataFrame:
     return files.filter(F.col("format").isin(*WALKS)).select(F.col("doc_id").cast("long").alias("doc_id"), "format", "content").mapInArrow(run, SEGMENTS)
 
 
-_EXIF = pa.struct([("fields", pa.list_(pa.struct([("tag", pa.int32()), ("value", pa.string())]))), ("gps", pa.list_(pa.int32())), ("thumbnail", pa.bool_()), ("orientation", pa.int32()), ("width", pa.int32()), ("height", pa.int32())])
-EXIF = "struct<fields:array<struct<tag:int,value:string>>,gps:array<int>,thumbnail:boolean,orientation:int,width:int,height:int>"
+_FIELD = pa.struct([("dir", pa.string()), ("tag", pa.int32()), ("value", pa.string())])
+_EXIF = pa.struct([("more", pa.list_(_FIELD)), ("latitude", pa.float64()), ("longitude", pa.float64()), ("fields", pa.list_(pa.struct([("tag", pa.int32()), ("value", pa.string())]))), ("gps", pa.list_(pa.int32())), ("thumbnail", pa.bool_()), ("orientation", pa.int32()), ("width", pa.int32()), ("height", pa.int32())])
+EXIF = "struct<more:array<struct<dir:string,tag:int,value:string>>,latitude:double,longitude:double,fields:array<struct<tag:int,value:string>>,gps:array<int>,thumbnail:boolean,orientation:int,width:int,height:int>"
+
+
+#: Fields that lead to other directories.
+SUBDIRECTORIES = {0x8769: "Exif", 0x8825: "GPS", 0xA005: "Interop"}
+
+
+def degrees(value: str | None, side: str | None, below: str) -> float | None:
+    """Degrees, minutes and seconds as fractions ("41/1, 24/1, 1234/100"), signed by their side; None where they make no number."""
+    try:
+        parts = [int(a) / int(b) for a, b in (x.split("/") for x in (value or "").split(", "))]
+    except (ValueError, ZeroDivisionError):
+        return None
+    found = sum(x / 60**k for k, x in enumerate(parts[:3]))
+    return -found if (side or "").startswith(below) else found
 
 
 def parse_exif(b: bytes | None) -> dict | None:
-    """Fields of the first directory and tags of the GPS directory; None where there is no TIFF header."""
+    """Fields of the first directory and tags of the GPS directory; None where there is no TIFF header.
+
+    ``more`` has the fields of all directories that the first leads to (camera, GPS, interoperability, those of following
+    pictures), each read once even if they lead in a circle; coordinates are degrees, south and west below zero.
+    """
     if b and b.startswith(EXIF_HEADER):
         b = b[6:]
     if not b or len(b) < 8 or b[:4] not in (b"II*\0", b"MM\0*"):
@@ -154,7 +173,18 @@ def parse_exif(b: bytes | None) -> dict | None:
     known = dict(fields)
     number = lambda t: int(known[t]) if (known.get(t) or "").isdigit() else 0
     gps = [t for t, _ in directory(number(0x8825))[0]] if number(0x8825) else []
-    return {"fields": [{"tag": t, "value": v} for t, v in fields], "gps": gps, "thumbnail": 8 <= following < len(b), "orientation": number(0x0112), "width": number(0xA002), "height": number(0xA003)}
+    more, seen = [], {struct.unpack_from(order + "I", b, 4)[0]}
+    ahead = [(name, number(tag)) for tag, name in SUBDIRECTORIES.items() if number(tag)] + ([("IFD1", following)] if following else [])
+    while ahead:
+        name, at = ahead.pop(0)
+        if at in seen:
+            continue
+        seen.add(at)
+        found, then = directory(at)
+        more += [(name, t, v) for t, v in found]
+        ahead += [(SUBDIRECTORIES[t], int(v)) for t, v in found if t in SUBDIRECTORIES and (v or "").isdigit()] + ([(name, then)] if then else [])
+    place = {t: v for name, t, v in more if name == "GPS"}
+    return {"more": [{"dir": d, "tag": t, "value": v} for d, t, v in more], "latitude": degrees(place.get(2), place.get(1), "S"), "longitude": degrees(place.get(4), place.get(3), "W"), "fields": [{"tag": t, "value": v} for t, v in fields], "gps": gps, "thumbnail": 8 <= following < len(b), "orientation": number(0x0112), "width": number(0xA002), "height": number(0xA003)}
 
 
 def exif(payload: Column) -> Column:

@@ -10,11 +10,11 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.sources.shared import sliced
@@ -64,11 +64,13 @@ def inflate(data: bytes, most: int = MOST_PART, wbits: int = -15) -> bytes:
     return out + d.flush()
 
 
-def entries(content: bytes) -> list[tuple[str, bytes, int, int, bool, bool]]:
-    """(name, data, time, date, is_dir, crc_ok) of each entry, in the order of the directory."""
+def entries(content: bytes, wanted: Callable[[str], object] = lambda name: True) -> list[tuple[str, bytes, int, int, bool, bool]]:
+    """(name, data, time, date, is_dir, crc_ok) of each entry that is wanted, in the order of the directory; no other is inflated."""
     out, total = [], 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for i in z.infolist():
+            if not wanted(i.filename):
+                continue
             if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
                 raise ValueError(f"method {i.compress_type} of {i.filename}")
             head = content[i.header_offset : i.header_offset + 30]
@@ -103,6 +105,58 @@ def read_packages(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, PARTS)
 
 
+def list_packages(files: DataFrame) -> DataFrame:
+    """doc_id, ord, name and error: what the directories of packages list.  Nothing is inflated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, BATCH_ROWS):
+            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        names, error = z.namelist(), [None] * len(z.namelist())
+                except (ValueError, zipfile.BadZipFile, OSError, NotImplementedError, UnicodeDecodeError) as x:
+                    names, error = [None], [f"{type(x).__name__}: {x}"]
+                order = [i if name is not None else None for i, name in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(names), pa.int64()), pa.array(order, pa.int32()), pa.array(names, pa.string()), pa.array(error, pa.string())], ["doc_id", "ord", "name", "error"])
+
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, "doc_id long, ord int, name string, error string")
+
+
+class PackageParts:
+    """Table function of SQL: the parts of a package whose names match a pattern, others are never inflated."""
+
+    def eval(self, content: bytes, pattern: str) -> Iterator[tuple]:
+        import re
+
+        try:
+            wanted = re.compile(pattern or "").search
+            for i, (name, data, *_, crc_ok) in enumerate(entries(bytes(content or b""), wanted)):
+                yield i, name, data, crc_ok, None
+        except (ValueError, zipfile.BadZipFile, zlib.error, OSError, NotImplementedError, UnicodeDecodeError, re.error) as x:
+            yield None, None, None, None, f"{type(x).__name__}: {x}"
+
+
+class PackageNodes:
+    """Table function of SQL: the elements of the XML parts of a package whose names match a pattern."""
+
+    def eval(self, content: bytes, pattern: str) -> Iterator[tuple]:
+        for _, name, data, _, error in PackageParts().eval(content, pattern):
+            try:
+                found = parse_nodes(data) if error is None and name.endswith((".xml", ".rels")) else []
+            except (ValueError, expat.ExpatError) as x:
+                found, error = [], f"{type(x).__name__}: {x}"
+            if error is not None:
+                yield name, None, None, None, None, None, error
+            for node, parent, tag, text, attrs in found:
+                yield name, node, parent, tag, text, attrs, None
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``package_parts(content, pattern)`` and ``package_nodes(content, pattern)`` known to SQL, for lateral joins."""
+    spark.udtf.register("package_parts", F.udtf(PackageParts, returnType="ord: int, name: string, data: binary, crc_ok: boolean, error: string"))
+    spark.udtf.register("package_nodes", F.udtf(PackageNodes, returnType="part: string, node: int, parent: int, tag: string, text: string, attrs: map<string,string>, error: string"))
+
+
 _PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 _PART_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
 
