@@ -249,7 +249,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, h
             x = [matrix(b.column("text").to_pylist(), lexicon) for lexicon in lexicons]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("fold"), pa.array(np.concatenate(x, 1).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
-    got = train.select("doc_id", "label", "text", "fold").mapInArrow(featurise, "doc_id long, label int, fold long, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    got = train.select("doc_id", "label", "text", "fold").mapInArrow(featurise, "doc_id long, label int, fold long, x array<double>").toPandas().sort_values("doc_id")
     each = np.array(got["x"].tolist(), float).reshape(-1, folds + 1, len(FEATURES))
     y, fold = got["label"].to_numpy(float), got["fold"].to_numpy()
     unseen = np.zeros(len(y))
