@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.binary import joined
 from lucerna.functions.text import printable
-from lucerna.operators.office import findings_of, rule
+from lucerna.operators.office import findings_in_parts, findings_of, rule
 from lucerna.sources.images import WALKS, exif, tiff_block
 
 # Labels and severities of EXIF fields, labels of GPS fields, headers of segments.
@@ -151,7 +151,7 @@ def image_findings(segments: DataFrame) -> DataFrame:
         rule(c("icc") > 0, "Perfil de color", "Perfil ICC incrustado", F.concat(c("icc").cast("string"), F.lit(" bytes (se conserva)")), "baja"),
         rule(bare, "Metadatos de imagen", F.when(c("format") == "webp", F.lit("Bloques EXIF/XMP")).otherwise(F.lit("Segmentos con metadatos")), F.lit("ninguno"), "baja"),
     ]
-    every = [findings_of(s.filter("role IS NOT NULL"), from_segments), exif_findings(exif_blocks(segments)), findings_of(files, from_files)]
+    every = [findings_in_parts(s.filter("role IS NOT NULL"), from_segments), exif_findings(exif_blocks(segments)), findings_of(files, from_files)]
     return reduce(DataFrame.unionByName, every)
 
 

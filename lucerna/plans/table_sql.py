@@ -76,7 +76,7 @@ ORACLE = {
     "findings_by_group": f"WITH {FINDINGS} SELECT grp, count(*) AS findings, count(*) FILTER (sev = 'personal') AS personal, count(DISTINCT doc_id) AS documents FROM findings GROUP BY grp",
     "personal_share": f"WITH own AS ({OWN}), p AS (SELECT DISTINCT doc_id, 1 AS personal FROM own) SELECT source, count(*) AS documents, count(personal) AS personal, CAST(floor(count(personal) * 10000 / count(*)) AS BIGINT) AS hundredths FROM documents LEFT JOIN p USING (doc_id) GROUP BY source",
     "pending_findings": f"WITH {FINDINGS} SELECT DISTINCT doc_id, grp, label FROM findings WHERE keep",
-    "page_meta_extract": """SELECT page_id, regexp_extract(left(html, 8000), '<title>([^<]*)</title>', 1) AS title, regexp_extract(left(html, 8000), '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(left(html, 8000), '<meta charset="([^"]*)"', 1) AS charset FROM pages""",
+    "page_meta_extract": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages""",
     "page_active_signals": """WITH c AS (SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS scripts, CAST(len(regexp_extract_all(html, '<iframe')) AS BIGINT) AS frames, CAST(len(regexp_extract_all(html, 'href="/')) AS BIGINT) AS links FROM pages),
 s AS (SELECT *, least(100, CASE WHEN scripts > 0 THEN 40 ELSE 0 END + CASE WHEN frames > 0 THEN 15 ELSE 0 END + CASE WHEN links > 0 THEN 5 ELSE 0 END) AS p FROM c)
 SELECT doc_id, scripts, frames, links, CAST(p AS BIGINT) AS puntuacion, CASE WHEN p >= 40 THEN 'alto' WHEN p >= 15 THEN 'medio' ELSE 'bajo' END AS riesgo FROM s""",
