@@ -8,7 +8,6 @@ materialised once, since every group of findings reads them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 from xml.parsers import expat
 
@@ -64,14 +63,6 @@ def rule(condition: Column, grp: str, label: Column | str, value: Column, sev: s
     return Finding(condition, grp, label, value, sev, keep)
 
 
-def findings_in_parts(rows: DataFrame, rules: list[Finding], most: int = 6) -> DataFrame:
-    """:func:`findings_of` for many rules that look for patterns: a pass for each few, so that no pass grows beyond what can be compiled.
-
-    For small tables only: each part reads ``rows`` again.
-    """
-    return reduce(DataFrame.unionByName, (findings_of(rows, rules[k : k + most]) for k in range(0, len(rules), most)))
-
-
 def findings_of(rows: DataFrame, rules: list[Finding]) -> DataFrame:
     """The findings of all rules in one pass over ``rows``: doc_id, grp, label, value, sev, keep.  Empty values are none.
 
