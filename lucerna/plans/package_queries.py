@@ -415,3 +415,91 @@ def exif_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fixtures.camera_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     blocks = files.select("doc_id", exif(F.col("content")).alias("x")).filter("x IS NOT NULL")
     return images.directory_findings(blocks)
+
+
+@query
+def office_extra_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom properties, pivot tables of external sources, and accounts of Excel and PowerPoint files."""
+    parts = shared_table(packages.inspect_packages(fixtures.extra_packages(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "parts")
+    return office.office_findings(parts, packages.nodes_of(parts)).filter("grp NOT IN ('Archivo', 'Paquete ZIP')")
+
+
+@query
+def office_extra_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = shared_table(packages.inspect_packages(fixtures.extra_packages(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "parts")
+    found = office.office_findings(parts, packages.nodes_of(parts)).withColumn("kind", F.lit("office"))
+    return verdict.signals_of_findings(found).select("doc_id", "nivel", "titulo")
+
+
+@query
+def office_settled_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with packages whose changes were accepted, or rejected: nothing; and with those of the other mode: their texts."""
+    parts = shared_table(packages.read_packages(_office(spark, sf_dir)), "parts")
+    done = {mode: shared_table(office.clean_parts(parts, changes=mode).drop("stats", "error"), mode) for mode in ("accept", "reject")}
+    told = lambda mode, other: office.violations(parts, done[other], changes=mode).select("doc_id", "part", "problem", F.lit(f"{other}, checked as {mode}").alias("which"))
+    return told("accept", "accept").unionByName(told("reject", "reject")).unionByName(told("accept", "reject"))
+
+
+@query
+def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour profiles and authors of IPTC blocks."""
+    files = fixtures.profiled_pictures(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("format", F.lit("jpeg"))
+    return images.image_findings(shared_table(images.metadata_only(read_segments(files)), "segments"))
+
+
+@query
+def ole_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of old Office files, found or not."""
+    files = fixtures.ole_files(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("name", F.lit("viejo.doc"))
+    kind = shared_table(files, "ole")
+    found = raw_scan.raw_marks(kind).groupBy("doc_id").agg(F.count_if("present").alias("present"), F.count_if(~F.col("present")).alias("absent"))
+    return found.join(kind.select("doc_id", F.coalesce(sniff.file_kind(F.col("content")), F.lit("none")).alias("kind")), "doc_id")
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = shared_table(fixtures.chained_pdf_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), "chains")
+    objects, trailers = pdf.read(files)
+    return files, shared_table(objects, "objects"), shared_table(trailers, "trailers")
+
+
+@query
+def pdf_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of files whose newest ones stand in compressed streams that only a chain of sections tells."""
+    _, objects, _ = _chains(spark, sf_dir)
+    word = F.when(F.contains("dict", F.lit("/New")), "new").when(F.contains("dict", F.lit("/Old")) | F.contains("dict", F.lit("/Stray")), "old").otherwise("")
+    return objects.select("doc_id", "num", F.coalesce("type", F.lit("")).alias("type"), word.alias("version"))
+
+
+@query
+def pdf_chain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What files with chains tell: the author from an object in a stream, pages and versions."""
+    return pdf.pdf_findings(*_chains(spark, sf_dir)).filter("label NOT IN ('Tipo detectado', 'Comentarios y anotaciones')")
+
+
+@query
+def pdf_chain_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with chains, cleaned: objects left, and whether the new page is, with its annotation, and the old one or an author."""
+    files, objects, trailers = _chains(spark, sf_dir)
+    c = pdf.clean_pdf(files, known=(objects, trailers))
+    t = pdf.latin(F.col("content"))
+    holds = lambda text: F.contains(t, F.lit(text))
+    return c.select("doc_id", F.coalesce("error", F.lit("")).alias("error"), F.col("stats")["objects"].cast("long").alias("objects"), (holds("/New true") & holds("/Subtype /Highlight")).alias("new"), (holds("/Old") | holds("/Stray") | holds("/Author") | holds("/ObjStm")).alias("old"))
+
+
+@query
+def clean_report_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of cleaning every document's picture and PDF file: formats, what was removed, and why a file was refused."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kinds = [fixtures.image_files(d), fixtures.pdf_files(d)]
+    one = lambda k: kinds[k].select((F.col("doc_id") * 2 + k).alias("doc_id"), "content")
+    files = shared_table(one(0).unionByName(one(1)), "media").withColumn("name", F.concat(F.lit("m"), F.col("doc_id").cast("string")))
+    r = products.clean_report(files)
+    return r.select(F.col("doc_id").alias("file_id"), "kind", "format", F.coalesce("output_name", F.lit("")).alias("output_name"), F.coalesce(F.array_join("removed", "; "), F.lit("")).alias("removed"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def pdf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of PDF files: highlights count, links do not."""
+    files = shared_table(fixtures.annotated_pdf_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), "annotated")
+    objects, trailers = pdf.read(files)
+    return pdf.pdf_findings(files, objects, trailers).filter("grp = 'Anotaciones'")

@@ -260,3 +260,27 @@ ORACLE |= {
   UNION ALL SELECT doc_id, 'EXIF · ubicación', 'Coordenadas en grados', printf('%.6f', d90) || ', ' || printf('%.6f', -d180), 'personal', false FROM (
     SELECT doc_id, CAST(doc_id % 90 AS DOUBLE) + CAST(doc_id % 60 AS DOUBLE) / 60 + CAST(doc_id % 6000 AS DOUBLE) / 100 / 3600 AS d90, CAST(doc_id % 180 AS DOUBLE) + CAST(doc_id % 60 AS DOUBLE) / 60 + CAST(doc_id % 6000 AS DOUBLE) / 100 / 3600 AS d180 FROM documents)""",
 }
+
+_EXTRA = "'Excel · datos externos'"
+ORACLE |= {
+    "office_extra_findings": f"""SELECT doc_id, 'Propiedades personalizadas' AS grp, 'Cliente' AS label, source AS value, 'personal' AS sev, false AS keep FROM documents
+  UNION ALL SELECT doc_id, {_EXTRA}, 'Tabla dinámica con origen externo', 'Fuente ' || doc_id, 'media', true FROM documents WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, {_PEOPLE}, source, 'AD ' || doc_id, 'personal', false FROM documents WHERE doc_id % 3 IN (1, 2)""",
+    "office_extra_signals": "SELECT doc_id, 'medio' AS nivel, 'Tabla dinámica con origen externo' AS titulo FROM documents WHERE doc_id % 3 = 1",
+    "office_settled_violations": "SELECT doc_id, 'word/document.xml' AS part, 'text differs' AS problem, 'reject, checked as accept' AS which FROM documents WHERE doc_id % 3 = 0",
+    "profile_findings": """SELECT doc_id, 'Perfil de color' AS grp, 'Perfil ICC incrustado' AS label, (strlen(source) + 14) || ' bytes (se conserva)' AS value, 'baja' AS sev, false AS keep FROM documents
+  UNION ALL SELECT doc_id, 'IPTC (Photoshop)', 'Autor (byline)', source, 'personal', false FROM documents""",
+    "ole_marks": "SELECT doc_id, 2 - doc_id % 2 AS present, 1 + doc_id % 2 AS absent, 'ole' AS kind FROM documents",
+    "pdf_chains": "SELECT doc_id, num, type, version FROM documents, (VALUES (1, 'Catalog', ''), (2, 'Pages', ''), (3, 'Page', 'new'), (4, '', ''), (5, 'ObjStm', ''), (6, 'XRef', ''), (7, '', '')) o(num, type, version)",
+    "pdf_chain_findings": """SELECT doc_id, grp, label, coalesce(value, source) AS value, sev, keep FROM documents, (VALUES
+    ('Estructura', 'Objetos en el archivo', '7', 'baja', false), ('Estructura', 'Páginas', '1', 'baja', false), ('Estructura', 'Versiones anteriores dentro del archivo', '2 actualizaciones incrementales en el mismo archivo', 'personal', true),
+    ('Propiedades del documento', 'Diccionario /Info', 'presente', 'baja', false), ('Propiedades del documento', 'Autor', NULL, 'personal', false)) f(grp, label, value, sev, keep)""",
+    "pdf_chain_clean": "SELECT doc_id, '' AS error, CAST(4 AS BIGINT) AS objects, true AS new, false AS old FROM documents",
+    "clean_report_media": """SELECT 2 * doc_id + k AS file_id, CASE k WHEN 0 THEN 'image' ELSE 'pdf' END AS kind, CASE WHEN k = 1 THEN 'PDF' ELSE ['JPEG', 'PNG', 'WEBP'][doc_id % 3 + 1] END AS format,
+  CASE WHEN k = 1 AND doc_id % 11 = 0 THEN '' ELSE 'm' || (2 * doc_id + k) || ' - sin metadatos' END AS output_name,
+  CASE WHEN k = 0 THEN 'EXIF: 3 campos eliminados (cámara, objetivos, fechas, software, autor); Coordenadas GPS eliminadas (1 campos); ' || CASE WHEN doc_id % 3 <> 1 THEN 'XMP eliminado (autor, derechos, lugar); ' ELSE '' END
+      || CASE WHEN doc_id % 3 = 0 THEN 'Comentario guardado en el archivo, eliminado; ' WHEN doc_id % 3 = 1 THEN '1 chunks de texto del PNG eliminados (autor, descripción, fecha); ' ELSE '' END || 'Orientación 6 conservada para que la foto no salga girada; La imagen NO se recodifica: los píxeles son idénticos al original'
+    WHEN doc_id % 11 = 0 THEN '' ELSE CASE WHEN doc_id % 5 = 0 THEN '1 actualización(es) incremental(es) descartadas; ' ELSE '' END || (CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 3 END) || ' objeto(s) descartados: metadatos, estructura y restos de versiones anteriores; /Info fuera: autor, título, asunto, palabras clave, programas y fechas; Los flujos de contenido se copian sin recomprimir: la imagen no cambia' END AS removed,
+  CASE WHEN k = 1 AND doc_id % 11 = 0 THEN 'encrypted' ELSE '' END AS error FROM documents, range(2) r(k)""",
+}
+ORACLE["pdf_annotations"] = "SELECT doc_id, 'Anotaciones' AS grp, 'Comentarios y anotaciones' AS label, CAST(doc_id % 4 AS VARCHAR) AS value, 'media' AS sev, true AS keep FROM documents WHERE doc_id % 4 > 0"

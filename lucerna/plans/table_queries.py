@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import config, money, names, sniff, text
 from lucerna.operators import relations, secrets, summaries, verdict
+from lucerna.sources.shared import shared_dir
 from lucerna.streaming import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,3 +331,28 @@ def kinds_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     ext = F.element_at(F.array(*map(F.lit, ("docx", "PDF", "jpeg", "xls", "bin"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.select("p_partkey", F.coalesce(sniff.kind_by_name(F.concat(F.lit("a.b."), ext)), F.lit("none")).alias("kind"))
+
+
+@query
+def config_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks without repeats, prices of the products that are served, decimals and ledger paths, from lists made of customers."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    listed = F.concat(F.lit("eip155:"), (k % 3).cast("string"), F.lit(" , eip155:"), (k % 2).cast("string"), F.lit(",,eip155:"), (k % 3).cast("string"))
+    active = config.products(F.when(k % 2 == 0, "secrets,scan").when(k % 3 == 0, "clean").otherwise(""))
+    told = config.prices(active, {p: F.concat(F.lit("$"), (k % 10 + n).cast("string")) for n, p in enumerate(config.PRODUCTS)})
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(told)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    digits = F.when(k % 4 == 0, "").otherwise((k % 25).cast("string"))
+    path = F.when(k % 3 == 0, " off ").when(k % 3 == 1, "").otherwise(F.concat(F.lit("/l/"), k.cast("string")))
+    return c.select("c_custkey", F.array_join(config.networks(listed), " ").alias("networks"), shown.alias("prices"), F.coalesce(config.decimals(digits), F.lit(-1)).alias("decimals"), F.coalesce(config.ledger_path(path), F.lit("")).alias("ledger"))
+
+
+@query
+def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger lines appended to a folder in two parts, after a check that it can be written, and read again."""
+    lines = ledger.from_events(table(spark, sf_dir, "events"))
+    path = f"{shared_dir(spark)}/lucerna/ledger-{uuid.uuid4().hex}"
+    ledger.check_writable(spark, path)
+    for settled in (True, False):
+        ledger.append(lines.filter((F.col("resultado") == ledger.SETTLED) == settled), path)
+    return ledger.totals(ledger.read_lines(spark, path))

@@ -112,3 +112,9 @@ SELECT c_custkey, CASE WHEN NOT s AND NOT c AND NOT o THEN '/v1/clean /v1/scan /
 ORACLE["kinds_by_name"] = "SELECT p_partkey, ['office', 'pdf', 'image', 'ole', 'none'][p_partkey % 5 + 1] AS kind FROM part"
 _SAFE = ORACLE["safe_names"]
 ORACLE["output_names"] = f"WITH s AS ({_SAFE}), m AS (SELECT page_id, name || '.html' AS name FROM s) SELECT page_id, regexp_replace(name, '\\.[^.]+$', '') || '{SUFFIX}' || regexp_extract(name, '\\.[^.]*$') AS output_name FROM m"
+
+ORACLE["config_lists"] = """SELECT c_custkey, 'eip155:' || c_custkey % 3 || CASE WHEN c_custkey % 2 <> c_custkey % 3 THEN ' eip155:' || c_custkey % 2 ELSE '' END AS networks,
+  CASE WHEN c_custkey % 2 = 0 THEN 'precioScan=$' || (c_custkey % 10 + 1) || ' precioSecrets=$' || (c_custkey % 10 + 2) WHEN c_custkey % 3 = 0 THEN 'precio=$' || c_custkey % 10
+    ELSE 'precio=$' || c_custkey % 10 || ' precioScan=$' || (c_custkey % 10 + 1) || ' precioSecrets=$' || (c_custkey % 10 + 2) END AS prices,
+  CAST(CASE WHEN c_custkey % 4 = 0 THEN 6 WHEN c_custkey % 25 <= 18 THEN c_custkey % 25 ELSE -1 END AS INTEGER) AS decimals, CASE WHEN c_custkey % 3 = 2 THEN '/l/' || c_custkey ELSE '' END AS ledger FROM customer"""
+ORACLE["ledger_round_trip"] = ORACLE["ledger_totals"]

@@ -6,6 +6,9 @@ in it can be told from the table alone.
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,3 +186,77 @@ def camera_files(documents: DataFrame) -> DataFrame:
         three(90), three(180), serial,
     )
     return documents.select("doc_id", block.alias("content"))
+
+
+def extra_packages(documents: DataFrame) -> DataFrame:
+    """doc_id and content of packages with custom properties (all), a pivot table of an external source (Excel) and linked accounts of Excel and PowerPoint."""
+    i, source = F.col("doc_id"), xml_text(F.col("source"))
+    number = i.cast("string")
+    custom = _xml('<Properties xmlns="', NAMESPACES["op"], '" xmlns:vt="urn:vt"><property fmtid="x" pid="2" name="Cliente"><vt:lpwstr>', source, "</vt:lpwstr></property></Properties>")
+    pivot = _xml('<pivotCacheDefinition xmlns="', NAMESPACES["ss"], '"><cacheSource type="external"><worksheetSource name="Fuente ', number, '"/></cacheSource></pivotCacheDefinition>')
+    persons = _xml('<personList xmlns="urn:persons"><person displayName="', source, '" id="{1}" userId="', number, '" providerId="AD"/></personList>')
+    kinds: list[tuple[Column, str, Column]] = [
+        (i % 3 == 0, "word/document.xml", _xml("<w:document ", _ns("w"), "/>")), (i % 3 == 1, "xl/workbook.xml", _xml('<workbook xmlns="', NAMESPACES["ss"], '"/>')), (i % 3 == 1, "xl/pivotCache/pivotCacheDefinition1.xml", pivot),
+        (i % 3 == 1, "xl/persons/person.xml", persons), (i % 3 == 2, "ppt/presentation.xml", _xml("<p:presentation ", _ns("p"), "/>")), (i % 3 == 2, "ppt/persons/person.xml", persons), (i >= 0, "docProps/custom.xml", custom),
+    ]
+    listed = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), d.alias("data"))) for c, n, d in kinds)))
+    return write_packages(documents.select("doc_id", F.posexplode(listed).alias("ord", "x")).select("doc_id", "ord", "x.name", "x.data"))
+
+
+def profiled_pictures(documents: DataFrame) -> DataFrame:
+    """doc_id and content of a JPEG with a colour profile and an IPTC block that names its author."""
+    segment = lambda mark, body: F.concat(_hex("FF" + mark), _number(F.octet_length(body) + 2, 4), body)
+    source = F.col("source").cast("binary")
+    profile = F.concat(F.lit(b"ICC_PROFILE\0\1\1"), source)
+    iptc = F.concat(F.lit(b"Photoshop 3.0\x008BIM\x04\x04\0\0\0\0"), _hex("1C0250"), _number(F.octet_length(source), 4), source)
+    return documents.select("doc_id", F.concat(_hex("FFD8"), segment("E2", profile), segment("ED", iptc), _hex("FFDA0002"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), _hex("FFD9")).alias("content"))
+
+
+def ole_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content with the mark of an old Office file and, for even ids, the name of its summary stream."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.lit("\x05SummaryInformation".encode("utf-16-le"))).otherwise(F.lit(b""))
+    return documents.select("doc_id", F.concat(_hex("D0CF11E0A1B11AE1"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), name).alias("content"))
+
+
+def _chained(text: bytes, author: bytes) -> bytes:
+    """An old page and its newer version in a compressed object stream, found through a predicted cross-reference stream and an earlier table; a stray catalogue follows."""
+    out, at = bytearray(b"%PDF-1.5\n"), {}
+
+    def put(num: int, body: bytes) -> None:
+        at[num] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (num, body))
+
+    put(1, b"<< /Type /Catalog /Pages 2 0 R >>")
+    put(2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>")
+    put(3, b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Old true >>")
+    put(4, b"<< /Length %d >>\nstream\n%s\nendstream" % (len(text), text))
+    table = len(out)
+    rows = b"".join(b"%010d 00000 n \n" % at[n] for n in (1, 2, 3, 4))
+    out += b"xref\n0 5\n0000000000 65535 f \n" + rows + b"trailer\n<< /Size 5 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % table
+    page, info = b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /New true /Annots [<< /Subtype /Highlight >>] >>", b"<< /Author (%s) >>" % author
+    head = b"3 0 7 %d " % (len(page) + 1)
+    packed = zlib.compress(head + page + b" " + info)
+    put(5, b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(head), len(packed), packed))
+    entries = [bytes([k]) + a.to_bytes(4, "big") + bytes([g]) for k, a, g in ((2, 5, 0), (1, at[5], 0), (1, len(out), 0), (2, 5, 1))]
+    lines = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(e, entries[k - 1] if k else bytes(6), strict=True)) for k, e in enumerate(entries))
+    stream, begin = zlib.compress(lines), len(out)
+    put(6, b"<< /Type /XRef /Size 8 /Index [3 1 5 3] /W [1 4 1] /Root 1 0 R /Info 7 0 R /Prev %d /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 6 >> /Length %d >>\nstream\n%s\nendstream" % (table, len(stream), stream))
+    return bytes(out) + b"1 0 obj\n<< /Type /Catalog /Stray true >>\nendobj\nstartxref\n%d\n%%%%EOF\n" % begin
+
+
+def chained_pdf_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of PDF files whose newest objects only a chain of cross-reference sections tells."""
+
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        return pa.array([_chained((t or "").encode(), (s or "").encode()) for t, s in zip(texts.to_pylist(), sources.to_pylist(), strict=True)], pa.binary())
+
+    return documents.select("doc_id", made("text", "source").alias("content"))
+
+
+def annotated_pdf_files(documents: DataFrame) -> DataFrame:
+    """doc_id and content of PDF files whose page has as many highlights as its id tells, and a link, which is no comment."""
+    marks = F.concat(F.lit("<< /Subtype /Link >>"), F.repeat(F.lit(" << /Type /Annot /Subtype /Highlight >>"), (F.col("doc_id") % 4).cast("int")))
+    objects = [F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Annots ["), marks, F.lit("] >>"))]
+    numbered = [F.concat(F.lit(f"{n + 1} 0 obj\n"), o, F.lit("\nendobj\n")) for n, o in enumerate(objects)]
+    return documents.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *numbered, F.lit("trailer\n<< /Size 4 /Root 1 0 R >>\nstartxref\n0\n%%EOF\n")).cast("binary").alias("content"))
