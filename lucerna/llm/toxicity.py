@@ -32,8 +32,8 @@ SECOND_PERSON = frozenset("you your yours yourself ya u tu te toi ton ta tes vou
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 #: A word form enters the learned lexicon when its likelihood ratio is at least this, and most of its documents are toxic.
 LEAST_RATIO = 20.0
-#: Words whose forms a worker keeps looked up; a full table starts anew.
-KNOWN_WORDS = 300_000
+#: Words whose forms a worker keeps looked up, over all lexicons of a task; a full table starts anew.
+KNOWN_WORDS = 200_000
 #: Longer words are looked up each time.
 LONGEST = 64
 BEGINNINGS = (4, 5, 6)
@@ -93,8 +93,8 @@ _PLAIN, _SHOUTED = (Known("x", False, 0.0, False, False, shouted, False) for sho
 class Lexicon:
     """Strengths of word forms.  What a word says is looked up once for each worker."""
 
-    def __init__(self, forms: dict[str, float]):
-        self.forms = forms
+    def __init__(self, forms: dict[str, float], most: int = KNOWN_WORDS):
+        self.forms, self.most = forms, most
         #: How every word begins that a list or a form has.
         self.heads = {x.removeprefix("^")[: BEGINNINGS[0]] for x in (*forms, *SEED_WORDS, *SECOND_PERSON)}
         self.known: dict[str, Known] = {}
@@ -106,7 +106,7 @@ class Lexicon:
         return word in SEED_WORDS or bool(self.forms.get(word))
 
     def learn(self, word: str) -> Known:
-        if len(self.known) >= KNOWN_WORDS:
+        if len(self.known) >= self.most:
             self.known.clear()
         w = token(word)
         if w.isalpha() and w[: BEGINNINGS[0]] not in self.heads:
@@ -225,7 +225,7 @@ def learn_lexicons(train: DataFrame, folds: int) -> list[Lexicon]:
         ratio = 2 * (pos * F.log(share / p0) + F.when(neg > 0, neg * F.log((1 - share) / (1 - p0))).otherwise(0.0)) if toxic and clean else F.lit(None).cast("double")
         passes.append(F.coalesce(F.when(pos > 0, (share >= max(0.5, p0)) & (ratio >= LEAST_RATIO)), F.lit(False)).alias(f"in{k}"))
     strong = counted.select("*", *passes).filter(" OR ".join(f"in{k}" for k in range(folds + 1))).orderBy("form").collect()
-    return [Lexicon({r["form"]: float(np.log((r[f"pos{k}"] + 0.5) / (r[f"neg{k}"] + 0.5))) for r in strong if r[f"in{k}"]}) for k in range(folds + 1)]
+    return [Lexicon({r["form"]: float(np.log((r[f"pos{k}"] + 0.5) / (r[f"neg{k}"] + 0.5))) for r in strong if r[f"in{k}"]}, KNOWN_WORDS // (folds + 1)) for k in range(folds + 1)]
 
 
 def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
@@ -256,7 +256,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, h
     for k in range(folds):
         x = each[:, k]
         unseen[fold == k] = fit(x[fold != k], y[fold != k], trees=40).probability(x[fold == k])
-    return ToxicityModel(lexicons[-1], fit(each[:, folds], y, trees=40), isotonic(unseen, y))
+    return ToxicityModel(Lexicon(lexicons[-1].forms), fit(each[:, folds], y, trees=40), isotonic(unseen, y))
 
 
 def toxicity_score(model: ToxicityModel) -> Callable[[Column], Column]:
