@@ -300,7 +300,7 @@ def test_duplicate_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
