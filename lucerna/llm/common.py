@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lucerna.sources import shared
 from lucerna.sources.shared import drop_shared, shared_dir
 
-__all__ = ["drop_shared", "id_remainder", "numbers", "shared_dir", "slices", "table", "write_shared"]
+__all__ = ["drop_shared", "id_remainder", "lasting", "numbers", "shared_dir", "slices", "table", "tidy", "write_shared"]
 
 #: Rows of an Arrow batch that become Python objects at once. Documents reach megabytes.
 BATCH_ROWS = 500
@@ -36,6 +37,43 @@ def numbers(score: Callable[[list[str | None]], np.ndarray], texts: pa.Array) ->
     return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
 
+#: What operators keep in a worker from one task to the next, and how it is emptied.
+_kept: dict[str, Callable[[], None]] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def lasting(owner: str, empty: Callable[[], None]) -> None:
+    """Tell that ``owner`` keeps something in this worker; tasks of others empty it."""
+    _kept[owner] = empty
+
+
+def _leave_to(owner: str) -> None:
+    """Spark uses workers again, so what the operators of earlier stages keep in this one goes first."""
+    for other in [x for x in _kept if x != owner]:
+        _kept.pop(other)()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Memory that nothing holds any more goes back to the machine, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches in a worker that lives on: at most one operator's caches, and no spare memory, stay in it."""
+
+    def task(batches: Iterator) -> Iterator:
+        _leave_to(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split that separates learning from held-out rows."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import drop_shared, slices, write_shared
+from lucerna.llm.common import drop_shared, slices, tidy, write_shared
 from lucerna.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -309,7 +309,7 @@ def ngram_components(documents: DataFrame, words: int = SHINGLE_WORDS, percent:
     """
     spark = documents.sparkSession
     texts = one_text_per_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    sketches, sketch_path = write_shared(texts.mapInArrow(lambda batches: _sketch(batches, words, percent), "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
+    sketches, sketch_path = write_shared(texts.mapInArrow(tidy(lambda batches: _sketch(batches, words, percent)), "doc_id long, n long, key binary, tokens array<long>, small int, large int"), "sketches")
     ids, _ = write_shared(sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), "ids")
     classes = ids.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes, class_path = write_shared(classes, "classes")

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import slices, write_shared
-from lucerna.llm.tokenize import public_path, tokenizer
+from lucerna.llm.common import slices, tidy, write_shared
+from lucerna.llm.tokenize import OWNER, public_path, tokenizer
 
 CAPACITY = 2048
 #: Pieces of one length are numbered in cells of about so many.
@@ -126,7 +126,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run, OWNER), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import id_remainder, numbers, slices
+from lucerna.llm.common import id_remainder, numbers, slices, tidy
 from lucerna.llm.gbdt import Forest, fit
 
 #: At most so many labelled rows, chosen by a hash of their id, are gathered to fit the trees.
@@ -108,7 +108,7 @@ def training_rows(documents: DataFrame, sample: DataFrame) -> DataFrame:
 def fit_quality(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held_out: int = 1, rows: int = TRAINING_ROWS) -> Forest:
     """Fit on at most ``rows`` labelled documents outside the held-out remainder."""
     train = training_rows(documents, labelled_sample(labels, "quality", modulus, held_out, rows))
-    got = train.mapInArrow(_featurise, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
+    got = train.mapInArrow(tidy(_featurise), "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = got["label"].to_numpy(float)
     return fit(x, y) if len(x) else Forest(np.zeros((1, 1), np.int32), np.full((1, 1), np.inf), np.zeros((1, 2)), 0.0, 1)
@@ -118,8 +118,8 @@ def quality_score(forest: Forest) -> Callable[[Column], Column]:
     """A column function from a text to its score; other columns of a row stay in the JVM."""
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return numbers(lambda part: forest.probability(_matrix(part)), texts)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda batches: (numbers(lambda part: forest.probability(_matrix(part)), x) for x in batches))(texts)
 
     return lambda text: score(text.cast("string"))
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import slices, write_shared
-from lucerna.llm.tokenize import public_path, tokenizer
+from lucerna.llm.common import slices, tidy, write_shared
+from lucerna.llm.tokenize import OWNER, public_path, tokenizer
 
 #: The histogram is summed in ranges of so many lengths, so that no task holds all lengths.
 RANGE = 4096
@@ -34,7 +34,7 @@ def token_lengths(documents: DataFrame, path: str | None = None, *, added_tokens
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "n_tokens"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long")
+    return rows.mapInArrow(tidy(run, OWNER), "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lucerna.llm.common import lasting
+
 #: Chunks and words kept by each worker, and characters of each; a full cache starts anew.  Longer ones are not kept.
 CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS, LONGEST = 900_000, 500_000, 16 << 20, 64
 #: Characters up to here are split by the pattern below (Latin letters); other texts go whole.
@@ -157,13 +159,16 @@ class WordTokenizer:
         return ids, bounds
 
 
+#: Whose tasks share a worker's tokenizers.
+OWNER = "tokens"
 _loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
 def tokenizer(path: str, added: bool = False) -> WordTokenizer:
-    """One per worker process, path and treatment of added tokens."""
+    """One per worker process, path and treatment of added tokens, until another operator's task runs there."""
     if (path, added) not in _loaded:
         _loaded[path, added] = WordTokenizer(path, added)
+        lasting(OWNER, _loaded.clear)
     return _loaded[path, added]
 
 

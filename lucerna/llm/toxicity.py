@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import id_remainder, numbers, slices
+from lucerna.llm.common import id_remainder, numbers, slices, tidy
 from lucerna.llm.gbdt import Forest, Isotonic, fit, isotonic
 from lucerna.llm.quality import TRAINING_ROWS, labelled_sample, training_rows
 
@@ -214,7 +214,7 @@ def learn_lexicons(train: DataFrame, folds: int) -> list[Lexicon]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["form", "fold", "pos", "neg"])
 
     sizes = {(r["fold"], r["label"]): r["n"] for r in train.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
-    counted = train.select("text", "label", "fold").mapInArrow(count, "form string, fold long, pos long, neg long").groupBy("form").agg(
+    counted = train.select("text", "label", "fold").mapInArrow(tidy(count), "form string, fold long, pos long, neg long").groupBy("form").agg(
         *(F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c in ("pos", "neg")), *(F.sum(c).alias(f"{c}{folds}") for c in ("pos", "neg"))
     )
     passes = []
@@ -249,7 +249,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 4, h
             x = [matrix(b.column("text").to_pylist(), lexicon) for lexicon in lexicons]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("fold"), pa.array(np.concatenate(x, 1).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
-    got = train.select("doc_id", "label", "text", "fold").mapInArrow(featurise, "doc_id long, label int, fold long, x array<double>").toPandas().sort_values("doc_id")
+    got = train.select("doc_id", "label", "text", "fold").mapInArrow(tidy(featurise), "doc_id long, label int, fold long, x array<double>").toPandas().sort_values("doc_id")
     each = np.array(got["x"].tolist(), float).reshape(-1, folds + 1, len(FEATURES))
     y, fold = got["label"].to_numpy(float), got["fold"].to_numpy()
     unseen = np.zeros(len(y))
@@ -263,8 +263,8 @@ def toxicity_score(model: ToxicityModel) -> Callable[[Column], Column]:
     """A column function from a text to its calibrated score; other columns of a row stay in the JVM."""
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return numbers(model.score, texts)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda batches: (numbers(model.score, x) for x in batches))(texts)
 
     return lambda text: score(text.cast("string"))
 
