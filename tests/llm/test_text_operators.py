@@ -466,3 +466,37 @@ def test_random_pages_without_an_article():
         wrap = rng.choice(["<body>{}</body>", "<main>{}</main>", '<div class="page-wrapper"><div id="content">{}</div></div>'])
         page = f'<header>site</header>{wrap.format("".join(out))}<footer>f</footer>'
         assert html_extract.main_text(page) == "\n\n".join(blocks), page
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    from lucerna.llm import common, tokenize
+
+    def run(batches):
+        for x in batches:
+            yield x, len(tokenize._loaded)
+
+    tok = tokenize.tokenizer(tokenize.public_path("word_bpe_49k.json"))
+    assert list(common.tidy(run, tokenize.OWNER)(iter([1, 2]))) == [(1, 1), (2, 1)]
+    assert tokenize.tokenizer(tokenize.public_path("word_bpe_49k.json")) is tok  # kept between tasks of one operator
+    assert list(common.tidy(run)(iter([1]))) == [(1, 0)]  # another operator's task empties it
+    assert tokenize.tokenizer(tokenize.public_path("word_bpe_49k.json")) is not tok
+    assert list(common.tidy(run)(iter([]))) == []
+
+
+def test_a_task_that_fails_or_stops_early_still_gives_memory_back(monkeypatch):
+    from lucerna.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+
+    def fails(batches):
+        yield next(batches)
+        raise ValueError("bad batch")
+
+    with pytest.raises(ValueError, match="bad batch"):
+        list(common.tidy(fails)(iter([1])))
+    assert len(given) == 2  # before it began and when it ended
+    half = common.tidy(iter)(iter([1, 2]))
+    assert next(half) == 1
+    half.close()
+    assert len(given) == 4
