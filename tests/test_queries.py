@@ -43,3 +43,12 @@ def test_page_meta_reads_whole_pages(spark, tmp_path):
     spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = registry.QUERIES["page_meta_extract"](spark, str(tmp_path)).first()
     assert (got["title"], got["lang"], got["charset"]) == ("Late", "fr", "utf-8")
+
+
+def test_base64_of_a_text_near_the_limit_is_not_lengthened_by_line_breaks(spark, tmp_path):
+    """16,500 bytes are at the limit; the line breaks of their base64 are not counted."""
+    spark.createDataFrame([(1, "x" * 16_500), (2, "x" * 16_501)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["base64_round_trip"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(registry.ORACLE["base64_round_trip"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r["doc_id"]: r["fits"] for r in got} == {1: True, 2: False}
