@@ -19,7 +19,7 @@ from lucerna.functions import names
 from lucerna.operators import office_parts
 from lucerna.operators.office_parts import COMMENTS, EMPTY_CORE, MINIMAL_APP, PERSONS, REVISION_PARTS
 from lucerna.operators.summaries import first_few
-from lucerna.sources.packages import BATCH_ROWS, part_nodes
+from lucerna.sources.packages import BATCH_ROWS, NODE, NODES
 from lucerna.sources.shared import sliced
 
 # Part names and patterns, field labels and severities, revision tags.
@@ -314,12 +314,12 @@ def told_text(data: Column, mode: str | None) -> Column:
     return told(data)
 
 
-def residue(nodes: DataFrame, options: dict[str, object]) -> DataFrame:
-    """doc_id, part, problem: names, dates, accounts and technical ids that are left, by namespace and local name.
+def residue(part: Column, tag: Column, attrs: Column, text: Column, options: dict[str, object]) -> Column:
+    """Names, dates, accounts and technical ids that an element keeps, as problems, by namespace and local name.
 
-    ``nodes`` has one row for each element, from another reader than the cleaner's.
+    The element comes from another reader than the cleaner's.
     """
-    part, tag, keys, attrs = F.col("part"), F.col("tag"), F.map_keys("attrs"), F.col("attrs")
+    keys = F.map_keys(attrs)
     local = lambda k: F.regexp_extract(k, "([^:]*)$", 1)
     filled = lambda name: F.coalesce(attrs[name], F.lit("")) != ""
     some = lambda test: F.exists(keys, test)
@@ -328,7 +328,7 @@ def residue(nodes: DataFrame, options: dict[str, object]) -> DataFrame:
         "author": revised & filled("w:author"),
         "date": revised & attrs["w:date"].isNotNull(),
         "initials": commented & filled("w:initials"),
-        "comment author": commented & ((tag == "p:cmAuthor") & (filled("name") | filled("initials")) | (tag == "ss:author") & (F.trim("text") != "")),
+        "comment author": commented & ((tag == "p:cmAuthor") & (filled("name") | filled("initials")) | (tag == "ss:author") & (F.trim(text) != "")),
         "comment date": commented & ((tag == "tc:threadedComment") & attrs["dT"].isNotNull() | (tag == "p:cm") & attrs["dt"].isNotNull()),
         "account": part.rlike(PERSONS) & some(lambda k: F.lower(local(k)).isin(*office_parts.ACCOUNT) & (F.element_at(attrs, k) != "")),
         "rsid": some(lambda k: F.lower(local(k)).startswith("rsid")) | tag.isin(*office_parts.SESSIONS),
@@ -341,8 +341,32 @@ def residue(nodes: DataFrame, options: dict[str, object]) -> DataFrame:
         checks["change"] = revised & tag.isin(*marks)
     if options["comments"] == "delete":
         checks["comment reference"] = revised & tag.isin(*office_parts.REFERENCES)
-    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(f"residue: {k}")) for k, c in checks.items())))
-    return nodes.select("doc_id", "part", F.explode(found).alias("problem")).distinct()
+    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(f"residue: {k}")) for k, c in checks.items())))
+
+
+def checked_parts(parts: DataFrame, mode: str | None) -> DataFrame:
+    """doc_id, name, listed, sha, unread and nodes of (doc_id, name, data, listed): one independent reading of each part.
+
+    ``sha`` is the digest of the text, none where a text is not compared; texts themselves stay in the worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, BATCH_ROWS):
+            told = [office_parts.checked(x, d, mode) for x, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array([t[k] for t in told], x) for k, x in enumerate((pa.string(), pa.bool_(), NODES)))], ["doc_id", "name", "listed", "sha", "unread", "nodes"])
+
+    rows = parts.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "data", "listed")
+    return rows.mapInArrow(run, f"doc_id long, name string, listed array<string>, sha string, unread boolean, nodes array<{NODE}>")
+
+
+def text_digest(name: Column, data: Column, mode: str | None) -> Column:
+    """The digest of a part's text as :func:`checked_parts` compares it."""
+
+    @F.arrow_udf("string")
+    def digest(listed: pa.Array, parts: pa.Array) -> pa.Array:
+        return pa.array([office_parts.text_digest(x, parts[i].as_py(), mode) for i, x in enumerate(listed.to_pylist())], pa.string())
+
+    return digest(name, data)
 
 
 def violations(before: DataFrame, after: DataFrame, **options: object) -> DataFrame:
@@ -353,36 +377,41 @@ def violations(before: DataFrame, after: DataFrame, **options: object) -> DataFr
     at missing parts; emptied properties; and, where ``after`` has time and date, the entries' stamps.
     """
     o = checked(options)
-    c, name = F.col, F.col("name")
+    c, name, text = F.col, F.col("name"), F.col("data").cast("string")
     mode = None if o["changes"] == "keep" else str(o["changes"])
-    xml = name.endswith(".xml") | name.endswith(".rels")
-    settled, own = name.rlike(REVISION_PARTS), name.startswith("docProps/") | name.rlike(COMMENTS) & ~name.rlike(REVISION_PARTS)
-    digest = lambda text: F.when(xml & ~own, F.sha2(text.cast("binary"), 256))
-    expected = told_text(c("data"), None) if mode is None else F.when(settled, told_text(c("data"), mode)).otherwise(told_text(c("data"), None))
+    own = [F.when((name == "docProps/core.xml") & (text != EMPTY_CORE), "core properties are left").when((name == "docProps/app.xml") & (text != MINIMAL_APP), "application properties are left")]
+    if {"time", "date"} <= set(after.columns):
+        own.append(F.when((c("time") != 0) | (c("date") != 0x21), "entry has a stamp"))
     # A cleaned part has no changes left, so what is seen in it does not depend on how they would be settled.
-    obtained = told_text(c("data"), None) if mode is None else F.when(settled, told_text(c("data"), "accept")).otherwise(told_text(c("data"), None))
-    a = before.filter(name.isNotNull()).select("doc_id", "name", digest(expected).alias("ta"), F.lit(True).alias("in_a"))
-    b = after.select("doc_id", "name", digest(obtained).alias("tb"), F.lit(True).alias("in_b"), (xml & told_text(c("data"), None).isNull()).alias("unread"))
-    both = a.join(b, ["doc_id", "name"], "full_outer")
+    read = checked_parts(after.withColumn("listed", F.array_compact(F.array(*own))), mode and "accept")
+    # One row for a part and its first element, and one for each other element.
+    rows = read.select("doc_id", "name", "listed", "sha", "unread", F.posexplode_outer("nodes").alias("at", "n")).withColumn("first", F.coalesce("at", F.lit(0)) == 0)
+    tag, attrs, none = c("n.tag"), c("n.attrs"), F.lit(None).cast("string")
+    ref = (
+        F.when(tag == "ct:Override", names.resolve_path(F.lit(""), attrs["PartName"]))
+        .when((tag == "rel:Relationship") & ~attrs["TargetMode"].eqNullSafe("External"), names.resolve_path(names.relations_owner(name), attrs["Target"]))
+    )
+    left = F.concat(F.when(c("first"), c("listed")).otherwise(F.array().cast("array<string>")), F.coalesce(residue(name, tag, attrs, c("n.text"), o), F.array().cast("array<string>")))
+    rows = rows.select("doc_id", "name", "sha", "unread", "first", ref.alias("ref"), left.alias("left"))
+    empty = F.array().cast("array<string>")
+    part = F.when(c("first") | (F.size("left") > 0), F.struct(name.alias("name"), F.when(c("first"), F.coalesce("sha", F.lit(""))).alias("sha"), F.lit(True).alias("in_b"), c("unread").alias("unread"), c("left").alias("left"), none.alias("by")))
+    led = F.when(c("ref").isNotNull(), F.struct(c("ref").alias("name"), none.alias("sha"), F.lit(False).alias("in_b"), F.lit(False).alias("unread"), empty.alias("left"), name.alias("by")))
+    told = rows.select("doc_id", F.explode(F.array_compact(F.array(part, led))).alias("x")).select("doc_id", F.lit(False).alias("in_a"), "x.*")
+    was = before.filter(name.isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("in_a"), "name", F.coalesce(text_digest(name, c("data"), mode), F.lit("")).alias("sha"), F.lit(False).alias("in_b"), F.lit(False).alias("unread"), empty.alias("left"), none.alias("by")
+    )
+    # Parts of both sides and what points at them meet under the part's name, in one shuffle.
+    both = was.unionByName(told).groupBy("doc_id", "name").agg(
+        F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"), F.bool_or("unread").alias("unread"), F.size(F.collect_set("sha")).alias("texts"),
+        F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"), F.collect_set("by").alias("by"),
+    )
     problem = (
-        F.when(c("in_b").isNull() & ~dropped(name, o), "part is missing")
-        .when(c("in_a").isNull(), "part is new")
+        F.when(c("in_a") & ~c("in_b") & ~dropped(name, o), "part is missing")
+        .when(~c("in_a") & c("in_b"), "part is new")
         .when(c("unread"), "part cannot be read")
-        .when(c("in_b").isNotNull() & ~c("ta").eqNullSafe(c("tb")), "text differs")
+        .when(c("in_a") & c("in_b") & (c("texts") > 1), "text differs")
     )
-    parts = both.select("doc_id", name.alias("part"), problem.alias("problem")).filter(c("problem").isNotNull())
-    nodes = part_nodes(after)
-    left = residue(nodes, o)
-    have = after.select("doc_id", name.alias("ref")).distinct()
-    plain = lambda base, ref: names.resolve_path(base, ref)
-    typed = nodes.filter(c("tag") == "ct:Override").select("doc_id", "part", plain(F.lit(""), c("attrs")["PartName"]).alias("ref"))
-    relation = nodes.filter((c("tag") == "rel:Relationship") & ~c("attrs")["TargetMode"].eqNullSafe("External")).select("doc_id", "part", plain(names.relations_owner(c("part")), c("attrs")["Target"]).alias("ref"))
-    dead = typed.unionByName(relation).join(have, ["doc_id", "ref"], "left_anti").select("doc_id", "part", F.concat(F.lit("points at missing "), c("ref")).alias("problem"))
-    text = c("data").cast("string")
-    whole = F.when((name == "docProps/core.xml") & (text != EMPTY_CORE), "core properties are left").when((name == "docProps/app.xml") & (text != MINIMAL_APP), "application properties are left")
-    checks = [whole]
-    if {"time", "date"} <= set(after.columns):
-        checks.append(F.when((c("time") != 0) | (c("date") != 0x21), "entry has a stamp"))
-    listed = F.array_compact(F.array(*checks))
-    properties = after.select("doc_id", name.alias("part"), F.explode(listed).alias("problem"))
-    return parts.unionByName(left).unionByName(dead).unionByName(properties)
+    found = lambda part, text: F.struct(part.alias("part"), text.alias("problem"))
+    dead = F.when(~c("in_b"), F.transform("by", lambda x: found(x, F.concat(F.lit("points at missing "), name))))
+    every = F.concat(F.array(found(name, problem)), F.transform("left", lambda x: found(name, x)), F.coalesce(dead, F.array().cast("array<struct<part:string,problem:string>>")))
+    return both.select("doc_id", F.explode(every).alias("p")).select("doc_id", "p.part", "p.problem").filter("problem IS NOT NULL")
