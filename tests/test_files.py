@@ -378,3 +378,16 @@ def test_summaries_of_odd_files(spark):
     assert got[0] == "Detectamos un archivo de Word con propiedades personalizadas." and got[1] is None and got[2] is None
     assert got[3].startswith("Detectamos una imagen TIFF, pero") and got[4].startswith("Detectamos una imagen HEIC, pero")
     assert got[5] == "PDF sin metadatos personales detectados." and got[6] == overview.ENCRYPTED
+
+
+def test_verification_reads_each_side_once(spark):
+    """Two parts of one name with other texts, a missing target named twice, and an unread part are told, each once; the plan shuffles once."""
+    from lucerna.operators import office
+
+    rels = b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="word/gone.xml"/><Relationship Id="b" Target="word/gone.xml"/></Relationships>'
+    before = spark.createDataFrame([(1, 0, "word/a.xml", b"<a>x</a>"), (1, 1, "word/b.xml", b"<b/>"), (1, 2, "_rels/.rels", rels)], "doc_id long, ord int, name string, data binary")
+    after = spark.createDataFrame([(1, 0, "word/a.xml", b"<a>y</a>"), (1, 1, "word/b.xml", b"<b>"), (1, 2, "_rels/.rels", rels)], "doc_id long, ord int, name string, data binary")
+    wrong = office.violations(before, after)
+    plan = wrong._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+    assert sorted((r["part"], r["problem"]) for r in wrong.collect()) == [("_rels/.rels", "points at missing word/gone.xml"), ("word/a.xml", "text differs"), ("word/b.xml", "part cannot be read")]
