@@ -165,8 +165,9 @@ _loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
 def tokenizer(path: str, added: bool = False) -> WordTokenizer:
-    """One per worker process, path and treatment of added tokens, until another operator's task runs there."""
+    """One at a time in a worker process, until another one is asked for or another operator's task runs there."""
     if (path, added) not in _loaded:
+        _loaded.clear()
         _loaded[path, added] = WordTokenizer(path, added)
         lasting(OWNER, _loaded.clear)
     return _loaded[path, added]

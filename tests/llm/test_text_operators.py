@@ -500,3 +500,12 @@ def test_a_task_that_fails_or_stops_early_still_gives_memory_back(monkeypatch):
     assert next(half) == 1
     half.close()
     assert len(given) == 4
+
+
+def test_a_worker_holds_one_tokenizer_at_a_time():
+    from lucerna.llm import tokenize
+
+    path = tokenize.public_path("word_bpe_49k.json")
+    tokenize.tokenizer(path, True)
+    other = tokenize.tokenizer(path)
+    assert list(tokenize._loaded.values()) == [other]
