@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 
 from lucerna.operators import office
 from lucerna.operators.relations import shared_table
+from lucerna.plans import verification
 from lucerna.sources import fixtures, packages
+from lucerna.sources.shared import passing, shared_dir
 
 
 def documents(spark, n=12):
@@ -30,3 +34,29 @@ def test_parts_of_small_packages_are_sent_together_and_large_ones_alone():
     read = lambda doc, raw: [(doc, i, *e, None) for i, e in enumerate(packages.entries(raw))]
     sent = [b.column(0).to_pylist() for b in packages.joined_rows(iter([files]), read, packages._PART_TYPES, packages._PART_NAMES)]
     assert sent == [[1, 1, 2, 2, 3], [4, 4]]
+
+
+def tables(spark):
+    at = shared_dir(spark).removeprefix("file://") + "/lucerna"
+    return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+
+def test_a_step_leaves_only_what_it_keeps(spark):
+    before = tables(spark)
+    with passing(spark) as outer:
+        with passing(spark) as keep:
+            kept = keep(shared_table(spark.range(5), "gone"), "inner")
+            assert {x.split("-")[0] for x in tables(spark) - before} == {"gone", "inner"}
+        assert {x.split("-")[0] for x in tables(spark) - before} == {"inner"}
+        last = outer(kept.filter("id > 2"), "last")
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"last"}
+    assert last.count() == 2
+
+
+def test_verified_pairs_leave_no_contents_behind(spark):
+    d = documents(spark, 6)
+    files = fixtures.office_files(d).selectExpr("concat('f', doc_id, '.docx') AS name", "content")
+    before = tables(spark)
+    told = verification.verify_pairs(files, files)
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"verified"}
+    assert {r.status for r in told.collect()} == {"no output"}
