@@ -10,7 +10,7 @@ from lucerna.operators import office
 from lucerna.operators.relations import shared_table
 from lucerna.plans import verification
 from lucerna.sources import fixtures, packages
-from lucerna.sources.shared import passing, shared_dir
+from lucerna.sources.shared import passing, shared_dir, sliced_by_bytes
 
 
 def documents(spark, n=12):
@@ -60,3 +60,14 @@ def test_verified_pairs_leave_no_contents_behind(spark):
     told = verification.verify_pairs(files, files)
     assert {x.split("-")[0] for x in tables(spark) - before} == {"verified"}
     assert {r.status for r in told.collect()} == {"no output"}
+
+
+def test_cleaning_works_out_once_what_parts_are_made_of(spark):
+    files = fixtures.office_files(documents(spark))
+    assert plan(office.clean_parts(packages.read_packages(files), macros=True)).count("MapInArrow") == 3  # written, read, cleaned
+
+
+def test_slices_end_by_rows_and_by_bytes():
+    b = pa.RecordBatch.from_pydict({"data": [b"xx", b"xx", None, b"xxxxxxxx", b"x", b"x", b"x"]})
+    assert [x.num_rows for x in sliced_by_bytes(iter([b]), 0, 3, 4)] == [3, 1, 3]
+    assert [x.num_rows for x in sliced_by_bytes(iter([b]), 0, 2, 100)] == [2, 2, 2, 1]
