@@ -10,7 +10,7 @@ from lucerna.operators import office
 from lucerna.operators.relations import shared_table
 from lucerna.plans import package_queries, verification
 from lucerna.sources import fixtures, packages
-from lucerna.sources.shared import passing, shared_dir, sliced_by_bytes
+from lucerna.sources.shared import MANY_BYTES, passing, sent_together, shared_dir, sliced_by_bytes
 
 
 def documents(spark, n=12):
@@ -78,3 +78,9 @@ def test_slices_end_by_rows_and_by_bytes():
     b = pa.RecordBatch.from_pydict({"data": [b"xx", b"xx", None, b"xxxxxxxx", b"x", b"x", b"x"]})
     assert [x.num_rows for x in sliced_by_bytes(iter([b]), 0, 3, 4)] == [3, 1, 3]
     assert [x.num_rows for x in sliced_by_bytes(iter([b]), 0, 2, 100)] == [2, 2, 2, 1]
+
+
+def test_rows_of_small_files_share_a_batch_and_a_large_one_ends_it():
+    files = [(10, [("a", 1), ("a", 2)]), (0, []), (10, [("b", 1)]), (MANY_BYTES, [("c", 1)]), (1, [("d", 1)])]
+    sent = [b.to_pydict() for b in sent_together(iter(files), [pa.string(), pa.int64()], ["name", "n"])]
+    assert sent == [{"name": ["a", "a", "b", "c"], "n": [1, 2, 1, 1]}, {"name": ["d"], "n": [1]}]
