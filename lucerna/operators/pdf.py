@@ -183,18 +183,24 @@ def tree_names(objects: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     The tree is walked through /Kids of any depth, cycles included; ``num`` is the object that a name leads to, null
     where its value stands in the node.
     """
+    return trees_names(objects, roots, [key]).drop("tree")
+
+
+def trees_names(objects: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, tree, name, num: :func:`tree_names` of several trees; what they share is read once and written."""
     named = names_dictionaries(objects, roots).withColumn("names", F.lit(True))
     holders = objects.join(roots, "doc_id").join(named, ["doc_id", "num"], "left").filter("num = root OR names")
-    found = dictionary_entries(holders).filter(F.col("key") == key)
-    inline = found.select("doc_id", F.col("value").alias("dict"))
-    starts = found.select("doc_id", pdf_tokens.referred(F.col("value")).alias("node")).filter("node IS NOT NULL")
-    nodes = objects.select("doc_id", "num", "dict").withColumn("x", pdf_tokens.tree_node(F.col("dict")))
-    kids = nodes.select("doc_id", F.col("num").alias("src"), F.explode("x.kids").alias("dst"))
-    below = inline.select("doc_id", F.explode(pdf_tokens.tree_node(F.col("dict"))["kids"]).alias("node"))
-    reached = reachable_each(kids, starts.unionByName(below), ["doc_id"]).withColumnRenamed("node", "num")
-    leaves = nodes.join(reached, ["doc_id", "num"], "left_semi").select("doc_id", F.explode("x.names").alias("n"))
-    leaves = leaves.unionByName(inline.select("doc_id", F.explode(pdf_tokens.tree_node(F.col("dict"))["names"]).alias("n")))
-    return leaves.select("doc_id", decoded(F.col("n.name")).alias("name"), "n.num")
+    found = dictionary_entries(holders).filter(F.col("key").isin(*keys)).select("doc_id", F.col("key").alias("tree"), pdf_tokens.referred(F.col("value")).alias("node"), pdf_tokens.tree_node(F.col("value")).alias("x"))
+    found = shared_table(found, "tree-roots")
+    # A node has one of two keys; in an escaped name at least the mark of an escape stands.
+    may = F.contains("dict", F.lit("Kids")) | F.contains("dict", F.lit("Names")) | F.contains("dict", F.lit("#"))
+    nodes = shared_table(objects.filter(may).select("doc_id", "num", pdf_tokens.tree_node(F.col("dict")).alias("x")), "tree-nodes")
+    starts = found.filter("node IS NOT NULL").select("doc_id", "tree", "node").unionByName(found.select("doc_id", "tree", F.explode("x.kids").alias("node")))
+    kids = nodes.select("doc_id", F.col("num").alias("src"), F.explode("x.kids").alias("dst")).join(found.select("doc_id", "tree").distinct(), "doc_id")
+    reached = reachable_each(kids, starts, ["doc_id", "tree"]).withColumnRenamed("node", "num")
+    leaves = nodes.join(reached, ["doc_id", "num"]).select("doc_id", "tree", F.explode("x.names").alias("n"))
+    leaves = leaves.unionByName(found.select("doc_id", "tree", F.explode("x.names").alias("n")))
+    return leaves.select("doc_id", "tree", decoded(F.col("n.name")).alias("name"), "n.num")
 
 
 def decoded(raw: Column) -> Column:

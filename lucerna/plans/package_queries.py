@@ -312,8 +312,7 @@ def pdf_tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the name trees of scripts and attachments list."""
     _, objects, trailers = _pdf_trees(spark, sf_dir)
     roots = trailers.select("doc_id", pdf.root_of(F.col("trailer")).alias("root"))
-    of = lambda key: pdf.tree_names(objects, roots, key).withColumn("tree", F.lit(key))
-    return of("JavaScript").unionByName(of("EmbeddedFiles")).select("doc_id", "tree", "name", F.coalesce("num", F.lit(-1).cast("long")).alias("num"))
+    return pdf.trees_names(objects, roots, ["JavaScript", "EmbeddedFiles"]).select("doc_id", "tree", "name", F.coalesce("num", F.lit(-1).cast("long")).alias("num"))
 
 
 @query

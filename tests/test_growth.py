@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 
-from lucerna.operators import office
+from lucerna.operators import office, pdf
 from lucerna.operators.relations import shared_table
 from lucerna.plans import package_queries, verification
 from lucerna.sources import fixtures, packages
@@ -84,3 +84,12 @@ def test_rows_of_small_files_share_a_batch_and_a_large_one_ends_it():
     files = [(10, [("a", 1), ("a", 2)]), (0, []), (10, [("b", 1)]), (MANY_BYTES, [("c", 1)]), (1, [("d", 1)])]
     sent = [b.to_pydict() for b in sent_together(iter(files), [pa.string(), pa.int64()], ["name", "n"])]
     assert sent == [{"name": ["a", "a", "b", "c"], "n": [1, 2, 1, 1]}, {"name": ["d"], "n": [1]}]
+
+
+def test_nodes_of_name_trees_are_read_before_trees_are_walked(spark):
+    objects = [(1, "<< /Names 2 0 R >>"), (2, "<< /EmbeddedFiles << /K#69ds [3 0 R] >> /JavaScript 4 0 R >>"), (3, "<< /N#61mes [(f) 9 0 R] >>"), (4, "<< /Names [(j) 8 0 R] >>")]
+    objects = spark.createDataFrame([(7, n, d) for n, d in objects], "doc_id long, num long, dict string")
+    roots = spark.createDataFrame([(7, 1)], "doc_id long, root long")
+    found = pdf.trees_names(objects, roots, ["JavaScript", "EmbeddedFiles"])
+    assert plan(found).count("read(") == 0
+    assert {tuple(r) for r in found.collect()} == {(7, "EmbeddedFiles", "f", 9), (7, "JavaScript", "j", 8)}
