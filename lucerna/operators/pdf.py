@@ -323,12 +323,17 @@ def without_entries(objects: DataFrame, roots: DataFrame, keys: list[str], *, de
     named = names_dictionaries(objects.drop("root"), roots).withColumn("names", F.lit(True))
     marked = objects.join(named, ["doc_id", "num"], "left")
     is_root = F.col("num") == F.col("root")
-    touched = marked if deep else marked.filter(is_root | F.col("names"))
-    entries = dictionary_entries(touched.filter(F.col("dict").contains("/"))).join(touched.select("doc_id", "num", "root", "names"), ["doc_id", "num"])
+    # Other objects are read only where one of the words stands that a deep cleaning looks for, or the mark of an escaped name.
+    may = reduce(Column.__or__, (F.contains("dict", F.lit(x)) for x in ("AA", "Metadata", "PieceInfo", "JS", "JavaScript", "#")))
+    touched = marked.filter(is_root | F.col("names") | may if deep else is_root | F.col("names"))
+    entries = touched.filter(F.col("dict").contains("/")).select("doc_id", "num", "root", "names", "dict", F.explode(pdf_tokens.entries(F.col("dict"))).alias("e")).select("doc_id", "num", "root", "names", "dict", "e.*")
+    entries = entries.withColumn("value", F.substr("dict", F.col("val_start") + 1, F.col("val_end") - F.col("val_start")))
     from_catalogue = (is_root & (F.col("depth") == 1) & F.col("key").isin(*keys)) | ((is_root | F.col("names")) & (F.col("key") == "JavaScript"))
     script = F.col("key").isin("A", "Next", "OpenAction") & F.col("value").rlike(r"/S\s*/JavaScript(?![A-Za-z])")
     gone = entries.filter(from_catalogue | (F.col("key").isin("AA", "Metadata", "PieceInfo", "JS") | script) if deep else from_catalogue)
-    cut = cut_ranges(touched.select("doc_id", "num", "dict"), gone.select("doc_id", "num", "key_start", "val_end"), ["doc_id", "num"], "dict", "key_start", "val_end")
+    gone = shared_table(gone.select("doc_id", "num", "key_start", "val_end"), "cut-entries")
+    lose = objects.select("doc_id", "num", "dict").join(gone.select("doc_id", "num").distinct(), ["doc_id", "num"], "left_semi")
+    cut = cut_ranges(lose, gone, ["doc_id", "num"], "dict", "key_start", "val_end")
     cut = cut.select("doc_id", "num", F.col("dict").alias("cut"), pdf_tokens.facts(F.col("dict"))["refs"].alias("cut_refs"))
     out = objects.join(cut, ["doc_id", "num"], "left")
     return out.withColumn("dict", F.coalesce("cut", "dict")).withColumn("refs", F.coalesce("cut_refs", "refs")).drop("cut", "cut_refs")
@@ -346,7 +351,7 @@ def clean_pdf(files: DataFrame, *, attachments: bool = False, deep: bool = False
         objects, trailer = read(files)
         known = shared_table(objects, "pdf-objects"), shared_table(trailer, "trailers")
     objects, trailer = known
-    roots = trailer.filter(supported(F.col("trailer"))).select("doc_id", root_of(F.col("trailer")).alias("root"))
+    roots = shared_table(trailer.filter(supported(F.col("trailer"))).select("doc_id", root_of(F.col("trailer")).alias("root")), "roots")
     keys = [*CATALOG_DROP, *(["Names"] if attachments else [])]
     own = objects.drop("data", "unread", "stream_sha").join(roots, "doc_id").filter("num > 0 AND (type IS NULL OR type NOT IN ('XRef', 'ObjStm'))")
     edited = shared_table(without_entries(own, roots, keys, deep=deep), "edited")

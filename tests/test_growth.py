@@ -93,3 +93,12 @@ def test_nodes_of_name_trees_are_read_before_trees_are_walked(spark):
     found = pdf.trees_names(objects, roots, ["JavaScript", "EmbeddedFiles"])
     assert plan(found).count("read(") == 0
     assert {tuple(r) for r in found.collect()} == {(7, "EmbeddedFiles", "f", 9), (7, "JavaScript", "j", 8)}
+
+
+def test_only_what_a_deep_cleaning_may_cut_is_read_and_only_once(spark):
+    objects = [(1, "<< /Type /Catalog /Info 3 0 R /Pages 2 0 R >>"), (2, "<< /Kids [4 0 R] >>"), (3, "<< /Author (x) >>"), (4, "<< /#41A 5 0 R /A << /S /JavaScript /J#53 (x) >> >>")]
+    objects = spark.createDataFrame([(7, n, d, 1, []) for n, d in objects], "doc_id long, num long, dict string, root long, refs array<long>")
+    roots = spark.createDataFrame([(7, 1)], "doc_id long, root long")
+    left = pdf.without_entries(objects, roots, ["Info"], deep=True)
+    assert "Generate" not in plan(left)
+    assert {r.num: r.dict.replace(" ", "") for r in left.collect()} == {1: "<</Type/Catalog/Pages20R>>", 2: "<</Kids[40R]>>", 3: "<</Author(x)>>", 4: "<<>>"}
