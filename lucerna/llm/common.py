@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.sources import shared
-from lucerna.sources.shared import drop_shared, shared_dir
+from lucerna.sources.shared import drop_shared, give_back, shared_dir
 
 __all__ = ["drop_shared", "id_remainder", "lasting", "numbers", "shared_dir", "slices", "table", "tidy", "write_shared"]
 
@@ -39,7 +38,6 @@ def numbers(score: Callable[[list[str | None]], np.ndarray], texts: pa.Array) ->
 
 #: What operators keep in a worker from one task to the next, and how it is emptied.
 _kept: dict[str, Callable[[], None]] = {}
-_LIBC = ctypes.CDLL(None)
 
 
 def lasting(owner: str, empty: Callable[[], None]) -> None:
@@ -51,14 +49,7 @@ def _leave_to(owner: str) -> None:
     """Spark uses workers again, so what the operators of earlier stages keep in this one goes first."""
     for other in [x for x in _kept if x != owner]:
         _kept.pop(other)()
-    _give_back()
-
-
-def _give_back() -> None:
-    """Memory that nothing holds any more goes back to the machine, where the C library can do so."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(_LIBC, "malloc_trim"):
-        _LIBC.malloc_trim(0)
+    give_back()
 
 
 def tidy(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
@@ -69,7 +60,7 @@ def tidy(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iter
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return task
 

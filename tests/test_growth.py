@@ -7,10 +7,10 @@ import os
 import pyarrow as pa
 
 from lucerna.operators import office, pdf
-from lucerna.operators.relations import shared_table
+from lucerna.operators.relations import reachable_each, shared_table
 from lucerna.plans import package_queries, verification
-from lucerna.sources import fixtures, packages
-from lucerna.sources.shared import MANY_BYTES, passing, sent_together, shared_dir, sliced_by_bytes
+from lucerna.sources import fixtures, packages, pdf_tokens
+from lucerna.sources.shared import MANY_BYTES, SLICE_ROWS, in_slices, passing, sent_together, shared_dir, sliced_by_bytes
 
 
 def documents(spark, n=12):
@@ -102,3 +102,48 @@ def test_only_what_a_deep_cleaning_may_cut_is_read_and_only_once(spark):
     left = pdf.without_entries(objects, roots, ["Info"], deep=True)
     assert "Generate" not in plan(left)
     assert {r.num: r.dict.replace(" ", "") for r in left.collect()} == {1: "<</Type/Catalog/Pages20R>>", 2: "<</Kids[40R]>>", 3: "<</Author(x)>>", 4: "<<>>"}
+
+
+def test_objects_of_both_kinds_are_chosen_before_they_are_put_together(spark):
+    objects, trailers = pdf.read(fixtures.chained_pdf_files(documents(spark)))
+    assert not any(x in plan(objects) for x in ("max_by", "run(", "Generate")) and "run(" not in plan(trailers)
+    assert objects.filter("num = 3 AND dict LIKE '%/New%'").count() == 12 and objects.count() == 84
+
+
+def test_a_value_is_read_once_however_often_it_is_asked_for(monkeypatch):
+    searched = []
+
+    class Lex:
+        def search(self, t, at):
+            searched.append(t)
+            return lex.search(t, at)
+
+    lex = pdf_tokens._LEX
+    monkeypatch.setattr(pdf_tokens, "_LEX", Lex())
+    value = "<< /Once (a test's own) /Length 5 >>"
+    first = pdf_tokens.structure(value), pdf_tokens.own(value)
+    n = len(searched)
+    assert n and (pdf_tokens.structure(value), pdf_tokens.own(value)) == first and len(searched) == n
+
+
+def test_strings_are_one_token_with_brackets_inside_and_without():
+    for text in ("(plain)", r"(a\) 1 0 R)", "(in (side) 2 0 R)", r"(\()", "(a\\\n(b))"):
+        assert pdf_tokens.structure(f"<< /K {text} /L 7 0 R >>") == ([(1, "K", 3, 6, 6 + len(text)), (1, "L", 7 + len(text), 10 + len(text), 15 + len(text))], [7])
+    assert pdf_tokens.own("<< /K (open /L 7 0 R >>") == {"K": "(open /L 7 0 R >>"}
+
+
+def test_arrow_functions_hold_slices_not_batches(spark):
+    sizes = in_slices(lambda x: pa.array([len(x)] * len(x), pa.int64()), "long")
+    rows = spark.range(0, 3 * SLICE_ROWS + 7, numPartitions=1)
+    assert rows.select(sizes("id").alias("n")).groupBy("n").count().orderBy("n").collect() == [(7, 7), (SLICE_ROWS, 3 * SLICE_ROWS)]
+    long = in_slices(lambda x, y: pa.array([len(x)] * len(y), pa.int64()), "long")
+    texts = rows.selectExpr("repeat('x', 1 << 19) AS t", "id").limit(4)
+    assert [r.n for r in texts.select(long("t", "id").alias("n")).collect()] == [2, 2, 2, 2]
+
+
+def test_graphs_of_several_slices_are_walked_each(spark):
+    n = SLICE_ROWS * 2 + 5
+    graphs = spark.range(0, n, numPartitions=1)
+    edges = graphs.selectExpr("id AS k", "explode(array(id, id + 1)) AS src").selectExpr("k", "src", "src + 1 AS dst")
+    found = reachable_each(edges.coalesce(1), graphs.selectExpr("id AS k", "id AS node").coalesce(1), ["k"])
+    assert {tuple(r) for r in found.collect()} == {(k, k + i) for k in range(n) for i in range(3)}
