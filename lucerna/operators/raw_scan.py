@@ -18,6 +18,7 @@ from lucerna.sources.packages import read_packages
 # Extensions of each scanner, names of properties and fields, texts of marks.
 SCANNED = {"office": "xlsx xlsm docx docm pptx pptm", "image": "jpg jpeg png tif tiff webp", "pdf": "pdf", "ole": "doc xls"}
 CORE = ["dc:title", "dc:subject", "dc:creator", "cp:keywords", "dc:description", "cp:lastModifiedBy", "cp:revision", "dcterms:created", "dcterms:modified", "cp:category"]
+TEXTS = ["docProps/core.xml", "docProps/app.xml", "xl/connections.xml", "xl/workbook.xml", "ppt/commentAuthors.xml"]
 APP = ["Template", "TotalTime", "Company", "Manager"]
 INFO = ["Author", "Creator", "Producer", "Title", "Subject", "Keywords", "CreationDate", "ModDate"]
 FIELDS = [
@@ -50,8 +51,11 @@ def scanner(name: Column) -> Column:
 
 def _office(files: DataFrame) -> DataFrame:
     """Packages by the names of their parts and patterns over the text of five of them."""
-    parts, name = read_packages(files), F.col("name")
-    text = lambda of: F.max(F.when(name == of, F.make_valid_utf8(F.col("data").cast("string"))))
+    name = F.col("name")
+    # Bodies and pictures are not looked into, so they go before parts are sorted and sent.
+    shown = F.when(name.isin(*TEXTS), F.make_valid_utf8(F.col("data").cast("string"))).alias("shown")
+    parts = read_packages(files).select("doc_id", "error", "name", shown)
+    text = lambda of: F.max(F.when(name == of, F.col("shown")))
     listed = lambda pattern: F.array_sort(F.collect_set(F.when(name.rlike(pattern), name)))
     count = lambda pattern: F.count_if(name.rlike(pattern))
     per = parts.groupBy("doc_id").agg(
@@ -97,14 +101,19 @@ def _image(files: DataFrame) -> DataFrame:
     fields = [F.when(has(tag), _mark(F.lit(True), F.concat(F.lit(f"{text} = "), told(tag)))) for tag, text in FIELDS]
     gps = F.array_join(F.array_distinct(F.transform("x.gps", lambda k: reduce(lambda o, kv: F.when(k == kv[0], F.lit(kv[1])).otherwise(o), GPS.items(), k.cast("string")))), ", ")
     found = F.coalesce(F.size("x.gps") > 0, F.lit(False))
-    marks = F.array(
+    # What the bytes tell is told before the join, so no picture is sent.
+    seen = F.array(
         _mark(None, F.concat(F.octet_length("content").cast("string"), F.lit(" bytes"))),
         of("jpeg", _mark(holds(b"ns.adobe.com/xap"), "XMP (Adobe)")), of("jpeg", _mark(holds(b"Photoshop 3.0", b"8BIM"), "IPTC / Photoshop (autor, copyright)")), of("jpeg", _mark(holds(b"\xff\xfe"), "segmento COM (comentario JPEG)")),
         of("png", _mark(holds(b"tEXt", b"iTXt"), "chunks de texto PNG")), of("png", _mark(holds(b"eXIf"), "chunk eXIf (EXIF dentro de PNG)")),
-        F.when(F.col("format").isNull(), _mark(F.lit(False), "no se pudo abrir")), *fields,
+        F.when(F.col("format").isNull(), _mark(F.lit(False), "no se pudo abrir")),
+    )
+    told_of = F.array(
+        *fields,
         _mark(found, F.when(found, F.concat(F.lit("GPS presente: "), gps, F.lit(" (coordenadas omitidas)"))).otherwise("GPS")), _mark(F.col("x.thumbnail"), "miniatura incrustada"),
     )
-    return _rows(known.join(blocks, "doc_id", "left").select("doc_id", F.array_compact(marks).alias("m")))
+    both = known.select("doc_id", F.array_compact(seen).alias("seen")).join(blocks, "doc_id", "left")
+    return _rows(both.select("doc_id", F.concat("seen", F.array_compact(told_of)).alias("m")))
 
 
 def _pdf(files: DataFrame) -> DataFrame:

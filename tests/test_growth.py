@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 
-from lucerna.operators import office, pdf
+from lucerna.operators import office, pdf, raw_scan
 from lucerna.operators.relations import reachable_each, shared_table
 from lucerna.plans import package_queries, verification
 from lucerna.sources import fixtures, packages, pdf_tokens
@@ -147,3 +147,18 @@ def test_graphs_of_several_slices_are_walked_each(spark):
     edges = graphs.selectExpr("id AS k", "explode(array(id, id + 1)) AS src").selectExpr("k", "src", "src + 1 AS dst")
     found = reachable_each(edges.coalesce(1), graphs.selectExpr("id AS k", "id AS node").coalesce(1), ["k"])
     assert {tuple(r) for r in found.collect()} == {(k, k + i) for k in range(n) for i in range(3)}
+
+
+def test_files_are_scanned_for_marks_once(spark, tmp_path):
+    documents(spark).write.parquet(f"file://{tmp_path}/documents.parquet")
+    told = package_queries.QUERIES["raw_marks"](spark, f"file://{tmp_path}")
+    assert plan(told).count("MapInArrow") == 2  # parts of packages, segments of pictures
+    assert told.count() == 48
+
+
+def test_pictures_are_not_sent_with_their_marks(spark):
+    files = shared_table(fixtures.image_files(documents(spark)), "pictures").selectExpr("doc_id", "concat('a.', element_at(array('jpg', 'png', 'webp'), int(doc_id % 3) + 1)) AS name", "content")
+    lines = plan(raw_scan.raw_marks(files)).splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
+    left = lines[at + 1]
+    assert "Project" in left and "seen#" in left and "content#" not in left.split(" AS seen#")[1]
