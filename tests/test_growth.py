@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 
-from lucerna.operators import office, pdf, raw_scan
+from lucerna.operators import office, pdf, pdf_check, raw_scan
 from lucerna.operators.relations import reachable_each, shared_table
 from lucerna.plans import package_queries, verification
 from lucerna.sources import fixtures, packages, pdf_tokens
@@ -162,3 +162,25 @@ def test_pictures_are_not_sent_with_their_marks(spark):
     at = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
     left = lines[at + 1]
     assert "Project" in left and "seen#" in left and "content#" not in left.split(" AS seen#")[1]
+
+
+def test_checks_and_cleaning_of_pdf_files_send_no_table_through_the_driver(spark):
+    files = shared_table(fixtures.pdf_tree_files(documents(spark)), "trees")
+    objects, trailers = (shared_table(x, "known") for x in pdf.read(files))
+    cleaned = pdf.clean_pdf(files, known=(objects, trailers))
+    told = pdf_check.pdf_violations(pdf_check.stream_digests(objects), cleaned.select("doc_id", "content"))
+    for df in (cleaned, told):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert told.count() == 0 and cleaned.filter("content IS NOT NULL").count() == 12
+
+
+def test_a_missing_object_is_told_as_often_as_it_is_referred_to(spark):
+    body = b"%PDF-1.4\n%x\n"
+    held = [b"1 0 obj\n<< /Type /Catalog /A 2 0 R /B 9 0 R >>\nendobj\n", b"2 0 obj\n<< /C 9 0 R /D 8 0 R >>\nendobj\n", b"3 0 obj\n<< >>\nendobj\n"]
+    at = [len(body) + sum(map(len, held[:k])) for k in range(4)]
+    raw = body + b"".join(held) + b"xref\n0 4\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % x for x in at[:3]) + b"trailer\n<< /Size 4 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % at[3]
+    streams = spark.createDataFrame([(7, 2, "00")], "doc_id long, num long, sha string")
+    told = pdf_check.pdf_violations(streams, spark.createDataFrame([(7, raw)], "doc_id long, content binary"))
+    assert sorted(r.problem for r in told.collect()) == [
+        "no stream in object 2", "reached by nothing: object 3", "reference to a missing object: 8", "reference to a missing object: 9", "reference to a missing object: 9",
+    ]
