@@ -36,7 +36,10 @@ def resolve_path(base: Column, target: Column) -> Column:
     """A relative target against a folder, with ``.`` and ``..`` worked out; a rooted target stands alone."""
     whole = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(F.coalesce(base, F.lit("")), target))
     step = lambda done, part: F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(part.isin("", "."), done).otherwise(F.concat(done, F.array(part)))
-    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+    worked = F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+    # Most have no such step and stay as they are.
+    bare = F.when(F.startswith(whole, F.lit("/")), F.substr(whole, F.lit(2))).otherwise(whole)
+    return F.when(~bare.rlike(r"(^|/)\.{0,2}(/|$)"), bare).otherwise(worked)
 
 
 def relations_owner(name: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions.text import escape_markup
-from lucerna.sources.packages import NAMESPACES, XML_HEAD, write_packages
+from lucerna.sources.packages import NAMESPACES, XML_HEAD, pack_rows
 from lucerna.sources.shared import in_slices
 
 
@@ -30,8 +30,8 @@ def _xml(*pieces: Column | str) -> Column:
     return F.concat(F.lit(XML_HEAD), *(F.lit(p) if isinstance(p, str) else p for p in pieces)).cast("binary")
 
 
-def office_parts(documents: DataFrame) -> DataFrame:
-    """doc_id, ord, name, data of one package for each document: Word, Excel or PowerPoint by its id."""
+def _office_rows(documents: DataFrame) -> DataFrame:
+    """doc_id and parts (name, data) of one package for each document: Word, Excel or PowerPoint by its id."""
     i, source, lang = F.col("doc_id"), xml_text(F.col("source")), xml_text(F.col("lang"))
     number = i.cast("string")
     core = _xml('<cp:coreProperties xmlns:cp="', NAMESPACES["cp"], '" ', _ns("dc", "dcterms"), "><dc:title>Documento ", number, "</dc:title><dc:creator>", source, "</dc:creator><cp:lastModifiedBy>", lang, "</cp:lastModifiedBy></cp:coreProperties>")
@@ -68,7 +68,12 @@ def office_parts(documents: DataFrame) -> DataFrame:
     types = _xml('<Types xmlns="', NAMESPACES["ct"], '">', F.array_join(override, ""), "</Types>")
     rels = _xml('<Relationships xmlns="', NAMESPACES["rel"], '">', F.array_join(relation, ""), "</Relationships>")
     head = F.array(F.struct(F.lit("[Content_Types].xml").alias("name"), types.alias("data")), F.struct(F.lit("_rels/.rels").alias("name"), rels.alias("data")))
-    return have.select("doc_id", F.posexplode(F.concat(head, F.col("p"))).alias("ord", "x")).select("doc_id", "ord", "x.name", "x.data")
+    return have.select("doc_id", F.concat(head, F.col("p")).alias("parts"))
+
+
+def office_parts(documents: DataFrame) -> DataFrame:
+    """doc_id, ord, name, data of the parts of :func:`office_files`."""
+    return _office_rows(documents).select("doc_id", F.posexplode("parts").alias("ord", "x")).select("doc_id", "ord", "x.name", "x.data")
 
 
 def respelled(parts: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def respelled(parts: DataFrame) -> DataFrame:
 
 def office_files(documents: DataFrame) -> DataFrame:
     """doc_id and content of :func:`office_parts` as packages."""
-    return write_packages(office_parts(documents))
+    return pack_rows(_office_rows(documents))
 
 
 def _hex(text: str) -> Column:
@@ -201,7 +206,7 @@ def extra_packages(documents: DataFrame) -> DataFrame:
         (i % 3 == 1, "xl/persons/person.xml", persons), (i % 3 == 2, "ppt/presentation.xml", _xml("<p:presentation ", _ns("p"), "/>")), (i % 3 == 2, "ppt/persons/person.xml", persons), (i >= 0, "docProps/custom.xml", custom),
     ]
     listed = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), d.alias("data"))) for c, n, d in kinds)))
-    return write_packages(documents.select("doc_id", F.posexplode(listed).alias("ord", "x")).select("doc_id", "ord", "x.name", "x.data"))
+    return pack_rows(documents.select("doc_id", listed.alias("parts")))
 
 
 def profiled_pictures(documents: DataFrame) -> DataFrame:

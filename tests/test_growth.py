@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+import pytest
 
-from lucerna.operators import office, pdf, pdf_check, raw_scan
+from lucerna.operators import office, office_parts, pdf, pdf_check, raw_scan
 from lucerna.operators.relations import reachable_each, shared_table
-from lucerna.plans import package_queries, verification
+from lucerna.plans import package_queries, products, verification
 from lucerna.sources import fixtures, packages, pdf_tokens
 from lucerna.sources.shared import MANY_BYTES, SLICE_ROWS, in_slices, passing, sent_together, shared_dir, sliced_by_bytes
 
@@ -184,3 +185,45 @@ def test_a_missing_object_is_told_as_often_as_it_is_referred_to(spark):
     assert sorted(r.problem for r in told.collect()) == [
         "no stream in object 2", "reached by nothing: object 3", "reference to a missing object: 8", "reference to a missing object: 9", "reference to a missing object: 9",
     ]
+
+
+def test_packages_are_written_as_zipfile_writes_them_and_listed_as_it_lists_them(monkeypatch):
+    for parts in ([], [("a.xml", b""), ("d/", b""), ("d/x.bin", bytes(range(256)) * 300)], [("ñ.xml", b"<a/>"), ("b.xml", b"<b/>")]):
+        raw = packages.packed(parts)
+        assert raw == packages._packed_by_zipfile(parts)
+        plain = packages._directory(raw)
+        assert (plain is None) == any(not x.isascii() for x, _ in parts)
+        found = packages.entries(raw)
+        with monkeypatch.context() as m:
+            m.setattr(packages, "_directory", lambda content: None)
+            assert packages.entries(raw) == found
+        assert [(x[0], x[1]) for x in found] == parts
+    assert packages._directory(packages.packed([("a", b"1")]) + b"more") is None
+
+
+def test_files_are_made_from_their_rows_without_a_shuffle(spark):
+    made = fixtures.office_files(documents(spark))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.name) for r in packages.read_packages(made).collect()) == sorted((r.doc_id, r.name) for r in fixtures.office_parts(documents(spark)).collect())
+
+
+def test_parts_that_nothing_concerns_stay_without_a_walk(monkeypatch):
+    monkeypatch.setattr(office_parts, "elements", lambda data: 1 / 0)
+    options = office.checked({})
+    rels = b'<Relationships xmlns="u"><Relationship Target="word/document.xml"/></Relationships>'
+    assert office_parts.rewrite("_rels/.rels", rels, {"docProps/thumbnail.jpeg"}, options) == (rels, {})
+    touched = [
+        ("_rels/.rels", rels, {"word/document.xml"}), ("xl/workbook.xml", b'<a rsidR="1"/>', set()), ("word/document.xml", b"<a/>", set()), ("a.xml", b"<x:a/>", set()),
+        ("_rels/.rels", rels.replace(b"word", b"w&#111;rd"), {"docProps/custom.xml"}), ("a.xml", "<a/>".encode("utf-16"), set()), ("a.xml", b"<!DOCTYPE a><a/>", set()),
+    ]
+    for name, data, gone in touched:
+        with pytest.raises(ZeroDivisionError):
+            office_parts.rewrite(name, data, gone, options)
+
+
+def test_cleaning_alone_reads_parts_without_their_nodes(spark):
+    broken = packages.packed([("word/document.xml", b"<a>")])
+    files = fixtures.office_files(documents(spark, 3)).unionByName(spark.createDataFrame([(9, broken)], "doc_id long, content binary"))
+    seen = products.Inspected(files, told=False)
+    assert seen.parts.filter("nodes IS NOT NULL").count() == 0
+    assert {(r.doc_id, r.error) for r in seen.status().collect()} == {(r.doc_id, r.error) for r in products.Inspected(files).status().collect()}
