@@ -227,3 +227,13 @@ def test_cleaning_alone_reads_parts_without_their_nodes(spark):
     seen = products.Inspected(files, told=False)
     assert seen.parts.filter("nodes IS NOT NULL").count() == 0
     assert {(r.doc_id, r.error) for r in seen.status().collect()} == {(r.doc_id, r.error) for r in products.Inspected(files).status().collect()}
+
+
+def test_contents_take_no_part_in_the_last_join_of_pairs(spark):
+    files = fixtures.office_files(documents(spark, 6)).selectExpr("concat('f', doc_id, '.docx') AS name", "content")
+    pairs = shared_table(verification.paired(files, files.selectExpr("replace(name, '.docx', ' - sin metadatos.docx') AS name", "content")), "pairs")
+    plans = []
+    verification.verify(pairs, lambda df, label: plans.append(plan(df)) or shared_table(df, label))
+    lines = plans[-1].splitlines()
+    join = next(x for x in lines if "Join LeftOuter" in x)
+    assert "copy#" not in "\n".join(x for x in lines[: lines.index(join) + 1])
