@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.sources import shared
-from lucerna.sources.shared import drop_shared, give_back, shared_dir
+from lucerna.sources.shared import drop_shared, shared_dir
+from lucerna.sources.shared import give_back as _give_back
 
 __all__ = ["drop_shared", "id_remainder", "lasting", "numbers", "shared_dir", "slices", "table", "tidy", "write_shared"]
 
@@ -49,7 +50,7 @@ def _leave_to(owner: str) -> None:
     """Spark uses workers again, so what the operators of earlier stages keep in this one goes first."""
     for other in [x for x in _kept if x != owner]:
         _kept.pop(other)()
-    give_back()
+    _give_back()
 
 
 def tidy(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
@@ -60,7 +61,7 @@ def tidy(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iter
         try:
             yield from run(batches)
         finally:
-            give_back()
+            _give_back()
 
     return task
 
